@@ -5,11 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ticktide.llm import common, mixing, packing
+from ticktide.llm import common, mixing, packing, pii, quality, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(common.table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules", "host_rate", "host_rejected"
+    return quality.judge(common.table(spark, sf_dir, "documents")).select(*columns)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -18,5 +32,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {"op8_mixing": op8_mixing, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op1_pii": op1_pii, "op4_toxicity": op4_toxicity, "op5_quality_rules": op5_quality_rules, "op8_mixing": op8_mixing, "op10_best_fit_packing": op10_best_fit_packing}
 ORACLE_SQL: dict[str, str] = {}
