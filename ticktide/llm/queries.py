@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ticktide.llm import common, mixing, packing, pii, quality, tokenstore, toxicity
+from ticktide.llm import common, mixing, near_dups, packing, pii, quality, tokenstore, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -24,6 +24,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(common.table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(common.table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = common.table(spark, sf_dir, "documents"), common.fresh_path(spark, "token-store")
     return tokenstore.TokenStore.write(docs, public_tokenizers.path(TOKENIZER), folder).checksums().select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -37,5 +41,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {"op1_pii": op1_pii, "op4_toxicity": op4_toxicity, "op5_quality_rules": op5_quality_rules, "op7_token_store": op7_token_store, "op8_mixing": op8_mixing, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op1_pii": op1_pii, "op4_toxicity": op4_toxicity, "op5_quality_rules": op5_quality_rules, "op6_minhash_near_dedup": op6_minhash_near_dedup, "op7_token_store": op7_token_store, "op8_mixing": op8_mixing, "op10_best_fit_packing": op10_best_fit_packing}
 ORACLE_SQL: dict[str, str] = {}
