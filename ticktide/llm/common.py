@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words: space and U+0009 to U+000D.
 BLANKS = "[\\x20\\x09-\\x0D]+"
+#: Bits of the bitmap that texts_of() sends to every executor, however many documents there are.
+FILTER_BITS = 1 << 23
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,3 +51,46 @@ def words(text) -> F.Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A bit for each id's hash, FILTER_BITS in all however many ids there are."""
+    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    word = ids.select((bit / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(node), 64) as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    found = word.toArrow()
+    bits[found.column("word").to_numpy()] = found.column("mask").to_numpy()
+    return bits
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of some documents. A bitmap of a fixed size drops most others before the join."""
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, place = batch.column("word").to_numpy(), batch.column("place").to_numpy()
+            yield batch.filter(pa.array(bits.value[word] >> place & 1 == 1)).select(["node", "text"])
+
+    hashed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    hashed = hashed.withColumns({"word": (F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)) / 64).cast("int"), "place": F.pmod(F.xxhash64("node"), F.lit(64)).cast("long")})
+    return hashed.mapInArrow(likely, "node long, text string").join(nodes, "node", "left_semi")
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't among ids. Only rows that a bitmap of a fixed size can't clear are joined."""
+    gone = stored(ids.select(F.col("doc_id").cast("long").alias("node")).where("node IS NOT NULL").distinct(), "gone")
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(gone))
+    hashed = docs.withColumns({"_word": (F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)) / 64).cast("int"), "_place": F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(64)).cast("long")})
+
+    def having(wanted: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                word, place = batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
+                some = batch.filter(pa.array(bits.value[word] >> place & 1 == wanted))
+                yield pa.RecordBatch.from_arrays(some.columns[:-2], names=docs.columns)
+
+        return hashed.mapInArrow(run, docs.schema)
+
+    doubtful = having(1)
+    return having(0).unionByName(doubtful.join(gone, doubtful["doc_id"] == gone["node"], "left_anti"))

@@ -69,34 +69,66 @@ def rates(hist: DataFrame, targets: DataFrame, limit: int, rounds: int = 60, tol
     return state.select("source", "target", "source_size", "mean", "multiplier")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, bins: int = 1024) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken: a row per document."""
-    sized = common.stored(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long").alias("size")), "sizes")
-    hist = common.stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
-    sources = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    solved = rates(hist, source_targets(sources, weights, share, limit), limit)
+def sizes(docs: DataFrame) -> F.Column:
+    """Words of a text: its size."""
+    return F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+
+
+def rated(sized: DataFrame, solved: DataFrame, limit: int, bins: int) -> DataFrame:
+    """Adds rate, floor, bin, part and open to rows with doc_id, source and size. Lower bins, and parts of them, come first
+    for one more copy; open: whether one more is possible."""
     full = F.col("target") >= limit * F.col("source_size")  # no tilt reaches the limit itself
     tilt = F.lit(float(limit)) / (1.0 + (limit - 1) * F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("multiplier") * F.col("size") / F.col("mean")))))
-    rated = with_source(sized, solved).withColumn("rate", F.when(F.col("size") == 0, 0.0).when(full, float(limit)).when(F.col("target") <= 0, 0.0).otherwise(tilt))
+    found = with_source(sized, solved).withColumn("rate", F.when(F.col("size") == 0, 0.0).when(full, float(limit)).when(F.col("target") <= 0, 0.0).otherwise(tilt))
     unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
-    whole = F.floor("rate")
-    rated = rated.withColumn("floor", whole.cast("long")).withColumn("mark", unit - (F.col("rate") - whole))  # lowest marks first
-    rated = rated.withColumn("fraction", (F.col("mark") + 1) / 2 * bins).withColumn("bin", F.least(F.floor("fraction"), F.lit(bins - 1)))
-    rated = rated.withColumn("part", F.least(F.floor((F.col("fraction") - F.col("bin")) * bins), F.lit(bins - 1)))
-    rated = common.stored(rated.withColumn("open", (F.col("floor") < limit) & (F.col("size") > 0)).drop("fraction", "mean", "multiplier"), "rated")
+    found = found.withColumn("floor", F.floor("rate").cast("long")).withColumn("fraction", (unit - (F.col("rate") - F.col("floor")) + 1) / 2 * bins)
+    found = found.withColumn("bin", F.least(F.floor("fraction"), F.lit(bins - 1)))
+    found = found.withColumn("part", F.least(F.floor((F.col("fraction") - F.col("bin")) * bins), F.lit(bins - 1)))
+    return found.withColumn("open", (F.col("floor") < limit) & (F.col("size") > 0) & (F.col("target") > 0)).drop("fraction")
+
 
-    gap = rated.groupBy("source").agg((F.max("target") - F.sum(F.col("floor") * F.col("size"))).alias("gap"))
+def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, bins: int = 1024) -> DataFrame:
+    """A row per source: source_size, target, mean, multiplier, and edge_bin and edge_part, up to which one more copy is made."""
+    sized = common.stored(docs.select("doc_id", "source", sizes(docs).alias("size")), "sizes")
+    hist = common.stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
+    sources = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    solved = common.stored(rates(hist, source_targets(sources, weights, share, limit), limit), "rates")
+    by_bin = rated(sized, solved, limit, bins)
+    binned = by_bin.groupBy("source", "bin").agg(F.sum(F.col("floor") * F.col("size")).alias("made"), F.sum(F.when(F.col("open"), F.col("size")).otherwise(0)).alias("mass"))
+    binned = common.stored(binned, "bins")  # at most bins rows a source
+    gap = with_source(solved, binned.groupBy("source").agg(F.sum("made").alias("made"))).select("source", (F.col("target") - F.col("made")).alias("gap"))
     upto = lambda by: Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    by_bin = rated.where("open").groupBy("source", "bin").agg(F.sum("size").alias("mass"))  # at most bins rows a source
-    by_bin = with_source(by_bin.withColumn("upto", F.sum("mass").over(upto("bin"))), gap)
-    edge = by_bin.where(F.col("upto") > F.col("gap")).groupBy("source").agg(F.min_by(F.struct("bin", (F.col("gap") - F.col("upto") + F.col("mass")).alias("left")), "bin").alias("e")).select("source", F.col("e.bin").alias("edge_bin"), F.col("e.left").alias("left"))
+    over = with_source(binned.withColumn("upto", F.sum("mass").over(upto("bin"))), gap).where((F.col("upto") > F.col("gap")) & (F.col("mass") > 0))
+    edge = over.groupBy("source").agg(F.min_by(F.struct("bin", (F.col("gap") - F.col("upto") + F.col("mass")).alias("left")), "bin").alias("e")).select("source", F.col("e.bin").alias("edge_bin"), F.col("e.left").alias("left"))
     edge = common.stored(edge, "edges")
-    inner = with_source(rated.where("open"), edge).where(F.col("bin") == F.col("edge_bin")).groupBy("source", "part", "left").agg(F.sum("size").alias("mass"))
+    inner = with_source(rated(sized, solved, limit, bins).where("open"), edge).where(F.col("bin") == F.col("edge_bin")).groupBy("source", "part", "left").agg(F.sum("size").alias("mass"))
     inner = inner.withColumn("upto", F.sum("mass").over(upto("part")))
     near = F.abs(F.col("upto") - F.col("left")) <= F.abs(F.col("upto") - F.col("mass") - F.col("left"))  # with this part or without
     inner = inner.where((F.col("upto") <= F.col("left")) | ((F.col("upto") - F.col("mass") < F.col("left")) & near)).groupBy("source").agg(F.max("part").alias("edge_part"))
-    cut = edge.withColumnRenamed("source", "_a").join(inner, F.col("_a").eqNullSafe(inner["source"]), "left").select(F.col("_a").alias("_source"), "edge_bin", F.coalesce("edge_part", F.lit(-1)).alias("edge_part"))
-    placed = rated.join(cut, rated["source"].eqNullSafe(cut["_source"]), "left").drop("_source")
-    more = F.col("open") & (F.col("edge_bin").isNull() | (F.col("bin") < F.col("edge_bin")) | ((F.col("bin") == F.col("edge_bin")) & (F.col("part") <= F.col("edge_part"))))
-    copies = F.col("floor") + F.when(more & (F.col("target") > 0), 1).otherwise(0)
-    return placed.select("doc_id", "source", "size", "source_size", "target", "rate", copies.cast("int").alias("copies"), (copies * F.col("size")).alias("taken"))
+    ends = [x.withColumnRenamed("source", f"_{i}") for i, x in enumerate((edge.drop("left"), inner))]
+    made = solved.join(ends[0], solved["source"].eqNullSafe(F.col("_0")), "left").join(ends[1], solved["source"].eqNullSafe(F.col("_1")), "left").drop("_0", "_1")
+    made = made.withColumns({"edge_bin": F.coalesce("edge_bin", F.lit(bins)), "edge_part": F.coalesce("edge_part", F.lit(-1))})
+    return common.stored(made, "mixing-plan")
+
+
+def with_copies(sized: DataFrame, made: DataFrame, limit: int = 2, bins: int = 1024) -> DataFrame:
+    """Rows with doc_id, source, size and what else they have, with source_size, target, rate and copies by plan()'s rows."""
+    more = F.col("open") & ((F.col("bin") < F.col("edge_bin")) | ((F.col("bin") == F.col("edge_bin")) & (F.col("part") <= F.col("edge_part"))))
+    found = rated(sized, made, limit, bins).withColumn("copies", (F.col("floor") + F.when(more, 1).otherwise(0)).cast("int"))
+    return found.drop("floor", "bin", "part", "open", "mean", "multiplier", "edge_bin", "edge_part")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, bins: int = 1024) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies, taken: a row per document."""
+    made = plan(docs, weights, share, limit, bins)
+    sized = docs.select("doc_id", "source", sizes(docs).alias("size"))
+    return with_copies(sized, made, limit, bins).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, bins: int = 1024) -> DataFrame:
+    """The documents with their columns, each as often as the mix takes it."""
+    names = [f"_{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    by = dict(zip(docs.columns, names))
+    keyed = docs.select("doc_id", "source", sizes(docs).alias("size"), *[F.col(c).alias(n) for c, n in by.items()])
+    copies = with_copies(keyed, plan(docs, weights, share, limit, bins), limit, bins).where("copies > 0")
+    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[F.col(n).alias(c) for c, n in by.items()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ticktide.llm import common, mixing, near_dups, packing, pii, quality, tokenstore, toxicity
+from ticktide.llm import common, language_model, licenses, mixing, near_dups, packing, pii, quality, tokenstore, topk, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -14,6 +14,15 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(common.table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.table(spark, sf_dir, "documents"))
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
@@ -37,9 +46,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = common.table(spark, sf_dir, "labels").where("quality = 1")
+    return language_model.classify(common.table(spark, sf_dir, "documents"), trusted)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {"op1_pii": op1_pii, "op4_toxicity": op4_toxicity, "op5_quality_rules": op5_quality_rules, "op6_minhash_near_dedup": op6_minhash_near_dedup, "op7_token_store": op7_token_store, "op8_mixing": op8_mixing, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_license_scan, op3_exact_top_k, op4_toxicity, op5_quality_rules, op6_minhash_near_dedup, op7_token_store, op8_mixing, op9_quality_classifier, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
