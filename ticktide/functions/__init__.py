@@ -1 +1 @@
-
+"""Column expressions and the few Python functions."""

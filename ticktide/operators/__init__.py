@@ -1 +1 @@
-
+"""Transformations of bar tables, DataFrame in and DataFrame out."""

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from ticktide.plans import factors
+
+_ALL = {**factors.QUERIES}
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLE_SQL = {name: text for name, (_, text) in _ALL.items() if text}
