@@ -53,7 +53,7 @@ def market_summary(bars: DataFrame) -> DataFrame:
     )
 
 
-def new_high_clusters(highs: DataFrame, top: int = 5, shown: int = 4) -> DataFrame:
+def new_high_clusters(highs: DataFrame, top: int = 5, shown: int = 4, places: int = 2) -> DataFrame:
     """New highs by sector: count, percent of the date's new highs, mean change, the best by change and the core stocks.
     Core: the two best by chg_20d, the two best by chg_20d of the five largest amounts, each once, topped up to `shown`.
     highs: trade_date, code, sector_name, chg_pct, chg_20d, amount."""
@@ -63,7 +63,7 @@ def new_high_clusters(highs: DataFrame, top: int = 5, shown: int = 4) -> DataFra
     of_largest = F.transform(F.sort_array(F.transform(largest, lambda x: F.struct(x["o"].alias("o"), x["code"].alias("code")))), lambda x: x["code"])
     best = F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce(-F.col("chg_pct"), F.lit(1e18)).alias("o"), "code"))), lambda x: x["code"])
     n_all = highs.groupBy("trade_date").agg(F.countDistinct("code").alias("n_all"))
-    per = highs.groupBy("trade_date", "sector_name").agg(F.count("*").alias("n"), rounded(F.avg("chg_pct")).alias("avg_chg"), by_20.alias("by_20"), of_largest.alias("of_largest"), best.alias("best"))
+    per = highs.groupBy("trade_date", "sector_name").agg(F.count("*").alias("n"), rounded(F.avg("chg_pct"), places).alias("avg_chg"), by_20.alias("by_20"), of_largest.alias("of_largest"), best.alias("best"))
     core = F.slice(F.array_union(F.array_union(F.slice("by_20", 1, 2), F.slice("of_largest", 1, 2)), F.col("by_20")), 1, shown)
     place = F.row_number().over(Window.partitionBy("trade_date").orderBy(F.desc("n"), "sector_name"))
     joined = per.join(n_all, "trade_date").withColumn("place", place).where(F.col("place") <= top)

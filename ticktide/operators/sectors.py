@@ -48,13 +48,13 @@ def most_common(stocks: DataFrame) -> DataFrame:
     return per.withColumn("_n", place).where("_n = 1").select("trade_date", "sector_name", "n")
 
 
-def equal_weight_index(bars: DataFrame, sectors: DataFrame, base: float = 1000.0) -> DataFrame:
+def equal_weight_index(bars: DataFrame, sectors: DataFrame, base: float = 1000.0, places: int = 4) -> DataFrame:
     """A sector's mean member change by date and the price chained from it. bars: code, trade_date, chg_pct."""
     held = bars.where("chg_pct IS NOT NULL").join(members(sectors), "code")
     daily = held.groupBy("sector", "sector_name", "trade_date").agg(F.avg("chg_pct").alias("change"), F.count("*").alias("n"))
     w = Window.partitionBy("sector").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
     growth = F.greatest(1 + F.col("change") / 100, F.lit(1e-9))
-    return daily.select("sector", "sector_name", "trade_date", "n", rounded(F.col("change"), 4).alias("change"), rounded(base * F.exp(F.sum(F.log(growth)).over(w)), 2).alias("price"))
+    return daily.select("sector", "sector_name", "trade_date", "n", rounded(F.col("change"), places).alias("change"), rounded(base * F.exp(F.sum(F.log(growth)).over(w)), 2).alias("price"))
 
 
 def sector_breadth(bars: DataFrame, sectors: DataFrame, limit: float = 9.8) -> DataFrame:

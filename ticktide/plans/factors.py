@@ -25,7 +25,7 @@ def full(spark, d):
 
 
 def daily_bars(spark, d):
-    return bindings.stock_bars(spark, d).select(*ID, rounded(F.col("open"), 6).alias("open"), rounded(F.col("close"), 6).alias("close"), "volume", "amount")
+    return bindings.stock_bars(spark, d).select(*ID, rounded(F.col("open"), 8).alias("open"), rounded(F.col("close"), 8).alias("close"), "volume", "amount")
 
 
 def chg_pct(spark, d):
@@ -142,8 +142,8 @@ def rps_week(spark, d):
 
 def _ohlc(p):
     def query(spark, d):
-        six = [rounded(F.col(c), 6).alias(c) for c in ("open", "high", "low", "close")]
-        return resample.ohlc(bindings.stock_bars(spark, d), p).select("code", "period", "trade_date", *six, "volume")
+        exact = [rounded(F.col(c), 8).alias(c) for c in ("open", "high", "low", "close")]
+        return resample.ohlc(bindings.stock_bars(spark, d), p).select("code", "period", "trade_date", *exact, "volume")
 
     return query
 
@@ -208,7 +208,7 @@ def _period_sql(p):
 
 
 def _ohlc_sql(p):
-    six = lambda x: f"round_even({x}, 6)"
+    six = lambda x: f"round_even({x}, 8)"
     return f"""WITH {sql.BARS} SELECT code, {sql.period(p)} AS period, min(trade_date) AS trade_date, {six('arg_min("open", trade_date)')} AS "open", {six('max(high)')} AS high, {six('min(low)')} AS low, {six('arg_max("close", trade_date)')} AS "close", sum(volume) AS volume FROM bars GROUP BY 1, 2"""
 
 
@@ -222,7 +222,7 @@ def _dense_sql(periods):
     dchg AS (SELECT *, {chg} FROM dense), drps AS (SELECT *, {rps} FROM dchg)"""
 
 
-_SIX = lambda c: f'round_even("{c}", 6) AS "{c}"'
+_SIX = lambda c: f'round_even("{c}", 8) AS "{c}"'
 _INDEX0 = """index0 AS (SELECT trade_date, "close", round_even(("close" / first_value("close") OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING) - 1) * 100 + 50, 2) AS scaled FROM ibars WHERE code = '999900')"""
 _PERCENTS = {
     "pct_avg": ("average", lambda c: f'CAST(round_even({sql.average_place(f'"{c}"', "n")} * 100, 0) AS INTEGER)'),

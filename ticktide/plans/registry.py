@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ticktide.plans import factors
+from ticktide.plans import factors, market
 
-_ALL = {**factors.QUERIES}
+_ALL = {**factors.QUERIES, **market.QUERIES}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLE_SQL = {name: text for name, (_, text) in _ALL.items() if text}
