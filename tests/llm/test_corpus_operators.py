@@ -102,7 +102,7 @@ def test_quality_lines_symbols_and_hosts(spark):
     good = "The quick brown fox jumps over the lazy dog near the old river bank today.\nSecond line here #1."
     rows = [(i, good + f" n{i}", "good") for i in range(30)] + [(i, "no", "bad") for i in range(30, 60)] + [(60, good + "\nSecond line here #1.\n\nSecond line here #1.", "bad")]
     found = {r.doc_id: r for r in quality.judge(documents(spark, rows)).collect()}
-    assert found[0].kept and found[0].n_symbols == 1 and found[60].n_dup_lines == 1
+    assert found[0].kept and found[0].n_symbols == 1 and found[60].n_dup_lines == 2
     assert found[60].host_rejected and not found[60].kept and not found[0].host_rejected
 
 

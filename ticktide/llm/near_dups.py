@@ -5,7 +5,9 @@ A document's set is its distinct word shingles; documents with equal sets are on
    chance below 1e-5 a pair at the threshold; small sets surely), so each needs inverted lists only for its rarest
    |sketch| - OVERLAP + 1 values: two such lists must meet. Values that one document alone has need no list at all.
 2. Candidates from the lists in rounds that never pair all members: first each list's smallest member with the others, then
-   a member picked by hash, each time only across components not yet linked; in the end what is left across components.
+   a member picked by hash, each time only across components not yet linked. In the end short lists are paired, and in long
+   ones members are told apart by how they differ from the list's shortest member: two that are similar, of which one isn't
+   similar to that member, must share differences, so their rarest differences meet in lists of their own.
 3. The Jaccard estimate from the union's sketch drops candidates far below the threshold, exact Jaccard of the full sets
    decides on the rest. Links are joined into components by label propagation with pointer jumping.
 
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticktide.llm import common, tokens
@@ -31,7 +33,8 @@ K, OVERLAP = 64, 40
 WORDS, PERCENT = 5, 80
 #: Standard errors of the estimate below the threshold at which a candidate is dropped.
 ERRORS = 5
-FILTER_BITS = 1 << 23
+#: Lists up to this long are paired in the end.
+SHORT = 8
 
 _blank = np.zeros(256, bool)
 _blank[[9, 10, 11, 12, 13, 32]] = True
@@ -45,8 +48,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, A-Z as a-z, and where each text's begin, with the end."""
+def word_hashes(texts: pa.Array, blank: np.ndarray = _blank) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, A-Z as a-z, and where each text's begin, with the end. blank: bytes between words."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if not len(texts):
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
@@ -56,7 +59,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = at - at[0]
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    inside = ~_blank[data]
+    inside = ~blank[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     starts = np.flatnonzero(inside & (edge[:-1] | np.append(True, ~inside[:-1])))
@@ -104,15 +107,49 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, print binary, sketch array<long>")
 
 
-def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
-    """value, node, n: the lists that similar documents are sure to meet in. classes: node, n, sketch."""
-    least = F.least(F.lit(OVERLAP), F.ceil(F.col("n") * percent / 100.0)).cast("int")
-    values = classes.select("node", "n", F.size("sketch").alias("held"), least.alias("least"), F.explode("sketch").alias("value"))
-    shared = classes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    met = values.join(shared, "value")  # values of one document alone come first in the order and are only counted
-    by_node = met.groupBy("node", "n", "held", "least").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("some"))  # K at most
-    lists = by_node.select("node", "n", F.explode(F.slice("some", 1, F.greatest(F.size("some") - F.col("least") + 1, F.lit(0)))["value"]).alias("value"))
-    return lists.distinct()
+def inverted_lists(sets: DataFrame) -> DataFrame:
+    """value, node, n: lists in which two sets that share at least `least` values are sure to meet: those of the rarest
+    held - least + 1 values of each. sets: node, n, held (values), least, values."""
+    keyed = sets.withColumn("id", F.xxhash64("node", "held", F.element_at(F.concat("values", F.array(F.lit(0))), 1)))
+    exploded = keyed.select("id", "node", "n", "held", "least", F.explode("values").alias("value"))
+    shared = exploded.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    met = exploded.join(shared, "value")  # values of one set alone come first in the order and are only counted
+    by_set = met.groupBy("id", "node", "n", "held", "least").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("some"))  # of one document
+    return by_set.select("node", "n", F.explode(F.slice("some", 1, F.greatest(F.size("some") - F.col("least") + 1, F.lit(0)))["value"]).alias("value")).distinct()
+
+
+def differences(stars: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """How nodes differ from their pivots: node, pivot, n, held, linked (similar to the pivot), values (of the symmetric
+    difference, told apart by pivot), least (how many of them it must share with whatever it may be linked to)."""
+    t = percent / 100
+    slope = (1 - t) / (1 + t)  # similar sets x and y differ in at most slope * (|x| + |y|) values
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        held: tuple = (None, None)
+        for batch in batches:
+            for part in tokens.slices(batch, "ta"):
+                own, rows = shingle_sets(part.column("ta"), words), []
+                for x, pivot, text in zip(own, part.column("b").to_pylist(), part.column("tb").to_pylist()):
+                    if held[0] != text:
+                        held = (text, shingle_sets(pa.array([text], pa.string()), words)[0])
+                    p = held[1]
+                    inter = len(np.intersect1d(x, p, assume_unique=True))
+                    union = len(x) + len(p) - inter
+                    linked = 100 * inter >= percent * union
+                    d = np.setxor1d(x, p, assume_unique=True)
+                    least = len(d) - slope * len(x) * (1 + 1 / t)
+                    if linked:  # partners aren't similar to the pivot
+                        least = max(least, (len(d) - slope * (len(x) - len(p))) / 2)
+                    own_values = (_mix(d ^ _mix(np.array([pivot], np.int64).view(np.uint64))) >> np.uint64(1)).astype(np.int64)
+                    rows.append((len(x), len(d), linked, own_values, max(1, int(np.ceil(least - 1e-9)))))
+                n, size, linked, values, least = zip(*rows) if rows else ((),) * 5
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]), pa.int32()), pa.array(np.concatenate([*values, np.zeros(0, np.int64)])))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(n, pa.int64()), pa.array(size, pa.int32()), pa.array(linked, pa.bool_()), pa.array(least, pa.int32()), lists], ["node", "pivot", "n", "held", "linked", "least", "values"])
+
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
+    pairs = stars.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "node long, pivot long, n long, held int, linked boolean, least int, values array<long>")
 
 
 def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -130,30 +167,6 @@ def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         labels = labels.drop("was")
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A bit for each id's hash, FILTER_BITS in all however many ids there are."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    word = ids.select((bit / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(node), 64) as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    found = word.toArrow()
-    bits[found.column("word").to_numpy()] = found.column("mask").to_numpy()
-    return bits
-
-
-def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text of some documents. A bitmap of a fixed size drops most others before the join."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            word, place = batch.column("word").to_numpy(), batch.column("place").to_numpy()
-            yield batch.filter(pa.array(bits.value[word] >> place & 1 == 1)).select(["node", "text"])
-
-    hashed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    hashed = hashed.withColumns({"word": (F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)) / 64).cast("int"), "place": F.pmod(F.xxhash64("node"), F.lit(64)).cast("long")})
-    return hashed.mapInArrow(likely, "node long, text string").join(nodes, "node", "left_semi")
-
-
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches don't speak against the threshold: Jaccard among the K smallest of the union."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
@@ -195,35 +208,53 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     first = common.stored(held.groupBy("print").agg(F.min("doc_id").alias("node")), "classes")
     classes = held.join(first, (held["print"] == first["print"]) & (held["doc_id"] == first["node"]), "left_semi").select(F.col("doc_id").alias("node"), "print", F.col("n_shingles").alias("n"), "sketch")
     classes = common.stored(classes.dropDuplicates(["print", "node"]).drop("print"), "nodes")
-    lists = inverted_lists(classes, percent)
-    lists = common.stored(lists.join(lists.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"), "value", "left_semi"), "lists")
+    least = F.least(F.lit(OVERLAP), F.ceil(F.col("n") * percent / 100.0)).cast("int")
+    lists = inverted_lists(classes.select("node", "n", F.size("sketch").alias("held"), least.alias("least"), F.col("sketch").alias("values")))
+    lists = common.stored(lists.join(lists.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"), "value"), "lists")
     nodes = common.stored(lists.select("node").distinct(), "listed")
-    texts = common.stored(texts_of(docs, nodes), "texts")
+    texts = common.stored(common.texts_of(docs, nodes), "texts")
     sketches = common.stored(classes.join(nodes, "node", "left_semi").select("node", "sketch"), "listed-sketches")
-    fits = (100 * F.col("n") >= percent * F.col("pn")) & (100 * F.col("pn") >= percent * F.col("n"))
-
     labels = nodes.select("node", F.col("node").alias("component"))
     links = spark.createDataFrame([], "a long, b long")
-    tried = spark.createDataFrame([], "a long, b long")
-    for how in ("smallest", "hashed", "rest"):
-        open_ = lists.join(labels, "node")
-        mixed = open_.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
-        open_ = common.stored(open_.join(mixed, "value", "left_semi"), "open-lists")
-        if not open_.limit(1).count():
-            break
-        if how == "rest":
-            other = open_.select("value", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-        else:
-            order = F.struct("node") if how == "smallest" else F.struct(F.xxhash64("node", "value"), F.col("node"))
-            other = open_.groupBy("value").agg(F.min_by(F.struct("node", "n", "component"), order).alias("p")).select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.component").alias("pc"))
-        met = open_.join(other, "value").where((F.col("component") != F.col("pc")) & fits)
-        if how == "rest":
-            met = met.where("node > pivot")
-        pairs = met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = common.stored(estimated(pairs, sketches, percent), f"candidates-{how}")
+    tried = links
+
+    def across(some: DataFrame) -> DataFrame:
+        """Those of the lists whose members aren't in one component, with each member's component."""
+        named = some.join(labels, "node")
+        mixed = named.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
+        return common.stored(named.join(mixed, "value", "left_semi"), "open-lists")
+
+    def tested(met: DataFrame, how: str) -> tuple[DataFrame, DataFrame]:
+        """What is left to verify, and the links, among pairs of nodes with their sizes and components."""
+        fits = (100 * F.col("n") >= percent * F.col("pn")) & (100 * F.col("pn") >= percent * F.col("n"))
+        pairs = met.where((F.col("component") != F.col("pc")) & fits).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+        pairs = common.stored(estimated(pairs.join(tried, ["a", "b"], "left_anti"), sketches, percent), f"candidates-{how}")
+        return pairs, common.stored(verified(pairs, texts, words, percent), f"links-{how}")
+
+    def joined(more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = links.union(more)
+        return found, common.stored(nodes.join(components(found), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "node-labels")
+
+    other = lambda some: some.select("value", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"))
+    for how, order in (("smallest", F.struct("node")), ("hashed", F.struct(F.xxhash64("node", "value"), F.col("node")))):
+        open_ = across(lists)
+        pivots = open_.groupBy("value").agg(F.min_by(F.struct("node", "n", "component"), order).alias("p")).select("value", "p.node", "p.n", "p.component")
+        pairs, found = tested(open_.join(other(pivots), "value"), how)
         tried = tried.union(pairs)
-        links = links.union(common.stored(verified(pairs, texts, words, percent), f"links-{how}"))
-        labels = nodes.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        links, labels = joined(found)
+    open_ = across(lists)
+    short = open_.where(F.col("size") <= SHORT)
+    pairs, found = tested(short.join(other(short), "value").where("node > pivot"), "short")
+    tried = tried.union(pairs)
+    links, labels = joined(found)
+    long = across(lists.where(F.col("size") > SHORT))
+    pivots = long.groupBy("value").agg(F.min_by("node", F.struct("n", "node")).alias("pivot"))
+    stars = long.join(pivots, "value").where("node != pivot").select("node", "pivot").distinct()
+    apart = common.stored(differences(stars, texts, words, percent), "differences")
+    links, labels = joined(apart.where("linked").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
+    inner = across(inverted_lists(apart))
+    _, found = tested(inner.join(other(inner), "value").where("node > pivot"), "long")
+    links, labels = joined(found)
     named = first.join(labels, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     found = sets.join(named, (sets["print"] == named["print"]) & (sets["n_shingles"] > 0), "left").drop(named["print"])
     component = F.coalesce("component", "doc_id")

@@ -23,7 +23,7 @@ BLANK, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: The code points with Unicode's White_Space property.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Distinct pre-tokens that a worker remembers at most.
-CACHE = 1_000_000
+CACHE = 700_000
 
 _classes: np.ndarray | None = None
 _coders: dict[str, "BatchCoder"] = {}
