@@ -6,8 +6,9 @@ A document's set is its distinct word shingles; documents with equal sets are on
    |sketch| - OVERLAP + 1 values: two such lists must meet. Values that one document alone has need no list at all.
 2. Candidates from the lists in rounds that never pair all members: first each list's smallest member with the others, then
    a member picked by hash, each time only across components not yet linked. In the end short lists are paired, and in long
-   ones members are told apart by how they differ from the list's shortest member: two that are similar, of which one isn't
-   similar to that member, must share differences, so their rarest differences meet in lists of their own.
+   ones members are told apart by how they differ from a central member, one whose lists are long: two that are similar, of
+   which one isn't similar to that member, must share differences, so their rarest differences meet in lists of their own. How
+   many differences each has, and how many of them any other has, bounds a pair's similarity before it is taken up.
 3. The Jaccard estimate from the union's sketch drops candidates far below the threshold, exact Jaccard of the full sets
    decides on the rest. Links are joined into components by label propagation with pointer jumping.
 
@@ -108,21 +109,26 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
 
 
 def inverted_lists(sets: DataFrame) -> DataFrame:
-    """value, node, n: lists in which two sets that share at least `least` values are sure to meet: those of the rarest
-    held - least + 1 values of each. sets: node, n, held (values), least, values."""
+    """value, node, n, held, met: lists in which two sets that share at least `least` values are sure to meet: those of the
+    rarest held - least + 1 values of each. met: how many of its values any other set has. sets: node, n, held (values), least, values."""
     keyed = sets.withColumn("id", F.xxhash64("node", "held", F.element_at(F.concat("values", F.array(F.lit(0))), 1)))
     exploded = keyed.select("id", "node", "n", "held", "least", F.explode("values").alias("value"))
     shared = exploded.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     met = exploded.join(shared, "value")  # values of one set alone come first in the order and are only counted
     by_set = met.groupBy("id", "node", "n", "held", "least").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("some"))  # of one document
-    return by_set.select("node", "n", F.explode(F.slice("some", 1, F.greatest(F.size("some") - F.col("least") + 1, F.lit(0)))["value"]).alias("value")).distinct()
+    return by_set.select("node", "n", "held", F.size("some").alias("met"), F.explode(F.slice("some", 1, F.greatest(F.size("some") - F.col("least") + 1, F.lit(0)))["value"]).alias("value")).distinct()
+
+
+def slope_of(percent: int) -> float:
+    """Similar sets x and y differ in at most slope * (|x| + |y|) values."""
+    return (100 - percent) / (100 + percent)
 
 
 def differences(stars: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """How nodes differ from their pivots: node, pivot, n, held, linked (similar to the pivot), values (of the symmetric
     difference, told apart by pivot), least (how many of them it must share with whatever it may be linked to)."""
     t = percent / 100
-    slope = (1 - t) / (1 + t)  # similar sets x and y differ in at most slope * (|x| + |y|) values
+    slope = slope_of(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
@@ -152,21 +158,30 @@ def differences(stars: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "node long, pivot long, n long, held int, linked boolean, least int, values array<long>")
 
 
-def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of all nodes with links. Both directions needn't be given."""
     both = common.stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = common.stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
     while True:
         around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(around, labels["node"] == around["a"]).select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        lower = common.stored(lower, "labels")
         up = lower.select(F.col("node").alias("via"), F.col("component").alias("top"))
         labels = common.stored(lower.join(up, lower["component"] == up["via"]).select("node", "was", F.least("component", "top").alias("component")), "labels")
-        if not labels.where("component < was").limit(1).count():
+        if labels.where("component < was").isEmpty():
             return labels.select("node", "component")
         labels = labels.drop("was")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component after links (a, b) between nodes are added: only the components that they join are labelled anew."""
+    if links.isEmpty():
+        return labels
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    between = links.join(side("a"), "a").join(side("b"), "b").where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return common.stored(labels.join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "node-labels")
+
+
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches don't speak against the threshold: Jaccard among the K smallest of the union."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
@@ -214,9 +229,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     nodes = common.stored(lists.select("node").distinct(), "listed")
     texts = common.stored(common.texts_of(docs, nodes), "texts")
     sketches = common.stored(classes.join(nodes, "node", "left_semi").select("node", "sketch"), "listed-sketches")
-    labels = nodes.select("node", F.col("node").alias("component"))
-    links = spark.createDataFrame([], "a long, b long")
-    tried = links
+    labels, tried = nodes.select("node", F.col("node").alias("component")), None
 
     def across(some: DataFrame) -> DataFrame:
         """Those of the lists whose members aren't in one component, with each member's component."""
@@ -228,33 +241,31 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         """What is left to verify, and the links, among pairs of nodes with their sizes and components."""
         fits = (100 * F.col("n") >= percent * F.col("pn")) & (100 * F.col("pn") >= percent * F.col("n"))
         pairs = met.where((F.col("component") != F.col("pc")) & fits).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        pairs = common.stored(estimated(pairs.join(tried, ["a", "b"], "left_anti"), sketches, percent), f"candidates-{how}")
-        return pairs, common.stored(verified(pairs, texts, words, percent), f"links-{how}")
-
-    def joined(more: DataFrame) -> tuple[DataFrame, DataFrame]:
-        found = links.union(more)
-        return found, common.stored(nodes.join(components(found), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "node-labels")
+        new = pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs
+        new = common.stored(estimated(new, sketches, percent), f"candidates-{how}")
+        return new.union(tried) if tried else new, new if new.isEmpty() else common.stored(verified(new, texts, words, percent), f"links-{how}")
 
     other = lambda some: some.select("value", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"))
+    open_ = lists.withColumn("component", F.col("node"))
     for how, order in (("smallest", F.struct("node")), ("hashed", F.struct(F.xxhash64("node", "value"), F.col("node")))):
-        open_ = across(lists)
         pivots = open_.groupBy("value").agg(F.min_by(F.struct("node", "n", "component"), order).alias("p")).select("value", "p.node", "p.n", "p.component")
-        pairs, found = tested(open_.join(other(pivots), "value"), how)
-        tried = tried.union(pairs)
-        links, labels = joined(found)
-    open_ = across(lists)
-    short = open_.where(F.col("size") <= SHORT)
-    pairs, found = tested(short.join(other(short), "value").where("node > pivot"), "short")
-    tried = tried.union(pairs)
-    links, labels = joined(found)
-    long = across(lists.where(F.col("size") > SHORT))
-    pivots = long.groupBy("value").agg(F.min_by("node", F.struct("n", "node")).alias("pivot"))
+        tried, links = tested(open_.join(other(pivots), "value"), how)
+        labels = merged(labels, links)
+        open_ = across(lists)
+    short, long = open_.where(F.col("size") <= SHORT), open_.where(F.col("size") > SHORT)
+    tried, links = tested(short.join(other(short), "value").where("node > pivot"), "short")
+    central = lists.groupBy("node").agg(F.sum("size").alias("weight"))
+    pivots = long.join(central, "node").groupBy("value").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot"))
     stars = long.join(pivots, "value").where("node != pivot").select("node", "pivot").distinct()
     apart = common.stored(differences(stars, texts, words, percent), "differences")
-    links, labels = joined(apart.where("linked").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
-    inner = across(inverted_lists(apart))
-    _, found = tested(inner.join(other(inner), "value").where("node > pivot"), "long")
-    links, labels = joined(found)
+    labels = merged(labels, links.union(apart.where("linked").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))))
+    if not apart.isEmpty():
+        inner = across(inverted_lists(apart))
+        partners = inner.select("value", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("held").alias("ph"), F.col("met").alias("pm"))
+        differ = F.col("held") + F.col("ph") - 2 * F.least("met", "pm")  # at least
+        near = differ <= slope_of(percent) * (F.col("n") + F.col("pn")) + 1e-9
+        tried, links = tested(inner.join(partners, "value").where((F.col("node") > F.col("pivot")) & near), "long")
+        labels = merged(labels, links)
     named = first.join(labels, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     found = sets.join(named, (sets["print"] == named["print"]) & (sets["n_shingles"] > 0), "left").drop(named["print"])
     component = F.coalesce("component", "doc_id")
