@@ -162,9 +162,10 @@ def test_top_k_equals_brute_force(spark):
 
 
 def test_top_k_beyond_doubles(spark):
-    df = spark.createDataFrame([(0, [3.0e8, 1.0]), (50, [2.0e8, 7.0]), (51, [-2.0e8, 7.0])], "vec_id long, embedding array<double>")
+    df = spark.createDataFrame([(0, [1.0e7, 1.0]), (50, [1.3e7, 7.0]), (51, [-2.0e8, 7.0])], "vec_id long, embedding array<double>")
     found = {(r.query_id, r.vec_id): r.score for r in topk.top_k(df, df.where("vec_id % 50 = 0")).collect()}
-    assert found[0, 50] == int(256 * 3.0e8) * int(256 * 2.0e8) + 256 * 7 * 256
+    assert found[0, 50] == int(256 * 1.0e7) * int(256 * 1.3e7) + 256 * 7 * 256 > 1 << 62
+    assert found[0, 51] == -(1 << 63)  # -1.3e20 isn't a long
 
 
 def test_toxicity_learns_and_places(spark, none):

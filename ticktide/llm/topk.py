@@ -8,7 +8,7 @@ bound are outsiders; when few others are left their final scores are resolved. A
 all blocks' are.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without an id. Shorter vectors count as
-if filled up with zeros. Rows that share an id are all candidates, of other ids' queries; as a query the smallest of them counts.
+if filled up with zeros. A score beyond a long becomes the nearest long. Rows that share an id are all candidates, of other ids' queries; as a query the smallest of them counts.
 """
 
 from __future__ import annotations
