@@ -23,20 +23,23 @@ RULES = {
 }
 
 
-def repeated_words(words: F.Column) -> F.Column:
-    """How many words lie in windows of five words that occur twice or more. Windows are first told apart by a hash; only
-    where two hashes agree are the windows themselves compared."""
-    n = F.size(words)
-    shifted = F.arrays_zip(*[F.slice(words, k + 1, F.greatest(n - WINDOW + 1, F.lit(0))).alias(f"w{k}") for k in range(WINDOW)])
-    hashes = F.transform(shifted, lambda w: F.xxhash64(w))
-    text = F.transform(shifted, lambda w, i: F.struct(F.concat_ws(" ", *[w[f"w{k}"] for k in range(WINDOW)]).alias("window"), i.alias("at")))
-    ordered = F.array_sort(text)
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(ordered["window"], 1, F.size(ordered) - 1))
-    after = F.concat(F.slice(ordered["window"], 2, F.size(ordered)), F.array(F.lit(None).cast("string")))
+def window_hashes(words: F.Column) -> F.Column:
+    """A 64-bit hash of each window of five words."""
+    n = F.greatest(F.size(words) - WINDOW + 1, F.lit(0))
+    shifted = F.arrays_zip(*[F.slice(words, k + 1, n).alias(f"w{k}") for k in range(WINDOW)])
+    return F.transform(shifted, lambda w: F.xxhash64(w))
+
+
+def repeated_words(hashes: F.Column) -> F.Column:
+    """How many words lie in windows that occur twice or more. Windows are equal if their hashes are: among a text's windows,
+    n of them, the chance of a mistake is n * n / 2**65."""
+    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("window"), i.alias("at"))))
+    before = F.concat(F.array(F.lit(None).cast("long")), F.slice(ordered["window"], 1, F.size(ordered) - 1))
+    after = F.concat(F.slice(ordered["window"], 2, F.size(ordered)), F.array(F.lit(None).cast("long")))
     marked = F.filter(F.arrays_zip(ordered.alias("o"), before.alias("b"), after.alias("a")), lambda x: F.coalesce(x["o"]["window"] == x["b"], F.lit(False)) | F.coalesce(x["o"]["window"] == x["a"], F.lit(False)))
-    at = F.array_sort(F.transform(marked, lambda x: x["o"]["at"]))
+    at = F.sort_array(F.transform(marked, lambda x: x["o"]["at"]))
     covered = F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")), lambda s, p: F.struct((s["n"] + F.least(F.lit(WINDOW), p - s["last"])).alias("n"), p.alias("last")))
-    return F.when((n < WINDOW + 1) | (F.size(F.array_distinct(hashes)) == F.size(hashes)), 0).otherwise(covered["n"])
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(covered["n"])
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -44,6 +47,7 @@ def measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     split = docs.select("doc_id", "source", text.alias("text"), common.words(F.col("text")).alias("words"), lines.alias("lines"))
+    split = split.withColumn("hashes", window_hashes(F.col("words")))
     long = lambda c: c.cast("long")
     return split.select(
         "doc_id",
@@ -53,7 +57,7 @@ def measured(docs: DataFrame) -> DataFrame:
         long(F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]+", ""))).alias("n_symbols"),
         long(F.size("lines")).alias("n_lines"),
         long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        long(repeated_words(F.col("words"))).alias("n_repeat_words"),
+        long(repeated_words(F.col("hashes"))).alias("n_repeat_words"),
     )
 
 
