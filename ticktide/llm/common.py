@@ -83,12 +83,14 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(gone))
     hashed = docs.withColumns({"_word": (F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)) / 64).cast("int"), "_place": F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(64)).cast("long")})
 
+    names = docs.columns
+
     def having(wanted: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 word, place = batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
                 some = batch.filter(pa.array(bits.value[word] >> place & 1 == wanted))
-                yield pa.RecordBatch.from_arrays(some.columns[:-2], names=docs.columns)
+                yield pa.RecordBatch.from_arrays(some.columns[:-2], names=names)
 
         return hashed.mapInArrow(run, docs.schema)
 
