@@ -316,3 +316,47 @@ def test_licenses_found_and_placed(spark, docs, none):
     place = next(x for x in found if x.doc_id == 2)
     assert (place.word_start, place.word_end) == (500, 503)
     assert licenses.scan(none).count() == 0 and licenses.scan(docs).count() == 0
+
+
+def test_perplexity_depends_on_words(spark):
+    """Real words in a new order, also of other scripts, are less likely than texts like the trusted ones."""
+    r = random.Random(12)
+    follows = {w: r.sample(range(60), 3) for w in range(60)}
+    names = {"en": [f"{a}{b}" for a in "bdfgklmn" for b in ("an", "or", "ist", "el", "um", "ap", "ing", "et")], "ru": [f"{a}{b}" for a in "бдфгклмн" for b in ("ан", "ор", "ист", "ел", "ум", "ап", "инг", "ет")]}
+
+    def say(lang, ordered):
+        w, said = r.randrange(60), []
+        for _ in range(80):
+            said.append(names[lang][w])
+            w = r.choice(follows[w]) if ordered else r.randrange(60)
+        return " ".join(said)
+
+    rows = [(1000 * k + i, say(lang, i < 300), lang) for k, lang in enumerate(names) for i in range(340)]
+    some = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {x.doc_id: x.log_perplexity for x in language_model.classify(some, some.where("doc_id % 1000 < 200").select("doc_id")).collect()}
+    for k in range(2):
+        good = [found[1000 * k + i] for i in range(200, 300)]
+        assert max(good) < min(found[1000 * k + i] for i in range(300, 340))
+        assert abs(np.mean(good) - np.mean([found[1000 * k + i] for i in range(200)])) < 0.05  # trusted texts don't know themselves
+
+
+def test_word_model_is_a_distribution(spark):
+    """The words after each word, with what is left to unknown ones, have probabilities that sum to 1."""
+    some = documents(spark, [(i, f"the {a} sat on the {b}.", "a") for i, (a, b) in enumerate((a, b) for a in "cat dog cow hen".split() for b in "mat log rug".split() if a < b or b == "log")])
+    model = language_model.train(some, "test")
+    values, left = language_model.word_model(some, model)
+    bits = (1 << 64) - 1
+    value = {x.key & bits: x.value for x in values.collect()}
+    pairs = [(x.before & bits, x.word & bits, x.n, x.spelled) for x in language_model.word_counts(some, model).collect()]
+    count = lambda ns: language_model.discounts(spark.createDataFrame([(n,) for n in ns], "n long"))
+    cut = lambda d, n: min(d[min(n, 3) - 1], n)
+    met, spelled = Counter(w for _, w, _, _ in pairs), {w: s for _, w, _, s in pairs}
+    one, two, total = count(list(met.values())), count([n for _, _, n, _ in pairs]), len(pairs)
+    p = {w: (n - cut(one, n)) / total + np.exp(left + spelled[w]) for w, n in met.items()}
+    for v in {b for b, _, _, _ in pairs}:
+        after = [n for b, _, n, _ in pairs if b == v]
+        passed = sum(cut(two, n) for n in after) / sum(after)
+        key = lambda w: int(language_model.key_of(np.array([v], np.uint64), np.array([w], np.uint64))[0])
+        known = sum(passed * p[w] * np.exp(value.get(key(w), 0.0)) for w in p)
+        unknown = passed * np.exp(left) * (1 - sum(np.exp(s) for s in spelled.values()))
+        assert abs(known + unknown - 1) < 1e-4

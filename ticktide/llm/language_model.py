@@ -1,13 +1,21 @@
-"""Quality by the perplexity of an interpolated modified Kneser-Ney model of trusted text.
+"""Quality by the perplexity of an interpolated modified Kneser-Ney model of the words of trusted text.
 
-The model is over characters mapped to 64 symbols, four at a time, so its tables are bounded (64**4 entries) however large the
-corpus is, while its counts cover every trusted document. Counts are summed in shards by n-gram; continuation counts, the
-three discounts of each order and the weights of each context come from joins of those counts with their contexts' totals.
-Scoring looks one table up per character. A language's limits are quantiles of its trusted documents' perplexities, with
-slack for short texts; languages with few trusted documents take those of all.
+Words are runs of letters, digits and marks in lower case, single characters of scripts that don't part words, and single other
+characters but blanks; they stand as 64-bit hashes. The model is over pairs of words, then words by how many different ones they
+follow, then how a word is spelled, so that an unknown word has a probability too. Its tables grow with the trusted texts and
+are never collected: counts are summed in each task, then by pair; discounts, weights of contexts and probabilities come from
+joins. A text's log probability is a sum of one number for each pair and word that the model has (how much likelier it is
+than by the next order alone), so scoring is one join on the n-grams and a sum by document. What only the scored, trusted document itself has
+counts as unseen for it; otherwise trusted documents would look better than equally good other ones.
 
-Null or empty text: no perplexity, not kept. Null language: a language of its own. Repeated rows: each counts and is scored.
-Without trusted text every symbol is as likely, and nothing is dropped.
+Spelling is a Kneser-Ney model over characters mapped to 64 symbols, four at a time (64**4 entries at most, one table lookup a character);
+a symbol that many characters share is divided among them.
+
+A language's limits are quantiles of its trusted documents' perplexities, with slack for short texts; languages with few trusted
+documents take those of all.
+
+Null, empty or blank text: no perplexity, not kept. Null language: a language of its own. Repeated rows: each counts and is scored.
+Without trusted text words are as likely as their spelling of equally likely symbols, and nothing but those texts is dropped.
 """
 
 from __future__ import annotations
@@ -21,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticktide.llm import common, tokens
+from ticktide.llm.near_dups import _mix
 
 ORDER, SYMBOLS = 4, 64
 _LISTED = "abcdefghijklmnopqrstuvwxyz" + "áéíóúñüöäßàèêçëïôùûœ" + ".,;:!?'\"-()/"
@@ -133,29 +142,188 @@ def train(trusted: DataFrame, name: str = "lm") -> Model:
     return Model(orders[::-1])
 
 
-def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, n_chars, log_perplexity (a character's, null without text): a row per document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+#: Scripts that don't put blanks between words: each of their characters is a word.
+_UNPARTED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x30FF), (0x31C0, 0x31FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+_INSIDE, _ALONE = 1, 2  # kinds of characters: in runs, each a word; 0 parts words
+#: What stands before and after a text.
+BEGIN, END = np.uint64(1), np.uint64(2)
+
+_characters: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+
+def character_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point: its kind, itself in lower case, the log of its share of its symbol."""
+    global _characters
+    if _characters is None:
+        kind = np.fromiter((_INSIDE if unicodedata.category(c)[0] in "LNM" else 0 if c.isspace() else _ALONE for c in map(chr, range(0x110000))), np.uint8, 0x110000)
+        for low, high in _UNPARTED:
+            part = kind[low : high + 1]
+            part[part == _INSIDE] = _ALONE
+        lower = np.fromiter((ord(x) if len(x := c.lower()) == 1 else ord(c) for c in map(chr, range(0x110000))), np.uint32, 0x110000)
+        symbols = symbol_table()
+        held = np.bincount(symbols[lower == np.arange(0x110000)], minlength=SYMBOLS)
+        share = 1 / np.maximum(held, 1)[symbols]
+        share[48:58] = 0.05 + share[48:58] / 2  # half of all digits are ASCII's
+        share[[c for c in range(0x110000) if symbols[c] == _DIGIT and not 48 <= c < 58]] /= 2
+        _characters = kind, lower, np.log(share).astype(np.float32)
+    return _characters
+
+
+def word_stream(texts: list[str], logs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, the log probability of each one's spelling (0 without logs), and the index of its text."""
+    kind, lower, share = character_tables()
+    sizes = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero(kind[points])
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[at]
+    held = points[at]
+    k = kind[held]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (at[1:] != at[:-1] + 1) | (k[1:] == _ALONE) | (k[:-1] == _ALONE) | (owner[1:] != owner[:-1])
+    starts = np.flatnonzero(fresh)
+    length = np.diff(np.append(starts, len(at)))
+    place = np.arange(len(at), dtype=np.int64) - np.repeat(starts, length)
+    small = lower[held]
+    hashes = _mix(np.add.reduceat(_mix((place.astype(np.uint64) << np.uint64(21)) + small + np.uint64(1)), starts) + np.uint64(3))
+    if logs is None:
+        return hashes, np.zeros(len(starts), np.float32), owner[starts].astype(np.int64)
+    s = symbol_table()[small].astype(np.int32)
+    code = s.copy()
+    for back in range(1, ORDER):
+        before = np.full(len(s), _SPACE, np.int32)
+        before[back:][place[back:] >= back] = s[:-back][place[back:] >= back]
+        code += before * np.int32(SYMBOLS**back)
+    last = starts + length - 1
+    end = (code[last] % np.int32(SYMBOLS ** (ORDER - 1))) * np.int32(SYMBOLS) + _SPACE
+    spelled = np.add.reduceat((logs[code] + share[small]).astype(np.float64), starts) + logs[end]
+    return hashes, spelled.astype(np.float32), owner[starts].astype(np.int64)
+
+
+#: Characters that are cut into words at once, but for a longer text.
+AT_ONCE = 1 << 20
+
+
+def pairs_of(texts: list[str], logs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each word and each text's end, with the word or the beginning before it: before, word, spelling's log, index of the text.
+    Texts without words have none."""
+    groups = np.cumsum([len(t) for t in texts]) // AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(texts)]
+    found = [(w, p, o + a) for a, b in zip(cuts, cuts[1:]) for w, p, o in [word_stream(texts[a:b], logs)]]
+    words, spelled, owner = (np.concatenate(x) for x in zip(*found))
+    if not len(words):
+        return words, words, spelled, owner
+    ends = np.flatnonzero(np.append(owner[1:] != owner[:-1], True)) + 1
+    word, logp, text = np.insert(words, ends, END), np.insert(spelled, ends, np.float32(-np.log(SYMBOLS))), np.insert(owner, ends, owner[ends - 1])
+    before = np.append(BEGIN, word[:-1])
+    before[before == END] = BEGIN
+    return before, word, logp, text
+
+
+def key_of(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _mix(before * np.uint64(0x9E3779B97F4A7C15) + _mix(word))
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def word_counts(texts: DataFrame, model: Model) -> DataFrame:
+    """key, before, word, spelled, n of all pairs; a task sums a slice of what it reads before it is dealt out."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shared.value.logs()
         for batch in batches:
             for part in tokens.slices(batch, "text"):
-                code, at = ngrams([t or "" for t in part.column("text").to_pylist()])
-                sums = np.append(0.0, np.cumsum(logs[code], dtype=np.float64))
-                n = np.diff(at)
-                mean = -(sums[at[1:]] - sums[at[:-1]]) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("lang"), pa.array(n), pa.array(mean, mask=n == 0)], ["doc_id", "lang", "n_chars", "log_perplexity"])
+                before, word, logp, _ = pairs_of([t or "" for t in part.column("text").to_pylist()], logs)
+                key, first, n = np.unique(key_of(before, word), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([_signed(key), _signed(before[first]), _signed(word[first]), pa.array(logp[first]), pa.array(n)], ["key", "before", "word", "spelled", "n"])
+
+    made = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, before long, word long, spelled float, n long")
+    return made.groupBy("key").agg(F.min("before").alias("before"), F.min("word").alias("word"), F.min("spelled").alias("spelled"), F.sum("n").alias("n"))
+
+
+def _cut(counts: DataFrame):
+    d, n = discounts(counts), F.col("n")
+    return F.least(F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2]), n.cast("double"))
+
+
+def word_model(trusted: DataFrame, model: Model) -> tuple[DataFrame, float]:
+    """key, value (what a pair or word adds to a text's log probability), raw (how often the trusted texts have it); and the log
+    of what the words leave to spelling."""
+    pairs = common.stored(word_counts(trusted, model), "pairs")
+    words = common.stored(pairs.groupBy("word").agg(F.count("*").alias("n"), F.sum("n").alias("raw"), F.min("spelled").alias("spelled")), "words")
+    cut = _cut(words)
+    total, passed = words.agg(F.sum("n"), F.sum(cut)).first()
+    if not total:
+        return pairs.select("key", F.lit(0.0).alias("value"), F.col("n").alias("raw")), 0.0
+    left = float(np.log(passed / total))
+    spelling = F.col("spelled") + F.lit(left)
+    words = words.select("word", "raw", (F.log((F.col("n") - cut) / total + F.exp(spelling))).alias("logp"), spelling.alias("base"))
+    cut = _cut(pairs)
+    after = pairs.groupBy(F.col("before").alias("word")).agg(F.sum("n").alias("total"), F.log(F.sum(cut) / F.sum("n")).alias("left"))
+    known = common.stored(words.join(after, "word", "full"), "known-words")
+    shares = pairs.select("key", "n", "before", "word", (F.col("n") - cut).alias("kept"))
+    shares = shares.join(known.select(F.col("word").alias("before"), "total", "left"), "before").join(known.select("word", "logp"), "word")
+    gains = shares.select("key", F.log1p(F.col("kept") / F.col("total") * F.exp(-F.col("left") - F.col("logp"))).alias("value"), F.col("n").alias("raw"))
+    singles = known.select(F.col("word").alias("key"), (F.coalesce(F.col("logp") - F.col("base"), F.lit(0.0)) + F.coalesce("left", F.lit(0.0))).alias("value"), F.coalesce("raw", F.lit(-1)).alias("raw"))
+    return gains.unionByName(singles), left
+
+
+def perplexities(docs: DataFrame, model: Model, trusted: DataFrame) -> DataFrame:
+    """doc_id, lang, n_chars, log_perplexity (a character's, null without words), sure (among the trusted): a row per document.
+    trusted: node."""
+    values, left = word_model(common.texts_of(docs, trusted), model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    named = docs.select(F.xxhash64("doc_id", F.col("text").cast("string")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, "doc_id long, lang string, n_chars long, log_perplexity double")
+    def bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = shared.value.logs()
+        for batch in batches:
+            for part in tokens.slices(batch, "text"):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                _, _, logp, text = pairs_of(texts, logs)
+                n = np.bincount(text, minlength=len(texts))
+                base = np.bincount(text, logp, len(texts)) + left * n
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("lang"), pa.array([len(t) for t in texts], pa.int64()), pa.array(base, mask=n == 0)], ["row", "doc_id", "lang", "n_chars", "base"])
+
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per pair or word of a slice, with the rows that have it and how often."""
+        for batch in batches:
+            for part in tokens.slices(batch, "text"):
+                before, word, _, text = pairs_of([t or "" for t in part.column("text").to_pylist()], None)
+                begins = np.unique(text)
+                key = np.concatenate([key_of(before, word), word, np.full(len(begins), BEGIN)])
+                owner = np.concatenate([text, text, begins])
+                order = np.lexsort((owner, key))
+                key, owner = key[order], owner[order]
+                first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))) if len(key) else np.zeros(0, np.int64)
+                n = np.diff(np.append(first, len(key)))
+                key, owner = key[first], owner[first]
+                new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+                offsets = pa.array(np.append(new, len(key)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(part.column("row").to_numpy()[owner]), pa.array(n.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([_signed(key[new]), *lists], ["key", "rows", "ns"])
+
+    needed = named.select("row", "text").mapInArrow(needs, "key long, rows array<long>, ns array<int>")
+    met = needed.join(values, "key").select("key", "value", "raw", F.explode(F.arrays_zip("rows", "ns")).alias("x")).select("key", "value", "raw", F.col("x.rows").alias("row"), F.col("x.ns").alias("n"))
+    gain = F.col("n") * F.col("value")
+    sums = met.groupBy("row").agg(F.sum(gain).alias("gain"), F.sum(F.when(F.col("n") == F.col("raw"), gain).otherwise(0.0)).alias("own"), F.sum(F.when(F.col("key") == int(BEGIN), F.col("n"))).alias("copies"))
+    based = named.mapInArrow(bases, "row long, doc_id long, lang string, n_chars long, base double")
+    found = based.join(sums, "row", "left").join(trusted.select(F.col("node").alias("doc_id"), F.lit(True).alias("sure")), "doc_id", "left").withColumn("sure", F.coalesce("sure", F.lit(False)))
+    gained = F.coalesce((F.col("gain") - F.when(F.col("sure"), F.col("own")).otherwise(0.0)) / F.coalesce("copies", F.lit(1)), F.lit(0.0))
+    return found.select("doc_id", "lang", "n_chars", (-(F.col("base") + gained) / F.col("n_chars")).alias("log_perplexity"), "sure")
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, low: float = 0.002, high: float = 0.99, least: int = 50, margin: float = 0.05, slack: float = 3.0) -> DataFrame:
     """doc_id, lang, n_chars, log_perplexity, perplexity, low, high, kept. trusted_ids: doc_id of the trusted documents."""
     ids = common.stored(trusted_ids.select(F.col("doc_id").cast("long").alias("node")).where("node IS NOT NULL").distinct(), "trusted")
     model = train(common.texts_of(docs, ids))
-    scored = common.stored(perplexities(docs, model), "perplexities")
-    sure = scored.join(ids, scored["doc_id"] == ids["node"], "left_semi").where("log_perplexity IS NOT NULL")
+    scored = common.stored(perplexities(docs, model, ids), "perplexities")
+    sure = scored.where("sure AND log_perplexity IS NOT NULL")
+    scored = scored.drop("sure")
     limits = lambda df: df.agg(F.count("*").alias("n"), F.percentile_approx("log_perplexity", F.array(F.lit(low), F.lit(high)), 10_000).alias("q"))
     every = limits(sure).first()
     lo, hi = every.q if every.q else (float("-inf"), float("inf"))
