@@ -45,9 +45,13 @@ def calculate_ma(bars: DataFrame, code: str, trade_date: str, window: int) -> Da
     return batch_calculate_ma(bars, [code], trade_date, trade_date, window)
 
 
-def batch_calculate_ma(bars: DataFrame, codes: list[str], start: str, end: str, window: int) -> DataFrame:
-    held = valid(bars).where(F.col("code").isin(codes) & (F.col("trade_date") <= end))
-    return held.withColumn("ma", trailing_mean("close", window)).where(F.col("trade_date").between(start, end) & F.col("ma").isNotNull()).select("code", "trade_date", "ma")
+def batch_calculate_ma(bars: DataFrame, codes: list[str] | None, start: str | None, end: str | None, window: int) -> DataFrame:
+    """ma of instruments between two dates; None: all codes, or no bound."""
+    wanted = F.col("code").isin(codes) if codes is not None else F.lit(True)
+    until = F.col("trade_date") <= end if end is not None else F.lit(True)
+    since = F.col("trade_date") >= start if start is not None else F.lit(True)
+    held = valid(bars).where(wanted & until)
+    return held.withColumn("ma", trailing_mean("close", window)).where(since & F.col("ma").isNotNull()).select("code", "trade_date", "ma")
 
 
 def first_value_scaled(bars: DataFrame) -> DataFrame:

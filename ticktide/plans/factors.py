@@ -52,6 +52,10 @@ def batch_ma(spark, d):
     return windows.batch_calculate_ma(bindings.stock_bars(spark, d), ["000001", "000002"], "19950101", "19961231", 20)
 
 
+def batch_ma_all(spark, d):
+    return windows.batch_calculate_ma(bindings.stock_bars(spark, d), None, None, None, 20)
+
+
 def derived_fields(spark, d):
     columns = ["chg_pct", "chg_20d", "ma20", "vol_ma5", "rps_20", "rps_50", "rps_sum", "is_active", "close_pct", "amount_pct"]
     return ranks.derived(bindings.stock_bars(spark, d)).select(*ID, *columns)
@@ -163,6 +167,13 @@ def _macd(seed):
     return query
 
 
+def _macd_stocks(seed):
+    def query(spark, d):
+        return windows.macd(windows.valid(bindings.stock_bars(spark, d)), seed=seed).drop("data_type")
+
+    return query
+
+
 def _macd_sql(seed):
     """Each step of the means as a row of a recursive query over numbered bars."""
     fast, slow, signal = (1, 1, 1) if seed == "first" else (12, 26, 9)
@@ -248,6 +259,7 @@ QUERIES = {
     "vol_ma": (vol_ma, _select(f"{sql.CHANGES}, {sql.MEANS}", "vol_ma5, vol_ma10, vol_ma20, vol_ma50", "ma")),
     "partial_ma": (partial_ma, _select(sql.BARS, ", ".join(map(_partial, (10, 20, 60))), "bars")),
     "batch_ma": (batch_ma, f"WITH {sql.CHANGES}, {sql.MEANS} SELECT code, trade_date, ma20 AS ma FROM ma WHERE code IN ('000001', '000002') AND trade_date BETWEEN '19950101' AND '19961231' AND ma20 IS NOT NULL"),
+    "batch_ma_all": (batch_ma_all, f"WITH {sql.CHANGES}, {sql.MEANS} SELECT code, trade_date, ma20 AS ma FROM ma WHERE ma20 IS NOT NULL"),
     "derived_fields": (derived_fields, _select(sql.ALL, "chg_pct, chg_20d, ma20, vol_ma5, rps_20, rps_50, rps_sum, is_active, " + ", ".join(f'CAST(round_even({sql.average_place(f'"{c}"', "count(*) OVER (PARTITION BY trade_date)")} * 100, 0) AS INTEGER) AS {c}_pct' for c in ("close", "amount")), "strength")),
     "rps_from_chg": (rps_from_chg, _select(f"{sql.CHANGES}, {sql.RPS.format('chg')}", _RPS4, "rps")),
     "rps_parity": (rps_parity, _select(f"{sql.CHANGES}, {sql.RPS.format('chg')}", "coalesce(rps_20, 1) AS rps_20", "rps")),
@@ -275,4 +287,6 @@ QUERIES = {
     "index_normalised": (index_normalised, f"""WITH {sql.INDEX_BARS} SELECT code, trade_date, round_even(("close" / first_value("close") OVER (PARTITION BY code ORDER BY trade_date ROWS UNBOUNDED PRECEDING) - 1) * 100 + 50, 2) AS scaled FROM ibars"""),
     "macd_seed_first": (_macd("first"), _macd_sql("first")),
     "macd_seed_p": (_macd("period"), _macd_sql("period")),
+    "macd_stocks_first": (_macd_stocks("first"), None),
+    "macd_stocks_p": (_macd_stocks("period"), None),
 }
