@@ -256,21 +256,30 @@ def _ticks(rows):
     return rows.select(F.lpad(F.col("user_id").cast("string"), 6, "0").alias("code"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("price"))
 
 
+def _stream_folder(spark, name):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ticktide-")
+    return f"{folder.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
+def _landed(spark, name, rows):
+    path = _stream_folder(spark, name)
+    return streams.landed(rows, f"{path}/table", f"{path}/state")
+
+
 def stream_tumbling(spark, d):
-    return streams.drained(streams.windowed(_ticks(_tick_stream(spark, d)), "1 day"), "tumbling")
+    return _landed(spark, "tumbling", streams.windowed(_ticks(_tick_stream(spark, d)), "1 day"))
 
 
 def stream_sliding(spark, d):
-    return streams.drained(streams.windowed(_ticks(_tick_stream(spark, d)), "2 days", "1 day"), "sliding")
+    return _landed(spark, "sliding", streams.windowed(_ticks(_tick_stream(spark, d)), "2 days", "1 day"))
 
 
 def stream_session(spark, d):
-    return streams.sessions(bindings.event_ticks(spark, d), "1 hour")
+    return _landed(spark, "sessions", streams.sessions(_ticks(_tick_stream(spark, d)), "1 hour"))
 
 
 def stream_upsert(spark, d):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ticktide-")
-    path = f"{folder.rstrip('/')}/upserts-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    path = _stream_folder(spark, "upserts")
     first, final = _marked(spark, d)
     for n, rows in enumerate((first, final)):
         rows.write.parquet(f"{path}/in/part={n}")
