@@ -54,6 +54,16 @@ def batch_calculate_ma(bars: DataFrame, codes: list[str] | None, start: str | No
     return held.withColumn("ma", trailing_mean("close", window)).where(since & F.col("ma").isNotNull()).select("code", "trade_date", "ma")
 
 
+def adjusted_closes(bars: DataFrame) -> DataFrame:
+    """adj_close by code and trade_date. Stored bars are adjusted already, so it is the close; no row without a price that day."""
+    return valid(bars).select("code", "trade_date", F.col("close").alias("adj_close"))
+
+
+def get_adj_close(bars: DataFrame, code: str, trade_date: str) -> DataFrame:
+    """The adjusted close of one instrument on one date; no row without one."""
+    return adjusted_closes(bars).where((F.col("code") == code) & (F.col("trade_date") == trade_date))
+
+
 def first_value_scaled(bars: DataFrame) -> DataFrame:
     """Closes as 50 plus the percent change since an instrument's first bar."""
     first = F.first("close").over(by_code().rowsBetween(Window.unboundedPreceding, 0))
