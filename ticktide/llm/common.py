@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,18 +15,30 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words: space and U+0009 to U+000D.
 BLANKS = "[\\x20\\x09-\\x0D]+"
-#: Bits of the bitmap that texts_of() sends to every executor, however many documents there are.
-FILTER_BITS = 1 << 23
+#: Bits of a bitmap of ids that is sent to every executor: 16 for each id, within these bounds.
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 26
+#: Ids that the bitmap takes for others and that may be sent along; beyond, the rows in doubt are joined.
+EXCEPTIONS = 1_000_000
+
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers over all 64-bit numbers, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir. Only where that is unset and all runs on one machine (tests) a temporary one is set."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        held = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-        folder = held or tempfile.mkdtemp(prefix="ticktide-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(folder)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="ticktide-")
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -32,11 +46,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables that stored() writes inside are removed at the end, but for those stored with last=True."""
+    folder = fresh_path(spark, name)
+    token = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        remove(spark, folder)
+
+
+def stored(df: DataFrame, name: str, last: bool = False) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    folder = None if last else _scratch.get()
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -53,46 +84,81 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A bit for each id's hash, FILTER_BITS in all however many ids there are."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    word = ids.select((bit / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(node), 64) as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    found = word.toArrow()
-    bits[found.column("word").to_numpy()] = found.column("mask").to_numpy()
-    return bits
+def _place(bits: int) -> tuple[F.Column, F.Column]:
+    """Word and bit of node in a bitmap; null for null."""
+    bit = F.when(F.col("node").isNotNull(), F.pmod(F.xxhash64("node"), F.lit(bits)))
+    return (bit / 64).cast("int").alias("word"), (bit % 64).cast("long").alias("place")
+
+
+def _held(bitmap: np.ndarray, word: pa.Array, place: pa.Array) -> np.ndarray:
+    known = word.is_valid().to_numpy(zero_copy_only=False)
+    at, bit = word.fill_null(0).to_numpy(), place.fill_null(0).to_numpy()
+    return known & (bitmap[at] >> bit & 1 == 1)
+
+
+def membership(docs: DataFrame, ids: DataFrame) -> tuple[int, Callable[[pa.Array, pa.Array, pa.Array], np.ndarray], bool]:
+    """(bits, test, exact): test(node, word, place) says which rows have their doc_id in ids (node, distinct, stored). It
+    holds a bitmap of the ids' hashes and the ids of docs that it takes for others; where those are too many to be sent it
+    isn't exact, and what it lets through must be joined. What is sent is bounded by MOST_BITS and EXCEPTIONS."""
+    spark = docs.sparkSession
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(ids.count() * 16 - 1, 1).bit_length()))
+    word, place = _place(bits)
+    rows = ids.select(word, place).select("word", F.expr("shiftleft(1L, cast(place as int))").alias("mask"))
+    found = rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[found.column("word").to_numpy()] = found.column("mask").to_numpy()
+    sent = spark.sparkContext.broadcast(bitmap)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_held(sent.value, batch.column("word"), batch.column("place")))).select(["node"])
+
+    passed = docs.select(F.col("doc_id").cast("long").alias("node")).select("node", *_place(bits)).mapInArrow(likely, "node long")
+    doubtful = passed.join(ids, "node", "left_anti").distinct().limit(EXCEPTIONS + 1).toArrow().column("node").to_numpy()
+    exact = len(doubtful) <= EXCEPTIONS
+    others = spark.sparkContext.broadcast(np.sort(doubtful) if exact else doubtful[:0])
+
+    def test(node: pa.Array, word: pa.Array, place: pa.Array) -> np.ndarray:
+        mask = _held(sent.value, word, place)
+        if len(others.value):
+            own = node.fill_null(0).to_numpy()
+            at = np.minimum(np.searchsorted(others.value, own), len(others.value) - 1)
+            mask &= others.value[at] != own
+        return mask
+
+    return bits, test, exact
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text of some documents. A bitmap of a fixed size drops most others before the join."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+    """node, text of the documents in nodes (node, distinct, stored). Texts are joined only where membership() isn't exact."""
+    bits, test, exact = membership(docs, nodes)
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word, place = batch.column("word").to_numpy(), batch.column("place").to_numpy()
-            yield batch.filter(pa.array(bits.value[word] >> place & 1 == 1)).select(["node", "text"])
+            yield batch.filter(pa.array(test(batch.column("node"), batch.column("word"), batch.column("place")))).select(["node", "text"])
 
-    hashed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    hashed = hashed.withColumns({"word": (F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)) / 64).cast("int"), "place": F.pmod(F.xxhash64("node"), F.lit(64)).cast("long")})
-    return hashed.mapInArrow(likely, "node long, text string").join(nodes, "node", "left_semi")
+    named = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    found = named.select("node", "text", *_place(bits)).mapInArrow(likely, "node long, text string")
+    return found if exact else found.join(nodes, "node", "left_semi")
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't among ids. Only rows that a bitmap of a fixed size can't clear are joined."""
+    """The rows of docs whose doc_id isn't among ids, whatever the columns are called; rows without a doc_id stay."""
     gone = stored(ids.select(F.col("doc_id").cast("long").alias("node")).where("node IS NOT NULL").distinct(), "gone")
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(gone))
-    hashed = docs.withColumns({"_word": (F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)) / 64).cast("int"), "_place": F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(64)).cast("long")})
-
-    names = docs.columns
+    bits, test, exact = membership(docs, gone)
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    renamed = docs.select(F.col("doc_id").cast("long").alias("node"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, inner)])
+    schema = renamed.schema
 
-    def having(wanted: int):
+    def having(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                word, place = batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
-                some = batch.filter(pa.array(bits.value[word] >> place & 1 == wanted))
-                yield pa.RecordBatch.from_arrays(some.columns[:-2], names=names)
+                held = test(batch.column("node"), batch.column("word"), batch.column("place"))
+                yield batch.filter(pa.array(held == wanted)).select(["node", *inner])
 
-        return hashed.mapInArrow(run, docs.schema)
+        return renamed.select("node", *inner, *_place(bits)).mapInArrow(run, schema)
 
-    doubtful = having(1)
-    return having(0).unionByName(doubtful.join(gone, doubtful["doc_id"] == gone["node"], "left_anti"))
+    kept = having(False)
+    if not exact:
+        kept = kept.unionByName(having(True).join(gone, "node", "left_anti"))
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, inner)])

@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticktide.llm import common, tokens
-from ticktide.llm.near_dups import _mix
 
 ORDER, SYMBOLS = 4, 64
 _LISTED = "abcdefghijklmnopqrstuvwxyz" + "áéíóúñüöäßàèêçëïôùûœ" + ".,;:!?'\"-()/"
@@ -186,7 +185,7 @@ def word_stream(texts: list[str], logs: np.ndarray | None) -> tuple[np.ndarray,
     length = np.diff(np.append(starts, len(at)))
     place = np.arange(len(at), dtype=np.int64) - np.repeat(starts, length)
     small = lower[held]
-    hashes = _mix(np.add.reduceat(_mix((place.astype(np.uint64) << np.uint64(21)) + small + np.uint64(1)), starts) + np.uint64(3))
+    hashes = common.mix(np.add.reduceat(common.mix((place.astype(np.uint64) << np.uint64(21)) + small + np.uint64(1)), starts) + np.uint64(3))
     if logs is None:
         return hashes, np.zeros(len(starts), np.float32), owner[starts].astype(np.int64)
     s = symbol_table()[small].astype(np.int32)
@@ -222,7 +221,7 @@ def pairs_of(texts: list[str], logs: np.ndarray | None) -> tuple[np.ndarray, np.
 
 
 def key_of(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return _mix(before * np.uint64(0x9E3779B97F4A7C15) + _mix(word))
+    return common.mix(before * np.uint64(0x9E3779B97F4A7C15) + common.mix(word))
 
 
 def _signed(x: np.ndarray) -> pa.Array:

@@ -17,13 +17,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ticktide.llm import common
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 BLANK, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: The code points with Unicode's White_Space property.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: Distinct pre-tokens that a worker remembers at most.
-CACHE = 700_000
+#: Distinct pre-tokens that a worker remembers at most, about.
+CACHE = 300_000
 
 _classes: np.ndarray | None = None
 _coders: dict[str, "BatchCoder"] = {}
@@ -95,19 +97,48 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=kind) + np.repeat((starts - ends + counts).astype(kind), counts)
 
 
+#: Bytes that are hashed at once, but for a longer run, and places in a run whose values are looked up.
+AT_ONCE, PLACES = 1 << 19, 64
+_values: np.ndarray | None = None
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each run of bytes. Runs are ascending and apart; inside says which bytes are in one, if not all are.
+    A run's hash is the sum of one random number for each byte and its place, and the length, mixed."""
+    global _values
+    if _values is None:
+        _values = common.mix(np.arange(PLACES * 256, dtype=np.uint64) + np.uint64(1))
+    out, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + AT_ONCE, side="right")))
+        a, b = int(starts[first]), int(ends[last - 1])
+        at = starts[first:last] - a
+        place = np.arange(b - a) - np.repeat(at, np.diff(at, append=b - a))
+        key = place << 8 | data[a:b]
+        far = np.flatnonzero(place >= PLACES)
+        if len(far):
+            values = np.empty(b - a, np.uint64)
+            near = place < PLACES
+            values[near] = _values[key[near]]
+            values[far] = common.mix(key[far].astype(np.uint64) + np.uint64(1))
+        else:
+            values = _values[key]
+        if inside is not None:
+            values *= inside[a:b]
+        out[first:last] = np.add.reduceat(values, at)
+        first = last
+    return common.mix(out ^ (ends - starts).astype(np.uint64) << np.uint64(40))
+
+
 def same_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each piece of data the number of its string, and for each such number where it first occurs.
 
-    Pieces are grouped by a polynomial hash and each is then compared with its group's first byte by byte.
+    Pieces are grouped by a hash and each is then compared with its group's first byte by byte.
     """
     import pandas as pd
 
     ends = np.append(starts[1:], len(data))
-    up, down = powers(len(data))
-    terms = data * up[: len(data)]
-    sums = np.cumsum(terms)
-    value = (sums[ends - 1] - sums[starts] + terms[starts]) * down[starts]
-    code, _ = pd.factorize(value ^ (ends - starts).astype(np.uint64) << np.uint64(56))
+    code, _ = pd.factorize(run_hashes(data, starts, ends))
     first = np.empty(code.max() + 1 if len(code) else 0, np.int64)
     first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
     held = starts[first[code]]
@@ -121,21 +152,6 @@ def same_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return code, first
 
 
-_powers: tuple[np.ndarray, np.ndarray] | None = None
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64 and their inverses, at least n of each."""
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        base, back = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-        made = [np.cumprod(np.append(np.uint64(1), np.full(n - 1, x, np.uint64))) for x in (base, back)]
-        if n > 8 << 20:
-            return made[0], made[1]  # of a very long text: not kept
-        _powers = made[0], made[1]
-    return _powers
-
-
 class BatchCoder:
     """encode() gives the same ids as the library's encode() of each text, add_special_tokens=False."""
 
@@ -155,6 +171,17 @@ class BatchCoder:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.met = np.zeros(0, np.int64)  # batches that each known piece was in
+
+    def shrink(self) -> None:
+        """Forgets pieces that one batch alone had, and of the others the rarer ones beyond half of the cache."""
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) > CACHE // 2:
+            keep = np.sort(keep[np.argsort(-self.met[keep], kind="stable")[: CACHE // 2]])
+        names, counts = list(self.known), np.diff(self.at)[keep]
+        self.known = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.flat, self.at = self.flat[ragged(self.at[keep], counts)], np.append(0, np.cumsum(counts))
+        self.met = np.ones(len(keep), np.int64)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -204,12 +231,15 @@ class BatchCoder:
         number = lambda pieces: np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         held = number(distinct)
         new = distinct[held < 0]
-        if len(self.known) + len(new) > CACHE:
-            self.forget()
-            new = distinct
+        if len(self.known) + len(new) > CACHE and len(self.known):
+            self.shrink()
+            held = number(distinct)
+            new = distinct[held < 0]
         if len(new):
             self.learn(new.tolist())
             held = number(distinct)
+        self.met = np.append(self.met, np.zeros(len(self.known) - len(self.met), np.int64))
+        self.met[held] += 1
         own = self.at[held + 1] - self.at[held]  # ids of each distinct piece
         few = self.flat[ragged(self.at[held], own)]
         counts = own[code]
@@ -232,9 +262,9 @@ def coder(path: str) -> BatchCoder:
     return _coders[path]
 
 
-def slices(batch: pa.RecordBatch, column: str, size: int = 6 << 20):
+def slices(batch: pa.RecordBatch, *columns: str, size: int = 2 << 20):
     """Parts of a batch whose texts have about size bytes at most, a single longer text in a part of its own."""
-    lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    lengths = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns))
     start = 0
     while start < len(lengths):
         stop = max(start + 1, int(np.searchsorted(lengths, (lengths[start - 1] if start else 0) + size, side="right")))
