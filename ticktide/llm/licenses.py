@@ -3,10 +3,12 @@
 Words are runs of letters and digits, A-Z as a-z. Templates are grouped by length. For each group a document is cut into
 overlapping windows, long enough that some window holds all of any passage of the group's length. A window retrieves a
 template where their MinHash bands agree, one hash a band; the number of bands is set so that a window with the least
-containment is missed with a chance of at most MISS. Retrieved windows are then compared shingle by shingle: the share of the
+containment is missed with a chance of at most MISS. A window without any shingle of a template agrees with none in any band, so
+bands are run only over windows that hold one. Retrieved windows are then compared shingle by shingle: the share of the
 template's shingles that the window holds must reach the threshold.
 
-Templates shorter than a shingle are one shingle of all their words. Null or empty text: no match. Repeated rows: each is searched.
+Templates shorter than a shingle are one shingle of all their words. Null or empty text: no match. A text of any length is
+searched whole. Repeated rows: each is searched. Ties between windows: the first. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticktide.llm import near_dups, tokens
+from ticktide.llm import common, near_dups, tokens
 
 SHINGLE, THRESHOLD, MISS = 5, 0.8, 1e-6
 #: Words of a template at most, by group.
@@ -46,6 +48,12 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
+    "BSD-3-Clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "BSL-1.0": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
 }
 
@@ -61,7 +69,7 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     rolled = np.zeros(max(len(hashes) - size + 1, 0), np.uint64)
     for k in range(size):
         rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(rolled)]
-    return near_dups._mix(rolled)
+    return common.mix(rolled)
 
 
 class Group:
@@ -83,6 +91,15 @@ class Group:
         own = [shingle_hashes(near_dups.word_hashes(pa.array([t]), _blank)[0], self.size) for _, t in templates]
         self.minima = [np.array([banded(h, k).min() for h in own]) for k in range(self.bands)]
         self.known = [np.unique(m) for m in self.minima]
+        self.every = np.unique(np.concatenate(own))
+        self.ends = np.zeros(1 << 16, bool)  # of the templates' shingles' hashes
+        self.ends[(self.every & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """Positions of shingles that some template has."""
+        at = np.flatnonzero(self.ends[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
+        spot = np.minimum(np.searchsorted(self.every, hashes[at]), len(self.every) - 1)
+        return at[self.every[spot] == hashes[at]]
 
 
 def banded(hashes: np.ndarray, band: int) -> np.ndarray:
@@ -101,35 +118,36 @@ def groups(templates: dict[str, list[str]], threshold: float) -> list[Group]:
     return [Group(longest, some, threshold) for (longest, _), some in sorted(by.items())]
 
 
+#: Shingles whose bands are computed at once.
+AT_ONCE = 1 << 18
+
+
 def retrieved(group: Group, hashes: np.ndarray, at: np.ndarray) -> set[tuple[int, int, int]]:
-    """(document, first word of a window, template) where a band agrees. at: where each document's words begin."""
-    n = np.diff(at) - group.size + 1  # shingles of each document
-    docs = np.flatnonzero(n > 0)
-    if not len(docs):
-        return set()
+    """(document, first word of a window, template) where a band agrees. at: where each document's words begin, with the end."""
     own = shingle_hashes(hashes, group.size)
-    cells = -(-n[docs] // group.step)  # windows start every step shingles and are some cells long
-    doc = np.repeat(docs, cells)
-    cell = np.arange(len(doc)) - np.repeat(np.cumsum(cells) - cells, cells)
+    place = group.has(own)
+    doc = np.searchsorted(at, place, side="right") - 1
+    inside = place + group.size <= at[doc + 1]
+    place, doc = place[inside], doc[inside]
+    if not len(place):
+        return set()
+    cell = (place - at[doc]) // group.step  # windows start every step shingles and are some cells long
+    spread = np.repeat(cell, group.blocks) - np.tile(np.arange(group.blocks), len(cell))
+    windows = np.unique(np.stack([np.repeat(doc, group.blocks), spread])[:, spread >= 0], axis=1)
+    doc, cell = windows
     start = at[doc] + cell * group.step
-    ends = at[docs] + n[docs]
-    points = np.empty(len(start) + len(docs), np.int64)  # starts of cells, and after each document's last its end
-    where = np.arange(len(start)) + np.repeat(np.arange(len(docs)), cells)
-    points[where] = start
-    points[np.cumsum(cells) + np.arange(len(docs))] = ends
-    points = points[:-1] if points[-1] >= len(own) else points
-    found = set()
-    for band in range(group.bands):
-        least = np.minimum.reduceat(banded(own, band), points)[where]
-        low = least.copy()
-        for k in range(1, group.blocks):
-            same = doc[k:] == doc[:-k]
-            low[:-k] = np.where(same, np.minimum(low[:-k], least[k:]), low[:-k])
-        known = group.known[band]
-        spot = np.minimum(np.searchsorted(known, low), len(known) - 1)
-        for i in np.flatnonzero(known[spot] == low).tolist():
-            for t in np.flatnonzero(group.minima[band] == low[i]).tolist():
-                found.add((int(doc[i]), int(cell[i]) * group.step, t))
+    counts = np.minimum(group.blocks * group.step, at[doc + 1] - group.size + 1 - start)
+    found, few = set(), max(1, AT_ONCE // (group.blocks * group.step))
+    for i in range(0, len(doc), few):
+        n = counts[i : i + few]
+        values, offsets = own[tokens.ragged(start[i : i + few], n)], np.cumsum(n) - n
+        for band in range(group.bands):
+            low = np.minimum.reduceat(banded(values, band), offsets)
+            known = group.known[band]
+            spot = np.minimum(np.searchsorted(known, low), len(known) - 1)
+            for k in np.flatnonzero(known[spot] == low).tolist():
+                for t in np.flatnonzero(group.minima[band] == low[k]).tolist():
+                    found.add((int(doc[i + k]), int(cell[i + k]) * group.step, t))
     return found
 
 
@@ -154,10 +172,10 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
                             texts[doc] = words(part.column("text")[doc].as_py())
                         some = texts[doc][first : first + group.blocks * group.step + group.size - 1]
                         held = {tuple(some[i : i + group.size]): i for i in range(len(some) - group.size, -1, -1)}
-                        common = group.shingles[t] & held.keys()
-                        share = len(common) / len(group.shingles[t])
+                        met = group.shingles[t] & held.keys()
+                        share = len(met) / len(group.shingles[t])
                         if share >= threshold:
-                            places = [held[s] for s in common]
+                            places = [held[s] for s in met]
                             key, found = (doc, group.templates[t][0]), (share, -first - min(places), first + max(places) + group.size)
                             best[key] = max(best.get(key, found), found)
                 rows = sorted(best.items())
