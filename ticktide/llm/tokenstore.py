@@ -2,12 +2,16 @@
 
 Each document's ids, with the end id, are cut where a hash rolling over eight ids says so, so equal passages give equal chunks
 wherever they stand. The store keeps each distinct chunk once, under its digest. A document's recipe lists its chunks' digests
-and lengths; the root of a Merkle tree over them is its address. Recipes are written in ascending doc_id order; each part of
-them ends with the root over its documents, its number of documents and of ids.
+and lengths; the root of a Merkle tree over them is its address. Recipes are written in ascending doc_id order, in parts. The
+manifest has for each part the root over its documents' addresses, ids and lengths, and how many documents and ids it has; its
+top has the root over all parts and their sums.
 
-Files, all Parquet:  chunks/kind=0 (key, body: little-endian ids), recipes (part, kind 0: a document, 1: the end of a part).
-Reading checks every chunk against its digest and every recipe against its root. Null text: empty, the end id alone. Repeated
-doc_ids: each row is a document, in the order of their recipes.
+Files, all Parquet:  staged/kind=0 (key, body: a chunk's little-endian ids), recipes (a row per document), manifest, top.
+Reading checks the manifest against its top, each part's recipes against the manifest (none lost, doubled, swapped or altered),
+every recipe against its address and every chunk against its digest and length; what doesn't agree raises an error.
+
+Null text: empty, the end id alone. Texts of any length are cut alike. Repeated doc_ids: each row is a document, in the order of
+their recipes; rows without a doc_id come first. An empty table makes a store without documents. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +31,10 @@ ROLL, LONGEST, DIGEST = 8, 1024, 16
 MEAN_BITS = 7  # a chunk ends after one id in 2**7, about
 _STAGED = "kind int, key binary, doc_id long, n_tokens long, body binary"
 _RECIPES = "part int, kind int, nth long, doc_id long, start long, n_tokens long, root binary, recipe binary"
+_PARTS = "part int, n_documents long, n_tokens long, root binary"
+_TOP = "n_parts int, n_documents long, n_tokens long, root binary"
+#: Digests that a task remembers, so as to send a chunk once.
+SEEN = 500_000
 _REFS = "part int, nth long, doc_id long, start long, n_tokens long, digest binary, n long, ids_after long"
 
 
@@ -104,6 +112,8 @@ def _staged(docs: DataFrame, tokenizer_path: str, end_id: int, width: str) -> Da
                         seen.add(key)
                         keys.append(key)
                         bodies.append(chunk)
+                if len(seen) > SEEN:
+                    seen.clear()
                 entries = np.empty((len(ends), DIGEST + 4), np.uint8)
                 entries[:, :DIGEST] = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, DIGEST)
                 entries[:, DIGEST:] = sizes.astype("<u4").view(np.uint8).reshape(-1, 4)
@@ -127,17 +137,20 @@ def _staged(docs: DataFrame, tokenizer_path: str, end_id: int, width: str) -> Da
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the chunks of a partition, which has all of a digest's, the first of each digest; all documents."""
-    seen = set()
+    """Of the chunks of a partition, which has all of a digest's, in order, the first of each digest; all documents."""
+    last = None
     for batch in batches:
-        keep = []
-        for kind, key in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist()):
-            keep.append(kind == 1 or key not in seen)
-            if kind == 0:
-                seen.add(key)
+        keys, keep = batch.column("key").to_pylist(), []
+        for kind, before, key in zip(batch.column("kind").to_pylist(), [last, *keys], keys):
+            keep.append(kind == 1 or key != before)
+        last = keys[-1] if keys else last
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+def part_leaf(doc_id: int | None, n_tokens: int, root: bytes) -> bytes:
+    return digest(f"{doc_id} {n_tokens} ".encode() + root)
+
+
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Recipes of a sorted partition with their place, then the row that ends the part."""
     from pyspark import TaskContext
@@ -147,16 +160,34 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     rows = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
     for batch in batches:
-        recipes, n = batch.column("body").to_pylist(), batch.column("n_tokens").to_numpy()
+        recipes, n, ids = batch.column("body").to_pylist(), batch.column("n_tokens").to_numpy(), batch.column("doc_id").to_pylist()
         roots = [merkle_root(leaves(r)) for r in recipes]
-        for r in roots:
-            whole.add(r)
+        for x in zip(ids, n.tolist(), roots):
+            whole.add(part_leaf(*x))
         starts = start + np.cumsum(n) - n
-        yield rows([part] * len(n), [0] * len(n), np.arange(nth, nth + len(n)), batch.column("doc_id").to_pylist(), starts, n, roots, recipes)
+        yield rows([part] * len(n), [0] * len(n), np.arange(nth, nth + len(n)), ids, starts, n, roots, recipes)
         nth, start = nth + len(n), start + int(n.sum())
     yield rows([part], [1], [nth], [None], [start], [start], [whole.root()], [b""])
 
 
+def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The manifest's rows anew from recipes in the order of part and nth; a gap or a double raises an error."""
+    part, nth, start, whole = None, 0, 0, GrowingRoot()
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([nth], pa.int64()), pa.array([start], pa.int64()), pa.array([whole.root()], pa.binary())], ["part", "n_documents", "n_tokens", "root"])
+    for batch in batches:
+        for own, at, doc_id, begin, n, root in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != part:
+                if part is not None:
+                    yield row()
+                part, nth, start, whole = own, 0, 0, GrowingRoot()
+            if (at, begin) != (nth, start):
+                raise ValueError(f"recipes of part {own} aren't gapless at document {nth}")
+            whole.add(part_leaf(doc_id, n, root))
+            nth, start = nth + 1, start + n
+    if part is not None:
+        yield row()
+
+
 def leaves(recipe: bytes) -> list[bytes]:
     return [recipe[i : i + DIGEST] for i in range(0, len(recipe), DIGEST + 4)]
 
@@ -172,12 +203,17 @@ class TokenStore:
         spark = docs.sparkSession
         width = "<u2" if max(tokens.coder(tokenizer_path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         n = common.shuffle_partitions(spark)
-        dealt = _staged(docs, tokenizer_path, end_id, width).repartition(n, "key").mapInArrow(_once, _STAGED)
+        dealt = _staged(docs, tokenizer_path, end_id, width).repartition(n, "key").sortWithinPartitions("kind", "key").mapInArrow(_once, _STAGED)
         dealt.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/staged")
         made = cls(spark, folder, width)
         recipes = made._files("staged", _STAGED.removeprefix("kind int, ") + ", kind int").where("kind = 1").select("doc_id", "n_tokens", "key", "body")
         ranged = recipes.repartitionByRange(n, "doc_id", "key").sortWithinPartitions("doc_id", "key").mapInArrow(_in_order, _RECIPES)
-        ranged.write.option("compression", "zstd").parquet(f"{folder}/recipes")
+        ranged.write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/recipes")
+        common.remove(spark, f"{folder}/staged/kind=1")
+        made._recipes(1).select("part", F.col("nth").alias("n_documents"), "n_tokens", "root").coalesce(1).write.parquet(f"{folder}/manifest")
+        parts = made.manifest().orderBy("part").collect()  # as many as shuffle partitions
+        top = (len(parts), sum(p.n_documents for p in parts), sum(p.n_tokens for p in parts), merkle_root([bytes(p.root) for p in parts]))
+        spark.createDataFrame([top], _TOP).coalesce(1).write.parquet(f"{folder}/top")
         return made
 
     def _files(self, name: str, schema: str) -> DataFrame:
@@ -185,18 +221,31 @@ class TokenStore:
 
     def manifest(self) -> DataFrame:
         """A row per part: how many documents and ids it has, and the root over its documents."""
-        return self._files("recipes", _RECIPES).where("kind = 1").select("part", F.col("nth").alias("n_documents"), "n_tokens", "root")
+        return self._files("manifest", _PARTS)
+
+    def _recipes(self, kind: int = 0) -> DataFrame:
+        return self._files("recipes", _RECIPES.replace("kind int, ", "") + ", kind int").where(F.col("kind") == kind)
+
+    def checked(self) -> list:
+        """The manifest's rows by part, once the top, and the recipes by part, agree with them."""
+        tops, parts = self._files("top", _TOP).collect(), self.manifest().orderBy("part").collect()
+        said = (len(parts), sum(p.n_documents for p in parts), sum(p.n_tokens for p in parts), merkle_root([bytes(p.root) for p in parts]))
+        if [tuple(t) for t in tops] != [said] or [p.part for p in parts] != list(range(len(parts))):
+            raise ValueError("the manifest doesn't agree with its top")
+        dealt = self._recipes().select("part", "nth", "doc_id", "start", "n_tokens", "root").repartition(common.shuffle_partitions(self.spark), "part")
+        found = dealt.sortWithinPartitions("part", "nth").mapInArrow(_rebuilt, _PARTS).collect()
+        if sorted(map(tuple, found)) != [tuple(p) for p in parts if p.n_documents]:
+            raise ValueError("recipes don't agree with the manifest")
+        return parts
 
     def documents(self) -> DataFrame:
         """part, nth, doc_id, start among all ids, n_tokens, root, recipe: a row per document."""
-        parts = self.manifest().orderBy("part").collect()  # as many as shuffle partitions
         rows, base = [], 0
-        for p in parts:
+        for p in self.checked():
             rows.append((p.part, base))
             base += p.n_tokens
         bases = self.spark.createDataFrame(rows, "part int, base long")
-        found = self._files("recipes", _RECIPES).where("kind = 0").join(F.broadcast(bases), "part")
-        return found.select("part", "nth", "doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "root", "recipe")
+        return self._recipes().join(F.broadcast(bases), "part").select("part", "nth", "doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "root", "recipe")
 
     def references(self) -> DataFrame:
         """A row per chunk of each document, with how many ids follow it there; recipes are checked against their roots."""
@@ -255,7 +304,9 @@ class TokenStore:
         joined = self.references().join(self._sums(), F.col("digest") == F.col("key"), "left").drop("key", "digest")
         joined = joined.withColumn("held", F.coalesce("held", F.lit(-1))).withColumn("crc", F.coalesce("crc", F.lit(0)))  # a chunk that is missing fails
         moved = joined.mapInArrow(carry, "part int, nth long, doc_id long, start long, n_tokens long, held long, crc long")
-        return moved.groupBy("part", "nth", "doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("held").alias("read")).select("doc_id", "start", "n_tokens", "ids_crc32", "read")
+        summed = moved.groupBy("part", "nth", "doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("crc"), F.sum("held").alias("read"))
+        crc = F.when(F.col("read") == F.col("n_tokens"), F.col("crc")).otherwise(F.raise_error(F.lit("a document's chunks don't have its number of ids")).cast("long"))
+        return summed.select("doc_id", "start", "n_tokens", crc.alias("ids_crc32"), "read")
 
     def read(self, doc_ids: DataFrame | None = None) -> DataFrame:
         """doc_id, start, ids (array of int): documents rebuilt from their recipes; of all, or of those in doc_ids."""
@@ -264,11 +315,18 @@ class TokenStore:
 
         def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = [np.frombuffer(b"".join(x["body"] for x in row), width).astype(np.int32) for row in batch.column("bodies").to_pylist()]
+                ids = []
+                for n_tokens, row in zip(batch.column("n_tokens").to_pylist(), batch.column("bodies").to_pylist()):
+                    if any(x["body"] is None or digest(x["body"]) != x["digest"] for x in row):
+                        raise ValueError("a chunk is missing or doesn't match its digest")
+                    ids.append(np.frombuffer(b"".join(x["body"] for x in row), width).astype(np.int32))
+                    if len(ids[-1]) != n_tokens:
+                        raise ValueError("a document's chunks don't have its number of ids")
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
-        bodies = refs.join(self.chunks(), F.col("digest") == F.col("key")).groupBy("part", "nth", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct((-F.col("ids_after")).alias("at"), "body"))).alias("bodies"))
-        return bodies.select("doc_id", "start", "bodies").mapInArrow(join_up, "doc_id long, start long, ids array<int>")
+        met = refs.join(self.chunks(), F.col("digest") == F.col("key"), "left")
+        bodies = met.groupBy("part", "nth", "doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct((-F.col("ids_after")).alias("at"), "digest", "body"))).alias("bodies"))
+        return bodies.select("doc_id", "start", "n_tokens", "bodies").mapInArrow(join_up, "doc_id long, start long, ids array<int>")
 
 
 def _square(m: np.ndarray) -> np.ndarray:
