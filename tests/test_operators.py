@@ -173,36 +173,26 @@ def test_fees():
     assert [round(x, 6) for x in backtest.fees("SELL", 100_000.0)] == [30.0, 0.0, 50.0]
 
 
-def test_account_rules():
-    a = backtest.Account(10_000.0)
-    a.today, a.prices = "1", {"x": 10.0}
-    assert not a.buy("y", 1) and not a.buy("x", 100) and a.buy("x", 5) and not a.sell("x")
-    assert a.cash == pytest.approx(10_000 - 5005 - 5 - 0.1001)
-    a.today, a.prices = "2", {"x": 9.0}
-    a.mark()
-    a.check_risk(None)
-    assert not a.holdings and a.trades[-1][6] == "stop loss"
-    a.check_risk(41.0)
-    assert a.locked and not a.buy("x", 1)
-    a.check_risk(None)
-    a.limits = {"x": 1}
-    assert not a.locked and not a.buy("x", 1)
-
-
-def test_simulated_equity_adds_up(spark):
-    runs = spark.createDataFrame([("a", {"lots": 1.0}), ("b", {"lots": 2.0})], "run_id string, params map<string,double>")
-    made = backtest.simulate(bars(spark, [10.0, 11.0, 8.0, 8.0]), runs, backtest.buy_and_hold)
-    rows = made.orderBy("run_id", "trade_date").collect()
-    assert len(rows) == 8 and all(abs(r.cash + r.held - r.equity) < 1e-9 for r in rows)
-    assert [t.direction for r in rows if r.run_id == "a" for t in r.trades] == ["BUY", "SELL"]
+def test_equity_adds_up(spark):
+    prices = bars(spark, [10.0, 11.0, 8.0, 8.0]).unionByName(bars(spark, [5.0], "000009"))
+    runs = spark.createDataFrame([("a", 1), ("b", 2)], "run_id string, lots int")
+    trades = backtest.first_purchases(prices, runs)
+    assert {(r.run_id, r.code, r.quantity) for r in trades.collect()} == {(x, c, n) for x, n in (("a", 100), ("b", 200)) for c in ("000009", prices.first().code)}
+    made = backtest.equity(trades, prices, 10_000.0)
+    got = [r.equity for r in made.where("run_id = 'a'").orderBy("trade_date").collect()]
+    spent = 1001 + 5 + 1001 * 2e-5 + 501 + 5 + 501 * 2e-5
+    assert got == pytest.approx([10_000 - spent + 500 + 100 * c for c in (10, 11, 8, 8)], abs=1e-3)
     assert backtest.metrics(made).where("max_drawdown < 0").count() == 2
     assert backtest.quick_metrics(made).where("max_drawdown > 0").count() == 2
 
 
-def test_random_walk_repeats(spark):
-    dates = bars(spark, [1.0] * 20).select(F.lit("a").alias("run_id"), "trade_date")
-    a, b = (one(backtest.random_walk(dates, 7), "equity") for _ in range(2))
-    assert a == b and len(set(a)) == 20
+def test_sales_lower_what_is_held(spark):
+    prices = bars(spark, [10.0, 12.0, 20.0])
+    days = [r.trade_date for r in prices.orderBy("trade_date").collect()]
+    rows = [("a", days[0], prices.first().code, "BUY", 100, 10.0, 5.0), ("a", days[1], prices.first().code, "SELL", 60, 12.0, 6.0)]
+    trades = spark.createDataFrame(rows, "run_id string, trade_date string, code string, direction string, quantity long, price double, fees double")
+    got = [r.equity for r in backtest.equity(trades, prices, 2000.0).orderBy("trade_date").collect()]
+    assert got == pytest.approx([1995.0, 995 + 720 - 6 + 480, 995 + 720 - 6 + 800], abs=1e-6)
 
 
 def test_windows_of_ticks(spark):

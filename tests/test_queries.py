@@ -12,6 +12,10 @@ TABLES = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not TABLES.exists(), reason="needs the test tables")
 
 
+#: Need more rows a date than the smallest tables have.
+WIDE = {"cr_p95", "cr_topk"}
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -34,6 +38,7 @@ def test_query_equals_its_sql(spark, duck, name):
     at = {c[0]: i for i, c in enumerate(asked.description)}
     assert sorted(at) == columns
     want = sorted(tuple(plain(r[at[c]]) for c in columns) for r in asked.fetchall())
+    assert want or name in WIDE, "a query without rows shows nothing"
     assert sorted(tuple(plain(r[c]) for c in columns) for r in found.collect()) == want
 
 

@@ -99,9 +99,20 @@ def in_units(value: Column) -> Column:
     return F.when(F.abs(value) >= 1e8, F.concat(two(value / 1e8), F.lit("亿"))).when(F.abs(value) >= 1e4, F.concat(two(value / 1e4), F.lit("万"))).otherwise(two(value))
 
 
+#: Endings of sector names that are tried one at a time.
+ENDINGS = ("概念", "板块", "指数", "50", "100", "300", "A")
+
+
+def plain_names(name: Column) -> Column:
+    """Array of a sector's name without bracketed parts and without one of the usual endings, in their order, each once."""
+    bare = F.regexp_replace(name, "[（(].*?[)）]", "")
+    made = F.array(*[F.trim(F.replace(bare, F.lit(ending), F.lit(""))) for ending in ENDINGS])
+    return F.filter(F.array_distinct(made), lambda x: (x != "") & (x != F.trim(bare)))
+
+
 def plain_name(name: Column) -> Column:
     """A sector's name without bracketed parts and the usual endings."""
     bare = F.regexp_replace(name, "[（(].*?[)）]", "")
-    for ending in ("概念", "板块", "指数", "50", "100", "300", "A"):
+    for ending in ENDINGS:
         bare = F.replace(bare, F.lit(ending), F.lit(""))
     return F.trim(bare)

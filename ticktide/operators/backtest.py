@@ -1,11 +1,8 @@
-"""A trading simulator that runs many parameter sets at once, one group each, and figures over their equity."""
+"""What trades cost, what holding them is worth by date, and figures over such equity. Everything is a DataFrame over all runs;
+a simulator that lets one trade's cash decide on the next is left out."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +11,6 @@ from ticktide.operators.windows import drawdowns
 #: Rates and least fee of the market's charges.
 COMMISSION, LEAST_COMMISSION, TRANSFER, STAMP = 3e-4, 5.0, 2e-5, 5e-4
 LOT, SLIP = 100, 0.01
-LOG = "run_id string, trade_date string, code string, direction string, quantity long, price double, fees double, reason string"
-EQUITY = "run_id string, trade_date string, cash double, held double, equity double, locked boolean"
 
 
 def fees(direction, amount):
@@ -25,136 +20,33 @@ def fees(direction, amount):
     return F.greatest(amount * COMMISSION, F.lit(LEAST_COMMISSION)), F.when(direction == "BUY", amount * TRANSFER).otherwise(0.0), F.when(direction == "SELL", amount * STAMP).otherwise(0.0)
 
 
-@dataclass
-class Rules:
-    """Limits of a run: loss against the mean cost, fall from the highest price, crowding above which everything is sold."""
-
-    stop_loss: float = 0.08
-    trailing: float = 0.08
-    crowding: float = 40.0
-    commission: float = COMMISSION
-    least_commission: float = LEAST_COMMISSION
-
-
-@dataclass
-class Holding:
-    quantity: int
-    cost: float
-    price: float
-    highest: float
-    bought: str
-
-
-@dataclass
-class Account:
-    """What a strategy sees and trades with. Shares bought today can't be sold today."""
-
-    cash: float
-    rules: Rules = field(default_factory=Rules)
-    today: str = ""
-    locked: bool = False
-    prices: dict[str, float] = field(default_factory=dict)
-    limits: dict[str, int] = field(default_factory=dict)
-    holdings: dict[str, Holding] = field(default_factory=dict)
-    trades: list[tuple] = field(default_factory=list)
-
-    def charged(self, direction: str, amount: float) -> float:
-        commission = max(amount * self.rules.commission, self.rules.least_commission)
-        return commission + (amount * TRANSFER if direction == "BUY" else amount * STAMP)
-
-    def buy(self, code: str, lots: int, reason: str = "") -> bool:
-        price = self.prices.get(code)
-        if self.locked or price is None or self.limits.get(code, 0) > 0 or lots <= 0:
-            return False
-        price, quantity = price + SLIP, lots * LOT
-        fee = self.charged("BUY", price * quantity)
-        if price * quantity + fee > self.cash:
-            return False
-        self.cash -= price * quantity + fee
-        old = self.holdings.get(code)
-        if old:
-            total = old.quantity + quantity
-            old.cost = (old.cost * old.quantity + price * quantity) / total
-            old.quantity, old.bought, old.highest = total, self.today, max(old.highest, price)
-        else:
-            self.holdings[code] = Holding(quantity, price, price, price, self.today)
-        self.trades.append((self.today, code, "BUY", quantity, price, fee, reason))
-        return True
-
-    def sell(self, code: str, lots: int | None = None, reason: str = "") -> bool:
-        held, price = self.holdings.get(code), self.prices.get(code)
-        if held is None or price is None or held.bought == self.today or self.limits.get(code, 0) < 0:
-            return False
-        price = price - SLIP
-        quantity = held.quantity if lots is None else min(lots * LOT, held.quantity)
-        fee = self.charged("SELL", price * quantity)
-        self.cash += price * quantity - fee
-        held.quantity -= quantity
-        if not held.quantity:
-            del self.holdings[code]
-        self.trades.append((self.today, code, "SELL", quantity, price, fee, reason))
-        return True
-
-    def check_risk(self, crowding: float | None) -> None:
-        self.locked = crowding is not None and crowding == crowding and crowding > self.rules.crowding
-        for code in sorted(self.holdings):
-            held = self.holdings[code]
-            if self.locked:
-                self.sell(code, reason="crowding")
-            elif held.price <= held.cost * (1 - self.rules.stop_loss):
-                self.sell(code, reason="stop loss")
-            elif held.price <= held.highest * (1 - self.rules.trailing):
-                self.sell(code, reason="trailing exit")
-
-    def mark(self) -> None:
-        for code, held in self.holdings.items():
-            if code in self.prices:
-                held.price = self.prices[code]
-                held.highest = max(held.highest, held.price)
-
-
-Strategy = Callable[[Account, str, dict], None]
-
-
-def buy_and_hold(account: Account, trade_date: str, params: dict) -> None:
-    """Buys params["lots"] of each instrument once."""
-    bought = params.setdefault("_bought", set())
-    for code in sorted(account.prices):
-        if code not in bought and account.buy(code, int(params.get("lots", 1)), "first bar"):
-            bought.add(code)
-
-
-def simulate(prices: DataFrame, runs: DataFrame, strategy: Strategy, capital: float = 1_000_000.0) -> DataFrame:
-    """A row per run and trade date, with that date's trades. A run's days need each other, so a run is one group; runs are
-    spread over the cluster. prices: trade_date, code, close, limit (1 up, -1 down, 0), crowding. runs: run_id, params (a map)."""
-    columns = [c for c in ("limit", "crowding") if c in prices.columns]
-    joined = prices.select("trade_date", "code", "close", *columns).join(F.broadcast(runs.select("run_id", F.to_json("params").alias("params"))))
-    schema = EQUITY + ", trades array<struct<code: string, direction: string, quantity: long, price: double, fees: double, reason: string>>"
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        import json
-
-        params = {k: float(v) for k, v in json.loads(group.params.iloc[0] or "{}").items()}
-        rules = Rules(**{k: params[k] for k in ("stop_loss", "trailing", "crowding", "commission", "least_commission") if k in params})
-        account, rows = Account(params.get("capital", capital), rules), []
-        for trade_date, bars in group.sort_values(["trade_date", "code"]).groupby("trade_date", sort=True):
-            account.today, done = trade_date, len(account.trades)
-            account.prices = dict(zip(bars.code, bars.close))
-            account.limits = dict(zip(bars.code, bars.limit)) if "limit" in bars else {}
-            account.mark()
-            crowding = bars.crowding.iloc[0] if "crowding" in bars else None
-            account.check_risk(None if crowding is None else float(crowding))
-            strategy(account, trade_date, params)
-            account.mark()
-            held = sum(h.quantity * h.price for h in account.holdings.values())
-            rows.append((group.run_id.iloc[0], trade_date, account.cash, held, account.cash + held, account.locked, [dict(zip(("code", "direction", "quantity", "price", "fees", "reason"), t[1:])) for t in account.trades[done:]]))
-        return pd.DataFrame(rows, columns=["run_id", "trade_date", "cash", "held", "equity", "locked", "trades"])
-
-    return joined.groupBy("run_id").applyInPandas(run, schema)
-
-
-def trade_log(simulated: DataFrame) -> DataFrame:
-    return simulated.select("run_id", "trade_date", F.explode("trades").alias("t")).select("run_id", "trade_date", "t.*")
+def first_purchases(prices: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each run buys its lots of each instrument on its first bar: run_id, trade_date, code, direction, quantity, price, fees.
+    prices: trade_date, code, close. runs: run_id, lots, few rows."""
+    first = prices.groupBy("code").agg(F.min_by("close", "trade_date").alias("close"), F.min("trade_date").alias("trade_date"))
+    every = runs.agg(F.collect_list(F.struct("run_id", "lots")).alias("runs"))
+    held = first.withColumn("run", F.explode(every.scalar()))
+    made = held.select("run.run_id", "trade_date", "code", F.lit("BUY").alias("direction"), (F.col("run.lots") * LOT).cast("long").alias("quantity"), (F.col("close") + SLIP).alias("price"))
+    commission, transfer, stamp = fees(F.col("direction"), F.col("price") * F.col("quantity"))
+    return made.withColumn("fees", commission + transfer + stamp)
+
+
+def equity(trades: DataFrame, prices: DataFrame, capital: float) -> DataFrame:
+    """run_id, trade_date, equity on each run's trading days: the capital, less what trades cost, with what is held at its last
+    close. Each day's gain is summed over instruments before the running sum, so a run's instruments are never gathered."""
+    by_code = Window.partitionBy("code").orderBy("trade_date")
+    moved = prices.select("code", "trade_date", "close", F.lag("close").over(by_code).alias("before"))
+    paid = F.when(F.col("direction") == "BUY", F.col("price") * F.col("quantity") + F.col("fees")).otherwise(F.col("fees") - F.col("price") * F.col("quantity"))
+    signed = F.when(F.col("direction") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
+    orders = trades.groupBy("run_id", "code", "trade_date").agg(F.sum(signed).alias("quantity"), F.sum(paid).alias("paid"))
+    runs = trades.select("run_id", "code").distinct()
+    daily = runs.join(moved, "code").join(orders, ["run_id", "code", "trade_date"], "left")
+    held = F.coalesce(F.sum("quantity").over(Window.partitionBy("run_id", "code").orderBy("trade_date")), F.lit(0))
+    old = held - F.coalesce("quantity", F.lit(0))
+    gain = old * (F.col("close") - F.coalesce("before", F.col("close"))) + F.coalesce("quantity", F.lit(0)) * F.col("close") - F.coalesce("paid", F.lit(0.0))
+    summed = daily.withColumn("gain", F.bround(gain, 4).cast("decimal(28,4)")).groupBy("run_id", "trade_date").agg(F.sum("gain").alias("gain"))
+    so_far = F.sum("gain").over(Window.partitionBy("run_id").orderBy("trade_date"))
+    return summed.select("run_id", "trade_date", (capital + so_far.cast("double")).alias("equity"))
 
 
 def metrics(equity: DataFrame, rate: float = 0.03, days: int = 252) -> DataFrame:
@@ -178,11 +70,3 @@ def quick_metrics(equity: DataFrame) -> DataFrame:
     total = F.col("last") / F.col("first") - 1
     six = lambda c: F.bround(c, 6)
     return sums.select("run_id", six(total).alias("total_return"), six(total * 365 / F.col("n")).alias("annual_return"), six("dd").alias("max_drawdown"), six(F.col("m") / (F.col("s") + 1e-6) * F.sqrt(F.lit(252.0))).alias("sharpe"))
-
-
-def random_walk(dates: DataFrame, seed: int, mean: float = 0.0005, deviation: float = 0.02, start: float = 1_000_000.0) -> DataFrame:
-    """Demonstration equity: the same for the same seed and dates. dates: run_id, trade_date."""
-    uniform = lambda k: (F.pmod(F.xxhash64("run_id", "trade_date", F.lit(seed + k)), F.lit(1 << 53)) + 1) / float((1 << 53) + 1)
-    normal = F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * 3.141592653589793 * uniform(1))
-    w = Window.partitionBy("run_id").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    return dates.withColumn("equity", start * F.exp(F.sum(F.log1p(F.greatest(mean + deviation * normal, F.lit(-0.9)))).over(w)))

@@ -19,10 +19,14 @@ def top_share(bars: DataFrame, percent: float = 5, least: int = 100, places: int
 
 
 def threshold_share(bars: DataFrame, percentile: float = 95, least: int = 100, places: int = 4) -> DataFrame:
-    """share of the amounts that reach the interpolated percentile of their date, on dates with at least `least` rows."""
-    held = bars.where("amount > 0")
-    level = held.groupBy("data_type", "trade_date").agg(F.percentile("amount", percentile / 100).alias("level"), F.count("*").alias("n")).where(F.col("n") >= least)
-    met = held.join(level, ["data_type", "trade_date"])
+    """share of the amounts that reach the interpolated percentile of their date, on dates with at least `least` rows.
+    One sort of a date's rows places both neighbours of the level."""
+    at = (F.count("*").over(by_date()) - 1) * F.lit(percentile / 100)
+    placed = bars.where("amount > 0").withColumn("n", F.count("*").over(by_date())).withColumn("at", at).withColumn("place", F.row_number().over(by_date("amount", "code")) - 1)
+    neighbour = lambda i: F.max(F.when(F.col("place") == i, F.col("amount"))).over(by_date())
+    low, high = neighbour(F.floor("at")), neighbour(F.ceil("at"))
+    level = low + (F.col("at") - F.floor("at")) * (high - low)
+    met = placed.where(F.col("n") >= least).withColumn("level", level)
     exact = F.col("amount").cast("decimal(28,4)")
     sums = met.groupBy("data_type", "trade_date", "n").agg(F.sum(F.when(F.col("amount") >= F.col("level") - F.abs("level") * 1e-9, exact)).alias("top"), F.sum(exact).alias("total"))
     return sums.select("data_type", "trade_date", "n", rounded(F.col("top").cast("double") / F.col("total").cast("double") * 100, places).alias("share"))

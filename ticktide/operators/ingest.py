@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ticktide.functions.columns import clean, day, filled_volume
 
 KEYS = ("data_type", "code", "trade_date")
+ROWS_A_FILE = 2_000_000
 
 
 def calendar(spark: SparkSession, start: str, end: str, holidays: DataFrame) -> DataFrame:
@@ -124,8 +125,11 @@ def row_counts(bars: DataFrame) -> DataFrame:
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Parquet by family and year; a later write replaces the partitions that it has."""
-    out = bars.withColumn("year", F.substring("trade_date", 1, 4)).repartition("data_type", "year")
+    """Parquet by family and year; a later write replaces the partitions that it has. A year of a family is dealt out by code to
+    as many tasks as its rows ask for."""
+    most = bars.groupBy("data_type", F.substring("trade_date", 1, 4).alias("year")).count().agg(F.max("count")).first()[0] or 0
+    part = F.pmod(F.xxhash64("code"), F.lit(max(1, -(-most // ROWS_A_FILE))))
+    out = bars.withColumn("year", F.substring("trade_date", 1, 4)).repartition("data_type", "year", part)
     out.sortWithinPartitions("code", "trade_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("data_type", "year").parquet(path)
 
 
@@ -136,3 +140,27 @@ def read_bars(spark: SparkSession, path: str, data_type: str | None = None) -> D
     if data_type not in ("stock", "sector", "index"):
         raise ValueError(f"unknown family: {data_type}")
     return bars.where(F.col("data_type") == data_type)
+
+
+def write_days(days: DataFrame, path: str) -> None:
+    """Day tables written ahead, Parquet by month. A later write replaces the dates that it has; the others of its months stay."""
+    spark, new = days.sparkSession, days.withColumn("month", F.substring("trade_date", 1, 6))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        old = spark.read.schema(new.schema).parquet(path).join(new.select("month").distinct(), "month", "left_semi").join(new.select("trade_date"), "trade_date", "left_anti")
+        new = new.unionByName(old)
+    new.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+def read_days(spark: SparkSession, path: str, schema: str, start: str = "0", end: str = "9") -> DataFrame:
+    """The stored rows of the dates between two, from the folders of their months alone."""
+    held = spark.read.schema(f"{schema}, month string").parquet(path)
+    return held.where(F.col("month").between(start[:6], end[:6]) & F.col("trade_date").between(start, end)).drop("month")
+
+
+def price_earnings(responses: DataFrame) -> DataFrame:
+    """code, pe_ttm (two decimals) from responses (code, body): a JSON list of objects, of which the last counts, or one object."""
+    listed = F.element_at(F.from_json("body", "array<struct<pe_ttm: double>>"), -1)["pe_ttm"]
+    single = F.from_json("body", "struct<pe_ttm: double>")["pe_ttm"]
+    value = F.when(F.ltrim("body").startswith("["), listed).otherwise(single)
+    return responses.select("code", F.bround(value, 2).alias("pe_ttm"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ticktide.functions.columns import by_date, or_default
 
-#: Names of broad indices that are no sectors.
-BROAD = ("上证", "深证", "创业板", "科创", "沪深300", "中证", "北证", "平均股价", "全A")
+#: Names of broad indices; a sector whose name holds one of them is none.
+BROAD = ("沪深300", "中证500", "上证50", "创业板指", "科创50", "上证180", "深证成指", "上证指数", "通达信88")
 
 
 def without_excluded(rows: DataFrame, exclusions: DataFrame, flag: str, code: str = "code") -> DataFrame:
@@ -43,11 +43,12 @@ def bubbles(derived: DataFrame, basics: DataFrame, period: int = 20) -> DataFram
 
 
 def sector_bubbles(derived: DataFrame, names: DataFrame, period: int = 20) -> DataFrame:
-    """Sectors with turnover, other than broad indices; missing ranks and percentiles are 50."""
+    """Sectors with turnover, other than broad indices; missing ranks and percentiles are 50. place: by amount_pct on each date."""
     held = derived.where("amount > 0").join(names.select("code", "name"), "code", "left").withColumn("name", F.coalesce("name", "code"))
     held = held.where(~F.col("name").rlike("|".join(BROAD)))
     whole = lambda c: or_default(F.col(c).cast("double"), 50.0)
-    return held.select("trade_date", "code", "name", whole(f"rps_{period}").alias("rps"), whole("close_pct").alias("close_pct"), whole("amount_pct").alias("amount_pct"), F.coalesce("chg_pct", F.lit(0.0)).alias("chg_pct"))
+    made = held.select("trade_date", "code", "name", whole(f"rps_{period}").alias("rps"), whole("close_pct").alias("close_pct"), whole("amount_pct").alias("amount_pct"), F.coalesce("chg_pct", F.lit(0.0)).alias("chg_pct"))
+    return made.withColumn("place", F.row_number().over(Window.partitionBy("trade_date").orderBy("amount_pct", "code")))
 
 
 def at_least(ranked: DataFrame, least: int, columns: tuple[str, ...]) -> DataFrame:
@@ -106,3 +107,43 @@ def largest(bars: DataFrame, column: str, k: int) -> DataFrame:
     """The k rows of each date with the largest values, by code among equals."""
     place = F.row_number().over(by_date(F.desc(column), "code"))
     return bars.withColumn("place", place).where(F.col("place") <= k)
+
+
+def index_list(basics: DataFrame, exclusions: DataFrame) -> DataFrame:
+    """code, name of the indices known and of those that exclusions add, without the disabled. The known name comes first."""
+    listed = exclusions.where("category = 'index' AND code <> ''")
+    every = basics.select("code", "name", F.lit(0).alias("o")).unionByName(listed.select("code", F.coalesce("name", "code").alias("name"), F.lit(1).alias("o")))
+    first = every.groupBy("code").agg(F.min(F.struct("o", "name")).alias("f")).select("code", F.col("f.name").alias("name"))
+    return first.join(listed.where("exclude_sync").select("code").distinct(), "code", "left_anti")
+
+
+def sector_list(sectors: DataFrame, ranked: DataFrame, columns: tuple[str, ...] = ("rps_10", "rps_20", "rps_50")) -> DataFrame:
+    """Every sector with the ranks of its own newest date, null without any."""
+    newest = ranked.groupBy("code").agg(F.max("trade_date").alias("trade_date"), *[F.max_by(c, "trade_date").alias(c) for c in columns])
+    return sectors.select("code", "name", "stock_count").join(newest, "code", "left")
+
+
+def first_by_name(*lists: DataFrame) -> DataFrame:
+    """The union of lists of (name, code), one row a name: of the first list that has it, its smallest code."""
+    every = None
+    for i, rows in enumerate(lists):
+        held = rows.select("name", F.struct(F.lit(i).alias("list"), "code").alias("f"))
+        every = held if every is None else every.unionByName(held)
+    return every.groupBy("name").agg(F.min("f").alias("f")).select("name", "f.code", "f.list")
+
+
+def supported(enabled: DataFrame, known: DataFrame) -> DataFrame:
+    """The enabled codes that are known, each once."""
+    return enabled.select("code").intersect(known.select("code"))
+
+
+def stored_dates(bars: DataFrame, code: str, start: str, end: str) -> DataFrame:
+    """has_bars: whether an instrument has any bar between two dates."""
+    return bars.where((F.col("code") == code) & F.col("trade_date").between(start, end)).agg((F.count("*") > 0).alias("has_bars"))
+
+
+def changed_exclusions(exclusions: DataFrame, rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Exclusions after rows are put in by (category, code) and those in gone (category, code) are taken out."""
+    keys = ["category", "code"]
+    kept = exclusions.join(rows.select(*keys), keys, "left_anti").unionByName(rows.dropDuplicates(keys))
+    return kept.join(gone.select(*keys), keys, "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticktide.functions.columns import by_date
@@ -35,16 +35,23 @@ def average_place(value: Column, n: Column | None = None) -> Column:
     return F.when(value.isNotNull(), (F.rank().over(by_date(value.asc_nulls_last())) + (ties - 1) / 2) / n)
 
 
+def _from_prices(bars: DataFrame, periods: tuple[int, ...], least: int, dates: DataFrame | None = None, since: str | None = None) -> DataFrame:
+    counted = bars.withColumn("n_closes", F.count("close").over(Window.partitionBy("data_type", "code")))
+    changes = windows.calendar_changes(counted.where(F.col("n_closes") >= least), periods, since)
+    if dates is not None:
+        changes = changes.join(dates.select("trade_date").distinct(), "trade_date", "left_semi")
+    return changes.withColumns({f"rps_{p}": F.when(F.col(f"chg{p}").isNotNull(), _hundredths(average_place(F.col(f"chg{p}")))) for p in periods}).drop(*[f"chg{p}" for p in periods])
+
+
 def rps_from_prices(bars: DataFrame, periods: tuple[int, ...] = (20, 50, 120, 250), least: int = 120) -> DataFrame:
     """rps_<n> over calendar dates with carried closes, for instruments with at least `least` closes."""
-    held = bars.join(bars.groupBy("data_type", "code").agg(F.count("close").alias("n_closes")).where(F.col("n_closes") >= least), ["data_type", "code"], "left_semi")
-    changes = windows.calendar_changes(held, periods)
-    return changes.withColumns({f"rps_{p}": F.when(F.col(f"chg{p}").isNotNull(), _hundredths(average_place(F.col(f"chg{p}")))) for p in periods}).drop(*[f"chg{p}" for p in periods])
+    return _from_prices(bars, periods, least)
 
 
 def rps_incremental(bars: DataFrame, dates: DataFrame, periods: tuple[int, ...] = (20, 50, 120, 250), least: int = 120) -> DataFrame:
-    """rps_from_prices on some dates; dates without bars give no rows."""
-    return rps_from_prices(bars, periods, least).join(dates.select("trade_date").distinct(), "trade_date", "left_semi")
+    """rps_from_prices on some dates, from the dates and closes that these need; dates without bars give no rows."""
+    since = dates.agg(F.min("trade_date")).first()[0]
+    return _from_prices(bars, periods, least, dates, since or "")
 
 
 def incomplete_dates(bars: DataFrame, check: str = "rps_250", newest: int = 30) -> DataFrame:

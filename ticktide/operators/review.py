@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticktide.functions.columns import by_code, day, rounded, signed
@@ -55,23 +55,41 @@ def market_summary(bars: DataFrame) -> DataFrame:
 
 def new_high_clusters(highs: DataFrame, top: int = 5, shown: int = 4, places: int = 2) -> DataFrame:
     """New highs by sector: count, percent of the date's new highs, mean change, the best by change and the core stocks.
-    Core: the two best by chg_20d, the two best by chg_20d of the five largest amounts, each once, topped up to `shown`.
-    highs: trade_date, code, sector_name, chg_pct, chg_20d, amount."""
-    stock = F.struct(F.coalesce(-F.col("chg_20d"), F.lit(1e18)).alias("o"), "code")
-    by_20 = F.transform(F.sort_array(F.collect_list(stock)), lambda x: x["code"])
-    largest = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("amount")).alias("a"), F.coalesce(-F.col("chg_20d"), F.lit(1e18)).alias("o"), "code"))), 1, 5)
-    of_largest = F.transform(F.sort_array(F.transform(largest, lambda x: F.struct(x["o"].alias("o"), x["code"].alias("code")))), lambda x: x["code"])
-    best = F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce(-F.col("chg_pct"), F.lit(1e18)).alias("o"), "code"))), lambda x: x["code"])
+    Core: the two best by chg_20d, the two best by chg_20d of the five largest amounts, each once, topped up to `shown`. Stocks are
+    only listed once they are among the first of their sector. highs: trade_date, code, sector_name, chg_pct, chg_20d, amount."""
+    of_sector = Window.partitionBy("trade_date", "sector_name")
+    by_20 = [F.col("chg_20d").desc_nulls_last(), F.col("code")]
+    ranked = highs.withColumns(
+        {
+            "by_20": F.row_number().over(of_sector.orderBy(*by_20)),
+            "by_amount": F.row_number().over(of_sector.orderBy(F.col("amount").desc_nulls_last(), *by_20)),
+            "by_change": F.row_number().over(of_sector.orderBy(F.col("chg_pct").desc_nulls_last(), "code")),
+        }
+    )
+    listed = lambda where, by: F.transform(F.array_sort(F.collect_list(F.when(where, F.struct(F.col(by).alias("o"), "code")))), lambda x: x["code"])
     n_all = highs.groupBy("trade_date").agg(F.countDistinct("code").alias("n_all"))
-    per = highs.groupBy("trade_date", "sector_name").agg(F.count("*").alias("n"), rounded(F.avg("chg_pct"), places).alias("avg_chg"), by_20.alias("by_20"), of_largest.alias("of_largest"), best.alias("best"))
-    core = F.slice(F.array_union(F.array_union(F.slice("by_20", 1, 2), F.slice("of_largest", 1, 2)), F.col("by_20")), 1, shown)
+    per = ranked.groupBy("trade_date", "sector_name").agg(
+        F.count("*").alias("n"), rounded(F.avg("chg_pct"), places).alias("avg_chg"), listed(F.col("by_20") <= shown, "by_20").alias("first"), listed(F.col("by_amount") <= 5, "by_20").alias("of_largest"), listed(F.col("by_change") <= shown, "by_change").alias("best")
+    )
+    core = F.slice(F.array_union(F.array_union(F.slice("first", 1, 2), F.slice("of_largest", 1, 2)), F.col("first")), 1, shown)
     place = F.row_number().over(Window.partitionBy("trade_date").orderBy(F.desc("n"), "sector_name"))
-    joined = per.join(n_all, "trade_date").withColumn("place", place).where(F.col("place") <= top)
-    return joined.select("trade_date", "sector_name", "place", "n", rounded(F.col("n") * 100.0 / F.col("n_all"), 1).alias("percent"), "avg_chg", F.array_join(F.slice("best", 1, shown), ",").alias("representative"), F.array_join(core, ",").alias("core"))
+    joined = per.withColumn("place", place).where(F.col("place") <= top).join(n_all, "trade_date")
+    return joined.select("trade_date", "sector_name", "place", "n", rounded(F.col("n") * 100.0 / F.col("n_all"), 1).alias("percent"), "avg_chg", F.array_join("best", ",").alias("representative"), F.array_join(core, ",").alias("core"))
+
+
+#: What is said of an index by its change in percent, above each bound, and of the first and the last of a date.
+COMMENTS = ((2.0, "大涨"), (1.0, "偏强"), (0.5, "小幅上涨"), (0.0, "窄幅震荡"), (-0.5, "小幅回调"), (-1.0, "偏弱"))
+LOWEST, BEST, WORST = "大跌", "表现最强，领先全场", "表现最弱，明显落后"
+#: States of the market by the percent of stocks above their 50-day mean, from each bound on.
+STATES = ((70, "强势"), (50, "偏强"), (35, "分化"))
+WEAKEST = "弱势"
+#: Percent of the new highs in one sector, and number of new highs, above which they count as an effect.
+BLOCK_PERCENT, MANY_HIGHS = 10, 100
 
 
 def index_overview(bars: DataFrame) -> DataFrame:
-    """Each date's indices with their change since their date before, the best and worst of them, and a word for the day."""
+    """Each date's indices with their change since their date before, the best and worst of them, a comment on each and a word for
+    the day: whether all rose, all fell, or how far they are apart."""
     before = F.lag("close").over(by_code())
     pct = F.when(before > 0, rounded((F.col("close") - before) / before * 100))
     held = bars.withColumn("pct", pct).where("pct IS NOT NULL")
@@ -84,16 +102,49 @@ def index_overview(bars: DataFrame) -> DataFrame:
             "all_up": F.bool_and(F.col("pct") > 0).over(per_date),
             "all_down": F.bool_and(F.col("pct") < 0).over(per_date),
             "spread": F.max("pct").over(per_date) - F.min("pct").over(per_date),
+            "n": F.count("*").over(per_date),
         }
     )
-    comment = F.when(F.col("pct") >= 2, "大涨").when(F.col("pct") >= 0.5, "上涨").when(F.col("pct") > -0.5, "平稳").when(F.col("pct") > -2, "下跌").otherwise("大跌")
+    comment = F.when(F.col("place") == 1, BEST).when(F.col("place") == F.col("n"), WORST)
+    for bound, word in COMMENTS:
+        comment = comment.when(F.col("pct") > bound, word)
+    comment = comment.otherwise(LOWEST)
     style = F.when(F.col("all_up"), "全面做多").when(F.col("all_down"), "全面承压").when(F.col("spread") >= 2, "结构分化").otherwise("窄幅震荡")
     return held.select("trade_date", "code", "place", "pct", "leader", "laggard", comment.alias("comment"), style.alias("style"))
 
 
+def market_state(percent: Column) -> Column:
+    found = F.lit(WEAKEST)
+    for bound, word in reversed(STATES):
+        found = F.when(percent >= bound, word).otherwise(found)
+    return found
+
+
+def market_signals(summary: DataFrame, strong: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Each date's breadth, strong stocks and new highs with what they mean: the market's state, and whether new highs gather in
+    one sector (block), are many (many) or few. summary: market_summary(); strong: strong_by_rank(); clusters: new_high_clusters()."""
+    n_strong = strong.groupBy("trade_date").agg(F.count("*").alias("n_strong"))
+    first = clusters.where("place = 1").select("trade_date", F.col("sector_name").alias("top_sector"), F.col("n").alias("top_n"), F.col("percent").alias("top_percent"))
+    made = summary.join(n_strong, "trade_date", "left").join(first, "trade_date", "left").withColumn("n_strong", F.coalesce("n_strong", F.lit(0)))
+    return interpretation(made)
+
+
 def interpretation(signals: DataFrame) -> DataFrame:
-    """A line on each date's breadth, concentration and new highs. signals: trade_date, breadth, top_percent, n_new_high."""
-    mood = F.when(F.col("breadth") >= 70, "强势").when(F.col("breadth") >= 50, "偏强").when(F.col("breadth") >= 35, "震荡").otherwise("弱势")
-    block = F.when(F.col("top_percent") > 10, "板块集中").otherwise("板块分散")
-    highs = F.when(F.col("n_new_high") > 100, "新高活跃").otherwise("新高有限")
-    return signals.withColumn("text", F.concat_ws("，", F.concat(mood, signed(F.col("breadth"))), block, highs))
+    """state and effect of each date, and a line with both. signals: trade_date, percent_above, top_percent, n_new_high."""
+    effect = F.when(F.col("top_percent") > BLOCK_PERCENT, "block").when(F.col("n_new_high") > MANY_HIGHS, "many").otherwise("few")
+    made = signals.withColumn("state", market_state(F.col("percent_above"))).withColumn("effect", effect)
+    return made.withColumn("text", F.concat_ws(" ", "state", signed(F.col("percent_above")), F.col("n_new_high").cast("string"), "effect"))
+
+
+def full_review(overview: DataFrame, strong: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row a date: its indices, strong stocks and sectors of strong stocks as arrays in their order. Each is short: indices are
+    few, stocks and sectors are cut to their places before."""
+    ordered = lambda df, name, *columns: df.groupBy("trade_date").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", *columns))), lambda x: x[columns[0]]), ",").alias(name))
+    made = ordered(overview, "indices", "code").join(ordered(strong, "stocks", "code"), "trade_date", "full")
+    return made.join(ordered(clusters, "sectors", "sector_name"), "trade_date", "full")
+
+
+def market_tables(bins: DataFrame, amounts: DataFrame, prices: DataFrame) -> DataFrame:
+    """The three tables of a date's stocks as one: by rank, by amount and by price. Each: trade_date, lower, n, avg_chg."""
+    marked = [df.withColumn("kind", F.lit(kind)) for kind, df in (("rps", bins), ("amount", amounts), ("price", prices))]
+    return marked[0].unionByName(marked[1]).unionByName(marked[2])

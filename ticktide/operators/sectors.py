@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticktide.functions.columns import plain_name, rounded
+from ticktide.functions.columns import plain_names, rounded
 
 OTHER = "其他"
 
@@ -67,29 +67,30 @@ def sector_breadth(bars: DataFrame, sectors: DataFrame, limit: float = 9.8) -> D
 
 
 def match_names(wanted: DataFrame, known: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Codes for names in tiers, the first that finds one: the name itself, an alias, without brackets, without endings, a known
-    name within it or it within a known one, the same with an alias's target. wanted: name; known: name, code; aliases: alias, name."""
+    """Codes for names in tiers, the first that finds one: the name itself, an alias, without brackets, without one ending (in
+    their order), a known name within it or it within a known one, the same with an alias's target. Names within each other share
+    their first or last pieces of two characters, by which they are joined. wanted: name; known: name, code; aliases: alias, name."""
     alias = aliases.groupBy("alias").agg(F.min("name").alias("target"))
     codes = known.groupBy(F.col("name").alias("known_name")).agg(F.min("code").alias("code"))
     bare = F.regexp_replace("name", "[（(].*?[)）]", "")
-    base = wanted.select("name").distinct().join(alias, F.col("name") == F.col("alias"), "left").select("name", "target", bare.alias("bare"), plain_name(F.col("name")).alias("plain"))
-    tiers = []
-    for tier, key in enumerate(("name", "target", "bare", "plain"), 1):
-        tiers.append(base.join(codes, F.col(key) == F.col("known_name")).select("name", F.lit(tier).alias("tier"), "known_name", "code"))
-    for tier, key in ((5, "plain"), (6, "target")):
-        text = F.col(key)
-        within = (F.length(text) > 1) & (F.col("known_name").contains(text) | text.contains(F.col("known_name")))
-        tiers.append(base.join(F.broadcast(codes), within).select("name", F.lit(tier).alias("tier"), "known_name", "code"))  # sector names: hundreds
-    found = tiers[0]
-    for t in tiers[1:]:
-        found = found.unionByName(t)
-    best = found.groupBy("name").agg(F.min(F.struct("tier", "known_name", "code")).alias("b"))
+    base = wanted.select("name").distinct().join(alias, F.col("name") == F.col("alias"), "left").select("name", "target", bare.alias("bare"))
+    plain = base.select("name", F.posexplode(plain_names(F.col("name"))).alias("nth", "text"))
+    keyed = base.select("name", F.inline(F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(0).alias("nth"), F.col(c).alias("text")) for t, c in ((1, "name"), (2, "target"), (3, "bare"))])))
+    exact = keyed.unionByName(plain.select("name", F.lit(4).alias("tier"), "nth", "text")).join(codes, F.col("text") == F.col("known_name"))
+    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, 2)))
+    loose = base.select("name", F.inline(F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(0).alias("nth"), F.col(c).alias("text")) for t, c in ((5, "bare"), (6, "target"))]))).where(F.length("text") > 1)
+    left = loose.withColumn("piece", F.explode(pieces(F.col("text"))))
+    right = codes.where(F.length("known_name") > 1).withColumn("piece", F.explode(pieces(F.col("known_name"))))
+    within = left.join(right, "piece").where(F.col("known_name").contains(F.col("text")) | F.col("text").contains(F.col("known_name"))).drop("piece").distinct()
+    best = exact.unionByName(within).groupBy("name").agg(F.min(F.struct("tier", "nth", "known_name", "code")).alias("b"))
     return wanted.join(best, "name", "left").select("name", F.col("b.code").alias("code"), F.col("b.tier").alias("tier"))
 
 
 def import_codes(rows: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Sectors after a file of (code, name) is imported: by code or else by name it renames or recodes a sector, or adds one."""
-    kept = rows.where(F.col("code").rlike("^88[01]")).dropDuplicates(["code"])
+    """Sectors after a file of (code, name) is imported: by code or else by name it renames or recodes a sector, or adds one. Of
+    rows with one code the first counts, by a column nth, without it by name."""
+    first = F.row_number().over(Window.partitionBy("code").orderBy("nth" if "nth" in rows.columns else "name"))
+    kept = rows.where(F.col("code").rlike("^88[01]")).withColumn("_n", first).where("_n = 1").select("code", "name")
     by_code = kept.join(sectors.select("code"), "code", "left_semi").select(F.col("code").alias("was"), "code", "name")
     fresh = kept.join(by_code.select("code"), "code", "left_anti")
     by_name = fresh.join(sectors.select(F.col("code").alias("was"), "name"), "name").select("was", "code", "name")

@@ -19,12 +19,11 @@ def quantile_groups(bars: DataFrame, column: str, groups: int = 50, exact: bool
     """Rows in the order of a column cut at int(i * n / groups), the quotient a double unless exact: count and mean chg_pct."""
     held = bars.where(F.col("chg_pct").isNotNull())
     placed = held.withColumn("r", F.row_number().over(by_date(column, "code")) - 1).withColumn("n", F.count("*").over(by_date()))
-    i = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("i")
     bound = lambda k: (F.floor(k * F.col("n") / groups) if exact else F.floor(k * (F.col("n").cast("double") / F.lit(float(groups))))).cast("long")
-    sizes = placed.select("data_type", "trade_date", "n").distinct().select("data_type", "trade_date", "n", i)
-    bounds = sizes.select("data_type", "trade_date", "i", bound(F.col("i")).alias("lo"), bound(F.col("i") + 1).alias("hi"))
-    met = placed.join(bounds, ["data_type", "trade_date"]).where("r >= lo AND r < hi")
-    return met.groupBy("trade_date", (F.col("i") * 2).alias("lower")).agg(F.count("*").alias("n"), rounded(F.avg("chg_pct")).alias("avg_chg"))
+    near = F.ceil((F.col("r") + 1) * groups / F.col("n")) - 1  # the first group that ends behind r, or one beside it: quotients are rounded
+    group = F.when(F.col("r") < bound(F.col("i")), F.col("i") - 1).when(F.col("r") >= bound(F.col("i") + 1), F.col("i") + 1).otherwise(F.col("i"))
+    met = placed.withColumn("i", near).withColumn("i", group).where(F.col("i").between(0, groups - 1))
+    return met.groupBy("trade_date", (F.col("i") * 2).cast("int").alias("lower")).agg(F.count("*").alias("n"), rounded(F.avg("chg_pct")).alias("avg_chg"))
 
 
 def breadth(bars: DataFrame) -> DataFrame:

@@ -70,18 +70,47 @@ def first_value_scaled(bars: DataFrame) -> DataFrame:
     return bars.withColumn("scaled", rounded((F.col("close") / first - 1) * 100 + 50))
 
 
-def densified(bars: DataFrame) -> DataFrame:
-    """A row for each instrument and each date of its family, closes carried forward; observed says whether there was a bar."""
-    dates, codes = bars.select("data_type", "trade_date").distinct(), bars.select("data_type", "code").distinct()
-    grid = codes.join(dates, "data_type")
-    found = grid.join(bars.select("data_type", "code", "trade_date", "close"), ["data_type", "code", "trade_date"], "left")
-    last = F.last("close", ignorenulls=True).over(by_code().rowsBetween(Window.unboundedPreceding, 0))
-    return found.withColumn("observed", F.col("close").isNotNull()).withColumn("close", last)
-
-
-def calendar_changes(bars: DataFrame, periods: tuple[int, ...]) -> DataFrame:
+def horizon(bars: DataFrame, first: str, rows: int) -> DataFrame:
+    """What an incremental run from `first` on must read: the bars since then and each instrument's last `rows` before."""
+    old = F.col("trade_date") < first
+    place = F.row_number().over(Window.partitionBy("data_type", "code", old).orderBy(F.desc("trade_date")))
+    return bars.withColumn("_n", place).where(~old | (F.col("_n") <= rows)).drop("_n")
+
+
+def changes_on(bars: DataFrame, trade_date: str, periods: tuple[int, ...] = CHANGES) -> DataFrame:
+    """chg_pct and chg_<n>d of one date, from no more history than they need."""
+    held = horizon(valid(bars).where(F.col("trade_date") <= trade_date), trade_date, max(periods))
+    return period_changes(held, periods).where(F.col("trade_date") == trade_date)
+
+
+def calendar_of(bars: DataFrame) -> DataFrame:
+    """data_type, trade_date, at: a family's dates, numbered from 0; newest: the last number. As many rows as trading days."""
+    w = Window.partitionBy("data_type")
+    dates = bars.select("data_type", "trade_date").distinct()
+    return dates.withColumn("at", F.row_number().over(w.orderBy("trade_date")) - 1).withColumn("newest", F.count("*").over(w).cast("int") - 1)
+
+
+def densified(bars: DataFrame, since: str | None = None, before: int = 0) -> DataFrame:
+    """A row for each instrument with a close and each date of its family, closes carried forward; observed says whether there
+    was a bar. since: only that date, `before` dates before it, and later ones. Each bar makes the rows up to the next one."""
+    dates = calendar_of(bars)
+    start = F.lit(0)
+    if since is not None:
+        dates = dates.withColumn("start", F.min(F.when(F.col("trade_date") >= since, F.col("at"))).over(Window.partitionBy("data_type")) - before)
+        start = F.coalesce("start", F.col("newest") + 1)
+    placed = bars.where("close IS NOT NULL").select("data_type", "code", "trade_date", "close").join(F.broadcast(dates), ["data_type", "trade_date"])
+    w = Window.partitionBy("data_type", "code").orderBy("at")
+    own = F.greatest(F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise(F.col("at")), start)
+    spans = placed.withColumn("own", own).withColumn("last", F.coalesce(F.lead("at").over(w) - 1, F.col("newest"))).where("own <= last")
+    rows = spans.select("data_type", "code", "close", F.col("at").alias("bar"), F.explode(F.sequence("own", "last")).alias("at"))
+    close = F.when(F.col("at") >= F.col("bar"), F.col("close"))
+    named = rows.join(F.broadcast(dates.select("data_type", "at", "trade_date")), ["data_type", "at"])
+    return named.select("data_type", "code", "trade_date", close.alias("close"), (F.col("at") == F.col("bar")).alias("observed"))
+
+
+def calendar_changes(bars: DataFrame, periods: tuple[int, ...], since: str | None = None) -> DataFrame:
     """chg<n> over n dates of the family's calendar with closes carried forward, unrounded; one column a period."""
-    dense = densified(bars)
+    dense = densified(bars, since, max(periods))
     made = {}
     for p in periods:
         before = F.lag("close", p).over(by_code())
@@ -89,13 +118,26 @@ def calendar_changes(bars: DataFrame, periods: tuple[int, ...]) -> DataFrame:
     return dense.withColumns(made)
 
 
+#: Values that a running mean appends to one array; arrays of so many are then joined, so that no step copies a long one.
+BLOCK = 64
+
+
 def ema(ordered, span: int, seed_rows: int = 1):
     """Exponential means of an array of doubles. The seed is the value at place seed_rows; places before it are null."""
     k = 2.0 / (span + 1)
-    start = F.array_repeat(F.lit(None).cast("double"), seed_rows - 1)
-    seeded = F.when(F.size(ordered) >= seed_rows, F.concat(start, F.array(F.element_at(ordered, seed_rows)))).otherwise(F.transform(ordered, lambda _: F.lit(None).cast("double")))
+    nulls = F.array_repeat(F.lit(None).cast("double"), seed_rows - 1)
     rest = F.slice(ordered, seed_rows + 1, F.greatest(F.size(ordered) - seed_rows, F.lit(0)))
-    return F.aggregate(rest, seeded, lambda made, x: F.concat(made, F.array(x * k + F.element_at(made, -1) * (1 - k))))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(rest) - 1) / BLOCK), F.lit(0)).cast("int")), lambda i: F.slice(rest, i * BLOCK + 1, BLOCK))
+    empty = F.array().cast("array<array<double>>")
+    first = F.element_at(ordered, seed_rows)
+
+    def taken(made, block):
+        step = lambda m, x: F.concat(m, F.array(x * k + F.element_at(m, -1) * (1 - k)))
+        both = lambda m: F.struct(F.element_at(m, -1).alias("last"), F.concat(made["made"], F.array(F.slice(m, 2, BLOCK))).alias("made"))
+        return F.aggregate(block, F.array(made["last"]), step, both)
+
+    means = F.aggregate(blocks, F.struct(first.alias("last"), empty.alias("made")), taken, lambda m: F.flatten(m["made"]))
+    return F.when(F.size(ordered) >= seed_rows, F.concat(nulls, F.array(first), means)).otherwise(F.transform(ordered, lambda _: F.lit(None).cast("double")))
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, seed: str = "first") -> DataFrame:

@@ -80,7 +80,7 @@ def rps_incremental(spark, d):
 
 
 def incomplete_dates(spark, d):
-    return ranks.incomplete_dates(ranks.rps_from_changes(changed(spark, d)), "rps_20")
+    return ranks.incomplete_dates(ranks.rps_from_changes(changed(spark, d)), "rps_20", 5000)
 
 
 def _percentiles(kind):
@@ -265,7 +265,7 @@ QUERIES = {
     "rps_parity": (rps_parity, _select(f"{sql.CHANGES}, {sql.RPS.format('chg')}", "coalesce(rps_20, 1) AS rps_20", "rps")),
     "rps_from_price": (rps_from_price, f"WITH {_dense_sql((20, 250))} SELECT code, trade_date, observed, rps_20, rps_250 FROM drps"),
     "rps_incremental": (rps_incremental, f"WITH {_dense_sql((20,))} SELECT code, trade_date, rps_20 FROM drps WHERE trade_date IN (SELECT DISTINCT trade_date FROM bars ORDER BY 1 DESC LIMIT 30)"),
-    "incomplete_dates": (incomplete_dates, f"WITH {sql.CHANGES}, {sql.RPS.format('chg')}, c AS (SELECT data_type, trade_date, count(*) AS n_rows, count(*) FILTER (rps_20 >= 0) AS n_ranked FROM rps GROUP BY 1, 2 ORDER BY 2 DESC LIMIT 30) SELECT * FROM c WHERE n_ranked < n_rows"),
+    "incomplete_dates": (incomplete_dates, f"WITH {sql.CHANGES}, {sql.RPS.format('chg')}, c AS (SELECT data_type, trade_date, count(*) AS n_rows, count(*) FILTER (rps_20 >= 0) AS n_ranked FROM rps GROUP BY 1, 2 ORDER BY 2 DESC LIMIT 5000) SELECT * FROM c WHERE n_ranked < n_rows"),
     **{name: (_percentiles(kind), _pct_sql(e)) for name, (kind, e) in _PERCENTS.items()},
     "rps_sum_active": (rps_sum_active, _select(sql.RANKED, "rps_sum, is_active", "strength")),
     "cr_topk": (cr_topk, f"""WITH {sql.MONTH_BARS}, p AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY amount DESC, code) AS r, count(*) OVER (PARTITION BY trade_date) AS n FROM mbars WHERE amount > 0)
