@@ -1,12 +1,14 @@
 """Minimum-bin-slack packing of documents into token sequences.
 
-Longer documents are cut into pieces of the capacity; only first pieces may be shorter, so only they need packing. How many
-pieces there are of each length is all that the plan needs, and lengths are at most the capacity: the plan is made from that
-small table, whatever the corpus. For each bin the longest length left is taken and a bitset subset-sum over the lengths
-available finds the fullest feasible combination; it is removed as often as the counts allow. Pieces then get their place by
-their rank among those of their length; ranks are counted in shards, so that no length is gathered in one task.
-
-Null text: empty. An empty document is one piece holding the end id alone. Repeated doc_ids: each row is a document.
+Longer documents are cut into pieces of the capacity; only first pieces may be shorter, so only they need packing: a full piece
+is a sequence of its own. How many pieces there are of each length is all that the plan needs, and lengths are at most the
+capacity: the plan is made from that small table, whatever the corpus. For each bin the longest length left is taken and a bitset
+subset-sum over the lengths available finds the fullest feasible combination; it is removed as often as the counts allow. Pieces
+then get their place by their rank among those of their length; ranks are counted in shards, as many as the commonest length
+asks for, so that no length is gathered in one task.
+
+Null text: empty. An empty document is one piece holding the end id alone. Long texts are cut like others. Repeated and null
+doc_ids: each row is a document. Ties: equal pieces may change places. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticktide.llm import common, tokens
@@ -102,16 +104,23 @@ def place_runs(plan: list[tuple[int, list[tuple[int, int]]]], capacity: int) ->
     return np.array(sorted(runs), np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, shards: int = 256) -> DataFrame:
+#: Pieces of a length that are ranked in one task, about.
+IN_SHARD = 100_000
+
+
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, in_shard: int = IN_SHARD) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece."""
-    spark: SparkSession = docs.sparkSession
     pieces = common.stored(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
-    keyed = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
-    held = keyed.groupBy("length", "shard").agg(F.count("*").alias("n"))  # at most capacity * shards rows
     counts = np.zeros(capacity + 1, np.int64)
-    for row in held.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
+    for row in pieces.where(F.col("length") < capacity).groupBy("length").agg(F.count("*").alias("n")).collect():  # at most capacity rows
         counts[row.length] = row.n
-    runs = place_runs(plan_bins(counts, capacity), capacity)
+    shards = max(1, -(-int(counts.max()) // in_shard))
+    plan = plan_bins(counts, capacity)
+    runs, n_bins = place_runs(plan, capacity), sum(times for times, _ in plan)
+    keyed = pieces.where(F.col("length") < capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    if shards > 1:  # what is counted must be what is ranked
+        keyed = common.stored(keyed, "sharded")
+    held = keyed.groupBy("length", "shard").agg(F.count("*").alias("n"))  # at most capacity * shards rows
     before = held.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).select("length", "shard", F.coalesce("before", F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     ranked = keyed.withColumn("rank", rank.cast("long")).join(before, ["length", "shard"]).withColumn("rank", F.col("rank") + F.col("before"))
@@ -125,4 +134,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
             nth, slot = np.divmod(rank - run[:, 1], run[:, 3])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(run[:, 2] + nth), pa.array(run[:, 4] + slot * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    packed = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    whole = pieces.where(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id() + n_bins).withColumn("offset", F.lit(0).cast("long"))
+    return packed.unionByName(whole)
