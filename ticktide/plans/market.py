@@ -417,7 +417,7 @@ def stream_upsert(spark, d):
         rows.write.parquet(f"{path}/in/part={n}")
     stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/in/*")
     streams.upsert_stream(stream, f"{path}/table", f"{path}/state").awaitTermination()
-    return streams.current(spark, f"{path}/table").select("code", "trade_date", rounded(F.col("close"), 8).alias("close"), "is_final")
+    return streams.merged(spark, f"{path}/table", first.schema).select("code", "trade_date", rounded(F.col("close"), 8).alias("close"), "is_final")
 
 
 _YH = sql.YEAR_HIGH.format("chg", "close")
