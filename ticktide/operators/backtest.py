@@ -44,7 +44,7 @@ def equity(trades: DataFrame, prices: DataFrame, capital: float) -> DataFrame:
     held = F.coalesce(F.sum("quantity").over(Window.partitionBy("run_id", "code").orderBy("trade_date")), F.lit(0))
     old = held - F.coalesce("quantity", F.lit(0))
     gain = old * (F.col("close") - F.coalesce("before", F.col("close"))) + F.coalesce("quantity", F.lit(0)) * F.col("close") - F.coalesce("paid", F.lit(0.0))
-    summed = daily.withColumn("gain", F.bround(gain, 4).cast("decimal(28,4)")).groupBy("run_id", "trade_date").agg(F.sum("gain").alias("gain"))
+    summed = daily.withColumn("gain", F.bround(gain, 8).cast("decimal(28,8)")).groupBy("run_id", "trade_date").agg(F.sum("gain").alias("gain"))
     so_far = F.sum("gain").over(Window.partitionBy("run_id").orderBy("trade_date"))
     return summed.select("run_id", "trade_date", (capital + so_far.cast("double")).alias("equity"))
 

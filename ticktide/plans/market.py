@@ -449,10 +449,10 @@ _OVERVIEW = """p AS (SELECT *, CASE WHEN lag("close") OVER (PARTITION BY code OR
 
 
 def _equity_sql(bars, runs, columns):
-    """Each run's purchases on first bars, daily gains rounded to four places, and their running sum."""
+    """Each run's purchases on first bars, daily gains rounded to eight places, and their running sum."""
     return f"""WITH {bars}, runs(run_id, lots) AS (VALUES {runs}), m AS (SELECT code, trade_date, "close" AS c, lag("close") OVER w AS b, row_number() OVER w AS i FROM bars_ WINDOW w AS (PARTITION BY code ORDER BY trade_date)),
       d AS (SELECT run_id, trade_date, lots * 100 AS q, i, c, b, (c + 0.01::DOUBLE) * (lots * 100) AS cost FROM m, runs),
-      g AS (SELECT run_id, trade_date, sum(CAST(round_even(CASE WHEN i = 1 THEN q * c - (cost + greatest(cost * 3e-4::DOUBLE, 5) + cost * 2e-5::DOUBLE) ELSE q * (c - b) END, 4) AS DECIMAL(28,4))) AS gain FROM d GROUP BY 1, 2)
+      g AS (SELECT run_id, trade_date, sum(CAST(round_even(CASE WHEN i = 1 THEN q * c - (cost + greatest(cost * 3e-4::DOUBLE, 5) + cost * 2e-5::DOUBLE) ELSE q * (c - b) END, 8) AS DECIMAL(28,8))) AS gain FROM d GROUP BY 1, 2)
       SELECT {columns}, round_even(1e9 + CAST(sum(gain) OVER (PARTITION BY run_id ORDER BY trade_date) AS DOUBLE), 2) AS equity FROM g"""
 
 
@@ -522,7 +522,9 @@ QUERIES = {
     "sharpe_annual": (sharpe_annual, f"WITH {_EQUITY} SELECT run_id, n AS n_days, round_even(l / f - 1, 6) AS total_return, round_even(pow(1 + (l / f - 1), 252.0::DOUBLE / n) - 1, 6) AS annual_return, round_even(dd, 6) AS max_drawdown, round_even(CASE WHEN s > 0 THEN (m - 0.03::DOUBLE / 252) / s * sqrt(252.0::DOUBLE) ELSE 0 END, 6) AS sharpe FROM sums"),
     "quick_metrics": (quick_metrics, f"WITH {_EQUITY} SELECT run_id, round_even(l / f - 1, 6) AS total_return, round_even((l / f - 1) * 365 / n, 6) AS annual_return, round_even(-dd, 6) AS max_drawdown, round_even(m / (sp + 1e-6) * sqrt(252.0::DOUBLE), 6) AS sharpe FROM sums"),
     "fee_table": (fee_table, "SELECT o_orderkey, round_even(greatest(o_totalprice * 3e-4::DOUBLE, 5), 6) AS commission, round_even(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice * 2e-5::DOUBLE ELSE 0 END, 6) AS transfer, round_even(CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice * 5e-4::DOUBLE ELSE 0 END, 6) AS stamp FROM orders"),
-    "backtest_equity": (backtest_equity, _equity_sql(f"{sql.INDEX_BARS}, bars_ AS (SELECT * FROM ibars)", "('one', 1)", "trade_date")),
+    "backtest_equity": (backtest_equity, f"""WITH {sql.INDEX_BARS}, b AS (SELECT *, first_value("close") {sql.W} + 0.01 AS p FROM ibars), first AS (SELECT code, min(trade_date) AS f, arg_min("close", trade_date) + 0.01 AS p FROM ibars GROUP BY 1),
+      days AS (SELECT DISTINCT trade_date FROM ibars), grid AS (SELECT d.trade_date, f.code, f.f, f.p, last_value(b."close" IGNORE NULLS) OVER (PARTITION BY f.code ORDER BY d.trade_date ROWS UNBOUNDED PRECEDING) AS c FROM days d CROSS JOIN first f LEFT JOIN ibars b ON b.code = f.code AND b.trade_date = d.trade_date)
+      SELECT trade_date, round_even(1e9 + sum(CASE WHEN trade_date >= f THEN 100 * c - (100 * p + greatest(100 * p * 3e-4::DOUBLE, 5) + 100 * p * 2e-5::DOUBLE) ELSE 0 END), 2) AS equity FROM grid GROUP BY 1"""),
     "backtest_equity_stocks": (backtest_equity_stocks, _equity_sql(f"{sql.BARS}, bars_ AS (SELECT * FROM bars)", "('lots1', 1), ('lots2', 2), ('lots5', 5)", "run_id, trade_date")),
     "backtest_trades": (backtest_trades, f"""WITH {sql.BARS}, f AS (SELECT code, min(trade_date) AS trade_date, arg_min("close", trade_date) + 0.01::DOUBLE AS price FROM bars GROUP BY 1)
       SELECT run_id, trade_date, code, 'BUY' AS direction, CAST(lots * 100 AS BIGINT) AS quantity, round_even(price, 6) AS price, round_even(greatest(price * (lots * 100) * 3e-4::DOUBLE, 5) + price * (lots * 100) * 2e-5::DOUBLE, 6) AS fees FROM f, (VALUES ('lots1', 1), ('lots2', 2), ('lots5', 5)) AS r(run_id, lots)"""),
