@@ -44,3 +44,23 @@ def test_run_equals_the_stages(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, docs.select(columns).collect())) == sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).select(columns).collect()))
+
+
+@pytest.mark.parametrize("rows", ["none", "odd"])
+def test_stages_take_odd_tables(spark, sf_dir, tmp_path, rows):
+    """An empty table; nulls, ties, repeated rows, a long text and columns with names that operators use."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node long, _word int, _place int, copies int, rank int, mark long, part int"
+    long = " ".join(f"w{i % 997}" for i in range(40_000))
+    same = "one two three four five six seven eight nine ten"
+    made = [] if rows == "none" else [(1, None, None, None, None), (2, "", "en", "a", 0), (3, long, "en", "a", 1), (4, same, "en", "b", 2), (5, same, "en", "b", 2), (5, same, "en", "b", 2), (None, "no id here", None, None, 3)]
+    docs = spark.createDataFrame([(*x, 7, 7, 7, 7, 7, 7, 7) for x in made], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, counts = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert name == "packing" or docs.columns == [x.split()[0] for x in schema.split(", ")]
+        counts[name] = docs.count()
+    assert counts == dict.fromkeys(counts, 0) if rows == "none" else (counts["toxicity"], counts["near_dedup"], counts["pii"]) == (7, 5, 5)
