@@ -160,7 +160,7 @@ def read_days(spark: SparkSession, path: str, schema: str, start: str = "0", end
 
 def price_earnings(responses: DataFrame) -> DataFrame:
     """code, pe_ttm (two decimals) from responses (code, body): a JSON list of objects, of which the last counts, or one object."""
-    listed = F.element_at(F.from_json("body", "array<struct<pe_ttm: double>>"), -1)["pe_ttm"]
+    listed = F.try_element_at(F.from_json("body", "array<struct<pe_ttm: double>>"), F.lit(-1))["pe_ttm"]
     single = F.from_json("body", "struct<pe_ttm: double>")["pe_ttm"]
     value = F.when(F.ltrim("body").startswith("["), listed).otherwise(single)
     return responses.select("code", F.bround(value, 2).alias("pe_ttm"))

@@ -129,7 +129,7 @@ def ema(ordered, span: int, seed_rows: int = 1):
     rest = F.slice(ordered, seed_rows + 1, F.greatest(F.size(ordered) - seed_rows, F.lit(0)))
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(rest) - 1) / BLOCK), F.lit(0)).cast("int")), lambda i: F.slice(rest, i * BLOCK + 1, BLOCK))
     empty = F.array().cast("array<array<double>>")
-    first = F.element_at(ordered, seed_rows)
+    first = F.try_element_at(ordered, F.lit(seed_rows))
 
     def taken(made, block):
         step = lambda m, x: F.concat(m, F.array(x * k + F.element_at(m, -1) * (1 - k)))

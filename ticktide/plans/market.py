@@ -375,6 +375,23 @@ def amounts_in_units(spark, d):
     return bindings.read(spark, d, "orders").select("o_orderkey", columns.in_units(F.floor(F.col("o_totalprice") / 1000) * 1e6).alias("amount"), columns.unified_volume(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")), F.col("o_custkey")).alias("volume"))
 
 
+def stored_bars(spark, d):
+    """Written by family and year and read back."""
+    path = f"{_stream_folder(spark, 'bars')}/bars"
+    ingest.write_bars(bindings.stock_bars(spark, d).unionByName(bindings.index_bars(spark, d)), path)
+    return ingest.read_bars(spark, path, "stock").select("code", "trade_date", "volume", "amount")
+
+
+def closed_market(spark, d):
+    return bindings.read(spark, d, "events").select("event_id", ingest.final_now(F.col("ts").cast("timestamp")).alias("closed"))
+
+
+def renamed_sectors(spark, d):
+    """Sectors after a file that renames those of even nations and adds one."""
+    rows = bindings.read(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("8803"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("code"), F.concat(F.lit("new "), "n_name").alias("name"))
+    return sectors.import_codes(rows.unionByName(spark.createDataFrame([("881999", "added"), ("123", "bad")], "code string, name string")), bindings.sector_basics(spark, d))
+
+
 def _tick_stream(spark, d):
     return spark.readStream.schema(bindings.read(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
 
@@ -559,6 +576,10 @@ QUERIES = {
     "largest_amounts": (largest_amounts, f"WITH {sql.BARS} SELECT trade_date, row_number() OVER (PARTITION BY trade_date ORDER BY amount DESC, code) AS place, code, amount FROM bars QUALIFY place <= 3"),
     "last_tick_a_day": (last_tick_a_day, f"WITH {_TICKS} SELECT code, strftime(ts, '%Y%m%d') AS trade_date, event_id, price FROM ticks QUALIFY row_number() OVER (PARTITION BY code, strftime(ts, '%Y%m%d') ORDER BY event_id DESC) = 1"),
     "amounts_in_units": (amounts_in_units, "WITH o AS (SELECT *, floor(o_totalprice / 1000) * 1e6::DOUBLE AS v FROM orders) SELECT o_orderkey, CASE WHEN v >= 1e8 THEN printf('%.2f亿', v / 1e8) WHEN v >= 1e4 THEN printf('%.2f万', v / 1e4) ELSE printf('%.2f', v) END AS amount, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_custkey * 100 END AS volume FROM o"),
+    "stored_bars": (stored_bars, f"WITH {sql.BARS} SELECT code, trade_date, volume, amount FROM bars"),
+    "closed_market": (closed_market, "SELECT event_id, hour(ts + INTERVAL 8 HOURS) * 60 + minute(ts + INTERVAL 8 HOURS) >= 900 AS closed FROM events"),
+    "renamed_sectors": (renamed_sectors, f"""WITH {sql.SECTORS}, s AS (SELECT sector AS code, sector_name AS name, CAST(count(*) AS INTEGER) AS stock_count FROM member GROUP BY 1, 2), e AS (SELECT '8803' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS code, 'new ' || n_name AS name FROM nation WHERE n_nationkey % 2 = 0)
+      SELECT code, coalesce(e.name, s.name) AS name, stock_count FROM s LEFT JOIN e USING (code) UNION ALL SELECT code, name, 0 FROM e WHERE code NOT IN (SELECT code FROM s) UNION ALL SELECT '881999', 'added', 0"""),
     "stream_tumbling": (stream_tumbling, f"WITH {_TICKS} SELECT code, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, {_TICK_BARS} FROM ticks GROUP BY 1, 2, 3"),
     "stream_sliding": (stream_sliding, f"WITH {_TICKS}, t AS (SELECT *, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS s FROM ticks) SELECT code, s AS window_start, s + INTERVAL 2 DAY AS window_end, {_TICK_BARS} FROM t GROUP BY 1, 2, 3"),
     "stream_session": (stream_session, f"WITH {_TICKS}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY code ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM ticks), s AS (SELECT *, sum(new) OVER (PARTITION BY code ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT code, min(ts) AS window_start, max(ts) + INTERVAL 1 HOUR AS window_end, {_TICK_BARS} FROM s GROUP BY code, k"),
