@@ -15,7 +15,8 @@ A language's limits are quantiles of its trusted documents' perplexities, with s
 documents take those of all.
 
 Null, empty or blank text: no perplexity, not kept. Null language: a language of its own. Repeated rows: each counts and is scored.
-Without trusted text words are as likely as their spelling of equally likely symbols, and nothing but those texts is dropped.
+Without trusted text words are as likely as their spelling of equally likely symbols, and nothing but those texts is dropped. Long
+texts are cut into words in blocks. An empty table gives no rows. Other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ ip, card, phone) are reported whenever their own test passes. Further kinds need
 pass mod 97, US social security numbers need a word that says so nearby, secrets need their name and mixed characters.
 
 Positions are code points, ends exclusive. Null text: empty. Every expression runs in time linear in the text: none can start
-again inside a run that it has failed on. Repeated rows: each is searched.
+again inside a run that it has failed on. A text of any length is searched whole. Repeated rows: each is searched. Ties: spans that
+start together come in the order of KINDS. An empty table gives no rows. Other columns stay as they are, whatever they are called.
 """
 
 from __future__ import annotations

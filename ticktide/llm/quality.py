@@ -4,7 +4,9 @@ Each document is measured and tested against rules on its own text. Failures are
 column), each host's rate of failure is shrunk towards the others' with a beta prior fitted to the hosts by moments, and a
 host whose shrunken rate is above the limit is rejected with all its documents.
 
-Null text: no words, so the document fails. Null source: a host of its own. Repeated rows: each is measured and counted.
+Null or empty text: no words, so the document fails. A text of any length is measured whole. Null source: a host of its own.
+Repeated rows: each is measured and counted. Windows that tie by hash count as equal, see repeated_words(). An empty table gives
+no rows. Other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
