@@ -24,11 +24,13 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 BLANK, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: The code points with Unicode's White_Space property.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Ranges of code points outside of which there are no letters and numbers.
+ASSIGNED = ((0, 0x33480), (0xE0000, 0xE1000))
 #: Distinct pre-tokens that a worker remembers at most, about.
 CACHE = 300_000
 
 _classes: np.ndarray | None = None
-_coders: dict[str, "BatchCoder"] = {}
+_coders: dict[tuple[str, int], "BatchCoder"] = {}
 
 
 def char_classes() -> np.ndarray:
@@ -36,7 +38,9 @@ def char_classes() -> np.ndarray:
     global _classes
     if _classes is None:
         kinds = {"L": LETTER, "N": NUMBER}
-        table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+        table = np.full(0x110000, OTHER, np.uint8)
+        for first, end in ASSIGNED:
+            table[first:end] = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(first, end)), np.uint8, end - first)
         table[WHITE_SPACE] = BLANK
         _classes = table
     return _classes
@@ -155,9 +159,10 @@ def same_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 class BatchCoder:
     """encode() gives the same ids as the library's encode() of each text, add_special_tokens=False."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
+        self.cache = cache
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
@@ -176,8 +181,8 @@ class BatchCoder:
     def shrink(self) -> None:
         """Forgets pieces that one batch alone had, and of the others the rarer ones beyond half of the cache."""
         keep = np.flatnonzero(self.met > 1)
-        if len(keep) > CACHE // 2:
-            keep = np.sort(keep[np.argsort(-self.met[keep], kind="stable")[: CACHE // 2]])
+        if len(keep) > self.cache // 2:
+            keep = np.sort(keep[np.argsort(-self.met[keep], kind="stable")[: self.cache // 2]])
         names, counts = list(self.known), np.diff(self.at)[keep]
         self.known = {names[i]: k for k, i in enumerate(keep.tolist())}
         self.flat, self.at = self.flat[ragged(self.at[keep], counts)], np.append(0, np.cumsum(counts))
@@ -231,7 +236,7 @@ class BatchCoder:
         number = lambda pieces: np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         held = number(distinct)
         new = distinct[held < 0]
-        if len(self.known) + len(new) > CACHE and len(self.known):
+        if len(self.known) + len(new) > self.cache and len(self.known):
             self.shrink()
             held = number(distinct)
             new = distinct[held < 0]
@@ -255,11 +260,18 @@ class BatchCoder:
         return ids, ends
 
 
-def coder(path: str) -> BatchCoder:
+def coder(path: str, cache: int = CACHE) -> BatchCoder:
     """The process's coder for a vocabulary file."""
-    if path not in _coders:
-        _coders[path] = BatchCoder(path)
-    return _coders[path]
+    if (path, cache) not in _coders:
+        _coders[path, cache] = BatchCoder(path, cache)
+    return _coders[path, cache]
+
+
+def release() -> None:
+    """Lets the process's coders go: workers outlive stages, and those that don't encode shouldn't hold them."""
+    if _coders:
+        _coders.clear()
+        pa.default_memory_pool().release_unused()
 
 
 def slices(batch: pa.RecordBatch, *columns: str, size: int = 2 << 20):

@@ -33,6 +33,8 @@ _STAGED = "kind int, key binary, doc_id long, n_tokens long, body binary"
 _RECIPES = "part int, kind int, nth long, doc_id long, start long, n_tokens long, root binary, recipe binary"
 _PARTS = "part int, n_documents long, n_tokens long, root binary"
 _TOP = "n_parts int, n_documents long, n_tokens long, root binary"
+#: Distinct pre-tokens that a worker remembers, and bytes of text that it encodes at once.
+CACHE, AT_ONCE = 400_000, 3 << 20
 #: Digests that a task remembers, so as to send a chunk once.
 SEEN = 500_000
 _REFS = "part int, nth long, doc_id long, start long, n_tokens long, digest binary, n long, ids_after long"
@@ -94,9 +96,9 @@ def _staged(docs: DataFrame, tokenizer_path: str, end_id: int, width: str) -> Da
     """Chunks, each once a task, and documents with their recipes, from one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, seen = tokens.coder(tokenizer_path), set()
+        code, seen = tokens.coder(tokenizer_path, CACHE), set()
         for batch in batches:
-            for part in tokens.slices(batch, "text"):
+            for part in tokens.slices(batch, "text", size=AT_ONCE):
                 ids, at = code.encode(part.column("text"))
                 ids = np.insert(ids, at[1:], end_id)
                 at = at + np.arange(len(at))
@@ -136,15 +138,23 @@ def _staged(docs: DataFrame, tokenizer_path: str, end_id: int, width: str) -> Da
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _STAGED)
 
 
+def _fixed(keys: pa.Array) -> np.ndarray:
+    """Digests as rows of bytes."""
+    return np.frombuffer(keys.buffers()[2], np.uint8)[keys.offset * DIGEST : (keys.offset + len(keys)) * DIGEST].reshape(-1, DIGEST) if len(keys) else np.zeros((0, DIGEST), np.uint8)
+
+
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the chunks of a partition, which has all of a digest's, in order, the first of each digest; all documents."""
-    last = None
+    tokens.release()
+    last = np.zeros((0, DIGEST), np.uint8)
     for batch in batches:
-        keys, keep = batch.column("key").to_pylist(), []
-        for kind, before, key in zip(batch.column("kind").to_pylist(), [last, *keys], keys):
-            keep.append(kind == 1 or key != before)
-        last = keys[-1] if keys else last
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        keys = _fixed(batch.column("key"))
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+        if len(last) and len(keys):
+            fresh[0] = (keys[0] != last[0]).any()
+        last = keys[-1:].copy() if len(keys) else last
+        yield batch.filter(pa.array(fresh | (batch.column("kind").to_numpy() == 1)))
 
 
 def part_leaf(doc_id: int | None, n_tokens: int, root: bytes) -> bytes:
@@ -251,6 +261,7 @@ class TokenStore:
         """A row per chunk of each document, with how many ids follow it there; recipes are checked against their roots."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tokens.release()
             names = ["part", "nth", "doc_id", "start", "n_tokens"]
             for batch in batches:
                 recipes = batch.column("recipe").to_pylist()
@@ -263,9 +274,9 @@ class TokenStore:
                 upto = np.cumsum(sizes)
                 of = np.repeat(np.arange(len(counts)), counts)
                 ends = upto[np.cumsum(counts) - 1]
-                keys = entries[:, :DIGEST].copy().view(f"V{DIGEST}").ravel()
+                keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(DIGEST), len(entries), [None, pa.py_buffer(entries[:, :DIGEST].tobytes())]).cast(pa.binary())
                 taken = pa.array(of)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in names), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(sizes), pa.array(ends[of] - upto)], [*names, "digest", "n", "ids_after"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in names), keys, pa.array(sizes), pa.array(ends[of] - upto)], [*names, "digest", "n", "ids_after"])
 
         return self.documents().select("part", "nth", "doc_id", "start", "n_tokens", "root", "recipe").mapInArrow(run, _REFS)
 
@@ -281,8 +292,11 @@ class TokenStore:
                 keys, bodies = batch.column("key").to_pylist(), batch.column("body").to_pylist()
                 if any(digest(b) != k for k, b in zip(keys, bodies)):
                     raise ValueError("a chunk doesn't match its digest")
-                ids = [np.frombuffer(b, width) for b in bodies]
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())], ["key", "held", "crc"])
+                ids = memoryview(np.frombuffer(b"".join(bodies), width).astype("<u4")).cast("B")
+                sizes = np.array([len(b) for b in bodies], np.int64) // np.dtype(width).itemsize
+                ends = 4 * np.cumsum(sizes)
+                crcs = [zlib.crc32(ids[a:b]) for a, b in zip((ends - 4 * sizes).tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes), pa.array(crcs, pa.int64())], ["key", "held", "crc"])
 
         return self.chunks().mapInArrow(run, "key binary, held long, crc long")
 
