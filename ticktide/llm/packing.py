@@ -104,17 +104,17 @@ def place_runs(plan: list[tuple[int, list[tuple[int, int]]]], capacity: int) ->
     return np.array(sorted(runs), np.int64).reshape(-1, 5)
 
 
-#: Pieces of a length that are ranked in one task, about.
-IN_SHARD = 100_000
+#: Shards for the pieces of a length: one for so many of the commonest length, within a number that bounds the table of counts.
+IN_SHARD, MOST_SHARDS = 1_000, 4096
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, in_shard: int = IN_SHARD) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece."""
     pieces = common.stored(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for row in pieces.where(F.col("length") < capacity).groupBy("length").agg(F.count("*").alias("n")).collect():  # at most capacity rows
         counts[row.length] = row.n
-    shards = max(1, -(-int(counts.max()) // in_shard))
+    shards = min(max(1, -(-int(counts.max()) // IN_SHARD)), MOST_SHARDS)
     plan = plan_bins(counts, capacity)
     runs, n_bins = place_runs(plan, capacity), sum(times for times, _ in plan)
     keyed = pieces.where(F.col("length") < capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))

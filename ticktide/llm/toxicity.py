@@ -6,7 +6,9 @@ their own. Features are words and beginnings of words, chosen by how their docum
 
 Fitting uses a sample of labelled documents, MAX_TRAIN at most (a parameter), taken in the order of a hash of doc_id; scoring
 covers all. labels rows without toxic are left out; of several for a doc_id the largest counts. Null or empty text: no
-sentence, probability 0. Without labels of both kinds: every score is 0. Repeated rows: each is scored.
+sentence, probability 0. Without labels of both kinds: every score is 0. Repeated rows: each is scored. Long texts are scored sentence by sentence, whole. Ties:
+of features that tell equally much the first by name is chosen, of equally bad sentences the first is placed. An empty table gives
+no rows. Other columns stay as they are, whatever they are called.
 """
 
 from __future__ import annotations
@@ -175,6 +177,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """A row per document: its score and the place of its worst sentence (code points; -1 without one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         for batch in batches:
             for part in tokens.slices(batch, "text"):
                 rows = [model.score(t) for t in part.column("text").to_pylist()]
@@ -189,6 +192,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
     """The documents that score below the threshold, with their columns as they were."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         for batch in batches:
             for part in tokens.slices(batch, "text"):
                 yield part.filter(pa.array([model.score(t)[0] < threshold for t in part.column("text").to_pylist()], pa.bool_()))
