@@ -5,7 +5,8 @@ A document's set is its distinct word shingles; documents with equal sets are on
    below MISS a pair at the threshold (sets of up to K shingles surely), so each needs inverted lists only for its rarest
    values beyond that number: two such lists must meet. Values that one document alone has need no list at all.
 2. Candidates from the lists in rounds that never pair all members: first each list's smallest member with the others, then
-   a member picked by hash, each time only across components not yet linked. In the end short lists are paired, and in long
+   a member picked by hash, each time only across components not yet linked, and of those a member meets the ones with which it
+   shares most lists. In the end short lists are paired, and in long
    ones members are told apart by how they differ from a central member, one whose lists are long: two that are similar, of
    which one isn't similar to that member, must share differences, so their rarest differences meet in lists of their own. How
    many differences each has, and how many of them any other has, bounds a pair's similarity before it is taken up. Long
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticktide.llm import common, tokens
@@ -40,6 +41,8 @@ MISS = 1e-9
 WORDS, PERCENT = 5, 80
 #: Lists up to this long are paired in the end; longer ones are told apart by differences, which finds the same links.
 SHORT = 8
+#: Pivots that a member is compared with in each round before the last steps.
+PIVOTS = 2
 #: Members of a list that meet its pivot in one task.
 PART = 256
 
@@ -102,8 +105,9 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
+        tokens.release()
         for batch in batches:
-            for part in tokens.slices(batch, "text"):
+            for part in tokens.slices(batch, "text", size=1 << 20):
                 sets = shingle_sets(part.column("text"), words)
                 prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 sketches = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(min(len(s), K) for s in sets)]), pa.int32()), pa.array(np.concatenate([s[:K] for s in sets] or [np.zeros(0, np.uint64)]).astype(np.int64)))
@@ -268,11 +272,17 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
         new = common.stored(estimated(new, sketches, percent), f"candidates-{how}")
         return new.union(tried) if tried else new, new if new.isEmpty() else common.stored(verified(new, texts, words, percent), f"links-{how}")
 
+    def best(met: DataFrame) -> DataFrame:
+        """Of each node's pivots those with which it shares most lists. What is left out here later steps find."""
+        shared = met.where("component != pc").groupBy("node", "n", "component", "pivot", "pn", "pc").agg(F.count("*").alias("overlap"))
+        place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("overlap"), "pivot"))
+        return shared.withColumn("place", place).where(F.col("place") <= PIVOTS)
+
     other = lambda some, *more: some.select("value", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"), *more)
     open_ = lists.withColumn("component", F.col("node"))
     for how, order in (("smallest", F.struct("node")), ("hashed", F.struct(F.xxhash64("node", "value"), F.col("node")))):
         pivots = open_.groupBy("value").agg(F.min_by(F.struct("node", "n", "component"), order).alias("p"), F.max("size").alias("size")).select("value", "p.node", "p.n", "p.component", "size")
-        tried, links = tested(dealt(open_).join(to_all_parts(other(pivots, "size")), ["value", "part"]), how)
+        tried, links = tested(best(dealt(open_).join(to_all_parts(other(pivots, "size")), ["value", "part"])), how)
         labels = merged(labels, links)
         open_ = across(lists)
     short, long = open_.where(F.col("size") <= SHORT), open_.where(F.col("size") > SHORT)
