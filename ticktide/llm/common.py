@@ -19,6 +19,8 @@ BLANKS = "[\\x20\\x09-\\x0D]+"
 LEAST_BITS, MOST_BITS = 1 << 23, 1 << 26
 #: Ids that the bitmap takes for others and that may be sent along; beyond, the rows in doubt are joined.
 EXCEPTIONS = 1_000_000
+#: Keys that looked_up() sends along, at most.
+SENT_KEYS = 100_000
 
 _scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
@@ -162,3 +164,36 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     if not exact:
         kept = kept.unionByName(having(True).join(gone, "node", "left_anti"))
     return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, inner)])
+
+
+def finite(vector) -> F.Column:
+    """Whether a vector column is there and all its components are finite numbers."""
+    return vector.isNotNull() & ~F.exists(vector, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+
+
+def whole_numbers(column: pa.Array, width: int, scale: float, most: float = 2.0**62) -> np.ndarray:
+    """floor(scale * c) of each component of a column of vectors, as longs, a vector to a row. Shorter vectors are filled up with
+    zeros; what is beyond +-most becomes that."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out, rows = np.zeros((len(sizes), width), np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    scaled = np.floor(scale * column.flatten().to_numpy(zero_copy_only=False).astype(float))
+    out[rows, np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.clip(scaled, -most, most).astype(np.int64)
+    return out
+
+
+def looked_up(rows: DataFrame, key: str, found: DataFrame, weight: str) -> DataFrame:
+    """rows with the other columns of found (stored, a row for each key) beside them, null where it has none; null keys are equal.
+    weight: how many of the rows a key has. The SENT_KEYS heaviest keys are broadcast, so many at most whatever the size of the
+    tables. Where there are more, the others are joined by a shuffle, in which none of them has over 1 / SENT_KEYS of the rows."""
+    made = [c for c in found.columns if c not in (key, weight)]
+    named = found.select(F.col(key).alias("_key"), *made, weight)
+    sent, rest = named, None
+    if found.count() > SENT_KEYS:
+        sent = stored(named.orderBy(F.desc(weight), "_key").limit(SENT_KEYS), "heavy-keys")
+        rest = named.join(sent.select(F.col("_key").alias("_sent")), F.col("_key").eqNullSafe(F.col("_sent")), "left_anti")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    met = rows.join(F.broadcast(sent.select("_key", *made, F.lit(True).alias("_met"))), same, "left").drop("_key")
+    if rest is not None:
+        others = met.where("_met IS NULL").drop(*made).join(rest.select("_key", *made), same, "left").drop("_key")
+        met = met.where("_met").unionByName(others)
+    return met.select(*rows.columns, *made)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticktide.llm import common, language_model, licenses, mixing, near_dups, packing, pii, quality, tokenstore, topk, toxicity
+from ticktide.llm import common, language_model, licenses, mixing, near_dups, packing, pii, quality, tokenstore, topk, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -57,7 +57,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_license_scan, op3_exact_top_k, op4_toxicity, op5_quality_rules, op6_minhash_near_dedup, op7_token_store, op8_mixing, op9_quality_classifier, op10_best_fit_packing)}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.fresh_path(spark, "warc")
+    streams = warc.write(common.table(spark, sf_dir, "pages"), f"{folder}/streams")
+    members = warc.normalise(streams, f"{folder}/streams", f"{folder}/members")
+    return warc.read(members, f"{folder}/members").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_license_scan, op3_exact_top_k, op4_toxicity, op5_quality_rules, op6_minhash_near_dedup, op7_token_store, op8_mixing, op9_quality_classifier, op10_best_fit_packing, op13_warc)}
 _WORDS = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -84,4 +91,7 @@ ORACLE_SQL: dict[str, str] = {
       reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
       c AS (SELECT a AS doc_id, least(a, min(b)) AS component_id FROM reach GROUP BY a)
       SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op13_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+      f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS first FROM d)
+      SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to FROM f""",
 }
