@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticktide.llm import common, language_model, licenses, mixing, near_dups, packing, pii, quality, tokenstore, topk, toxicity, warc
+from ticktide.llm import common, language_model, licenses, mixing, near_dups, packing, pii, quality, tokenstore, topk, toxicity, vectorcodes, warc, whitening
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -57,6 +57,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(common.table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(common.table(spark, sf_dir, "embeddings"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.fresh_path(spark, "warc")
     streams = warc.write(common.table(spark, sf_dir, "pages"), f"{folder}/streams")
@@ -64,9 +72,17 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(members, f"{folder}/members").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_license_scan, op3_exact_top_k, op4_toxicity, op5_quality_rules, op6_minhash_near_dedup, op7_token_store, op8_mixing, op9_quality_classifier, op10_best_fit_packing, op13_warc)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_license_scan, op3_exact_top_k, op4_toxicity, op5_quality_rules, op6_minhash_near_dedup, op7_token_store, op8_mixing, op9_quality_classifier, op10_best_fit_packing, op11_vector_codes, op12_whitening, op13_warc)}
 _WORDS = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
+def _codebook_rounds(n: int) -> str:
+    """Tables a<k>, each part's nearest entry of codebook c<k>, and the codebooks that follow."""
+    nearest = "a{0} AS MATERIALIZED (SELECT vec_id, part, b.e AS entry, b.d AS d FROM (SELECT vec_id, p.part, min({{'d': list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'e': entry}}) AS b FROM p JOIN c{0} USING (part) GROUP BY 1, 2))"
+    means = """m{1} AS MATERIALIZED (SELECT part, entry, list(m ORDER BY i) AS m FROM (SELECT part, entry, i, floor(sum(x[i]) / count(*)) AS m FROM (SELECT part, entry, x, unnest(generate_series(1, len(x))) AS i FROM a{0} JOIN p USING (vec_id, part)) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+      c{1} AS MATERIALIZED (SELECT part, entry, coalesce(m, c) AS c FROM c{0} LEFT JOIN m{1} USING (part, entry))"""
+    return ", ".join([f"{nearest.format(k)}, {means.format(k, k + 1)}" for k in range(n)] + [nearest.format(n)])
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
       s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
@@ -91,6 +107,13 @@ ORACLE_SQL: dict[str, str] = {
       reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
       c AS (SELECT a AS doc_id, least(a, min(b)) AS component_id FROM reach GROUP BY a)
       SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op11_vector_codes": f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      p AS MATERIALIZED (SELECT vec_id, j AS part, e[j * (len(e) // 4) + 1:(j + 1) * (len(e) // 4)] AS x FROM v, range(4) AS g(j)),
+      c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p QUALIFY entry < 256),
+      {_codebook_rounds(4)},
+      k AS (SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY 1),
+      h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: CAST(y AS BIGINT)), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c4)
+      SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN embeddings USING (vec_id), h""",
     "op13_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
       f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS first FROM d)
       SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to FROM f""",
