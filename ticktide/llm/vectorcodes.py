@@ -5,9 +5,9 @@ part of the SIZE vectors of smallest id; a round assigns every part to the neare
 each entry's place. Entries that no part chose stay.
 
 The nearest entry is found by lower bounds, coarse to fine. Over a block of m components with means a, b and residuals (what differs
-from the mean) of norms r, s, the squared distance is at least m * (a - b)^2 + (r - s)^2. A part meets every entry with one block,
-the whole part; then, of the entries whose bound isn't above the best exact distance so far, with 2 blocks, 4, and so on. What is
-left gets its exact distance in whole numbers. Bounds are lowered by what rounding can add, so no entry that is nearest, or as near
+from the mean) of norms r, s, the squared distance is at least m * (a - b)^2 + (r - s)^2. A part meets the entries with one block,
+the whole part, then with 2 blocks, 4, and so on; entries whose bound is above the best exact distance so far are out. That best
+distance is of the entry of lowest bound at each step. What is left at the end gets its exact distance in whole numbers. Bounds are lowered by what rounding can add, so no entry that is nearest, or as near
 as that, is left out, and of equals the lowest index is taken.
 
 A round reads the table once. Tasks send sums and counts of each entry, summed by the shuffle; the driver holds a codebook and its
@@ -74,32 +74,21 @@ def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     width, xf, cf = x.shape[1], x.astype(float), entries.astype(float)
-    norm = lambda v: (width + 16) * 2.0**-50 * np.sqrt((v * v).sum(axis=1))  # noqa: E731  what rounding can add to a bound
-    xs, cs, every = norm(xf), norm(cf), np.arange(len(x))
-    a, b = features(xf, 1), features(cf, 1)
-    square = (a[:, :1] - b[:, 0]) ** 2
-    square += (a[:, 1:] - b[:, 1]) ** 2
-    lower = np.sqrt(square) - xs[:, None] - cs
-    first = lower.argmin(axis=1)
-    best, made = exact(x, entries, every, first), len(x)
-    reach = lambda d: np.sqrt(d.astype(float)) * (1 + 2.0**-50)
-    upper = reach(best)
-    rows, columns = np.nonzero(lower <= upper[:, None])
-    n = 2
-    while n < width and len(rows) > len(x):
-        a, b, lower = features(xf, n), features(cf, n), np.empty(len(rows))
-        for i in range(0, len(rows), GATHERED):
-            r, c = rows[i : i + GATHERED], columns[i : i + GATHERED]
-            d = a[r] - b[c]
-            lower[i : i + GATHERED] = np.sqrt(np.einsum("ij,ij->i", d, d)) - xs[r] - cs[c]
-        least = np.minimum.reduceat(lower, np.searchsorted(rows, every))  # a row always has a pair: that of its best entry
-        at = np.flatnonzero(lower == least[rows])
-        at = at[np.append(True, rows[at[1:]] != rows[at[:-1]])]
-        upper = np.minimum(upper, reach(exact(x, entries, every, columns[at])))
-        made += len(x)
-        kept = lower <= upper[rows]
-        rows, columns = rows[kept], columns[kept]
-        n *= 2
+    square = lambda v: np.einsum("ij,ij->i", v, v)
+    slack = (width + 32) * 2.0**-49 * (square(xf)[:, None] + square(cf))  # what rounding can add to a bound
+    every, n, made, best, left = np.arange(len(x)), 1, 0, None, None
+    while True:
+        a, b = features(xf, n), features(cf, n)
+        lower = square(a)[:, None] + square(b) - 2 * (a @ b.T) - slack
+        if left is not None:
+            lower[~left] = np.inf
+        distance = exact(x, entries, every, lower.argmin(axis=1))
+        best = distance if best is None else np.minimum(best, distance)
+        left = lower <= (best.astype(float) * (1 + 2.0**-50))[:, None]
+        made, n = made + len(x), 2 * n
+        if n >= width or np.count_nonzero(left) <= 2 * len(x):
+            break
+    rows, columns = np.nonzero(left)  # a row always has an entry left: that of its best distance
     distance = exact(x, entries, rows, columns)
     starts = np.searchsorted(rows, every)
     least = np.minimum.reduceat(distance, starts)
