@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticktide.functions.columns import clean, day, filled_volume
+from ticktide.sources.store import Snapshots, by_family_and_year
 
 KEYS = ("data_type", "code", "trade_date")
-ROWS_A_FILE = 2_000_000
 
 
 def calendar(spark: SparkSession, start: str, end: str, holidays: DataFrame) -> DataFrame:
@@ -125,37 +126,31 @@ def row_counts(bars: DataFrame) -> DataFrame:
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Parquet by family and year; a later write replaces the partitions that it has. A year of a family is dealt out by code to
-    as many tasks as its rows ask for."""
-    most = bars.groupBy("data_type", F.substring("trade_date", 1, 4).alias("year")).count().agg(F.max("count")).first()[0] or 0
-    part = F.pmod(F.xxhash64("code"), F.lit(max(1, -(-most // ROWS_A_FILE))))
-    out = bars.withColumn("year", F.substring("trade_date", 1, 4)).repartition("data_type", "year", part)
-    out.sortWithinPartitions("code", "trade_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("data_type", "year").parquet(path)
-
-
-def read_bars(spark: SparkSession, path: str, data_type: str | None = None) -> DataFrame:
-    bars = spark.read.option("basePath", path).parquet(path).drop("year")
-    if data_type is None:
-        return bars
-    if data_type not in ("stock", "sector", "index"):
+    """Parquet by family and year, in a snapshot; a later write replaces the partitions that it has."""
+    Snapshots(bars.sparkSession, path).replace(bars, by_family_and_year())
+
+
+def read_bars(spark: SparkSession, path: str, data_type: str | None = None, start: str = "0", end: str = "9") -> DataFrame:
+    """The stored bars of a family, or all, between two dates, from the folders of their years alone."""
+    if data_type not in (None, "stock", "sector", "index"):
         raise ValueError(f"unknown family: {data_type}")
-    return bars.where(F.col("data_type") == data_type)
+    asked = lambda family, year: data_type in (None, family) and start[:4] <= year <= end[:4]
+    return Snapshots(spark, path).read(wanted=lambda partition: asked(*partition.split("/"))).where(F.col("trade_date").between(start, end))
 
 
 def write_days(days: DataFrame, path: str) -> None:
-    """Day tables written ahead, Parquet by month. A later write replaces the dates that it has; the others of its months stay."""
-    spark, new = days.sparkSession, days.withColumn("month", F.substring("trade_date", 1, 6))
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        old = spark.read.schema(new.schema).parquet(path).join(new.select("month").distinct(), "month", "left_semi").join(new.select("trade_date"), "trade_date", "left_anti")
-        new = new.unionByName(old)
-    new.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    """Day tables written ahead, Parquet by month, in a snapshot. A later write replaces the dates that it has; the others of its
+    months stay."""
+    table, month = Snapshots(days.sparkSession, path), F.substring("trade_date", 1, 6)
+    touched = {r[0] for r in days.select(month).distinct().collect()}  # months
+    old = table.read(days.schema, lambda partition: partition in touched).join(days.select("trade_date"), "trade_date", "left_anti")
+    table.replace(days.unionByName(old), {"month": month}, sort=("trade_date",))
 
 
 def read_days(spark: SparkSession, path: str, schema: str, start: str = "0", end: str = "9") -> DataFrame:
     """The stored rows of the dates between two, from the folders of their months alone."""
-    held = spark.read.schema(f"{schema}, month string").parquet(path)
-    return held.where(F.col("month").between(start[:6], end[:6]) & F.col("trade_date").between(start, end)).drop("month")
+    held = Snapshots(spark, path).read(T.StructType.fromDDL(schema), lambda partition: start[:6] <= partition <= end[:6])
+    return held.where(F.col("trade_date").between(start, end))
 
 
 def price_earnings(responses: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ticktide.plans import sql
 from ticktide.sources import bindings
 
 ID = ["code", "trade_date"]
+DERIVED = ["chg_pct", "chg_20d", "ma20", "vol_ma5", "rps_20", "rps_50", "rps_sum", "is_active", "close_pct", "amount_pct"]
 
 
 def changed(spark, d):
@@ -57,8 +58,7 @@ def batch_ma_all(spark, d):
 
 
 def derived_fields(spark, d):
-    columns = ["chg_pct", "chg_20d", "ma20", "vol_ma5", "rps_20", "rps_50", "rps_sum", "is_active", "close_pct", "amount_pct"]
-    return ranks.derived(bindings.stock_bars(spark, d)).select(*ID, *columns)
+    return ranks.derived(bindings.stock_bars(spark, d)).select(*ID, *DERIVED)
 
 
 def rps_from_chg(spark, d):

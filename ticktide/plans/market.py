@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ticktide.functions import columns
 from ticktide.functions.columns import rounded
 from ticktide.operators import backtest, ingest, pool, ranks, resample, review, sectors, tables, windows
 from ticktide.plans import factors, sql
-from ticktide.sources import bindings
-from ticktide.streaming import bars as streams
+from ticktide.sources import bindings, store
 
 TODAY = "20010101"
 #: Numbers by which demonstrations pick rows.
@@ -282,7 +278,7 @@ def full_review(spark, d):
 
 def day_table(spark, d):
     """Written ahead, date by date, and read back."""
-    path = f"{_stream_folder(spark, 'days')}/days"
+    path = store.fresh_folder(spark, "days")
     breadth = tables.breadth(windows.moving_averages(factors.changed(spark, d), volume=())).drop("data_type")
     ingest.write_days(breadth, path)
     return ingest.read_days(spark, path, "n long, above_ma50 double, above_ma20 double, trade_date string")
@@ -377,7 +373,7 @@ def amounts_in_units(spark, d):
 
 def stored_bars(spark, d):
     """Written by family and year and read back."""
-    path = f"{_stream_folder(spark, 'bars')}/bars"
+    path = store.fresh_folder(spark, "bars")
     ingest.write_bars(bindings.stock_bars(spark, d).unionByName(bindings.index_bars(spark, d)), path)
     return ingest.read_bars(spark, path, "stock").select("code", "trade_date", "volume", "amount")
 
@@ -392,51 +388,6 @@ def renamed_sectors(spark, d):
     return sectors.import_codes(rows.unionByName(spark.createDataFrame([("881999", "added"), ("123", "bad")], "code string, name string")), bindings.sector_basics(spark, d))
 
 
-def _tick_stream(spark, d):
-    return spark.readStream.schema(bindings.read(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
-
-
-def _ticks(rows):
-    return rows.select(F.lpad(F.col("user_id").cast("string"), 6, "0").alias("code"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("price"))
-
-
-def _stream_folder(spark, name):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="ticktide-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-
-
-def _landed(spark, name, rows):
-    path = _stream_folder(spark, name)
-    return streams.landed(rows, f"{path}/table", f"{path}/state")
-
-
-def stream_tumbling(spark, d):
-    return _landed(spark, "tumbling", streams.windowed(_ticks(_tick_stream(spark, d)), "1 day"))
-
-
-def stream_sliding(spark, d):
-    return _landed(spark, "sliding", streams.windowed(_ticks(_tick_stream(spark, d)), "2 days", "1 day"))
-
-
-def stream_session(spark, d):
-    return _landed(spark, "sessions", streams.sessions(_ticks(_tick_stream(spark, d)), "1 hour"))
-
-
-def stream_upsert(spark, d):
-    path = _stream_folder(spark, "upserts")
-    first, final = _marked(spark, d)
-    for n, rows in enumerate((first, final)):
-        rows.write.parquet(f"{path}/in/part={n}")
-    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/in/*")
-    streams.upsert_stream(stream, f"{path}/table", f"{path}/state").awaitTermination()
-    return streams.merged(spark, f"{path}/table", first.schema).select("code", "trade_date", rounded(F.col("close"), 8).alias("close"), "is_final")
-
-
 _YH = sql.YEAR_HIGH.format("chg", "close")
 _STRONG = f"""{sql.CHANGES}, strong AS (SELECT trade_date, code, row_number() OVER (PARTITION BY trade_date ORDER BY "close" / year_high DESC, code) AS place, round_even("close" / year_high * 100, 1) AS ratio, "close" / year_high >= 0.99 AS touches
   FROM {sql.YEAR_HIGH.format('chg', 'high')} WHERE "close" / year_high >= 0.9 QUALIFY place <= 50)"""
@@ -580,8 +531,4 @@ QUERIES = {
     "closed_market": (closed_market, "SELECT event_id, hour(ts + INTERVAL 8 HOURS) * 60 + minute(ts + INTERVAL 8 HOURS) >= 900 AS closed FROM events"),
     "renamed_sectors": (renamed_sectors, f"""WITH {sql.SECTORS}, s AS (SELECT sector AS code, sector_name AS name, CAST(count(*) AS INTEGER) AS stock_count FROM member GROUP BY 1, 2), e AS (SELECT '8803' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS code, 'new ' || n_name AS name FROM nation WHERE n_nationkey % 2 = 0)
       SELECT code, coalesce(e.name, s.name) AS name, stock_count FROM s LEFT JOIN e USING (code) UNION ALL SELECT code, name, 0 FROM e WHERE code NOT IN (SELECT code FROM s) UNION ALL SELECT '881999', 'added', 0"""),
-    "stream_tumbling": (stream_tumbling, f"WITH {_TICKS} SELECT code, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, {_TICK_BARS} FROM ticks GROUP BY 1, 2, 3"),
-    "stream_sliding": (stream_sliding, f"WITH {_TICKS}, t AS (SELECT *, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS s FROM ticks) SELECT code, s AS window_start, s + INTERVAL 2 DAY AS window_end, {_TICK_BARS} FROM t GROUP BY 1, 2, 3"),
-    "stream_session": (stream_session, f"WITH {_TICKS}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY code ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM ticks), s AS (SELECT *, sum(new) OVER (PARTITION BY code ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT code, min(ts) AS window_start, max(ts) + INTERVAL 1 HOUR AS window_end, {_TICK_BARS} FROM s GROUP BY code, k"),
-    "stream_upsert": (stream_upsert, _UPSERTED),
 }
