@@ -8,6 +8,7 @@ pre-tokenizer, go through the library whole.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import unicodedata
@@ -274,6 +275,14 @@ def release() -> None:
         pa.default_memory_pool().release_unused()
 
 
+def trim() -> None:
+    """Gives the memory that the process holds but doesn't use back to the system, where its allocator can."""
+    pa.default_memory_pool().release_unused()
+    trimmed = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trimmed is not None:
+        trimmed(0)
+
+
 def slices(batch: pa.RecordBatch, *columns: str, size: int = 2 << 20):
     """Parts of a batch whose texts have about size bytes at most, a single longer text in a part of its own."""
     lengths = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns))

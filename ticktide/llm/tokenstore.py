@@ -34,7 +34,7 @@ _RECIPES = "part int, kind int, nth long, doc_id long, start long, n_tokens long
 _PARTS = "part int, n_documents long, n_tokens long, root binary"
 _TOP = "n_parts int, n_documents long, n_tokens long, root binary"
 #: Distinct pre-tokens that a worker remembers, and bytes of text that it encodes at once.
-CACHE, AT_ONCE = 400_000, 3 << 20
+CACHE, AT_ONCE = 400_000, 2 << 20
 #: Digests that a task remembers, so as to send a chunk once.
 SEEN = 500_000
 _REFS = "part int, nth long, doc_id long, start long, n_tokens long, digest binary, n long, ids_after long"
@@ -134,6 +134,8 @@ def _staged(docs: DataFrame, tokenizer_path: str, end_id: int, width: str) -> Da
                     ],
                     ["kind", "key", "doc_id", "n_tokens", "body"],
                 )
+        batch = part = seen = None
+        tokens.trim()  # the worker waits for its next task with the coder's cache alone
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _STAGED)
 
@@ -146,6 +148,7 @@ def _fixed(keys: pa.Array) -> np.ndarray:
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the chunks of a partition, which has all of a digest's, in order, the first of each digest; all documents."""
     tokens.release()
+    tokens.trim()
     last = np.zeros((0, DIGEST), np.uint8)
     for batch in batches:
         keys = _fixed(batch.column("key"))
