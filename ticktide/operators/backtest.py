@@ -11,6 +11,8 @@ from ticktide.operators.windows import drawdowns
 #: Rates and least fee of the market's charges.
 COMMISSION, LEAST_COMMISSION, TRANSFER, STAMP = 3e-4, 5.0, 2e-5, 5e-4
 LOT, SLIP = 100, 0.01
+#: Runs that are sent to every task, at most.
+MOST_RUNS = 10_000
 
 
 def fees(direction, amount):
@@ -22,7 +24,9 @@ def fees(direction, amount):
 
 def first_purchases(prices: DataFrame, runs: DataFrame) -> DataFrame:
     """Each run buys its lots of each instrument on its first bar: run_id, trade_date, code, direction, quantity, price, fees.
-    prices: trade_date, code, close. runs: run_id, lots, few rows."""
+    prices: trade_date, code, close. runs: run_id, lots, at most MOST_RUNS rows; more are an error."""
+    if runs.limit(MOST_RUNS + 1).count() > MOST_RUNS:
+        raise ValueError(f"more than {MOST_RUNS} runs")
     first = prices.groupBy("code").agg(F.min_by("close", "trade_date").alias("close"), F.min("trade_date").alias("trade_date"))
     every = runs.agg(F.collect_list(F.struct("run_id", "lots")).alias("runs"))
     held = first.withColumn("run", F.explode(every.scalar()))

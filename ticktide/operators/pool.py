@@ -139,7 +139,7 @@ def supported(enabled: DataFrame, known: DataFrame) -> DataFrame:
 
 def stored_dates(bars: DataFrame, code: str, start: str, end: str) -> DataFrame:
     """has_bars: whether an instrument has any bar between two dates."""
-    return bars.where((F.col("code") == code) & F.col("trade_date").between(start, end)).agg((F.count("*") > 0).alias("has_bars"))
+    return bars.where((F.col("code") == code) & F.col("trade_date").between(start, end)).limit(1).agg((F.count("*") > 0).alias("has_bars"))
 
 
 def changed_exclusions(exclusions: DataFrame, rows: DataFrame, gone: DataFrame) -> DataFrame:

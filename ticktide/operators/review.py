@@ -87,9 +87,15 @@ WEAKEST = "弱势"
 BLOCK_PERCENT, MANY_HIGHS = 10, 100
 
 
-def index_overview(bars: DataFrame) -> DataFrame:
-    """Each date's indices with their change since their date before, the best and worst of them, a comment on each and a word for
-    the day: whether all rose, all fell, or how far they are apart."""
+#: Percent above which an index of technology, growth or the whole market counts as strong, and by how much the best
+#: rises and the worst falls on a day on which the market is split.
+STRONG, SPLIT = 1.0, 0.5
+
+
+def index_overview(bars: DataFrame, technology: str | None = None, growth: str | None = None, market: str | None = None) -> DataFrame:
+    """Each date's indices with their change since their date before, the best and worst of them, a comment on each and the day's
+    style: led by technology or growth and not by the whole market, by that and not by them, all up, all down, split, or neither.
+    technology, growth, market: codes of the indices that stand for these; one that is missing or has no bar that day counts as 0."""
     before = F.lag("close").over(by_code())
     pct = F.when(before > 0, rounded((F.col("close") - before) / before * 100))
     held = bars.withColumn("pct", pct).where("pct IS NOT NULL")
@@ -101,7 +107,9 @@ def index_overview(bars: DataFrame) -> DataFrame:
             "laggard": F.last("code").over(per_date.orderBy(F.desc("pct"), "code").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
             "all_up": F.bool_and(F.col("pct") > 0).over(per_date),
             "all_down": F.bool_and(F.col("pct") < 0).over(per_date),
-            "spread": F.max("pct").over(per_date) - F.min("pct").over(per_date),
+            "highest": F.max("pct").over(per_date),
+            "lowest": F.min("pct").over(per_date),
+            **{name: F.coalesce(F.max(F.when(F.col("code") == code, F.col("pct"))).over(per_date), F.lit(0.0)) for name, code in (("tech", technology), ("growth", growth), ("market", market))},
             "n": F.count("*").over(per_date),
         }
     )
@@ -109,7 +117,9 @@ def index_overview(bars: DataFrame) -> DataFrame:
     for bound, word in COMMENTS:
         comment = comment.when(F.col("pct") > bound, word)
     comment = comment.otherwise(LOWEST)
-    style = F.when(F.col("all_up"), "全面做多").when(F.col("all_down"), "全面承压").when(F.col("spread") >= 2, "结构分化").otherwise("窄幅震荡")
+    led, broad = (F.col("tech") > STRONG) | (F.col("growth") > STRONG), F.col("market") > STRONG
+    style = F.when(led & ~broad, F.when(F.col("tech") > F.col("growth"), "国产科技主导").otherwise("海外链领涨")).when(broad & ~led, "价值回归")
+    style = style.when(F.col("all_up"), "全面做多").when(F.col("all_down"), "全面承压").when((F.col("highest") > SPLIT) & (F.col("lowest") < -SPLIT), "结构分化").otherwise("窄幅震荡")
     return held.select("trade_date", "code", "place", "pct", "leader", "laggard", comment.alias("comment"), style.alias("style"))
 
 
@@ -144,6 +154,20 @@ def full_review(overview: DataFrame, strong: DataFrame, clusters: DataFrame) ->
     return made.join(ordered(clusters, "sectors", "sector_name"), "trade_date", "full")
 
 
+def response(signals: DataFrame, strong: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row a date with what a page shows as nested columns: signal (a struct), strong (an array of code, place and rps_sum) and
+    clusters (an array of sector_name, place, n, percent and arrays of codes), in their order, empty where there are none.
+    signals: market_signals(); strong: strong_by_rank(); clusters: new_high_clusters()."""
+
+    def listed(df: DataFrame, name: str, *columns) -> DataFrame:
+        return df.groupBy("trade_date").agg(F.sort_array(F.collect_list(F.struct("place", *columns))).alias(name))
+
+    codes = lambda c: F.split(c, ",").alias(c)
+    made = signals.select("trade_date", F.struct(*[c for c in signals.columns if c != "trade_date"]).alias("signal"))
+    made = made.join(listed(strong, "strong", "code", "rps_sum"), "trade_date", "left").join(listed(clusters, "clusters", "sector_name", "n", "percent", codes("representative"), codes("core")), "trade_date", "left")
+    return made.withColumns({c: F.coalesce(c, F.array().cast(made.schema[c].dataType)) for c in ("strong", "clusters")})
+
+
 def market_tables(bins: DataFrame, amounts: DataFrame, prices: DataFrame) -> DataFrame:
     """The three tables of a date's stocks as one: by rank, by amount and by price. Each: trade_date, lower, n, avg_chg."""
     marked = [df.withColumn("kind", F.lit(kind)) for kind, df in (("rps", bins), ("amount", amounts), ("price", prices))]

@@ -32,9 +32,11 @@ def with_all_sectors(stocks: DataFrame, sectors: DataFrame, least: int = 5) -> D
 
 
 def clusters(stocks: DataFrame, top: int = 10, names: int = 10) -> DataFrame:
-    """Counts and shares of stocks by sector, the first names of each by order, the largest sectors of a date.
-    stocks: trade_date, code, name, order, sector_name."""
-    first = F.slice(F.transform(F.sort_array(F.collect_list(F.struct("order", "name"))), lambda x: x["name"]), 1, names)
+    """Counts and shares of stocks by sector, the first names of each by order, the largest sectors of a date. Names are only listed
+    once they are among the first of their sector. stocks: trade_date, code, name, order, sector_name."""
+    among = F.row_number().over(Window.partitionBy("trade_date", "sector_name").orderBy("order", "name"))
+    stocks = stocks.withColumn("among", among)
+    first = F.transform(F.sort_array(F.collect_list(F.when(F.col("among") <= names, F.struct("order", "name")))), lambda x: x["name"])
     n_all = stocks.groupBy("trade_date").agg(F.countDistinct("code").alias("n_all"))
     per = stocks.groupBy("trade_date", "sector_name").agg(F.count("*").alias("n"), F.array_join(first, ",").alias("names"))
     place = F.row_number().over(Window.partitionBy("trade_date").orderBy(F.desc("n"), "sector_name"))

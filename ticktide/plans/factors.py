@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ticktide.functions.columns import rounded
 from ticktide.operators import concentration, ranks, resample, tables, windows
 from ticktide.plans import sql
-from ticktide.sources import bindings
+from ticktide.sources import bindings, store
 
 ID = ["code", "trade_date"]
 DERIVED = ["chg_pct", "chg_20d", "ma20", "vol_ma5", "rps_20", "rps_50", "rps_sum", "is_active", "close_pct", "amount_pct"]
@@ -21,6 +21,11 @@ def ranked(spark, d):
     return ranks.strength_sum(ranks.rps_from_changes(changed(spark, d)))
 
 
+def stored(spark, d):
+    """Bars with all derived fields, computed when they are first asked for and read after that."""
+    return store.filled(spark, "derived", [f"{d}/lineitem.parquet"], lambda: ranks.derived(bindings.stock_bars(spark, d)))
+
+
 def full(spark, d):
     return ranks.strength_sum(ranks.rps_from_changes(windows.moving_averages(changed(spark, d))))
 

@@ -16,19 +16,19 @@ CODE_PICK, DATE_PICK = "CAST(code AS INT)", "CAST(trade_date AS INT)"
 
 
 def _highs(spark, d):
-    return review.new_highs(factors.changed(spark, d))
+    return review.new_highs(factors.stored(spark, d))
 
 
 def active_pool(spark, d):
-    return pool.active_pool(factors.ranked(spark, d), bindings.exclusions(spark, d), bindings.stock_basics(spark, d))
+    return pool.active_pool(factors.stored(spark, d), bindings.exclusions(spark, d), bindings.stock_basics(spark, d))
 
 
 def strong_by_high(spark, d):
-    return review.strong_by_high(windows.valid(bindings.stock_bars(spark, d)))
+    return review.strong_by_high(factors.stored(spark, d))
 
 
 def strong_by_rps(spark, d):
-    return review.strong_by_rank(factors.ranked(spark, d), bindings.stock_basics(spark, d))
+    return review.strong_by_rank(factors.stored(spark, d), bindings.stock_basics(spark, d))
 
 
 def lateral_ma50(spark, d):
@@ -36,7 +36,7 @@ def lateral_ma50(spark, d):
 
 
 def market_summary(spark, d):
-    return review.market_summary(windows.moving_averages(factors.changed(spark, d), volume=()))
+    return review.market_summary(factors.stored(spark, d))
 
 
 def new_high(spark, d):
@@ -61,7 +61,11 @@ def top_industry(spark, d):
 
 
 def index_overview(spark, d):
-    return review.index_overview(bindings.index_bars(spark, d))
+    return _overview(spark, d)
+
+
+def _overview(spark, d):
+    return review.index_overview(bindings.index_bars(spark, d), "999901", "999902", "999903")
 
 
 def main_industry(spark, d):
@@ -74,7 +78,7 @@ def all_industries(spark, d):
 
 def sector_index(spark, d):
     """Closes here jump about by whole multiples; a thousandth of each change is chained, so that prices stay finite."""
-    return sectors.equal_weight_index(factors.changed(spark, d).withColumn("chg_pct", F.col("chg_pct") / 1000), bindings.sector_basics(spark, d), places=8).select("sector", "trade_date", "n", "change", rounded(F.log("price"), 4).alias("log_price"))
+    return sectors.equal_weight_index(factors.changed(spark, d).withColumn("chg_pct", F.col("chg_pct") / 1000), bindings.sector_basics(spark, d), places=8).select("sector", "trade_date", "n", "change", rounded(F.log("price"), 4).alias("log_price"), rounded(F.col("price"), 0).alias("price"))
 
 
 def sector_breadth(spark, d):
@@ -116,7 +120,7 @@ def last_bars(spark, d):
 
 
 def bubbles(spark, d):
-    return pool.bubbles(ranks.derived(bindings.stock_bars(spark, d)), bindings.stock_basics(spark, d))
+    return pool.bubbles(factors.stored(spark, d), bindings.stock_basics(spark, d))
 
 
 def sector_bubbles(spark, d):
@@ -125,7 +129,7 @@ def sector_bubbles(spark, d):
 
 
 def rps_at_least(spark, d):
-    return pool.at_least(ranks.rps_from_changes(factors.changed(spark, d)), 90, ("rps_20", "rps_50", "rps_120", "rps_250")).select("code", "trade_date", "rps_20", "rps_250")
+    return pool.at_least(factors.stored(spark, d), 90, ("rps_20", "rps_50", "rps_120", "rps_250")).select("code", "trade_date", "rps_20", "rps_250")
 
 
 def search(spark, d):
@@ -190,7 +194,9 @@ def _holidays(spark):
 
 
 def workdays(spark, d):
-    return ingest.calendar(spark, "1995-01-01", "1998-12-31", _holidays(spark)).select("trade_date")
+    """Workdays from the first order's year to the last order's."""
+    years = bindings.read(spark, d, "orders").agg(F.date_format(F.min("o_orderdate"), "yyyy-01-01").alias("first"), F.date_format(F.max("o_orderdate"), "yyyy-12-31").alias("last")).first()
+    return ingest.calendar(spark, years.first, years.last, _holidays(spark)).select("trade_date")
 
 
 def bars_on_workdays(spark, d):
@@ -262,18 +268,28 @@ def backtest_trades(spark, d):
 
 
 def market_analysis(spark, d):
-    held = pool.without_excluded(ranks.rps_from_changes(factors.changed(spark, d), (20,)), bindings.exclusions(spark, d), "exclude_display").where("amount > 0")
+    held = pool.without_excluded(factors.stored(spark, d), bindings.exclusions(spark, d), "exclude_display").where("amount > 0")
     return review.market_tables(tables.rps_bins(held), tables.quantile_groups(held, "amount"), tables.quantile_groups(held, "close"))
 
 
 def market_signals(spark, d):
-    ranked = factors.full(spark, d)
-    strong = review.strong_by_rank(ranked, bindings.stock_basics(spark, d))
-    return review.market_signals(review.market_summary(ranked), strong, new_high_clusters(spark, d)).select("trade_date", "n", "percent_above", "n_new_high", "n_strong", "top_sector", "top_n", "state", "effect")
+    return _signals(spark, d).select("trade_date", "n", "percent_above", "n_new_high", "n_strong", "top_sector", "top_n", "state", "effect", "text")
+
+
+def _signals(spark, d):
+    strong = review.strong_by_rank(factors.stored(spark, d), bindings.stock_basics(spark, d))
+    return review.market_signals(market_summary(spark, d), strong, new_high_clusters(spark, d))
+
+
+def review_response(spark, d):
+    """The nested response of a date as JSON."""
+    strong = review.strong_by_rank(factors.stored(spark, d), bindings.stock_basics(spark, d))
+    made = review.response(_signals(spark, d).select("trade_date", "n", "n_new_high", "n_strong", "state", "effect"), strong, new_high_clusters(spark, d))
+    return made.select("trade_date", F.to_json(F.struct("signal", "strong", "clusters")).alias("body"))
 
 
 def full_review(spark, d):
-    return review.full_review(review.index_overview(bindings.index_bars(spark, d)), strong_by_high(spark, d), industry_cluster(spark, d))
+    return review.full_review(_overview(spark, d), strong_by_high(spark, d), industry_cluster(spark, d))
 
 
 def day_table(spark, d):
@@ -450,13 +466,14 @@ QUERIES = {
       SELECT trade_date, sector_name, n, names, row_number() OVER (PARTITION BY trade_date ORDER BY n DESC, sector_name) AS place, round_even(n * 100.0::DOUBLE / n_all, 1) AS percent FROM g JOIN a USING (trade_date) QUALIFY place <= 10"""),
     "top_industry": (top_industry, f"WITH {_STRONG_MAIN} SELECT trade_date, sector_name, count(*) AS n FROM ss GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY count(*) DESC, min(place)) = 1"),
     "index_overview": (index_overview, f"""WITH {sql.INDEX_BARS}, p AS (SELECT *, CASE WHEN lag("close") {sql.W} > 0 THEN round_even(("close" - lag("close") {sql.W}) / lag("close") {sql.W} * 100, 2) END AS pct FROM ibars),
-      q AS (SELECT trade_date, code, pct, row_number() OVER (PARTITION BY trade_date ORDER BY pct DESC, code) AS place, bool_and(pct > 0) OVER d AS up, bool_and(pct < 0) OVER d AS down, max(pct) OVER d - min(pct) OVER d AS spread, count(*) OVER d AS n FROM p WHERE pct IS NOT NULL WINDOW d AS (PARTITION BY trade_date))
+      q AS (SELECT trade_date, code, pct, row_number() OVER (PARTITION BY trade_date ORDER BY pct DESC, code) AS place, bool_and(pct > 0) OVER d AS up, bool_and(pct < 0) OVER d AS down, max(pct) OVER d AS best, min(pct) OVER d AS worst, coalesce(max(pct) FILTER (code = '999901') OVER d, 0) AS t, coalesce(max(pct) FILTER (code = '999902') OVER d, 0) AS g, coalesce(max(pct) FILTER (code = '999903') OVER d, 0) AS m, count(*) OVER d AS n FROM p WHERE pct IS NOT NULL WINDOW d AS (PARTITION BY trade_date))
       SELECT trade_date, code, place, pct, max(CASE WHEN place = 1 THEN code END) OVER (PARTITION BY trade_date) AS leader, max(CASE WHEN place = n THEN code END) OVER (PARTITION BY trade_date) AS laggard,
-      CASE WHEN place = 1 THEN '表现最强，领先全场' WHEN place = n THEN '表现最弱，明显落后' WHEN pct > 2 THEN '大涨' WHEN pct > 1 THEN '偏强' WHEN pct > 0.5 THEN '小幅上涨' WHEN pct > 0 THEN '窄幅震荡' WHEN pct > -0.5 THEN '小幅回调' WHEN pct > -1 THEN '偏弱' ELSE '大跌' END AS comment, CASE WHEN up THEN '全面做多' WHEN down THEN '全面承压' WHEN spread >= 2 THEN '结构分化' ELSE '窄幅震荡' END AS style FROM q"""),
+      CASE WHEN place = 1 THEN '表现最强，领先全场' WHEN place = n THEN '表现最弱，明显落后' WHEN pct > 2 THEN '大涨' WHEN pct > 1 THEN '偏强' WHEN pct > 0.5 THEN '小幅上涨' WHEN pct > 0 THEN '窄幅震荡' WHEN pct > -0.5 THEN '小幅回调' WHEN pct > -1 THEN '偏弱' ELSE '大跌' END AS comment, CASE WHEN (t > 1 OR g > 1) AND m <= 1 AND t > g THEN '国产科技主导' WHEN (t > 1 OR g > 1) AND m <= 1 THEN '海外链领涨' WHEN m > 1 AND t <= 1 AND g <= 1 THEN '价值回归' WHEN up THEN '全面做多' WHEN down THEN '全面承压' WHEN best > 0.5 AND worst < -0.5 THEN '结构分化' ELSE '窄幅震荡' END AS style FROM q"""),
     "main_industry": (main_industry, f"WITH {_MAIN} SELECT * FROM main"),
     "all_industries": (all_industries, f"WITH {sql.SECTORS}, {sql.BASICS} SELECT DISTINCT stock_code AS code, coalesce(sector_name, '其他') AS sector_name FROM basics LEFT JOIN (SELECT * FROM member WHERE stock_count >= 5) ON code = stock_code"),
-    "sector_index": (sector_index, f"""WITH {sql.CHANGES}, {sql.SECTORS}, s AS (SELECT sector, trade_date, count(*) AS n, avg(chg_pct / 1000) AS c FROM chg JOIN member USING (code) WHERE chg_pct IS NOT NULL GROUP BY 1, 2)
-      SELECT sector, trade_date, n, round_even(c, 8) AS change, round_even(ln(round_even(1000 * exp(sum(ln(greatest(1 + c / 100, 1e-9))) OVER (PARTITION BY sector ORDER BY trade_date ROWS UNBOUNDED PRECEDING)), 2)), 4) AS log_price FROM s"""),
+    "sector_index": (sector_index, f"""WITH {sql.CHANGES}, {sql.SECTORS}, s AS (SELECT sector, trade_date, count(*) AS n, avg(chg_pct / 1000) AS c FROM chg JOIN member USING (code) WHERE chg_pct IS NOT NULL GROUP BY 1, 2),
+      x AS (SELECT sector, trade_date, n, round_even(c, 8) AS change, round_even(1000 * exp(sum(ln(greatest(1 + c / 100, 1e-9))) OVER (PARTITION BY sector ORDER BY trade_date ROWS UNBOUNDED PRECEDING)), 2) AS p FROM s)
+      SELECT sector, trade_date, n, change, round_even(ln(p), 4) AS log_price, round_even(p, 0) AS price FROM x"""),
     "sector_breadth": (sector_breadth, f"""WITH {sql.CHANGES}, {sql.RPS.format('chg')}, {sql.SECTORS} SELECT sector, trade_date, round_even(avg(rps_20), 2) AS avg_rps, count(*) FILTER (chg_pct > 0) AS n_up, count(*) FILTER (chg_pct < 0) AS n_down, count(*) FILTER (chg_pct >= 9.8) AS n_limit_up, count(*) FILTER (chg_pct <= -9.8) AS n_limit_down FROM rps JOIN member USING (code) GROUP BY 1, 2"""),
     "exclusion_anti": (exclusion_anti, f"WITH {sql.BARS}, {sql.EXCLUDED} SELECT code, count(*) AS n FROM bars WHERE code NOT IN (SELECT code FROM excluded) GROUP BY 1"),
     "enabled_semi": (enabled_semi, f"WITH {sql.BARS}, {sql.EXCLUDED} SELECT code, count(*) AS n FROM bars WHERE code IN (SELECT code FROM excluded) GROUP BY 1"),
@@ -480,7 +497,7 @@ QUERIES = {
     "sync_start": (sync_start, f"WITH {_MERGED}, l AS (SELECT code, max(trade_date) AS last_date FROM merged GROUP BY 1) SELECT code, last_date, strftime(strptime(last_date, '%Y%m%d') + CASE WHEN CAST(last_date AS INTEGER) % 3 <> 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END, '%Y%m%d') AS resume_date FROM l"),
     "source_priority": (source_priority, f"WITH {sql.BARS} SELECT code, trade_date, volume, {_SOURCE} AS data_source FROM bars"),
     "source_counts": (source_counts, f"WITH {sql.BARS} SELECT {_SOURCE} AS data_source, count(*) AS n FROM bars GROUP BY 1"),
-    "workdays": (workdays, f"WITH {_CAL} SELECT trade_date FROM cal WHERE trade_date BETWEEN '19950101' AND '19981231'"),
+    "workdays": (workdays, f"WITH {_CAL} SELECT trade_date FROM cal WHERE trade_date[:4] BETWEEN (SELECT strftime(min(o_orderdate), '%Y') FROM orders) AND (SELECT strftime(max(o_orderdate), '%Y') FROM orders)"),
     "bars_on_workdays": (bars_on_workdays, f"WITH {sql.BARS}, {_CAL} SELECT code, count(*) AS n FROM bars JOIN cal USING (trade_date) GROUP BY 1"),
     "suspended": (suspended, f"WITH {sql.BARS}, {_CAL}, l AS (SELECT code, max(trade_date) AS last_date FROM bars WHERE trade_date <= '19981215' GROUP BY 1), m AS (SELECT code, last_date, (SELECT count(*) FROM cal WHERE trade_date <= '19981215') - coalesce((SELECT count(*) FROM cal WHERE trade_date <= last_date AND last_date IN (SELECT trade_date FROM cal)), 0) AS missed FROM l) SELECT * FROM m WHERE missed >= 3"),
     "listed_long_enough": (listed_long_enough, f"WITH {sql.BARS}, {sql.BASICS} SELECT DISTINCT code FROM bars JOIN basics ON code = stock_code WHERE coalesce(date_diff('day', strptime(list_date, '%Y%m%d'), DATE '1996-01-05'), 9999) >= 365"),
@@ -501,8 +518,15 @@ QUERIES = {
       UNION ALL {_analysis_group("amount")} UNION ALL {_analysis_group("close")}"""),
     "market_signals": (market_signals, f"""WITH {sql.ALL}, {sql.SECTORS}, {sql.BASICS}, {_CLUSTERS}, m AS (SELECT trade_date, count(*) AS n, round_even(count(*) FILTER ("close" > ma50) * 100.0::DOUBLE / count(*), 1) AS percent_above, count(*) FILTER ("close" >= year_high) AS n_new_high FROM {sql.YEAR_HIGH.format('ma', 'close')} GROUP BY 1),
       t AS (SELECT trade_date, least(count(*), 50) AS n_strong FROM strength LEFT JOIN basics ON code = stock_code WHERE rps_sum > 270 AND coalesce(date_diff('day', strptime(list_date, '%Y%m%d'), strptime(trade_date, '%Y%m%d')), 9999) > 30 GROUP BY 1)
-      SELECT trade_date, m.n, percent_above, n_new_high, coalesce(n_strong, 0) AS n_strong, c.sector_name AS top_sector, c.n AS top_n, CASE WHEN percent_above >= 70 THEN '强势' WHEN percent_above >= 50 THEN '偏强' WHEN percent_above >= 35 THEN '分化' ELSE '弱势' END AS state, CASE WHEN c.percent > 10 THEN 'block' WHEN n_new_high > 100 THEN 'many' ELSE 'few' END AS effect
+      SELECT trade_date, m.n, percent_above, n_new_high, coalesce(n_strong, 0) AS n_strong, c.sector_name AS top_sector, c.n AS top_n, CASE WHEN percent_above >= 70 THEN '强势' WHEN percent_above >= 50 THEN '偏强' WHEN percent_above >= 35 THEN '分化' ELSE '弱势' END AS state, CASE WHEN c.percent > 10 THEN 'block' WHEN n_new_high > 100 THEN 'many' ELSE 'few' END AS effect, concat_ws(' ', state, format('{{:+.1f}}', percent_above), n_new_high, effect) AS text
       FROM m LEFT JOIN t USING (trade_date) LEFT JOIN (SELECT * FROM clusters WHERE place = 1) c USING (trade_date)"""),
+    "review_response": (review_response, f"""WITH {sql.ALL}, {sql.SECTORS}, {sql.BASICS}, {_CLUSTERS}, m AS (SELECT trade_date, count(*) AS n, round_even(count(*) FILTER ("close" > ma50) * 100.0::DOUBLE / count(*), 1) AS percent_above, count(*) FILTER ("close" >= year_high) AS n_new_high FROM {sql.YEAR_HIGH.format('ma', 'close')} GROUP BY 1),
+      t AS (SELECT trade_date, code, row_number() OVER (PARTITION BY trade_date ORDER BY rps_sum DESC, code) AS place, rps_sum FROM strength LEFT JOIN basics ON code = stock_code WHERE rps_sum > 270 AND coalesce(date_diff('day', strptime(list_date, '%Y%m%d'), strptime(trade_date, '%Y%m%d')), 9999) > 30 QUALIFY place <= 50),
+      st AS (SELECT trade_date, count(*) AS n_strong, list({{'place': place, 'code': code, 'rps_sum': rps_sum}} ORDER BY place) AS strong FROM t GROUP BY 1),
+      sc AS (SELECT trade_date, list({{'place': place, 'sector_name': sector_name, 'n': n, 'percent': percent, 'representative': string_split(representative, ','), 'core': string_split(core, ',')}} ORDER BY place) AS clusters FROM clusters GROUP BY 1),
+      e AS (SELECT m.*, coalesce(n_strong, 0) AS n_strong, CASE WHEN percent_above >= 70 THEN '强势' WHEN percent_above >= 50 THEN '偏强' WHEN percent_above >= 35 THEN '分化' ELSE '弱势' END AS state, CASE WHEN c.percent > 10 THEN 'block' WHEN n_new_high > 100 THEN 'many' ELSE 'few' END AS effect, coalesce(strong, []) AS strong, coalesce(sc.clusters, []) AS clusters
+        FROM m LEFT JOIN st USING (trade_date) LEFT JOIN (SELECT * FROM clusters WHERE place = 1) c USING (trade_date) LEFT JOIN sc USING (trade_date))
+      SELECT trade_date, CAST(to_json({{'signal': {{'n': n, 'n_new_high': n_new_high, 'n_strong': n_strong, 'state': state, 'effect': effect}}, 'strong': strong, 'clusters': clusters}}) AS VARCHAR) AS body FROM e"""),
     "full_review": (full_review, f"""WITH {_STRONG_MAIN}, {sql.OWNED}, {sql.INDEX_BARS.removeprefix(f'{sql.TRADES}, {sql.OWNED}, ')}, {_OVERVIEW},
       c AS (SELECT trade_date, sector_name, count(*) AS n FROM ss GROUP BY 1, 2), g AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY n DESC, sector_name) AS place FROM c QUALIFY place <= 10)
       SELECT coalesce(x.trade_date, y.trade_date, z.trade_date) AS trade_date, indices, stocks, sectors FROM (SELECT trade_date, string_agg(code, ',' ORDER BY place) AS indices FROM overview GROUP BY 1) x

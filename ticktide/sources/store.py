@@ -125,10 +125,10 @@ def filled(spark: SparkSession, name: str, inputs: list[str], build: Callable[[]
         for f in [files.getFileStatus(at), *(files.listStatus(at) if files.getFileStatus(at).isDirectory() else [])]:
             marks.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
     mark = hashlib.sha256(json.dumps([FORMAT, sorted(marks)]).encode()).hexdigest()[:24]
-    table, rows = Snapshots(spark, f"{shared_folder(spark)}/filled/{name}-{mark}"), build()
+    table = Snapshots(spark, f"{shared_folder(spark)}/filled/{name}-{mark}")
     if table.parts() is None:
-        table.replace(rows, by_family_and_year())
-    return table.read(rows.schema)
+        table.replace(build(), by_family_and_year())
+    return table.read(None if table.parts() else build().schema)
 
 
 #: Columns by which stored bars are dealt to buckets, and their order there: that of every window over an instrument.
