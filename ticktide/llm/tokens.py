@@ -236,14 +236,14 @@ class BatchCoder:
         distinct = pa.LargeStringArray.from_buffers(len(starts), bounds, pa.py_buffer(data)).take(pa.array(first)).to_numpy(zero_copy_only=False)
         number = lambda pieces: np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         held = number(distinct)
-        new = distinct[held < 0]
-        if len(self.known) + len(new) > self.cache and len(self.known):
+        missing = np.flatnonzero(held < 0)
+        if len(self.known) + len(missing) > self.cache and len(self.known):
             self.shrink()
             held = number(distinct)
-            new = distinct[held < 0]
-        if len(new):
-            self.learn(new.tolist())
-            held = number(distinct)
+            missing = np.flatnonzero(held < 0)
+        if len(missing):
+            self.learn(distinct[missing].tolist())
+            held[missing] = number(distinct[missing])
         self.met = np.append(self.met, np.zeros(len(self.known) - len(self.met), np.int64))
         self.met[held] += 1
         own = self.at[held + 1] - self.at[held]  # ids of each distinct piece
