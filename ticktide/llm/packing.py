@@ -49,6 +49,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end
                     [part.column("doc_id").take(pa.array(doc)).cast(pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crcs, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        batch = part = None
+        tokens.trim()  # the worker waits for its next task with the coder's cache alone
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
