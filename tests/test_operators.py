@@ -156,11 +156,18 @@ def test_import_of_codes(spark):
 
 
 def test_block_files(spark, tmp_path):
-    record = "银行".encode("gbk").ljust(parsing.NAME, b"\0") + struct.pack("<HH", 2, 2) + b"600000\0" + b"000001\0"
-    (tmp_path / "a.dat").write_bytes(bytes(parsing.HEADER) + struct.pack("<H", 1) + record.ljust(parsing.NAME + 4 + parsing.CODE * parsing.SLOTS, b"\0"))
-    (tmp_path / "b.dat").write_bytes(b"short")
-    found = parsing.block_members(spark.read.format("binaryFile").load(str(tmp_path)))
-    assert {(r.name, r.stock_code) for r in found.collect()} == {("银行", "600000"), ("银行", "000001")}
+    block = lambda name, *codes, flags=b"\x05\x00\x02\x00\x00\x00", gap=0: name.encode("gbk") + b"\0" + flags + b"".join(c.encode() + b"\0" * (1 + gap) for c in codes) + bytes(40)
+    whole = bytes(0x140) + block("银行", "600000", "000001") + block("5G概念", "300001", gap=16, flags=b"\x01\x00\x02\x00") + block("三个代码", "600001", "600002", "600003", gap=3)
+    damaged = bytes(0x140) + block("煤炭", "600010") + b"\xb0\xe5junk\x00\x07\x07" + block("没有代码") + b"\xff\xff\x01" + bytes(5) + block("煤" * 17, "600011") + block("石油", "600012", "60001", "600013") + block("医药", "600014", "600015")
+    cut = bytes(0x140) + bytes(300) + block("白酒", "600020", "600021")[:-45]
+    for name, data in (("a", whole + bytes(200)), ("b", damaged + bytes(200)), ("c", cut), ("d", b"short"), ("e", b""), ("f", bytes(0x140) + block("太短", "600001"))):
+        (tmp_path / f"{name}.dat").write_bytes(data)
+    found = {}
+    for r in parsing.block_members(spark.read.format("binaryFile").load(str(tmp_path))).orderBy("path", "name", "nth").collect():
+        found.setdefault((r.path[-5], r.name), []).append(r.stock_code)
+    assert {k[1]: v for k, v in found.items() if k[0] == "a"} == {"银行": ["600000", "000001"], "5G概念": ["300001"], "三个代码": ["600001", "600002", "600003"]}
+    assert {k[1]: v for k, v in found.items() if k[0] == "b"} == {"煤炭": ["600010"], "煤" * 16: ["600011"], "石油": ["600012"], "医药": ["600014", "600015"]}
+    assert {k[1]: v for k, v in found.items() if k[0] == "c"} == {"白酒": ["600020"]} and not any(k[0] in "def" for k in found)
 
 
 def test_initials(spark):

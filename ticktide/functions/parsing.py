@@ -2,43 +2,56 @@
 
 from __future__ import annotations
 
-import struct
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values of the block file format: header bytes before the count, bytes of a name, of a code, codes that a record holds.
-HEADER, NAME, CODE, SLOTS = 384, 9, 7, 400
+#: Fixed values of block files: where blocks begin, bytes of the smallest file, bytes and characters of a name, and the zeros that may
+#: stand before a code.
+FIRST, SMALLEST, NAME_BYTES, NAME_CHARS, GAP = 0x140, 0x200, 32, (2, 16), 16
+#: A name of two-byte characters, or of a digit and a letter before these; zero; flags up to 02 00 or 02 00 00 00; six digits and a zero
+#: for each code, with up to GAP zeros between.
+_BLOCK = re.compile(
+    rb"((?:[\x81-\xfe][\x40-\xfe]|(?:5G|3D|2B)(?=[\x81-\xfe]))[^\x00]{0,%d})\x00" % (NAME_BYTES - 2)
+    + rb".{0,14}?\x02\x00(?:\x00\x00)?"
+    + rb"\x00{0,%d}([0-9]{6}(?=\x00)(?:\x00{1,%d}[0-9]{6}(?=\x00))*)" % (GAP, GAP + 1),
+    re.DOTALL,
+)
+_NAME_CHAR = re.compile(r"[\w+\-*]")
 
 
-@F.udtf(returnType="name string, stock_code string")
+def blocks(data: bytes) -> Iterator[tuple[str, list[str]]]:
+    """(name, codes) of each block of a block file. What can't be read is passed over up to the next place where a block may
+    begin; so of a name that is too long the end counts."""
+    at = FIRST if len(data) >= SMALLEST else len(data)
+    while found := _BLOCK.search(data, at):
+        try:
+            name = found[1].decode("gbk").strip()
+        except UnicodeDecodeError:
+            name = ""
+        if NAME_CHARS[0] <= len(name) <= NAME_CHARS[1] and len(_NAME_CHAR.findall(name)) >= 2:
+            yield name, [c.decode() for c in re.findall(rb"[0-9]{6}", found[2])]
+            at = found.end()
+        else:
+            at = found.start() + 1
+
+
+@F.udtf(returnType="name string, nth int, stock_code string")
 class BlockMembers:
-    """Rows (name, stock_code) of a block file's bytes: a count, then records of a name in GBK, a number of codes, a kind and
-    the codes. What is cut off at the end is left out."""
-
-    def eval(self, data: bytes) -> Iterator[tuple[str, str]]:
-        if data is None or len(data) < HEADER + 2:
-            return
-        (count,) = struct.unpack_from("<H", data, HEADER)
-        size, at = NAME + 4 + CODE * SLOTS, HEADER + 2
-        for _ in range(count):
-            if at + NAME + 4 > len(data):
-                return
-            name = bytes(data[at : at + NAME]).split(b"\0")[0].decode("gbk", "ignore").strip()
-            (n, _kind) = struct.unpack_from("<HH", data, at + NAME)
-            for k in range(min(n, SLOTS)):
-                start = at + NAME + 4 + CODE * k
-                code = bytes(data[start : start + CODE]).split(b"\0")[0].decode("ascii", "ignore").strip()
-                if len(code) == 6 and code.isdigit():
-                    yield name, code
-            at += size
+    """A row for each code of each block of a file's bytes, numbered within the block."""
+
+    def eval(self, data: bytes) -> Iterator[tuple[str, int, str]]:
+        for name, codes in blocks(bytes(data or b"")):
+            for nth, code in enumerate(codes):
+                yield name, nth, code
 
 
 def block_members(files: DataFrame) -> DataFrame:
-    """path, name, stock_code of block files read with the binaryFile source."""
-    return files.lateralJoin(BlockMembers(F.col("content").outer())).select("path", "name", "stock_code")
+    """path, name, nth, stock_code of block files (path, content), as the binaryFile source reads them: a file is one row, of a few MB."""
+    return files.lateralJoin(BlockMembers(F.col("content").outer())).select("path", "name", "nth", "stock_code")
 
 
 def initials(name: Column, readings: dict[str, str]) -> Column:

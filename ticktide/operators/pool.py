@@ -42,12 +42,14 @@ def bubbles(derived: DataFrame, basics: DataFrame, period: int = 20) -> DataFram
     return held.select("trade_date", "code", "name", F.col(rps).alias("rps"), "close_pct", "amount_pct", "chg_pct")
 
 
-def sector_bubbles(derived: DataFrame, names: DataFrame, period: int = 20) -> DataFrame:
-    """Sectors with turnover, other than broad indices; missing ranks and percentiles are 50. place: by amount_pct on each date."""
-    held = derived.where("amount > 0").join(names.select("code", "name"), "code", "left").withColumn("name", F.coalesce("name", "code"))
+def sector_bubbles(derived: DataFrame, names: DataFrame, period: int = 20, exclusions: DataFrame | None = None) -> DataFrame:
+    """Sectors with turnover, other than broad indices and those not to be displayed; missing percentiles and a missing rank of the
+    period are 50, the ranks of all periods are as they are. place: by amount_pct on each date."""
+    held = derived if exclusions is None else without_excluded(derived, exclusions.where("category = 'sector'"), "exclude_display")
+    held = held.where("amount > 0").join(names.select("code", "name"), "code", "left").withColumn("name", F.coalesce("name", "code"))
     held = held.where(~F.col("name").rlike("|".join(BROAD)))
     whole = lambda c: or_default(F.col(c).cast("double"), 50.0)
-    made = held.select("trade_date", "code", "name", whole(f"rps_{period}").alias("rps"), whole("close_pct").alias("close_pct"), whole("amount_pct").alias("amount_pct"), F.coalesce("chg_pct", F.lit(0.0)).alias("chg_pct"))
+    made = held.select("trade_date", "code", "name", whole(f"rps_{period}").alias("rps"), whole("close_pct").alias("close_pct"), whole("amount_pct").alias("amount_pct"), F.coalesce("chg_pct", F.lit(0.0)).alias("chg_pct"), *[c for c in ("rps_10", "rps_20", "rps_50") if c in held.columns])
     return made.withColumn("place", F.row_number().over(Window.partitionBy("trade_date").orderBy("amount_pct", "code")))
 
 

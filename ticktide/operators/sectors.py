@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticktide.functions.columns import plain_names, rounded
@@ -68,10 +68,31 @@ def sector_breadth(bars: DataFrame, sectors: DataFrame, limit: float = 9.8) -> D
     )
 
 
+def _pieces(text: Column) -> Column:
+    """The distinct pieces of two characters of a text of two or more."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, 2)))
+
+
+def contained(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """text, known_name: pairs of which one holds the other, both of two characters or more. A text is looked for in the known names
+    that have its rarest piece, and each known name, listed under its own rarest piece alone, in the texts that have that piece; so
+    the list of a piece that most names share is read only for names that have no rarer one. texts: text; known: known_name."""
+    long = lambda df, c: df.select(c).where(F.length(c) > 1).distinct().withColumn("piece", F.explode(_pieces(F.col(c))))
+    asked, listed = long(texts, "text"), long(known, "known_name")
+    counts = listed.groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = F.min_by("piece", F.struct("n", "piece")).alias("piece")
+    # a text with a piece that no known name has is in none
+    asks = asked.join(counts, "piece", "left").groupBy("text").agg(rarest, F.bool_and(F.col("n").isNotNull()).alias("all")).where("all").select("text", "piece")
+    inside = asks.join(listed, "piece").where(F.col("known_name").contains(F.col("text")))
+    lists = listed.join(counts, "piece").groupBy("known_name").agg(rarest)
+    around = asked.join(lists, "piece").where(F.col("text").contains(F.col("known_name")))
+    return inside.select("text", "known_name").unionByName(around.select("text", "known_name")).distinct()
+
+
 def match_names(wanted: DataFrame, known: DataFrame, aliases: DataFrame) -> DataFrame:
     """Codes for names in tiers, the first that finds one: the name itself, an alias, without brackets, without one ending (in
-    their order), a known name within it or it within a known one, the same with an alias's target. Names within each other share
-    their first or last pieces of two characters, by which they are joined. wanted: name; known: name, code; aliases: alias, name."""
+    their order), a known name within it or it within a known one, the same with an alias's target. Of several the smallest known
+    name counts. wanted: name; known: name, code; aliases: alias, name."""
     alias = aliases.groupBy("alias").agg(F.min("name").alias("target"))
     codes = known.groupBy(F.col("name").alias("known_name")).agg(F.min("code").alias("code"))
     bare = F.regexp_replace("name", "[（(].*?[)）]", "")
@@ -79,15 +100,32 @@ def match_names(wanted: DataFrame, known: DataFrame, aliases: DataFrame) -> Data
     plain = base.select("name", F.posexplode(plain_names(F.col("name"))).alias("nth", "text"))
     keyed = base.select("name", F.inline(F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(0).alias("nth"), F.col(c).alias("text")) for t, c in ((1, "name"), (2, "target"), (3, "bare"))])))
     exact = keyed.unionByName(plain.select("name", F.lit(4).alias("tier"), "nth", "text")).join(codes, F.col("text") == F.col("known_name"))
-    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, 2)))
     loose = base.select("name", F.inline(F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(0).alias("nth"), F.col(c).alias("text")) for t, c in ((5, "bare"), (6, "target"))]))).where(F.length("text") > 1)
-    left = loose.withColumn("piece", F.explode(pieces(F.col("text"))))
-    right = codes.where(F.length("known_name") > 1).withColumn("piece", F.explode(pieces(F.col("known_name"))))
-    within = left.join(right, "piece").where(F.col("known_name").contains(F.col("text")) | F.col("text").contains(F.col("known_name"))).drop("piece").distinct()
-    best = exact.unionByName(within).groupBy("name").agg(F.min(F.struct("tier", "nth", "known_name", "code")).alias("b"))
+    first = contained(loose, codes).groupBy("text").agg(F.min("known_name").alias("known_name"))
+    within = loose.join(first, "text").join(codes, "known_name")
+    best = exact.unionByName(within.select(*exact.columns)).groupBy("name").agg(F.min(F.struct("tier", "nth", "known_name", "code")).alias("b"))
     return wanted.join(best, "name", "left").select("name", F.col("b.code").alias("code"), F.col("b.tier").alias("tier"))
 
 
+#: What the columns of a sector file may be called, in lower case.
+CODE_NAMES = ("code", "代码", "板块代码", "tdx_code", "数字代码")
+NAME_NAMES = ("name", "名称", "板块名称", "板块名")
+
+
+def sector_file(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """nth, code, name out of a CSV file of sectors, trimmed, for import_codes(). Columns are found by their usual names, whatever their
+    case, or else are the first two; fewer than two are an error. nth: later rows of a code come first, so that they count."""
+    rows = spark.read.option("header", True).option("encoding", encoding).option("inferSchema", False).csv(path)
+    named = lambda names: next((c for c in rows.columns if c.strip().lower() in names), None)
+    code, name = named(CODE_NAMES), named(NAME_NAMES)
+    if code is None or name is None:
+        if len(rows.columns) < 2:
+            raise ValueError(f"{path} has no columns for codes and names")
+        code, name = rows.columns[:2]
+    text = lambda c: F.trim(F.col(f"`{c}`").cast("string"))
+    return rows.select((-F.monotonically_increasing_id()).alias("nth"), text(code).alias("code"), text(name).alias("name")).where("code <> '' AND name <> ''")
+
+
 def import_codes(rows: DataFrame, sectors: DataFrame) -> DataFrame:
     """Sectors after a file of (code, name) is imported: by code or else by name it renames or recodes a sector, or adds one. Of
     rows with one code the first counts, by a column nth, without it by name."""

@@ -124,8 +124,9 @@ def bubbles(spark, d):
 
 
 def sector_bubbles(spark, d):
-    held = ranks.percentiles(ranks.rps_from_changes(windows.period_changes(windows.valid(bindings.sector_bars(spark, d)), (20,)), (20,)), least=5)
-    return pool.sector_bubbles(held, bindings.sector_basics(spark, d))
+    held = ranks.percentiles(ranks.rps_from_changes(windows.period_changes(windows.valid(bindings.sector_bars(spark, d)), (10, 20, 50)), (10, 20, 50)), least=5)
+    gone = bindings.read(spark, d, "nation").where("n_nationkey % 8 = 5").select(F.lit("sector").alias("category"), F.concat(F.lit("8803"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("code"), F.lit(True).alias("exclude_display"))
+    return pool.sector_bubbles(held, bindings.sector_basics(spark, d), exclusions=gone)
 
 
 def rps_at_least(spark, d):
@@ -484,8 +485,8 @@ QUERIES = {
     "previous_date": (previous_date, f"WITH {sql.BARS} SELECT max(trade_date) AS trade_date FROM bars WHERE trade_date < '{TODAY}'"),
     "last_bars": (last_bars, f"WITH {sql.BARS} SELECT code, trade_date, volume FROM bars QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) <= 260"),
     "bubbles": (bubbles, f"WITH {sql.ALL}, {sql.BASICS}, d AS (SELECT *, " + ", ".join(f'CAST(round_even({sql.average_place(f'"{c}"', "count(*) OVER (PARTITION BY trade_date)")} * 100, 0) AS INTEGER) AS {c}_pct' for c in ("close", "amount")) + " FROM strength) SELECT trade_date, code, coalesce(stock_name, code) AS name, rps_20 AS rps, close_pct, amount_pct, chg_pct FROM d LEFT JOIN basics ON code = stock_code WHERE rps_20 IS NOT NULL AND chg_pct IS NOT NULL"),
-    "sector_bubbles": (sector_bubbles, f"""WITH {sql.SECTOR_BARS}, chg AS (SELECT *, {sql.change(1)} AS chg_pct, {sql.change(20)} AS chg_20d FROM sbars), r AS (SELECT *, {sql.rps(20)} AS rps_20 FROM chg), c AS (SELECT *, count(*) OVER (PARTITION BY trade_date) AS n FROM r QUALIFY n >= 5),
-      d AS (SELECT *, """ + ", ".join(f'CAST(round_even({sql.average_place(f'"{c}"', "n")} * 100, 0) AS INTEGER) AS {c}_pct' for c in ("close", "amount")) + """ FROM c) SELECT trade_date, code, coalesce(n_name, code) AS name, coalesce(nullif(CAST(rps_20 AS DOUBLE), 0), 50) AS rps, coalesce(nullif(CAST(close_pct AS DOUBLE), 0), 50) AS close_pct, coalesce(nullif(CAST(amount_pct AS DOUBLE), 0), 50) AS amount_pct, coalesce(chg_pct, 0) AS chg_pct, row_number() OVER (PARTITION BY trade_date ORDER BY coalesce(nullif(CAST(amount_pct AS DOUBLE), 0), 50), code) AS place FROM d LEFT JOIN nation ON code = '8803' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0')"""),
+    "sector_bubbles": (sector_bubbles, f"""WITH {sql.SECTOR_BARS}, chg AS (SELECT *, {sql.change(1)} AS chg_pct, {', '.join(f'{sql.change(p)} AS chg_{p}d' for p in (10, 20, 50))} FROM sbars), r AS (SELECT *, {', '.join(f'{sql.rps(p)} AS rps_{p}' for p in (10, 20, 50))} FROM chg), c AS (SELECT *, count(*) OVER (PARTITION BY trade_date) AS n FROM r QUALIFY n >= 5),
+      d AS (SELECT *, """ + ", ".join(f'CAST(round_even({sql.average_place(f'"{c}"', "n")} * 100, 0) AS INTEGER) AS {c}_pct' for c in ("close", "amount")) + """ FROM c) SELECT trade_date, code, coalesce(n_name, code) AS name, coalesce(nullif(CAST(rps_20 AS DOUBLE), 0), 50) AS rps, coalesce(nullif(CAST(close_pct AS DOUBLE), 0), 50) AS close_pct, coalesce(nullif(CAST(amount_pct AS DOUBLE), 0), 50) AS amount_pct, coalesce(chg_pct, 0) AS chg_pct, rps_10, rps_20, rps_50, row_number() OVER (PARTITION BY trade_date ORDER BY coalesce(nullif(CAST(amount_pct AS DOUBLE), 0), 50), code) AS place FROM d LEFT JOIN nation ON code = '8803' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') WHERE n_nationkey % 8 <> 5"""),
     "rps_at_least": (rps_at_least, f"WITH {sql.CHANGES}, {sql.RPS.format('chg')} SELECT code, trade_date, rps_20, rps_250 FROM rps WHERE greatest(rps_20, rps_50, rps_120, rps_250) >= 90"),
     "search": (search, f"WITH {sql.BASICS} SELECT stock_code, stock_name, market FROM basics WHERE contains(stock_code, '0007') OR contains(lower(stock_name), '0007') ORDER BY 1 LIMIT 50"),
     "sector_page": (sector_page, f"WITH {sql.SECTORS}, s AS (SELECT sector AS code, sector_name AS name, CAST(count(*) AS INTEGER) AS stock_count FROM member GROUP BY 1, 2 HAVING count(*) >= 5) SELECT *, (SELECT count(*) FROM s) AS total FROM s ORDER BY code OFFSET 3 LIMIT 3"),
