@@ -30,9 +30,10 @@ def rps_from_changes(changes: DataFrame, periods: tuple[int, ...] = (20, 50, 120
 
 def average_place(value: Column, n: Column | None = None) -> Column:
     """Place among a date's values divided by their number, ties sharing their mean place; null for null."""
-    ties = F.count(value).over(by_date().partitionBy("data_type", "trade_date", value))
+    order = by_date(value.asc_nulls_last())
+    last = F.count(value).over(order)  # of those up to and with its equals, from the same sort
     n = F.count(value).over(by_date()) if n is None else n
-    return F.when(value.isNotNull(), (F.rank().over(by_date(value.asc_nulls_last())) + (ties - 1) / 2) / n)
+    return F.when(value.isNotNull(), (F.rank().over(order) + last) / 2 / n)
 
 
 def _from_prices(bars: DataFrame, periods: tuple[int, ...], least: int, dates: DataFrame | None = None, since: str | None = None) -> DataFrame:

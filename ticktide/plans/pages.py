@@ -182,7 +182,7 @@ def exits(spark, d):
     bars = bindings.stock_bars(spark, d).withColumn("close", rounded(F.col("close"), 8))
     locked = concentration.threshold_share(bindings.sector_bars(spark, d), 90, 10).where("share > 75")
     made = positions.exits(bought, bars, stop=0.3, trail=0.5, locked=locked)
-    return made.withColumn("exit_price", rounded(F.col("exit_price"), 4))
+    return made.withColumn("exit_price", rounded(F.col("exit_price"), 8))
 
 
 _RANKED3 = f"""{sql.SECTOR_BARS}, {sql.SECTORS}, chg AS (SELECT *, {', '.join(f'{sql.change(p)} AS chg_{p}d' for p in (10, 20, 50))} FROM sbars WHERE "close" > 0), rps AS (SELECT *, {', '.join(f'{sql.rps(p)} AS rps_{p}' for p in (10, 20, 50))} FROM chg)"""
@@ -247,7 +247,7 @@ _EXITS = f"""WITH {factors._threshold(sql.SECTOR_BARS, 'sbars', 0.9, 10)}, {sql.
   p AS (SELECT DISTINCT {_AT} AS position_id, {sql.CODE.format('l_suppkey')} AS code, trade_date, round_even(l_extendedprice / l_quantity, 8) AS price FROM trades),
   h AS (SELECT position_id, p.code, p.trade_date, price, x.trade_date AS left_on, c, locked, greatest(price, max(c) OVER (PARTITION BY position_id, p.code, p.trade_date, price ORDER BY x.trade_date ROWS UNBOUNDED PRECEDING)) AS high FROM p JOIN px x ON x.code = p.code AND x.trade_date > p.trade_date),
   e AS (SELECT position_id, code, trade_date, price, left_on, c, CASE WHEN locked THEN 'market' WHEN (c - price) / price <= -0.3::DOUBLE THEN 'stop' WHEN (high - c) / high >= 0.5::DOUBLE THEN 'trail' END AS reason FROM h WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY position_id, code, trade_date, price ORDER BY left_on) = 1)
-  SELECT position_id, code, trade_date, price, left_on AS exit_date, round_even(c - 0.01::DOUBLE, 4) AS exit_price, reason FROM p LEFT JOIN e USING (position_id, code, trade_date, price)"""
+  SELECT position_id, code, trade_date, price, left_on AS exit_date, round_even(c - 0.01::DOUBLE, 8) AS exit_price, reason FROM p LEFT JOIN e USING (position_id, code, trade_date, price)"""
 _CENTS = lambda c: f'round_even("{c}" * 100, 0) / 100 AS "{c}"'
 
 QUERIES = {
