@@ -192,30 +192,36 @@ class BatchCoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Puts the ids of pre-tokens into the cache. Space and letters: many in one text, cut where their bytes end."""
-        plain, rest = [], []
-        for p in pieces:
-            (plain if p[0] == " " and p[1:].isalpha() else rest).append(p)
-        flat, counts = [], []
+    def learn(self, pieces: pa.Array, names: np.ndarray) -> np.ndarray:
+        """Puts the ids of pre-tokens, distinct and new, into the cache and gives their numbers there. Space and letters: many in one
+        text, cut where their bytes end. names: the pieces as strings."""
+        numbers, sizes = np.empty(len(names), np.int64), pc.binary_length(pieces).to_numpy()
+        letters = pc.match_substring_regex(pieces, r"^ \pL+$").to_numpy(zero_copy_only=False)
+        plain, rest = np.flatnonzero(letters), [np.flatnonzero(~letters)]
+        flat, counts, n = [], [], len(self.known)
         for i in range(0, len(plain), 4000):
             some = plain[i : i + 4000]
-            ids = np.array(self.whole(["".join(some)])[0], np.int64)
-            ends = np.cumsum([len(p.encode()) for p in some])
+            ids = np.array(self.whole(["".join(names[some].tolist())])[0], np.int64)
+            ends = np.cumsum(sizes[some].astype(np.int64))
             made = np.cumsum(self.width[ids])
             stop = np.searchsorted(made, ends) + 1
             if made[-1] != ends[-1] or (made[stop - 1] != ends).any():  # can't be cut
-                rest = some + rest
+                rest.append(some)
                 continue
             flat.append(ids.astype(np.uint32))
             counts.append(np.diff(stop, prepend=0))
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
-        one = self.whole(rest)
+            numbers[some] = np.arange(n, n + len(some))
+            n += len(some)
+        others = np.concatenate(rest)
+        one = self.whole(names[others].tolist())
         flat.append(np.array([i for x in one for i in x], np.uint32))
         counts.append(np.array([len(x) for x in one], np.int64))
-        self.known.update(zip(rest, range(len(self.known), len(self.known) + len(rest))))
+        numbers[others] = np.arange(n, n + len(others))
+        order = np.argsort(numbers)
+        self.known.update(zip(names[order].tolist(), range(len(self.known), n + len(others))))
         self.flat = np.concatenate([self.flat, *flat])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(counts))])
+        return numbers
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) and where each text's begin, with the end (int64). Null counts as empty."""
@@ -233,7 +239,8 @@ class BatchCoder:
         starts = pretoken_starts(data, at)
         code, first = same_pieces(data, starts) if len(starts) else (np.zeros(0, np.int64),) * 2
         bounds = pa.py_buffer(np.append(starts, len(data)).astype(np.int64).tobytes())
-        distinct = pa.LargeStringArray.from_buffers(len(starts), bounds, pa.py_buffer(data)).take(pa.array(first)).to_numpy(zero_copy_only=False)
+        pieces = pa.LargeStringArray.from_buffers(len(starts), bounds, pa.py_buffer(data)).take(pa.array(first))
+        distinct = pieces.to_numpy(zero_copy_only=False)
         number = lambda pieces: np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         held = number(distinct)
         missing = np.flatnonzero(held < 0)
@@ -242,8 +249,7 @@ class BatchCoder:
             held = number(distinct)
             missing = np.flatnonzero(held < 0)
         if len(missing):
-            self.learn(distinct[missing].tolist())
-            held[missing] = number(distinct[missing])
+            held[missing] = self.learn(pieces.take(pa.array(missing)), distinct[missing])
         self.met = np.append(self.met, np.zeros(len(self.known) - len(self.met), np.int64))
         self.met[held] += 1
         own = self.at[held + 1] - self.at[held]  # ids of each distinct piece

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ticktide.llm import common, tokens
 
 ROLL, LONGEST, DIGEST = 8, 1024, 16
-MEAN_BITS = 7  # a chunk ends after one id in 2**7, about
+MEAN_BITS = 8  # a chunk ends after one id in 2**8, about
 _STAGED = "kind int, key binary, doc_id long, n_tokens long, body binary"
 _RECIPES = "part int, kind int, nth long, doc_id long, start long, n_tokens long, root binary, recipe binary"
 _PARTS = "part int, n_documents long, n_tokens long, root binary"
