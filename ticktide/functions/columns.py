@@ -49,6 +49,19 @@ def period_key(trade_date: Column, period: str) -> Column:
     return year
 
 
+def period_end(trade_date: Column, period: str) -> Column:
+    """The last day of a date's week (its Sunday), month, quarter or year as yyyyMMdd, by which periods are put in order."""
+    d = day(trade_date)
+    if period == "day":
+        return trade_date
+    end = {
+        "week": lambda: F.date_add(d, 6 - F.weekday(d)),
+        "month": lambda: F.last_day(d),
+        "quarter": lambda: F.last_day(F.add_months(F.trunc(d, "quarter"), 2)),
+    }.get(period, lambda: F.make_date(F.year(d), F.lit(12), F.lit(31)))()
+    return F.date_format(end, "yyyyMMdd")
+
+
 def family_of(code: Column) -> Column:
     """Which family a code belongs to by how it starts."""
     return F.when(code.startswith("88"), "sector").when(code.rlike("^(00|30|60|68)"), "stock").otherwise("index")

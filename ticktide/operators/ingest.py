@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticktide.functions.columns import clean, day, filled_volume
+from ticktide.functions.columns import bare_code, clean, day, family_of, filled_volume
 from ticktide.sources.store import Snapshots, by_family_and_year
 
 KEYS = ("data_type", "code", "trade_date")
@@ -19,18 +19,31 @@ def calendar(spark: SparkSession, start: str, end: str, holidays: DataFrame) ->
     return days.where(F.weekday("d") < 5).join(off, "d", "left_anti").select("d", F.date_format("d", "yyyyMMdd").alias("trade_date"))
 
 
+def first_holidays(*tables: DataFrame) -> DataFrame:
+    """year, dates (MM-dd) of each year from the first table that has any dates of it, as one is stored, another fetched."""
+    every = None
+    for i, t in enumerate(tables):
+        held = t.where(F.size("dates") > 0).select("year", F.struct(F.lit(i).alias("tier"), F.sort_array("dates").alias("dates")).alias("f"))
+        every = held if every is None else every.unionByName(held)
+    return every.groupBy("year").agg(F.min("f").alias("f")).select("year", F.col("f.dates").alias("dates"))
+
+
 def on_workdays(bars: DataFrame, workdays: DataFrame) -> DataFrame:
     """Bars of workdays; what isn't a date is none."""
     return bars.join(workdays.select("trade_date"), "trade_date", "left_semi")
 
 
-def in_bounds(bars: DataFrame, latest_year: int = 2050) -> DataFrame:
-    """Bars of sane years, prices in (0, 100000], volume up to 1e15 and amount up to 1e20."""
+def in_bounds_condition(first_year: int = 2000, latest_year: int = 2050) -> Column:
     year = F.year(day(F.col("trade_date")))
     prices = F.lit(True)
     for c in ("open", "high", "low", "close"):
         prices = prices & (F.col(c) > 0) & (F.col(c) <= 100_000)
-    return bars.where(year.between(2000, latest_year) & prices & (F.col("volume") <= 1e15) & (F.col("amount") <= 1e20))
+    return year.between(first_year, latest_year) & prices & (F.col("volume") <= 1e15) & (F.col("amount") <= 1e20)
+
+
+def in_bounds(bars: DataFrame, latest_year: int = 2050) -> DataFrame:
+    """Bars of sane years, prices in (0, 100000], volume up to 1e15 and amount up to 1e20."""
+    return bars.where(in_bounds_condition(latest_year=latest_year))
 
 
 def abnormal_share(bars: DataFrame) -> DataFrame:
@@ -54,6 +67,16 @@ def first_source(candidates: DataFrame, priority: dict[str, int], keys: tuple[st
     return candidates.withColumn("_n", best).where("_n = 1").drop("_n")
 
 
+def first_sound(candidates: DataFrame, priority: dict[str, int], most: float = 0.5, first_year: int = 2000) -> DataFrame:
+    """Of each instrument the rows within bounds of one source: the first, by priority and then by name, of whose batch at most a
+    share is out of bounds. An instrument that every source has wrong gets no rows."""
+    bad = ~in_bounds_condition(first_year)
+    rank = F.coalesce(*[F.when(F.col("data_source") == s, p) for s, p in priority.items()], F.lit(1 << 30))
+    batches = candidates.groupBy("data_type", "code", "data_source").agg(F.avg(F.coalesce(bad, F.lit(True)).cast("double")).alias("share"))
+    sound = batches.where(F.col("share") <= most).groupBy("data_type", "code").agg(F.min_by("data_source", F.struct(rank, "data_source")).alias("data_source"))
+    return candidates.join(sound, ["data_type", "code", "data_source"], "left_semi").where(~bad)
+
+
 def source_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("data_source").agg(F.count("*").alias("n"))
 
@@ -121,6 +144,18 @@ def without_ranks(bars: DataFrame) -> DataFrame:
     return bars.withColumns({c: F.lit(None).cast(bars.schema[c].dataType) for c in gone})
 
 
+#: A code that stands for the mean price of the market, and the sector code that it gets.
+MEAN_PRICE = ("avg_price", "880003")
+
+
+def unified(rows: DataFrame) -> DataFrame:
+    """A table with codes of all spellings, with market prefixes or suffixes, brought to plain codes, each row's family told by its
+    code; of rows that then share a key the newest stays. rows: code, trade_date, is_final, update_time and any others."""
+    code = F.when(F.col("code") == MEAN_PRICE[0], MEAN_PRICE[1]).otherwise(bare_code(F.col("code")))
+    named = rows.withColumn("code", code)
+    return newest(named.withColumn("data_type", family_of(F.col("code"))))
+
+
 def row_counts(bars: DataFrame) -> DataFrame:
     return bars.groupBy("data_type").agg(F.count("*").alias("n_rows"), F.countDistinct("code").alias("n_codes"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticktide.functions.columns import by_date, or_default
+from ticktide.functions.columns import by_date, family_of, or_default, period_key
 
 #: Names of broad indices; a sector whose name holds one of them is none.
 BROAD = ("沪深300", "中证500", "上证50", "创业板指", "科创50", "上证180", "深证成指", "上证指数", "通达信88")
@@ -53,6 +53,37 @@ def sector_bubbles(derived: DataFrame, names: DataFrame, period: int = 20, exclu
     return made.withColumn("place", F.row_number().over(Window.partitionBy("trade_date").orderBy("amount_pct", "code")))
 
 
+#: Ranks and changes that pages show of any family; what a family lacks is null.
+SHOWN = ("rps_10", "rps_20", "rps_50", "rps_120", "rps_250", "chg_20d", "chg_50d", "chg_120d", "chg_250d")
+
+
+def shown_ranks(*families: DataFrame) -> DataFrame:
+    """data_type, code, trade_date and all of SHOWN of several families as one table."""
+    held = [df.select("data_type", "code", "trade_date", *[F.col(c) if c in df.columns else F.lit(None).cast("int" if c.startswith("rps") else "double").alias(c) for c in SHOWN]) for df in families]
+    every = held[0]
+    for df in held[1:]:
+        every = every.unionByName(df)
+    return every
+
+
+def ranks_on(shown: DataFrame, trade_date: str, least: int | None = None) -> DataFrame:
+    """The ranks of all families on a date, or those of which any is at least so high, and how many there are."""
+    held = shown.where(F.col("trade_date") == trade_date)
+    if least is not None:
+        held = held.where(F.greatest(*[c for c in SHOWN if c.startswith("rps")]) >= least)
+    return held.withColumn("total", F.count("*").over(Window.partitionBy("trade_date")))
+
+
+def ranks_of(shown: DataFrame, code: str, period: str = "day", start: str = "0", end: str = "9") -> DataFrame:
+    """The ranks of one code, of the family that its code tells, between two dates in their order: of each week or month the last
+    row's, dated by the first."""
+    held = shown.where((F.col("code") == code) & (F.col("data_type") == family_of(F.lit(code))) & F.col("trade_date").between(start, end))
+    if period in ("week", "month"):
+        key = period_key(F.col("trade_date"), period).alias("period")
+        held = held.groupBy("data_type", "code", key).agg(F.min("trade_date").alias("first"), *[F.max_by(c, "trade_date").alias(c) for c in SHOWN]).withColumnRenamed("first", "trade_date").drop("period")
+    return held.select("code", "trade_date", *SHOWN).orderBy("trade_date")
+
+
 def at_least(ranked: DataFrame, least: int, columns: tuple[str, ...]) -> DataFrame:
     """Rows with any of the ranks at a minimum."""
     return ranked.where(F.greatest(*columns) >= least)
@@ -83,6 +114,12 @@ def latest_date(bars: DataFrame, upto: str | None = None, before: str | None = N
     return held.agg(F.max("trade_date").alias("trade_date"))
 
 
+def recent_dates(bars: DataFrame, n: int = 30) -> DataFrame:
+    """trade_date, place: the newest n dates that have a price, the newest first."""
+    dates = bars.where("close > 0").select("trade_date").distinct().orderBy(F.desc("trade_date")).limit(n)
+    return dates.withColumn("place", F.row_number().over(Window.orderBy(F.desc("trade_date"))))  # n rows
+
+
 def latest_common_date(bars: DataFrame, families: tuple[str, ...] = ("stock", "sector")) -> DataFrame:
     """The newest date that each of the families has reached."""
     per = bars.where(F.col("data_type").isin(*families)).groupBy("data_type").agg(F.max("trade_date").alias("trade_date"))

@@ -168,6 +168,18 @@ def response(signals: DataFrame, strong: DataFrame, clusters: DataFrame) -> Data
     return made.withColumns({c: F.coalesce(c, F.array().cast(made.schema[c].dataType)) for c in ("strong", "clusters")})
 
 
+def market_page(trade_date: str, tables: DataFrame, bubbles: DataFrame, fresh: DataFrame) -> DataFrame:
+    """One row with all that a page shows of a date: the three tables of its stocks and its bubbles as arrays of structs, and its
+    freshness. tables: market_tables(). bubbles: of stocks or of sectors, with a place or by code. fresh: of tables.freshness()."""
+    on = lambda df: df.where(F.col("trade_date") == trade_date)
+    order = "place" if "place" in bubbles.columns else "code"
+    kinds = ("rps", "amount", "price")
+    listed = on(tables).groupBy("trade_date").agg(*[F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("lower", "n", "avg_chg")))).alias(f"{k}_stats") for k in kinds])
+    rest = [c for c in bubbles.columns if c not in ("trade_date", order)]
+    nodes = on(bubbles).groupBy("trade_date").agg(F.count("*").alias("n_nodes"), F.sort_array(F.collect_list(F.struct(order, *rest))).alias("nodes"))
+    return listed.join(nodes, "trade_date", "full").join(on(fresh), "trade_date", "left")
+
+
 def market_tables(bins: DataFrame, amounts: DataFrame, prices: DataFrame) -> DataFrame:
     """The three tables of a date's stocks as one: by rank, by amount and by price. Each: trade_date, lower, n, avg_chg."""
     marked = [df.withColumn("kind", F.lit(kind)) for kind, df in (("rps", bins), ("amount", amounts), ("price", prices))]

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ticktide.functions import columns, parsing
 from ticktide.functions.columns import rounded
-from ticktide.operators import concentration, daytables, lookup, positions, ranks, sectors, tables, windows
-from ticktide.plans import factors, sql
+from ticktide.operators import concentration, daytables, ingest, lookup, pool, positions, ranks, resample, review, sectors, tables, windows
+from ticktide.plans import factors, market, sql
 from ticktide.sources import bindings, landed, store
 
 UNTIL = "19981231"
@@ -185,6 +185,74 @@ def exits(spark, d):
     return made.withColumn("exit_price", rounded(F.col("exit_price"), 8))
 
 
+def _shown(spark, d):
+    family = lambda bars, periods: ranks.rps_from_changes(windows.period_changes(windows.valid(bars(spark, d)), periods), periods)
+    return pool.shown_ranks(factors.stored(spark, d), family(bindings.sector_bars, (10, 20, 50)), windows.period_changes(windows.valid(bindings.index_bars(spark, d)), (20, 50, 120, 250)))
+
+
+_SHOWN = ["code", "trade_date", "rps_10", "rps_20", "rps_50", "rps_120", "rps_250", "chg_20d", "chg_250d"]
+
+
+def rps_on_date(spark, d):
+    """Ranks of all families of at least 90 on the newest date of the sectors."""
+    return pool.ranks_on(_shown(spark, d), pool.latest_date(bindings.sector_bars(spark, d)).first()[0], 90).select(*_SHOWN, "total")
+
+
+def rps_of_code(spark, d):
+    """A sector by week, an index by month and a stock by day."""
+    shown = _shown(spark, d)
+    found = [pool.ranks_of(shown, "880303", "week", "19950101", "19991231"), pool.ranks_of(shown, "999901", "month"), pool.ranks_of(shown, "000003")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select(*_SHOWN)
+
+
+def recent_dates(spark, d):
+    return pool.recent_dates(bindings.stock_bars(spark, d))
+
+
+def period_order(spark, d):
+    """Shares of weeks and quarters in the order in which a page draws them."""
+    shares = concentration.threshold_share(bindings.sector_bars(spark, d), 90, 10)
+    made = [resample.in_order(resample.last_of_period(shares, p, "share"), p).select(F.lit(p).alias("by"), "period", "share", "nth") for p in ("week", "quarter", "year")]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+def holiday_tiers(spark, d):
+    """Days of the market's rest as stored, else as fetched: here days on which many orders of even years came, and of all years."""
+    orders = bindings.read(spark, d, "orders").select(F.year("o_orderdate").alias("year"), F.date_format("o_orderdate", "MM-dd").alias("md"), "o_orderkey")
+    of = lambda rows: rows.groupBy("year").agg(F.sort_array(F.collect_set("md")).alias("dates"))
+    stored = of(orders.where("year % 2 = 0 AND o_orderkey % 50 = 0")).unionByName(spark.createDataFrame([(1995, [])], "year int, dates array<string>"))
+    return ingest.first_holidays(stored, of(orders.where("o_orderkey % 70 = 0"))).select("year", F.array_join("dates", ",").alias("dates"))
+
+
+def unified_codes(spark, d):
+    """Bars under two spellings of each code, brought together, and the market's mean price under its own."""
+    first, final = market._marked(spark, d)
+    spelled = first.withColumn("code", F.concat(F.lit("sz."), "code")).unionByName(final.withColumn("code", F.concat(F.col("code"), F.lit(".SZ"))))
+    mean = first.groupBy("trade_date").agg(F.min("close").alias("close"), F.min("volume").alias("volume"), F.min("is_final").alias("is_final"), F.min("update_time").alias("update_time")).withColumns({"code": F.lit("avg_price"), "data_type": F.lit("stock")})
+    made = ingest.unified(spelled.unionByName(mean.select(first.columns)))
+    return made.select("data_type", "code", "trade_date", rounded(F.col("close"), 8).alias("close"), "is_final")
+
+
+def first_sound(spark, d):
+    """Each stock's bars of the first source that has most of them within bounds."""
+    bars = bindings.stock_bars(spark, d)
+    wrong = lambda n: F.when((F.expr("CAST(code AS INT)") % n == 0) | (F.expr("CAST(code AS INT) + CAST(trade_date AS INT)") % 17 == n), -F.col("close")).otherwise(F.col("close"))
+    of = lambda name, n: bars.withColumn("close", wrong(n)).withColumn("data_source", F.lit(name))
+    found = ingest.first_sound(of("tdx", 2).unionByName(of("akshare", 3)).unionByName(of("yfinance", 5)), {"tdx": 1, "akshare": 2}, first_year=1990)
+    return found.select("code", "trade_date", "data_source", "volume")
+
+
+def market_page(spark, d):
+    """All that a page shows of the newest date, as JSON."""
+    held = factors.stored(spark, d)
+    newest = pool.latest_date(held).first()[0]
+    on = held.where(F.col("trade_date") == newest)
+    tables_ = review.market_tables(tables.rps_bins(on), tables.quantile_groups(on, "amount"), tables.quantile_groups(on, "close"))
+    stamped = on.withColumns({"is_final": F.col("volume") > 5, "update_time": F.to_timestamp("trade_date", "yyyyMMdd"), "data_source": F.when(F.col("volume") > 20, "b").otherwise("a")})
+    page = review.market_page(newest, tables_, pool.bubbles(on, bindings.stock_basics(spark, d)), tables.freshness(stamped))
+    return page.select("trade_date", "n_nodes", "all_final", "sources", *[F.to_json(c).alias(c) for c in ("rps_stats", "amount_stats", "price_stats", "nodes")])
+
+
 _RANKED3 = f"""{sql.SECTOR_BARS}, {sql.SECTORS}, chg AS (SELECT *, {', '.join(f'{sql.change(p)} AS chg_{p}d' for p in (10, 20, 50))} FROM sbars WHERE "close" > 0), rps AS (SELECT *, {', '.join(f'{sql.rps(p)} AS rps_{p}' for p in (10, 20, 50))} FROM chg)"""
 _LISTED = f"""{_RANKED3}, b AS (SELECT sector AS code, sector_name AS name, CAST(count(*) AS INTEGER) AS stock_count FROM member GROUP BY 1, 2), g AS (SELECT '8803' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS code FROM nation WHERE n_nationkey % 3 = 0),
   l AS (SELECT b.*, rps_10, rps_20, rps_50 FROM b LEFT JOIN (SELECT * FROM rps WHERE trade_date = (SELECT max(trade_date) FROM rps)) r USING (code))"""
@@ -250,6 +318,31 @@ _EXITS = f"""WITH {factors._threshold(sql.SECTOR_BARS, 'sbars', 0.9, 10)}, {sql.
   SELECT position_id, code, trade_date, price, left_on AS exit_date, round_even(c - 0.01::DOUBLE, 8) AS exit_price, reason FROM p LEFT JOIN e USING (position_id, code, trade_date, price)"""
 _CENTS = lambda c: f'round_even("{c}" * 100, 0) / 100 AS "{c}"'
 
+_ALL_SHOWN = f"""{sql.RANKED}, {sql.OWNED}, {sql.SECTOR_BARS.removeprefix(f'{sql.TRADES}, {sql.OWNED}, ')}, {sql.INDEX_BARS.removeprefix(f'{sql.TRADES}, {sql.OWNED}, ')},
+  sc AS (SELECT *, {', '.join(f'{sql.change(p)} AS chg_{p}d' for p in (10, 20, 50))} FROM sbars WHERE "close" > 0), sr AS (SELECT *, {', '.join(f'{sql.rps(p)} AS rps_{p}' for p in (10, 20, 50))} FROM sc), ic AS (SELECT *, {sql.change(20)} AS chg_20d, {sql.change(250)} AS chg_250d FROM ibars WHERE "close" > 0),
+  shown AS (SELECT code, trade_date, CAST(NULL AS INTEGER) AS rps_10, rps_20, rps_50, rps_120, rps_250, chg_20d, chg_250d FROM strength UNION ALL SELECT code, trade_date, rps_10, rps_20, rps_50, NULL, NULL, chg_20d, NULL FROM sr UNION ALL SELECT code, trade_date, NULL, NULL, NULL, NULL, NULL, chg_20d, chg_250d FROM ic)"""
+
+
+def _series_sql(code, p, where=""):
+    last = ", ".join(f"list({c} ORDER BY trade_date)[-1] AS {c}" for c in _SHOWN[2:])
+    return f"(SELECT code, min(trade_date) AS trade_date, {last} FROM shown WHERE code = '{code}' {where} GROUP BY code, {sql.period(p)})"
+
+
+_PERCENTS = ", ".join(f'CAST(round_even({sql.average_place(f'"{c}"', "count(*) OVER (PARTITION BY trade_date)")} * 100, 0) AS INTEGER) AS {c}_pct' for c in ("close", "amount"))
+
+
+def _groups(column, name):
+    """Fifty groups of the newest date's rows by a column, as JSON."""
+    return f"""{name} AS (SELECT CAST(to_json(list({{'lower': i * 2, 'n': n, 'avg_chg': a}} ORDER BY i)) AS VARCHAR) AS {name} FROM (SELECT i, count(*) AS n, round_even(avg(chg_pct), 2) AS a FROM (SELECT chg_pct, row_number() OVER (ORDER BY "{column}", code) - 1 AS r, count(*) OVER () AS n FROM x WHERE chg_pct IS NOT NULL) q, range(50) AS g(i) WHERE r >= floor(i * (CAST(n AS DOUBLE) / 50.0)) AND r < floor((i + 1) * (CAST(n AS DOUBLE) / 50.0)) GROUP BY 1))"""
+
+
+_MARKET_PAGE = f"""WITH {sql.ALL}, {sql.BASICS}, x AS (SELECT *, {_PERCENTS} FROM strength QUALIFY trade_date = max(trade_date) OVER ()),
+  rps_stats AS (SELECT CAST(to_json(list({{'lower': lower_, 'n': n, 'avg_chg': a}} ORDER BY lower_)) AS VARCHAR) AS rps_stats FROM (SELECT CAST((greatest(ceil(rps_20 / 2), 1) - 1) * 2 AS INTEGER) AS lower_, count(*) AS n, round_even(avg(chg_pct), 2) AS a FROM x WHERE rps_20 > 0 AND chg_pct IS NOT NULL GROUP BY 1)),
+  {_groups('amount', 'amount_stats')}, {_groups('close', 'price_stats')},
+  nodes AS (SELECT count(*) AS n_nodes, CAST(to_json(list({{'code': code, 'name': coalesce(stock_name, code), 'rps': rps_20, 'close_pct': close_pct, 'amount_pct': amount_pct, 'chg_pct': chg_pct}} ORDER BY code)) AS VARCHAR) AS nodes FROM x LEFT JOIN basics ON code = stock_code WHERE rps_20 IS NOT NULL AND chg_pct IS NOT NULL),
+  f AS (SELECT max(trade_date) AS trade_date, bool_and(volume > 5) AS all_final, string_agg(DISTINCT CASE WHEN volume > 20 THEN 'b' ELSE 'a' END, ',' ORDER BY CASE WHEN volume > 20 THEN 'b' ELSE 'a' END) AS sources FROM x)
+  SELECT trade_date, n_nodes, all_final, sources, rps_stats, amount_stats, price_stats, nodes FROM f, nodes, rps_stats, amount_stats, price_stats"""
+
 QUERIES = {
     "cr_from_stored": (cr_from_stored, factors.QUERIES["cr_p95"][1]),
     "cr_page": (cr_page, f"WITH {_CR_TABLES} " + " UNION ALL ".join(_cr_page_sql(p) for p in PERIODS)),
@@ -269,4 +362,14 @@ QUERIES = {
     "average_cost": (average_cost, f"{_COSTED} SELECT run_id, code, trade_date, nth, quantity, holding, CASE WHEN holding > 0 THEN round_even(cost, 6) END AS avg_cost, round_even(gain, 4) AS gain FROM f"),
     "trade_counts": (trade_counts, f"{_COSTED}, n AS (SELECT run_id, count(*) FILTER (side = 'BUY' AND quantity > 0) AS n_buys, count(gain) AS n_sells, count(*) FILTER (gain > 0) AS n_won, CAST(sum(CAST(round_even(gain, 6) AS DECIMAL(28,6))) AS DOUBLE) AS g FROM f GROUP BY 1) SELECT run_id, n_buys, n_sells, greatest(n_buys, n_sells) AS total_trades, round_even(n_won / n_sells, 6) AS win_rate, round_even(g, 0) AS gain FROM n"),
     "exits": (exits, _EXITS),
+    "rps_on_date": (rps_on_date, f"WITH {_ALL_SHOWN} SELECT *, count(*) OVER () AS total FROM shown WHERE trade_date = (SELECT max(trade_date) FROM sbars) AND greatest(rps_10, rps_20, rps_50, rps_120, rps_250) >= 90"),
+    "rps_of_code": (rps_of_code, f"WITH {_ALL_SHOWN} " + " UNION ALL ".join([_series_sql("880303", "week", "AND trade_date BETWEEN '19950101' AND '19991231'"), _series_sql("999901", "month"), "SELECT * FROM shown WHERE code = '000003'"])),
+    "recent_dates": (recent_dates, f"WITH {sql.BARS}, x AS (SELECT DISTINCT trade_date FROM bars) SELECT trade_date, CAST(row_number() OVER (ORDER BY trade_date DESC) AS INTEGER) AS place FROM x QUALIFY place <= 30"),
+    "period_order": (period_order, f"WITH {factors._CR_DAY} " + " UNION ALL ".join(f"""SELECT '{p}' AS "by", period, share, CAST(row_number() OVER (ORDER BY last_date) AS INTEGER) AS nth FROM (SELECT {sql.period(p)} AS period, arg_max(share, trade_date) AS share, max(trade_date) AS last_date FROM share GROUP BY 1)""" for p in ("week", "quarter", "year"))),
+    "holiday_tiers": (holiday_tiers, "WITH o AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, strftime(o_orderdate, '%m-%d') AS md, o_orderkey AS k FROM orders), a AS (SELECT year, string_agg(DISTINCT md, ',' ORDER BY md) AS dates FROM o WHERE year % 2 = 0 AND k % 50 = 0 GROUP BY 1), b AS (SELECT year, string_agg(DISTINCT md, ',' ORDER BY md) AS dates FROM o WHERE k % 70 = 0 GROUP BY 1) SELECT coalesce(a.year, b.year) AS year, coalesce(a.dates, b.dates) AS dates FROM a FULL JOIN b USING (year)"),
+    "unified_codes": (unified_codes, f"""WITH {market._MERGED} SELECT CASE WHEN code[:2] IN ('00', '30', '60', '68') THEN 'stock' ELSE 'index' END AS data_type, code, trade_date, round_even("close", 8) AS "close", is_final FROM merged UNION ALL SELECT 'sector', '880003', trade_date, round_even(min("close"), 8), FALSE FROM bars GROUP BY trade_date"""),
+    "first_sound": (first_sound, f"""WITH {sql.BARS}, s AS (SELECT code, trade_date, volume, high, 'tdx' AS data_source, 1 AS p, 2 AS m FROM bars UNION ALL SELECT code, trade_date, volume, high, 'akshare', 2, 3 FROM bars UNION ALL SELECT code, trade_date, volume, high, 'yfinance', 9, 5 FROM bars),
+      f AS (SELECT *, CAST(code AS INTEGER) % m = 0 OR (CAST(code AS INTEGER) + CAST(trade_date AS INTEGER)) % 17 = m OR high > 100000 AS bad FROM s), g AS (SELECT code, arg_min(data_source, p) AS data_source FROM (SELECT code, data_source, p FROM f GROUP BY ALL HAVING avg(CAST(bad AS INTEGER)) <= 0.5) GROUP BY 1)
+      SELECT code, trade_date, data_source, volume FROM f JOIN g USING (code, data_source) WHERE NOT bad"""),
+    "market_page": (market_page, _MARKET_PAGE),
 }
