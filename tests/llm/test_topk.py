@@ -1,6 +1,7 @@
 """Exact top-k over several blocks, and that lists aren't read to their ends."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -51,10 +52,28 @@ def test_reading_stops_early(spark):
     assert read < 0.8
 
 
+def test_one_block_is_read_in_part():
+    """A table of one block has thresholds too, from its slices."""
+    x, ids = np.floor(256 * vectors(2000, 64, 5)), np.arange(2000)
+    rows, columns, made, read = topk.block_top(x[:40], ids[:40], x, ids, 5)
+    scores = x[:40] @ x.T
+    assert read < 0.85 and (made == scores[rows, columns]).all()
+    scores[np.arange(40), np.arange(40)] = -np.inf
+    kth = np.sort(scores, axis=1)[:, -5]
+    assert {(r, c) for r, c, s in zip(rows, columns, made) if s >= kth[r]} == {(r, c) for r, c in zip(*np.nonzero(scores >= kth[:, None]))}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="needs the test tables")
+def test_table_is_read_in_part(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    read = topk.met(df, df.where("vec_id % 50 = 0"), 5, 256.0, "vec_id", "embedding", topk.QUERY_BLOCK, topk.CANDIDATE_BLOCK).agg({"read": "max"}).first()[0]
+    assert read < 0.85
+
+
 def test_bounds_hold_at_every_depth():
     x = np.floor(256 * vectors(300, 8, 3))
     lists, q = topk.Lists(x), x[:20]
     for depth in (1, 7, 150, 299, 300):
-        lower, upper = lists.bounds(q, depth)
+        lower, upper = lists.bounds(q, depth, upper=False), lists.bounds(q, depth)
         assert (lower <= q @ x.T + 1e-6).all() and (upper >= q @ x.T - 1e-6).all()
     assert (lower == upper).all()

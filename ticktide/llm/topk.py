@@ -6,8 +6,9 @@ query's weight asks for, deeper in each round; what has been read gives every ca
 score, the last value read and the list's far end standing for what hasn't. Candidates whose upper bound is below the query's
 threshold are outsiders. Reading stops when few others are left; their final scores are resolved in whole numbers.
 
-A query's threshold is the k-th best lower bound seen. Each block of queries first meets one block of candidates, its home;
-the k-th best score from there is the threshold that it brings to all other blocks, so that these needn't be read to the end.
+A query's threshold is the k-th best lower bound seen. A block's candidates come in slices that double: the k best scores of those
+before are the threshold for the next, so that only the first, small one is read to its end. Each block of queries first meets one
+block of candidates, its home; the k-th best score from there is the threshold that it brings to all other blocks.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without an id. Shorter vectors count as
 if filled up with zeros. A score beyond a long becomes the nearest long. Ties go to the smaller id. Rows that share an id are
@@ -29,6 +30,8 @@ QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 4096
 AT_ONCE = 1024
 #: Share of a block's lists that is read in each round, and the share of candidates left at which scores are resolved.
 DEPTHS, FEW = (1 / 4, 1 / 2, 5 / 8, 3 / 4, 1), 0.1
+#: Candidates of a block's first slice, at least; it has no threshold from the block.
+FIRST = 128
 LARGEST, SMALLEST = (1 << 63) - 1, -(1 << 63)
 
 def matrix(column: pa.ChunkedArray, width: int, scale: float) -> np.ndarray:
@@ -52,13 +55,13 @@ class Lists:
         self.falling = np.take_along_axis(x, order, axis=0)
         self.longest = float(np.sqrt((x * x).sum(axis=1).max(initial=0)))
 
-    def bounds(self, q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """(lower, upper) of each query's score with each candidate after `depth` entries of each list."""
+    def bounds(self, q: np.ndarray, depth: int, upper: bool = True) -> np.ndarray:
+        """The largest, or the smallest, score that each query may have with each candidate after `depth` entries of each list."""
         n = len(self.x)
         top, bottom = self.rank < depth, self.rank >= n - depth  # read so far from either end
         weights = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1)
-        side = lambda high, low: np.concatenate([np.where(top, self.x, high), np.where(bottom, self.x, low)], axis=1).T
-        return weights @ side(self.falling[-1], self.falling[0]), weights @ side(self.falling[depth - 1], self.falling[n - depth])
+        high, low = (self.falling[depth - 1], self.falling[n - depth]) if upper else (self.falling[-1], self.falling[0])
+        return weights @ np.concatenate([np.where(top, self.x, high), np.where(bottom, self.x, low)], axis=1).T
 
 
 def resolved(q: np.ndarray, x: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -76,34 +79,54 @@ def resolved(q: np.ndarray, x: np.ndarray, rows: np.ndarray, columns: np.ndarray
 
 def block_top(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, thresholds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(query, candidate, score) of what may be among a query's k best of all, as numbers of rows and exact scores, and the share
-    of the lists that was read. thresholds: scores that k candidates elsewhere reach; -inf without."""
+    of the lists that was read. thresholds: scores that k candidates elsewhere reach; -inf without. The block's candidates come in
+    slices, each as many as all before it; the k best scores of those before are thresholds too."""
     if len(x) == 0 or len(q) == 0:
         return (*(np.zeros(0, np.int64),) * 3, 0.0)
-    lists, found = Lists(x), []
     thresholds = np.full(len(q), -np.inf) if thresholds is None else thresholds
-    read = 0.0
+    ends = [len(x)]
+    while ends[0] > 2 * FIRST:
+        ends.insert(0, ends[0] // 2)
+    found, read = [], 0.0
+    slices = [Lists(x[a:b]) for a, b in zip([0, *ends], ends)]
     for i in range(0, len(q), AT_ONCE):
-        some, least = q[i : i + AT_ONCE], thresholds[i : i + AT_ONCE].copy()
-        slack = (4 * x.shape[1] + 8) * 2.0**-52 * np.sqrt((some * some).sum(axis=1)) * lists.longest + np.abs(np.where(np.isfinite(least), least, 0)) * 2.0**-51  # of sums in doubles
-        own = q_ids[i : i + AT_ONCE, None] == x_ids[None, :]
-        left = ~own
-        for share in DEPTHS:
-            depth = max(1, int(len(x) * share))
-            lower, upper = lists.bounds(some, depth)
-            lower[own] = -np.inf
-            if k <= len(x):
-                least = np.maximum(least, np.partition(lower, -k, axis=1)[:, -k])
-            np.minimum(least, float(LARGEST), out=least)
-            least[least <= float(SMALLEST)] = -np.inf
-            left &= upper >= (least - slack)[:, None]
-            if left.sum() <= max(FEW * left.size, 2 * k * len(some)):
-                break
-        read += depth / len(x) * len(some) / len(q)
-        rows, columns = np.nonzero(left)
-        found.append((rows + i, columns, resolved(some, x, rows, columns)))
+        some, least, begin, at = q[i : i + AT_ONCE], thresholds[i : i + AT_ONCE], 0, 0
+        best = np.full((len(some), k), -np.inf)
+        for lists in slices:
+            n = len(lists.x)
+            known = np.maximum(least, best.min(axis=1))
+            rows, columns, scores, depth, begin = _slice_top(some, q_ids[i : i + AT_ONCE], lists, x_ids[at : at + n], k, known, begin)
+            found.append((rows + i, columns + at, scores))
+            read += depth * n / len(x) * len(some) / len(q)
+            made = np.full((len(some), n), -np.inf)
+            made[rows, columns] = scores
+            best = np.partition(np.concatenate([best, made], axis=1), -k, axis=1)[:, -k:]
+            at += n
     return *(np.concatenate(c) for c in zip(*found)), read
 
 
+def _slice_top(q: np.ndarray, q_ids: np.ndarray, lists: Lists, x_ids: np.ndarray, k: int, least: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
+    """What of a slice reaches the thresholds, with the share of its lists that was read, and at which depth the next slice may begin:
+    one before that at which this one ended. Lower bounds are asked for only while a query has no threshold."""
+    n, x = len(x_ids), lists.x
+    slack = (4 * x.shape[1] + 8) * 2.0**-52 * np.sqrt((q * q).sum(axis=1)) * lists.longest + np.abs(np.where(np.isfinite(least), least, 0)) * 2.0**-51  # of sums in doubles
+    own = q_ids[:, None] == x_ids[None, :]
+    left = ~own
+    for place in range(begin, len(DEPTHS)):
+        depth = max(1, int(n * DEPTHS[place]))
+        if not np.isfinite(least).all() and k <= n:
+            lower = lists.bounds(q, depth, upper=False)
+            lower[own] = -np.inf
+            least = np.maximum(least, np.partition(lower, -k, axis=1)[:, -k])
+        least = np.minimum(least, float(LARGEST))
+        least[least <= float(SMALLEST)] = -np.inf
+        left &= lists.bounds(q, depth) >= (least - slack)[:, None]
+        if left.sum() <= max(FEW * left.size, 2 * k * len(q)):
+            break
+    rows, columns = np.nonzero(left)
+    return rows, columns, resolved(q, x, rows, columns), depth / n, max(0, place - 1)
+
+
 MET = "query_id long, vec_id long, score long, read double"
 
 
