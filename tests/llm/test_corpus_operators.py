@@ -50,6 +50,20 @@ def test_token_ids_equal_the_librarys(docs):
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == coder.whole([t or "" for t in texts])
 
 
+@pytest.mark.parametrize(("cache", "buckets"), [(50, None), (500, None), (300, 50), (10**6, 7)])
+def test_token_ids_with_small_caches_and_equal_hashes(monkeypatch, cache, buckets):
+    """Pieces are forgotten and met again, and pieces that share a hash are told apart by their bytes."""
+    r, plain = random.Random(cache), tokens.run_hashes
+    if buckets:
+        monkeypatch.setattr(tokens, "run_hashes", lambda *a: plain(*a) % np.uint64(buckets))
+    pieces = [" ", "\n", "'s", "'ll", "B", "é", "中", "1", "!", "😀", "<|endoftext|>", " word", " wörd", "abc"]
+    coder = tokens.BatchCoder(PATH, cache)
+    for _ in range(20):
+        texts = ["".join(r.choice(pieces) for _ in range(r.randrange(25))) for _ in range(100)] + [None, ""]
+        ids, at = coder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == coder.whole([t or "" for t in texts])
+
+
 def base_spans(text):
     """The contract's expressions as they stand."""
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

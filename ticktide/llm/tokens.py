@@ -12,7 +12,6 @@ import ctypes
 import json
 import os
 import unicodedata
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x
 #: Ranges of code points outside of which there are no letters and numbers.
 ASSIGNED = ((0, 0x33480), (0xE0000, 0xE1000))
 #: Distinct pre-tokens that a worker remembers at most, about.
-CACHE = 300_000
+CACHE = 1_000_000
 
 _classes: np.ndarray | None = None
 _coders: dict[tuple[str, int], "BatchCoder"] = {}
@@ -135,15 +134,16 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: n
     return common.mix(out ^ (ends - starts).astype(np.uint64) << np.uint64(40))
 
 
-def same_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each piece of data the number of its string, and for each such number where it first occurs.
+def same_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each piece of data the number of its string, for each such number where it first occurs, and a hash of each piece.
 
     Pieces are grouped by a hash and each is then compared with its group's first byte by byte.
     """
     import pandas as pd
 
     ends = np.append(starts[1:], len(data))
-    code, _ = pd.factorize(run_hashes(data, starts, ends))
+    hashes = run_hashes(data, starts, ends)
+    code, _ = pd.factorize(hashes)
     first = np.empty(code.max() + 1 if len(code) else 0, np.int64)
     first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
     held = starts[first[code]]
@@ -154,7 +154,61 @@ def same_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
         code = found.indices.to_numpy()
         first = np.empty(len(found.dictionary), np.int64)
         first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-    return code, first
+    return code, first, hashes
+
+
+class Pieces:
+    """Strings with their ids, found by a hash and compared byte by byte. Of strings that share a hash one can be found."""
+
+    def __init__(self):
+        self.hashes, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ascending hashes, and which piece each is of
+        self.text, self.text_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.met = np.zeros(0, np.int64)  # batches that each piece was in
+
+    def __len__(self) -> int:
+        return len(self.met)
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Which piece each run of data is, -1 if none."""
+        found = np.full(len(hashes), -1, np.int64)
+        if not len(self.hashes):
+            return found
+        asked = np.argsort(hashes)  # in order, a search stays near the last one's place
+        at = np.minimum(np.searchsorted(self.hashes, hashes[asked]), len(self.hashes) - 1)
+        same = self.hashes[at] == hashes[asked]
+        found[asked[same]] = self.order[at[same]]
+        likely = np.flatnonzero(found >= 0)
+        likely = likely[np.diff(self.text_at)[found[likely]] == counts[likely]]
+        sizes = counts[likely]
+        other = data[ragged(starts[likely], sizes)] != self.text[ragged(self.text_at[found[likely]], sizes)]
+        ok = np.add.reduceat(other, np.cumsum(sizes) - sizes) == 0 if len(likely) else np.zeros(0, bool)
+        kept = np.full(len(hashes), -1, np.int64)
+        kept[likely[ok]] = found[likely[ok]]
+        return kept
+
+    def add(self, hashes: np.ndarray, text: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Appends pieces: their bytes and ids, one piece's after the other's."""
+        n = len(self)
+        new, which = np.unique(hashes, return_index=True)
+        at = np.searchsorted(self.hashes, new)
+        fresh = self.hashes[np.minimum(at, len(self.hashes) - 1)] != new if len(self.hashes) else np.ones(len(new), bool)
+        self.hashes, self.order = np.insert(self.hashes, at[fresh], new[fresh]), np.insert(self.order, at[fresh], n + which[fresh])
+        self.text, self.text_at = np.concatenate([self.text, text]), np.concatenate([self.text_at, self.text_at[-1] + np.cumsum(sizes)])
+        self.ids, self.at = np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
+        self.met = np.append(self.met, np.zeros(len(sizes), np.int64))
+
+    def only(self, keep: np.ndarray) -> Pieces:
+        """The pieces of ascending numbers, each met once so far."""
+        made, place = Pieces(), np.full(len(self), -1, np.int64)
+        place[keep] = np.arange(len(keep))
+        held = place[self.order] >= 0
+        made.hashes, made.order = self.hashes[held], place[self.order][held]
+        sizes, counts = np.diff(self.text_at)[keep], np.diff(self.at)[keep]
+        made.text, made.text_at = self.text[ragged(self.text_at[keep], sizes)], np.append(0, np.cumsum(sizes))
+        made.ids, made.at = self.ids[ragged(self.at[keep], counts)], np.append(0, np.cumsum(counts))
+        made.met = np.ones(len(keep), np.int64)
+        return made
 
 
 class BatchCoder:
@@ -175,52 +229,48 @@ class BatchCoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.met = np.zeros(0, np.int64)  # batches that each known piece was in
+        self.known = Pieces()
 
     def shrink(self) -> None:
         """Forgets pieces that one batch alone had, and of the others the rarer ones beyond half of the cache."""
-        keep = np.flatnonzero(self.met > 1)
+        met = self.known.met
+        keep = np.flatnonzero(met > 1)
         if len(keep) > self.cache // 2:
-            keep = np.sort(keep[np.argsort(-self.met[keep], kind="stable")[: self.cache // 2]])
-        names, counts = list(self.known), np.diff(self.at)[keep]
-        self.known = {names[i]: k for k, i in enumerate(keep.tolist())}
-        self.flat, self.at = self.flat[ragged(self.at[keep], counts)], np.append(0, np.cumsum(counts))
-        self.met = np.ones(len(keep), np.int64)
+            keep = np.sort(keep[np.argsort(-met[keep], kind="stable")[: self.cache // 2]])
+        self.known = self.known.only(keep)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: pa.Array, names: np.ndarray) -> np.ndarray:
+    def learn(self, pieces: pa.Array, hashes: np.ndarray) -> np.ndarray:
         """Puts the ids of pre-tokens, distinct and new, into the cache and gives their numbers there. Space and letters: many in one
-        text, cut where their bytes end. names: the pieces as strings."""
-        numbers, sizes = np.empty(len(names), np.int64), pc.binary_length(pieces).to_numpy()
+        text, cut where their bytes end."""
+        names, sizes = pieces.to_numpy(zero_copy_only=False), pc.binary_length(pieces).to_numpy().astype(np.int64)
         letters = pc.match_substring_regex(pieces, r"^ \pL+$").to_numpy(zero_copy_only=False)
         plain, rest = np.flatnonzero(letters), [np.flatnonzero(~letters)]
-        flat, counts, n = [], [], len(self.known)
+        order, flat, counts = [], [], []
         for i in range(0, len(plain), 4000):
             some = plain[i : i + 4000]
             ids = np.array(self.whole(["".join(names[some].tolist())])[0], np.int64)
-            ends = np.cumsum(sizes[some].astype(np.int64))
+            ends = np.cumsum(sizes[some])
             made = np.cumsum(self.width[ids])
             stop = np.searchsorted(made, ends) + 1
             if made[-1] != ends[-1] or (made[stop - 1] != ends).any():  # can't be cut
                 rest.append(some)
                 continue
+            order.append(some)
             flat.append(ids.astype(np.uint32))
             counts.append(np.diff(stop, prepend=0))
-            numbers[some] = np.arange(n, n + len(some))
-            n += len(some)
         others = np.concatenate(rest)
         one = self.whole(names[others].tolist())
+        order.append(others)
         flat.append(np.array([i for x in one for i in x], np.uint32))
         counts.append(np.array([len(x) for x in one], np.int64))
-        numbers[others] = np.arange(n, n + len(others))
-        order = np.argsort(numbers)
-        self.known.update(zip(names[order].tolist(), range(len(self.known), n + len(others))))
-        self.flat = np.concatenate([self.flat, *flat])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(counts))])
+        order, numbers = np.concatenate(order), np.empty(len(names), np.int64)
+        numbers[order] = np.arange(len(self.known), len(self.known) + len(order))
+        taken = pieces.take(pa.array(order))
+        text = np.frombuffer(taken.buffers()[2], np.uint8)[: int(sizes.sum())]
+        self.known.add(hashes[order], text, sizes[order], np.concatenate(flat), np.concatenate(counts))
         return numbers
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -237,23 +287,23 @@ class BatchCoder:
         data = np.frombuffer(body, np.uint8)[at[0] : at[-1]] if body is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
         at = at - at[0]
         starts = pretoken_starts(data, at)
-        code, first = same_pieces(data, starts) if len(starts) else (np.zeros(0, np.int64),) * 2
-        bounds = pa.py_buffer(np.append(starts, len(data)).astype(np.int64).tobytes())
-        pieces = pa.LargeStringArray.from_buffers(len(starts), bounds, pa.py_buffer(data)).take(pa.array(first))
-        distinct = pieces.to_numpy(zero_copy_only=False)
-        number = lambda pieces: np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        held = number(distinct)
+        code, first, hashes = same_pieces(data, starts) if len(starts) else (np.zeros(0, np.int64),) * 3
+        distinct, own = hashes[first], starts[first]
+        sizes = np.append(starts, len(data))[first + 1] - own
+        held = self.known.find(distinct, data, own, sizes)
         missing = np.flatnonzero(held < 0)
         if len(self.known) + len(missing) > self.cache and len(self.known):
             self.shrink()
-            held = number(distinct)
+            held = self.known.find(distinct, data, own, sizes)
             missing = np.flatnonzero(held < 0)
         if len(missing):
-            held[missing] = self.learn(pieces.take(pa.array(missing)), distinct[missing])
-        self.met = np.append(self.met, np.zeros(len(self.known) - len(self.met), np.int64))
-        self.met[held] += 1
-        own = self.at[held + 1] - self.at[held]  # ids of each distinct piece
-        few = self.flat[ragged(self.at[held], own)]
+            bounds = pa.py_buffer(np.append(starts, len(data)).astype(np.int64).tobytes())
+            pieces = pa.LargeStringArray.from_buffers(len(starts), bounds, pa.py_buffer(data)).take(pa.array(first[missing]))
+            held[missing] = self.learn(pieces, distinct[missing])
+        known = self.known
+        known.met[held] += 1
+        own = known.at[held + 1] - known.at[held]  # ids of each distinct piece
+        few = known.ids[ragged(known.at[held], own)]
         counts = own[code]
         ids = few[ragged((np.cumsum(own) - own)[code], counts)]
         per_piece = np.concatenate([[0], np.cumsum(counts)])

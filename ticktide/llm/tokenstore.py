@@ -34,7 +34,7 @@ _RECIPES = "part int, kind int, nth long, doc_id long, start long, n_tokens long
 _PARTS = "part int, n_documents long, n_tokens long, root binary"
 _TOP = "n_parts int, n_documents long, n_tokens long, root binary"
 #: Distinct pre-tokens that a worker remembers, and bytes of text that it encodes at once.
-CACHE, AT_ONCE = 800_000, 3 << 20
+CACHE, AT_ONCE = tokens.CACHE, 3 << 20
 #: Digests that a task remembers, so as to send a chunk once.
 SEEN = 500_000
 _REFS = "part int, nth long, doc_id long, start long, n_tokens long, digest binary, n long, ids_after long"
