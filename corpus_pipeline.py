@@ -1,7 +1,11 @@
 """From raw documents to packed training sequences: five stages, each an operator of ticktide.llm.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs. All but the
-last return the columns of documents. Null texts are empty texts to every stage.
+last return the columns of documents. Null texts are empty texts to every stage; texts of any length are read whole. Rows without a
+doc_id are scored, masked, mixed and packed like others and are near copies of nothing. Rows that share a doc_id go together: all are
+near copies if one is, and each is packed. Among near copies the smallest doc_id stays; ties in mixing go by a mark of the row's
+values. An empty table passes every stage and gives no rows; other columns of documents are carried up to packing, whatever they are
+called.
 """
 
 from __future__ import annotations

@@ -151,7 +151,7 @@ def with_copies(sized: DataFrame, made: DataFrame, limit: int = 2, bins: int = 1
         counts = equal.groupBy(F.col("source").alias("_s"), F.col("shard").alias("_n")).agg(F.count("*").alias("n"))
         counts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("_s").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
         nth = F.row_number().over(Window.partitionBy("source", "shard").orderBy("mark")) - 1
-        equal = equal.withColumn("nth", nth).join(F.broadcast(counts), F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_n")))  # SHARDS rows a source at most
+        equal = equal.withColumn("nth", nth).join(counts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_n")))  # SHARDS rows a source at most
         found = found.where(~torn).unionByName(equal.withColumn("nth", F.col("nth") + F.col("before")).drop("shard", "before", "_s", "_n"))
     before = (F.col("bin") < F.col("edge_bin")) | ((F.col("bin") == F.col("edge_bin")) & ((F.col("part") < F.col("edge_part")) | ((F.col("part") == F.col("edge_part")) & (F.col("mark") < F.col("edge_mark")))))
     more = (F.col("open") & before) | (tie & (F.col("nth") < F.col("edge_take")))

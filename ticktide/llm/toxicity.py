@@ -29,6 +29,7 @@ MAX_TRAIN = 12_000
 FEATURES = 4096
 #: Lengths of the beginnings of words that are features beside the words.
 STEMS = (4, 5, 6, 7)
+#: Documents of the sample that must have a feature, unless told otherwise.
 LEAST_DOCS = 4
 
 _sentence = re.compile(r"[^.!?\n]*[.!?\n]?")
@@ -51,8 +52,8 @@ def sampled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
 
 
-def chosen_features(train: DataFrame, most: int) -> list[str]:
-    """The `most` features whose document counts tell most about the label."""
+def chosen_features(train: DataFrame, most: int, least_docs: int = LEAST_DOCS) -> list[str]:
+    """The `most` features, of those that at least so many documents have, whose document counts tell most about the label."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = (Counter(), Counter())
@@ -72,7 +73,7 @@ def chosen_features(train: DataFrame, most: int) -> list[str]:
     counts = train.mapInArrow(count, "feature string, n long, toxic int").groupBy("feature").agg(*[F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).alias(f"n{t}") for t in (0, 1)])
     a, b = (F.col("n1") + 0.5) / (of[1] + 1.0), (F.col("n0") + 0.5) / (of[0] + 1.0)
     z = F.log(a / b) / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    best = counts.where(F.col("n0") + F.col("n1") >= LEAST_DOCS).select("feature", F.abs(z).alias("z")).orderBy(F.desc("z"), "feature").limit(most)
+    best = counts.where(F.col("n0") + F.col("n1") >= least_docs).select("feature", F.abs(z).alias("z")).orderBy(F.desc("z"), "feature").limit(most)
     return [r.feature for r in best.collect()]
 
 
@@ -136,10 +137,10 @@ def bags(train: DataFrame, names: list[str]) -> DataFrame:
     return train.mapInArrow(run, "toxic int, empty long, sentences array<array<int>>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = FEATURES, steps: int = 250, rate: float = 0.15, penalty: float = 2e-4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = FEATURES, least_docs: int = LEAST_DOCS, steps: int = 250, rate: float = 0.15, penalty: float = 2e-4) -> Model:
     """Fits the noisy-or model by Adam on the mean negative log likelihood of the sample."""
     train = sampled(docs, labels, max_train).persist()
-    names = chosen_features(train, max_features)
+    names = chosen_features(train, max_features, least_docs)
     if not names:
         train.unpersist()
         return Model({}, -30.0)
