@@ -31,7 +31,8 @@ def fill(table: Snapshots, bars: DataFrame, columns: tuple[str, ...], compute: C
     """Brings a stored table up to date with bars and says for how many dates it computed rows. compute: from the bars of some dates a
     row for each date, or none. columns: what it depends on. Dates that have no bars any more go. The years that change are written
     in one new snapshot, so a reader has the table as it was or as it is now."""
-    marked = marks(bars, columns)
+    spark, marked = table.spark, marks(bars, columns)
+    marked = spark.createDataFrame(marked.collect(), marked.schema)  # a row for each trading day: bars are read once for it
     schema = StructType([*marked.schema.fields, *[f for f in compute(bars.limit(0)).schema.fields if f.name != "trade_date"]])
     held = table.read(schema)
     wanted, gone = stale(held, marked), held.select("trade_date").join(marked, "trade_date", "left_anti")
