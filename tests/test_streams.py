@@ -1,9 +1,11 @@
 """Streams of several batches give what a table gives, keep nothing in the driver, treat late ticks alike and go on after a restart."""
 
+from contextlib import contextmanager
+
 import pytest
 from pyspark.sql import functions as F
 
-from ticktide.operators import ingest
+from ticktide.operators import ingest, ranks
 from ticktide.plans import upkeep
 from ticktide.sources.store import Snapshots
 from ticktide.streaming import bars as streams
@@ -80,6 +82,44 @@ def test_upserts_go_on_after_a_lost_batch(spark, tmp_path, monkeypatch):
     assert sorted(map(str, found.collect())) == sorted(map(str, ingest.newest(bars(spark, every)).collect()))
 
 
+def test_derived_fields_follow_a_stream(spark, tmp_path):
+    """Batches with corrections, stale rows, a new instrument, a day of rest and an empty batch, one of them run twice."""
+    columns = "data_type string, code string, trade_date string, open double, high double, low double, close double, volume double, amount double, is_final boolean, at string"
+    day = lambda i: f"2024{1 + i // 28:02d}{1 + i % 28:02d}"
+    bar = lambda c, i, p, final, hour: ("stock", c, day(i), p, p, p, p, 10.0 + i, p * 10, final, f"2024-{1 + i // 28:02d}-{1 + i % 28:02d} {hour}:00:00")
+    batches = [
+        [bar(c, i, 5.0 + i % 7 + n, i % 2 == 0, 12) for n, c in enumerate("abc") for i in range(40) if (i + n) % 9],
+        [bar("a", 5, 50.0, True, 16), bar("a", 6, 60.0, False, 9), bar("b", 30, 9.0, True, 16), bar("b", 30, 8.0, True, 15)],
+        [bar("d", i, 3.0 + i, True, 16) for i in range(10, 25)] + [bar("c", 55, 4.0, True, 16)],
+        [bar("a", 5, 1.0, False, 17)],
+    ]
+    frame = lambda rows: spark.createDataFrame(rows, columns).withColumn("update_time", F.to_timestamp("at")).drop("at")
+    workdays = spark.createDataFrame([(day(i),) for i in range(80) if i != 7], "trade_date string")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(frame(batches[0]).schema).parquet(f"{tmp_path}/in")
+    for n, rows in enumerate(batches):
+        frame(rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if n == 2:  # the table is written, the batch isn't ticked off
+            with monkeypatched(Snapshots, "forget"), pytest.raises(Exception):
+                streams.derive_stream(stream, f"{tmp_path}/table", f"{tmp_path}/state", workdays).awaitTermination()
+        streams.derive_stream(stream, f"{tmp_path}/table", f"{tmp_path}/state", workdays).awaitTermination()
+    every = ingest.newest(ingest.on_workdays(frame([r for rows in batches for r in rows]), workdays))
+    want = ranks.derived(every)
+    found = Snapshots(spark, f"{tmp_path}/table").read(want.schema)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+
+
+@contextmanager
+def monkeypatched(owner, name):
+    """A method that fails for a while."""
+    held = getattr(owner, name)
+    setattr(owner, name, lambda *a: 1 / 0)
+    try:
+        yield
+    finally:
+        setattr(owner, name, held)
+
+
 @pytest.mark.parametrize("query", [upkeep.stream_tumbling, upkeep.stream_sliding, upkeep.stream_session, upkeep.stream_awaited])
 def test_stream_queries_are_streams_into_files(spark, query):
     found = query(spark, "/root/testdata/sf0.001")
