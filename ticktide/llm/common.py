@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,6 +33,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def trim() -> None:
+    """Gives the memory that a worker holds but doesn't use back to the system, where its allocator can: workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; when they are at an end trim() is called."""
+    yield from batches
+    trim()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only where that is unset and all runs on one machine (tests) a temporary one is set."""
     context = spark.sparkContext
@@ -136,7 +151,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     bits, test, exact = membership(docs, nodes)
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             yield batch.filter(pa.array(test(batch.column("node"), batch.column("word"), batch.column("place")))).select(["node", "text"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
@@ -154,7 +169,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def having(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in trimmed(batches):
                 held = test(batch.column("node"), batch.column("word"), batch.column("place"))
                 yield batch.filter(pa.array(held == wanted)).select(["node", *inner])
 

@@ -106,7 +106,7 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         tokens.release()
-        for batch in batches:
+        for batch in common.trimmed(batches):
             for part in tokens.slices(batch, "text", size=1 << 20):
                 sets = shingle_sets(part.column("text"), words)
                 prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
@@ -157,7 +157,7 @@ def differences(stars: DataFrame, texts: DataFrame, words: int, percent: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         held: tuple = (None, None)
-        for batch in batches:
+        for batch in common.trimmed(batches):
             for part in tokens.slices(batch, "ta", "tb"):
                 own, rows = shingle_sets(part.column("ta"), words), []
                 for x, pivot, text in zip(own, part.column("b").to_pylist(), part.column("tb").to_pylist()):
@@ -222,7 +222,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         held: tuple = (None, None)
-        for batch in batches:
+        for batch in common.trimmed(batches):
             for part in tokens.slices(batch, "ta", "tb"):
                 own = shingle_sets(part.column("ta"), words)
                 keep = []

@@ -50,7 +50,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
         batch = part = None
-        tokens.trim()  # the worker waits for its next task with the coder's cache alone
+        common.trim()  # the worker waits for its next task with the coder's cache alone
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 

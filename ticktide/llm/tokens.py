@@ -8,7 +8,6 @@ pre-tokenizer, go through the library whole.
 
 from __future__ import annotations
 
-import ctypes
 import json
 import os
 import unicodedata
@@ -328,15 +327,7 @@ def release() -> None:
     """Lets the process's coders go: workers outlive stages, and those that don't encode shouldn't hold them."""
     if _coders:
         _coders.clear()
-        pa.default_memory_pool().release_unused()
-
-
-def trim() -> None:
-    """Gives the memory that the process holds but doesn't use back to the system, where its allocator can."""
-    pa.default_memory_pool().release_unused()
-    trimmed = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trimmed is not None:
-        trimmed(0)
+        common.trim()
 
 
 def slices(batch: pa.RecordBatch, *columns: str, size: int = 2 << 20):

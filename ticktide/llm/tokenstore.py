@@ -135,7 +135,7 @@ def _staged(docs: DataFrame, tokenizer_path: str, end_id: int, width: str) -> Da
                     ["kind", "key", "doc_id", "n_tokens", "body"],
                 )
         batch = part = seen = None
-        tokens.trim()  # the worker waits for its next task with the coder's cache alone
+        common.trim()  # the worker waits for its next task with the coder's cache alone
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _STAGED)
 
@@ -148,7 +148,7 @@ def _fixed(keys: pa.Array) -> np.ndarray:
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the chunks of a partition, which has all of a digest's, in order, the first of each digest; all documents."""
     tokens.release()
-    tokens.trim()
+    common.trim()
     last = np.zeros((0, DIGEST), np.uint8)
     for batch in batches:
         keys = _fixed(batch.column("key"))
