@@ -89,6 +89,12 @@ def strength_sum(ranked: DataFrame, third_needed: bool = True) -> DataFrame:
     return ranked.withColumn("rps_sum", total).withColumn("is_active", F.coalesce((F.col("rps_sum") > 270) & (F.col("chg_pct") > 5), F.lit(False)))
 
 
+def beside(bars: DataFrame, ranked: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Bars with columns of a table of ranks, which may lack dates: null there."""
+    keys = ["data_type", "code", "trade_date"]
+    return bars.join(ranked.select(*keys, *columns), keys, "left")
+
+
 def derived(bars: DataFrame) -> DataFrame:
     """Everything that is stored beside a bar: changes, means, ranks, their sum, percentiles; in the order they need each other."""
     made = windows.moving_averages(windows.period_changes(windows.valid(bars)))

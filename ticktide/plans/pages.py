@@ -205,6 +205,12 @@ def rps_of_code(spark, d):
     return found[0].unionByName(found[1]).unionByName(found[2]).select(*_SHOWN)
 
 
+def bars_with_ranks(spark, d):
+    """Each stock's newest 260 bars with their ranks, which are stored for all but provisional dates: here those of even days."""
+    stored = factors.stored(spark, d).where(F.expr(market.DATE_PICK) % 2 == 0)
+    return ranks.beside(pool.last_bars(bindings.stock_bars(spark, d), 260), stored, ("rps_20", "rps_250")).select(*factors.ID, "volume", "rps_20", "rps_250")
+
+
 def recent_dates(spark, d):
     return pool.recent_dates(bindings.stock_bars(spark, d))
 
@@ -364,6 +370,7 @@ QUERIES = {
     "exits": (exits, _EXITS),
     "rps_on_date": (rps_on_date, f"WITH {_ALL_SHOWN} SELECT *, count(*) OVER () AS total FROM shown WHERE trade_date = (SELECT max(trade_date) FROM sbars) AND greatest(rps_10, rps_20, rps_50, rps_120, rps_250) >= 90"),
     "rps_of_code": (rps_of_code, f"WITH {_ALL_SHOWN} " + " UNION ALL ".join([_series_sql("880303", "week", "AND trade_date BETWEEN '19950101' AND '19991231'"), _series_sql("999901", "month"), "SELECT * FROM shown WHERE code = '000003'"])),
+    "bars_with_ranks": (bars_with_ranks, f"WITH {sql.RANKED}, l AS (SELECT code, trade_date, volume FROM bars QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) <= 260) SELECT code, trade_date, l.volume, rps_20, rps_250 FROM l LEFT JOIN (SELECT code, trade_date, rps_20, rps_250 FROM strength WHERE CAST(trade_date AS INTEGER) % 2 = 0) r USING (code, trade_date)"),
     "recent_dates": (recent_dates, f"WITH {sql.BARS}, x AS (SELECT DISTINCT trade_date FROM bars) SELECT trade_date, CAST(row_number() OVER (ORDER BY trade_date DESC) AS INTEGER) AS place FROM x QUALIFY place <= 30"),
     "period_order": (period_order, f"WITH {factors._CR_DAY} " + " UNION ALL ".join(f"""SELECT '{p}' AS "by", period, share, CAST(row_number() OVER (ORDER BY last_date) AS INTEGER) AS nth FROM (SELECT {sql.period(p)} AS period, arg_max(share, trade_date) AS share, max(trade_date) AS last_date FROM share GROUP BY 1)""" for p in ("week", "quarter", "year"))),
     "holiday_tiers": (holiday_tiers, "WITH o AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, strftime(o_orderdate, '%m-%d') AS md, o_orderkey AS k FROM orders), a AS (SELECT year, string_agg(DISTINCT md, ',' ORDER BY md) AS dates FROM o WHERE year % 2 = 0 AND k % 50 = 0 GROUP BY 1), b AS (SELECT year, string_agg(DISTINCT md, ',' ORDER BY md) AS dates FROM o WHERE k % 70 = 0 GROUP BY 1) SELECT coalesce(a.year, b.year) AS year, coalesce(a.dates, b.dates) AS dates FROM a FULL JOIN b USING (year)"),
