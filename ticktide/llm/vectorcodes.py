@@ -35,7 +35,7 @@ from ticktide.llm import common
 
 PARTS, SIZE, ROUNDS = 4, 256, 4
 #: Parts that meet a codebook at once, and pairs whose numbers are gathered at once.
-AT_ONCE, GATHERED = 2048, 1 << 16
+AT_ONCE, GATHERED = 2048, 1 << 14
 LARGEST = (1 << 63) - 1
 
 
@@ -55,11 +55,12 @@ def features(v: np.ndarray, n: int) -> np.ndarray:
 def exact(x: np.ndarray, entries: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """Squared distances of pairs, as longs, or as Python's integers where longs could overflow."""
     most = max(int(np.abs(x).max(initial=0)), int(np.abs(entries).max(initial=0)))
-    kind = np.int64 if 4 * x.shape[1] * most * most < LARGEST else object
-    out = np.empty(len(rows), kind)
+    largest = 4 * x.shape[1] * most * most
+    kind = np.int32 if largest < 1 << 31 else np.int64 if largest < LARGEST else object
+    x, entries, out = x.astype(kind, copy=False), entries.astype(kind, copy=False), np.empty(len(rows), object if kind is object else np.int64)
     for i in range(0, len(rows), GATHERED):
-        d = x[rows[i : i + GATHERED]].astype(kind, copy=False) - entries[columns[i : i + GATHERED]].astype(kind, copy=False)
-        out[i : i + GATHERED] = np.einsum("ij,ij->i", d, d) if kind is np.int64 else (d * d).sum(axis=1)
+        d = x[rows[i : i + GATHERED]] - entries[columns[i : i + GATHERED]]
+        out[i : i + GATHERED] = (d * d).sum(axis=1) if kind is object else np.einsum("ij,ij->i", d, d)
     return out
 
 
@@ -79,10 +80,13 @@ def _nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray
     every, n, made, best, left = np.arange(len(x)), 1, 0, None, None
     while True:
         a, b = features(xf, n), features(cf, n)
-        lower = square(a)[:, None] + square(b) - 2 * (a @ b.T) - slack
+        lower = a @ (-2 * b.T)
+        lower += square(a)[:, None]
+        lower += square(b)
+        lower -= slack
         if left is not None:
             lower[~left] = np.inf
-        distance = exact(x, entries, every, lower.argmin(axis=1))
+        distance = exact(x, entries, every, lower.argmin(axis=1))  # of the likeliest entry
         best = distance if best is None else np.minimum(best, distance)
         left = lower <= (best.astype(float) * (1 + 2.0**-50))[:, None]
         made, n = made + len(x), 2 * n
