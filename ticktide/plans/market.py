@@ -360,7 +360,7 @@ def one_ma(spark, d):
 
 def abnormal_share(spark, d):
     bars = bindings.stock_bars(spark, d)
-    return ingest.abnormal_share(bars.withColumn("close", F.when(F.expr(f"{CODE_PICK} * {DATE_PICK}") % 3 == 0, -F.col("close")).otherwise(F.col("close")))).drop("data_type")
+    return ingest.abnormal_share(bars.withColumn("close", F.when(F.expr(f"CAST({CODE_PICK} AS BIGINT) * {DATE_PICK}") % 3 == 0, -F.col("close")).otherwise(F.col("close")))).drop("data_type")
 
 
 def emptied_ranks(spark, d):
