@@ -3,8 +3,11 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from ticktide.operators import corrections, ranks
 from ticktide.plans import market
+from ticktide.sources import bindings
 
 
 @pytest.fixture(scope="module")
@@ -21,3 +24,29 @@ def test_abnormal_share_of_long_codes(spark, items):
     bars = {(f"{s:06d}", 19981201 + n % 28) for n, s in enumerate((1, 999, 59_999) * 20)}
     wanted = {c: sum(int(c) * d % 3 == 0 for k, d in bars if k == c) / sum(k == c for k, _ in bars) for c in found}
     assert found == pytest.approx(wanted, abs=1e-6) and len(found) == 3
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return plan.count("Exchange hashpartitioning"), plan.count("Sort [")
+
+
+def test_derived_fields_need_an_exchange_by_code_and_one_by_date(spark, items):
+    assert exchanges(ranks.derived(bindings.stock_bars(spark, items))) == (2, 2)
+
+
+def test_corrections_deal_bars_out_once_by_code_and_once_by_date(spark, items, tmp_path):
+    bars = bindings.stock_bars(spark, items)
+    ranks.derived(bars).write.parquet(f"{tmp_path}/stored")
+    bars.where("code = '000999'").withColumn("close", F.col("close") + 1).write.parquet(f"{tmp_path}/rows")
+    stored, rows = spark.read.parquet(f"{tmp_path}/stored"), spark.read.parquet(f"{tmp_path}/rows")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where a batch has many instruments
+    try:
+        assert exchanges(corrections.changed_fields(stored, rows))[0] == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    fresh = corrections.changed_fields(stored, rows)
+    fresh.write.parquet(f"{tmp_path}/fresh")
+    fresh = spark.read.parquet(f"{tmp_path}/fresh")
+    corrections.changed_dates(stored, rows, fresh).write.parquet(f"{tmp_path}/days")
+    assert exchanges(corrections.patch(stored, rows, fresh, spark.read.parquet(f"{tmp_path}/days")))[0] == 1

@@ -44,7 +44,10 @@ def _bars(traded: DataFrame, family: str, code) -> DataFrame:
 
 
 def stock_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bars(trades(spark, sf_dir), "stock", F.lpad(F.col("l_suppkey").cast("string"), 6, "0"))
+    """Trades are dealt out by code, so that bars and windows over an instrument's bars share one exchange: a date has few trades of a
+    stock, and sums before the exchange would save nothing. Sectors and indices have few codes and many trades, so theirs go first."""
+    traded = trades(spark, sf_dir).withColumn("code", F.lpad(F.col("l_suppkey").cast("string"), 6, "0"))
+    return _bars(traded.drop("l_suppkey").repartition("code"), "stock", F.col("code"))
 
 
 def _of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:

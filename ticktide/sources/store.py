@@ -77,13 +77,14 @@ class Snapshots:
             return self.spark.createDataFrame([], schema)
         return (self.spark.read if schema is None else self.spark.read.schema(schema)).parquet(*folders)
 
-    def replace(self, rows: DataFrame, by: dict[str, Column], emptied: Iterable[str] = (), sort: tuple[str, ...] = ("code", "trade_date")) -> None:
+    def replace(self, rows: DataFrame, by: dict[str, Column], emptied: Iterable[str] = (), sort: tuple[str, ...] = ("code", "trade_date"), dealt: bool = False) -> None:
         """Puts rows in the place of the partitions that they are of, and leaves out those listed as emptied; the others stay. by: what
-        the partition columns are called and made of. Spark deals a partition's rows to as many files as its size asks for."""
+        the partition columns are called and made of. Spark deals a partition's rows to as many files as its size asks for. dealt: the
+        rows are large parts already, as of a shuffle by date, and a task writes a file for each partition that it has rows of."""
         folder = f"data/{uuid.uuid4().hex}"
         keys = [f"_{name}" for name in by]
-        dealt = rows.withColumns({f"_{name}": value for name, value in by.items()}).hint("rebalance", *keys)
-        dealt.sortWithinPartitions(*keys, *sort).write.partitionBy(*keys).parquet(f"{self.path}/{folder}")
+        named = rows.withColumns({f"_{name}": value for name, value in by.items()})
+        (named if dealt else named.hint("rebalance", *keys)).sortWithinPartitions(*keys, *sort).write.partitionBy(*keys).parquet(f"{self.path}/{folder}")
         found = [""]
         for _ in keys:
             found = [f"{a}/{b}" for a in found for b in self._listed(folder + a) if "=" in b]
@@ -127,7 +128,7 @@ def filled(spark: SparkSession, name: str, inputs: list[str], build: Callable[[]
     mark = hashlib.sha256(json.dumps([FORMAT, sorted(marks)]).encode()).hexdigest()[:24]
     table = Snapshots(spark, f"{shared_folder(spark)}/filled/{name}-{mark}")
     if table.parts() is None:
-        table.replace(build(), by_family_and_year())
+        table.replace(build(), by_family_and_year(), dealt=True)
     return table.read(None if table.parts() else build().schema)
 
 
