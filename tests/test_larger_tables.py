@@ -2,12 +2,13 @@
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ticktide.operators import corrections, ranks
 from ticktide.plans import market
-from ticktide.sources import bindings
+from ticktide.sources import bindings, landed
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +51,15 @@ def test_corrections_deal_bars_out_once_by_code_and_once_by_date(spark, items, t
     fresh = spark.read.parquet(f"{tmp_path}/fresh")
     corrections.changed_dates(stored, rows, fresh).write.parquet(f"{tmp_path}/days")
     assert exchanges(corrections.patch(stored, rows, fresh, spark.read.parquet(f"{tmp_path}/days")))[0] == 1
+
+
+def test_small_day_files_share_a_task(tmp_path):
+    for n in range(50):
+        made = np.zeros(3, landed.RECORD)
+        made["date"] = [20240102, 20240103, 20240104]
+        made["close"] = n
+        (tmp_path / f"{n:06d}.day").write_bytes(made.tobytes())
+    for reader, parts in ((r := landed.DayReader({"path": str(tmp_path)}), r.partitions()), (s := landed.DayStream({"path": str(tmp_path)}), s.partitions({}, s.latestOffset()))):
+        assert len(parts) == 1
+        batches = [b for p in parts for b in reader.read(p)]
+        assert len(batches) == 1 and batches[0].num_rows == 150 and len(set(batches[0]["code"].to_pylist())) == 50

@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 import sqlite3
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +27,11 @@ from pyspark.sql import functions as F
 RECORD = np.dtype([("date", "<u4"), ("open", "<u4"), ("high", "<u4"), ("low", "<u4"), ("close", "<u4"), ("amount", "<f4"), ("volume", "<u4"), ("rest", "<u4")])
 PRICES = ("open", "high", "low", "close")
 DAY_SCHEMA = "code string, trade_date string, open double, high double, low double, close double, volume double, amount double"
-#: Records of a page, and pages that a task reads of one file.
+#: Records of a page, and pages that a task reads of one file. Small files are read together, as many as have so many bytes or files.
 PAGE, PAGES = 800, 64
+TASK_BYTES, TASK_FILES = 16 << 20, 2000
+#: Files that are moved into place at the same time.
+RENAMES = 16
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -56,12 +61,35 @@ def code_of(path: str) -> str:
 
 
 @dataclass
-class Pages(InputPartition):
+class Pages:
     path: str
     offset: int
     size: int
 
 
+@dataclass
+class Together(InputPartition):
+    """What one task reads."""
+
+    pages: list[Pages]
+
+
+def together(pages: list[Pages]) -> list[Together]:
+    """Parts of files in their order, dealt to tasks: each part of a file of several is a task of its own, whole small ones share one."""
+    made, held, size = [], [], 0
+    n_parts = Counter(p.path for p in pages)
+    for p in pages:
+        if n_parts[p.path] > 1:
+            made.append(Together([p]))
+            continue
+        if held and (size + p.size > TASK_BYTES or len(held) == TASK_FILES):
+            made.append(Together(held))
+            held, size = [], 0
+        held.append(p)
+        size += p.size
+    return made + ([Together(held)] if held else [])
+
+
 class _DayPages:
     """Reads parts of day files."""
 
@@ -78,11 +106,20 @@ class _DayPages:
             made += [Pages(path, at, min(step, end - at)) for at in range(since.get(path, 0), end, step)]
         return made
 
-    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Together) -> Iterator[pa.RecordBatch]:
+        """Batches of at least a page, as far as there are more rows."""
         files, _ = opened(self.folder)
-        with files.open_input_file(partition.path) as file:
-            for at in range(partition.offset, partition.offset + partition.size, PAGE * RECORD.itemsize):
-                yield day_rows(file.read_at(min(PAGE * RECORD.itemsize, partition.offset + partition.size - at), at), code_of(partition.path), self.first, self.last)
+        held, n = [], 0
+        for pages in partition.pages:
+            with files.open_input_file(pages.path) as file:
+                for at in range(pages.offset, pages.offset + pages.size, PAGE * RECORD.itemsize):
+                    rows = day_rows(file.read_at(min(PAGE * RECORD.itemsize, pages.offset + pages.size - at), at), code_of(pages.path), self.first, self.last)
+                    held, n = [*held, rows], n + len(rows)
+                    if n >= PAGE:
+                        yield pa.concat_batches(held)
+                        held, n = [], 0
+        if n:
+            yield pa.concat_batches(held)
 
 
 class DayReader(_DayPages, DataSourceReader):
@@ -99,11 +136,8 @@ class DayReader(_DayPages, DataSourceReader):
                 self.codes = {value} if self.codes is None else self.codes & {value}
             yield f
 
-    def partitions(self) -> list[Pages]:
-        return self.parts({}) or [Pages("", 0, 0)]
-
-    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
-        return super().read(partition) if partition.size else iter(())
+    def partitions(self) -> list[Together]:
+        return together(self.parts({})) or [Together([])]
 
 
 class DayStream(_DayPages, DataSourceStreamReader):
@@ -115,8 +149,8 @@ class DayStream(_DayPages, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {path: size // RECORD.itemsize * RECORD.itemsize for path, size in listed(self.folder, ".day")}
 
-    def partitions(self, start: dict, end: dict) -> list[Pages]:
-        return self.parts(start, end)
+    def partitions(self, start: dict, end: dict) -> list[Together]:
+        return together(self.parts(start, end))
 
 
 @dataclass
@@ -156,8 +190,8 @@ class DayWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         files, at = opened(self.folder)
-        for path in (p for m in messages if m for p in m.staged):  # a rename for each file
-            files.move(path, f"{at}/{path.rsplit('/', 1)[-1]}")
+        with ThreadPoolExecutor(RENAMES) as at_once:  # a rename for each file
+            list(at_once.map(lambda path: files.move(path, f"{at}/{path.rsplit('/', 1)[-1]}"), [p for m in messages if m for p in m.staged]))
         files.delete_dir(f"{at}/staged")
 
     def abort(self, messages: list[Written | None]) -> None:
