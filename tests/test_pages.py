@@ -81,6 +81,19 @@ def test_a_common_piece_isnt_paired(spark):
     assert found.count() == 3000
 
 
+def test_names_without_a_rare_pair_of_characters_meet_few(spark):
+    """Any two characters of these names are in a hundred of them or more, longer pieces in few."""
+    name = F.concat(F.lit("large ring "), F.lpad((F.col("id") * 7919 % 10007).cast("string"), 5, "0"))
+    pairs = sectors._candidates(spark.range(4000).select(name.alias("within")), spark.range(4000).select(name.alias("around")))
+    assert pairs.where("within = around").count() == 4000 and pairs.count() < 20_000
+
+
+def test_names_are_never_broadcast(spark):
+    names = spark.range(50).select(F.concat(F.lit("ring "), F.col("id").cast("string")).alias("name"), F.lit("1").alias("code"), F.lit("x").alias("alias"))
+    plan = sectors.match_names(names.select("name"), names.select("name", "code"), names.select("alias", "name"))._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("BroadcastHashJoin") <= 4 and plan.count("SortMergeJoin") >= 6  # the lengths of pieces alone are broadcast, twice each way
+
+
 @pytest.mark.parametrize(("heading", "kept"), [("序号,板块名称,TDX_Code", ("name", "code")), ("a,b", ("code", "name")), (" Code ,NAME ", ("code", "name"))])
 def test_sector_files(spark, tmp_path, heading, kept):
     order = {"序号,板块名称,TDX_Code": "1,{name},{code}"}.get(heading, "{code},{name}")

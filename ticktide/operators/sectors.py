@@ -68,33 +68,45 @@ def sector_breadth(bars: DataFrame, sectors: DataFrame, limit: float = 9.8) -> D
     )
 
 
-def _pieces(text: Column) -> Column:
-    """The distinct pieces of two characters of a text of two or more."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, 2)))
+#: Lengths of the pieces by which names are looked for within others: a name by those of the greatest length that it has.
+PIECES = (2, 4, 8, 16)
 
 
-def contained(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """text, known_name: pairs of which one holds the other, both of two characters or more. A text is looked for in the known names
-    that have its rarest piece, and each known name, listed under its own rarest piece alone, in the texts that have that piece; so
-    the list of a piece that most names share is read only for names that have no rarer one. texts: text; known: known_name."""
-    long = lambda df, c: df.select(c).where(F.length(c) > 1).distinct().withColumn("piece", F.explode(_pieces(F.col(c))))
-    asked, listed = long(texts, "text"), long(known, "known_name")
+def _pieces(text: Column, length: Column) -> Column:
+    """Hashes of the distinct pieces of a length of a text that is no shorter."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - length + 1), lambda i: F.xxhash64(F.substr(text, i, length))))
+
+
+def _candidates(short: DataFrame, long: DataFrame) -> DataFrame:
+    """within, around: pairs of a text and another that may hold it. within is looked for in the texts that have its rarest piece alone, and not at
+    all if there is one that none has. Pieces are as long as the text allows, so few texts share them. short: within; long: around."""
+    length = F.array_max(F.filter(F.array(*[F.lit(n) for n in PIECES]), lambda n: n <= F.length("within")))
+    asked = short.where(F.length("within") > 1).distinct().withColumn("length", length)
+    lengths = F.broadcast(asked.select("length").distinct())  # four rows at most
+    each = F.explode(F.filter(F.array(*[F.lit(n) for n in PIECES]), lambda n: n <= F.length("around")))
+    listed = long.distinct().withColumn("length", each).join(lengths, "length").select("around", F.explode(_pieces(F.col("around"), F.col("length"))).alias("piece"))
     counts = listed.groupBy("piece").agg(F.count("*").alias("n"))
+    cut = asked.select("within", F.explode(_pieces(F.col("within"), F.col("length"))).alias("piece"))
     rarest = F.min_by("piece", F.struct("n", "piece")).alias("piece")
-    # a text with a piece that no known name has is in none
-    asks = asked.join(counts, "piece", "left").groupBy("text").agg(rarest, F.bool_and(F.col("n").isNotNull()).alias("all")).where("all").select("text", "piece")
-    inside = asks.join(listed, "piece").where(F.col("known_name").contains(F.col("text")))
-    lists = listed.join(counts, "piece").groupBy("known_name").agg(rarest)
-    around = asked.join(lists, "piece").where(F.col("text").contains(F.col("known_name")))
-    return inside.select("text", "known_name").unionByName(around.select("text", "known_name")).distinct()
+    asks = cut.join(counts.hint("merge"), "piece", "left").groupBy("within").agg(rarest, F.bool_and(F.col("n").isNotNull()).alias("all")).where("all")
+    return asks.select("within", "piece").join(listed.hint("merge"), "piece").select("within", "around")
+
+
+def contained(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """text, known_name: pairs of which one holds the other, both of two characters or more. texts: text; known: known_name."""
+    holds = F.col("around").contains(F.col("within"))
+    inside = _candidates(texts.select(F.col("text").alias("within")), known.select(F.col("known_name").alias("around"))).where(holds)
+    outside = _candidates(known.select(F.col("known_name").alias("within")), texts.select(F.col("text").alias("around"))).where(holds)
+    return inside.select(F.col("within").alias("text"), F.col("around").alias("known_name")).unionByName(outside.select(F.col("around").alias("text"), F.col("within").alias("known_name"))).distinct()
 
 
 def match_names(wanted: DataFrame, known: DataFrame, aliases: DataFrame) -> DataFrame:
     """Codes for names in tiers, the first that finds one: the name itself, an alias, without brackets, without one ending (in
     their order), a known name within it or it within a known one, the same with an alias's target. Of several the smallest known
-    name counts. wanted: name; known: name, code; aliases: alias, name."""
-    alias = aliases.groupBy("alias").agg(F.min("name").alias("target"))
-    codes = known.groupBy(F.col("name").alias("known_name")).agg(F.min("code").alias("code"))
+    name counts. wanted: name; known: name, code; aliases: alias, name. No side of a join is broadcast: a small file holds many names
+    whose parts repeat, so Spark's estimate of their size is far too low."""
+    alias = aliases.groupBy("alias").agg(F.min("name").alias("target")).hint("merge")
+    codes = known.groupBy(F.col("name").alias("known_name")).agg(F.min("code").alias("code")).hint("merge")
     bare = F.regexp_replace("name", "[（(].*?[)）]", "")
     base = wanted.select("name").distinct().join(alias, F.col("name") == F.col("alias"), "left").select("name", "target", bare.alias("bare"))
     plain = base.select("name", F.posexplode(plain_names(F.col("name"))).alias("nth", "text"))
@@ -102,9 +114,9 @@ def match_names(wanted: DataFrame, known: DataFrame, aliases: DataFrame) -> Data
     exact = keyed.unionByName(plain.select("name", F.lit(4).alias("tier"), "nth", "text")).join(codes, F.col("text") == F.col("known_name"))
     loose = base.select("name", F.inline(F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(0).alias("nth"), F.col(c).alias("text")) for t, c in ((5, "bare"), (6, "target"))]))).where(F.length("text") > 1)
     first = contained(loose, codes).groupBy("text").agg(F.min("known_name").alias("known_name"))
-    within = loose.join(first, "text").join(codes, "known_name")
+    within = loose.join(first.hint("merge"), "text").join(codes, "known_name")
     best = exact.unionByName(within.select(*exact.columns)).groupBy("name").agg(F.min(F.struct("tier", "nth", "known_name", "code")).alias("b"))
-    return wanted.join(best, "name", "left").select("name", F.col("b.code").alias("code"), F.col("b.tier").alias("tier"))
+    return wanted.join(best.hint("merge"), "name", "left").select("name", F.col("b.code").alias("code"), F.col("b.tier").alias("tier"))
 
 
 #: What the columns of a sector file may be called, in lower case.
