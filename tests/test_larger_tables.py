@@ -2,11 +2,12 @@
 
 import datetime
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ticktide.operators import corrections, ranks
+from ticktide.operators import corrections, ranks, review
 from ticktide.plans import market
 from ticktide.sources import bindings, landed
 
@@ -27,6 +28,17 @@ def test_abnormal_share_of_long_codes(spark, items):
     assert found == pytest.approx(wanted, abs=1e-6) and len(found) == 3
 
 
+def test_means_beside_a_half_are_rounded_as_in_sql(spark):
+    """Closes of a larger table whose means have a 5 at the seventh place."""
+    rows = [("a", "19950102", 133.2428125), ("b", "19950110", 2077.6090625), ("c", "19950103", 2769.1004374999998 * 2 - 5476.374), ("c", "19950109", 5476.374)]
+    found = review.above_own_mean(spark.createDataFrame([("stock", *r) for r in rows], "data_type string, code string, trade_date string, close double"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE bars (code VARCHAR, trade_date VARCHAR, close DOUBLE)")
+    con.executemany("INSERT INTO bars VALUES (?, ?, ?)", rows)
+    want = con.execute("SELECT * FROM (SELECT code, trade_date, round_even(avg(close) OVER (PARTITION BY code ORDER BY trade_date ROWS 49 PRECEDING), 6) AS m, close FROM bars) WHERE close > m").fetchall()
+    assert {(r.code, r.trade_date, r.mean_close) for r in found.collect()} == {w[:3] for w in want}
+
+
 def exchanges(df):
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     return plan.count("Exchange hashpartitioning"), plan.count("Sort [")

@@ -40,9 +40,10 @@ def strong_by_rank(ranked: DataFrame, basics: DataFrame, above: int = 270, days:
 
 
 def above_own_mean(bars: DataFrame, n: int = 50) -> DataFrame:
-    """Bars that close above the mean of their last n closes, or as many as there are: a window instead of a subquery per row."""
+    """Bars that close above the mean of their last n closes, or as many as there are: a window instead of a subquery per row. Means are
+    rounded as doubles, half-even: bround() rounds their shortest decimals, which is another number beside a half."""
     mean = F.avg("close").over(by_code().rowsBetween(1 - n, 0))
-    return bars.withColumn("mean_close", rounded(mean, 6)).where(F.col("close") > F.coalesce(F.col("mean_close"), F.lit(0.0)))
+    return bars.withColumn("mean_close", F.rint(mean * 1e6) / 1e6).where(F.col("close") > F.coalesce(F.col("mean_close"), F.lit(0.0)))
 
 
 def market_summary(bars: DataFrame) -> DataFrame:
