@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticktide.operators import corrections, ranks, review
-from ticktide.plans import market
+from ticktide.plans import factors, market
 from ticktide.sources import bindings, landed
 
 
@@ -75,3 +75,12 @@ def test_small_day_files_share_a_task(tmp_path):
         assert len(parts) == 1
         batches = [b for p in parts for b in reader.read(p)]
         assert len(batches) == 1 and batches[0].num_rows == 150 and len(set(batches[0]["code"].to_pylist())) == 50
+
+
+def test_pages_of_highs_read_them_stored(spark, items):
+    """Pages deal stored bars out by date alone, and the highs are those of the bars."""
+    for query, n in ((market.strong_by_high, 1), (market.market_summary, 1), (market.new_high, 0)):
+        assert exchanges(query(spark, items))[0] == n
+    held, bars = factors.stored(spark, items), bindings.stock_bars(spark, items)
+    at = lambda df: {(r.code, r.trade_date): (r.year_high, r.year_top) for r in df.select("code", "trade_date", "year_high", "year_top").collect()}
+    assert at(held) == at(review.year_high(bars, "close", "high"))

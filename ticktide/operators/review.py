@@ -10,21 +10,29 @@ from ticktide.functions.columns import by_code, day, rounded, signed
 DAYS = 365
 
 
-def year_high(bars: DataFrame, column: str = "close") -> DataFrame:
-    """year_high: the largest value in the 365 calendar days up to each bar, never later ones."""
+#: What the largest value in the days up to a bar is called, by column.
+HIGHS = {"close": "year_high", "high": "year_top"}
+
+
+def year_high(bars: DataFrame, *columns: str) -> DataFrame:
+    """year_high of closes and year_top of highs, as asked for (of closes alone, if nothing is): the largest value in the 365 calendar days up to each bar, never later
+    ones. Bars that have them stored beside them stay as they are."""
+    wanted = [c for c in columns or ("close",) if HIGHS[c] not in bars.columns]
+    if not wanted:
+        return bars
     days = F.datediff(day(F.col("trade_date")), F.lit("1970-01-01").cast("date"))
     w = Window.partitionBy("data_type", "code").orderBy("_day").rangeBetween(-DAYS, 0)
-    return bars.withColumn("_day", days).withColumn("year_high", F.max(column).over(w)).drop("_day")
+    return bars.withColumn("_day", days).withColumns({HIGHS[c]: F.max(c).over(w) for c in wanted}).drop("_day")
 
 
 def new_highs(bars: DataFrame) -> DataFrame:
     """Bars that close at their year's high."""
-    return year_high(bars).where("close >= year_high")
+    return year_high(bars, "close").where("close >= year_high")
 
 
 def strong_by_high(bars: DataFrame, share: float = 0.9, touch: float = 0.99, top: int = 50) -> DataFrame:
     """The stocks of each date closest to their year's highest price, from `share` of it on."""
-    ratio = F.col("close") / F.col("year_high")
+    ratio = F.col("close") / F.col("year_top")
     held = year_high(bars, "high").withColumn("_r", ratio).where(F.col("_r") >= share)
     place = F.row_number().over(Window.partitionBy("trade_date").orderBy(F.desc("_r"), "code"))
     return held.withColumn("place", place).where(F.col("place") <= top).select("trade_date", "code", "place", rounded(F.col("_r") * 100, 1).alias("ratio"), (F.col("_r") >= touch).alias("touches"))
@@ -48,7 +56,7 @@ def above_own_mean(bars: DataFrame, n: int = 50) -> DataFrame:
 
 def market_summary(bars: DataFrame) -> DataFrame:
     """Rows, those above ma50 in number and percent of all, and new highs, by date. bars: close, ma50."""
-    marked = year_high(bars)
+    marked = year_high(bars, "close")
     return marked.groupBy("trade_date").agg(
         F.count("*").alias("n"), F.count_if(F.col("close") > F.col("ma50")).alias("n_above"), rounded(F.count_if(F.col("close") > F.col("ma50")) * 100.0 / F.count("*"), 1).alias("percent_above"), F.count_if(F.col("close") >= F.col("year_high")).alias("n_new_high")
     )

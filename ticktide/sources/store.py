@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Part of the name of filled tables: another number after a change of what they hold.
-FORMAT = 1
+FORMAT = 2
 
 
 def shared_folder(spark: SparkSession) -> str:
