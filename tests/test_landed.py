@@ -98,3 +98,13 @@ def test_sqlite_files_with_gaps_and_nulls(spark, tmp_path):
     found = landed.legacy_rows(spark, str(tmp_path), "t", 4, rows=2)
     assert sorted(map(str, found.collect())) == sorted(map(str, [*spark.createDataFrame([("a", 1, None), (None, 2, 2.5), ("c", None, 3.5), ("far", None, None)], found.schema).collect()]))
     assert landed.legacy_rows(spark, str(tmp_path), "empty_one", 0).count() == 0
+
+
+def test_many_small_ranges_of_rows_share_tasks(spark, tmp_path):
+    """The number of tasks doesn't grow with the rows where ranges are small, and every row is read once."""
+    with sqlite3.connect(tmp_path / "a.sqlite") as made:
+        made.execute("CREATE TABLE t (n INTEGER, s TEXT)")
+        made.executemany("INSERT INTO t VALUES (?, ?)", [(n, str(n)) for n in range(4000)])
+    found = landed.legacy_rows(spark, str(tmp_path), "t", rows=1)
+    assert found.rdd.getNumPartitions() == landed.TASKS
+    assert sorted((r.n, r.s) for r in found.collect()) == [(n, str(n)) for n in range(4000)]

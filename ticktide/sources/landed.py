@@ -22,6 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Fixed values of day files: a record's fields, little-endian; prices are in hundredths.
 RECORD = np.dtype([("date", "<u4"), ("open", "<u4"), ("high", "<u4"), ("low", "<u4"), ("close", "<u4"), ("amount", "<f4"), ("volume", "<u4"), ("rest", "<u4")])
@@ -217,11 +218,16 @@ class DayFiles(DataSource):
         return DayWriter(self.options)
 
 
-#: Rows of a table that one task reads.
-ROWS = 100_000
+#: Rows of a table that one task reads, ranges from which on small ones share a task, and rows of a batch.
+ROWS, TASKS, AT_ONCE = 100_000, 200, 10_000
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
 _KINDS = {"INTEGER": "long", "INT": "long", "BIGINT": "long", "REAL": "double", "FLOAT": "double", "DOUBLE": "double", "TEXT": "string"}
 
 
+def _text(value) -> str | None:
+    return value if value is None or isinstance(value, str) else str(value)
+
+
 def connected(folder: str, path: str) -> sqlite3.Connection:
     """A read-only connection: to the file where it is local, else to its bytes."""
     files, _ = opened(folder)
@@ -236,31 +242,38 @@ def connected(folder: str, path: str) -> sqlite3.Connection:
 @dataclass
 class Rows(InputPartition):
     path: str
-    first: int
-    last: int
+    ranges: list[tuple[int, int]]
 
 
 class SqliteReader(DataSourceReader):
-    """A table of all SQLite files in a folder, in ranges of rowids. What a task that is lost has read is read again, from its range alone."""
+    """A table of all SQLite files in a folder, in ranges of rowids; of more than TASKS, ranges of fewer than ROWS rows share a
+    task. What a task that is lost has read is read again, from its ranges alone."""
 
-    def __init__(self, options: dict, columns: list[str]):
-        self.folder, self.table, self.columns = options["path"], options["table"], columns
+    def __init__(self, options: dict, schema: StructType):
+        self.folder, self.table, self.columns = options["path"], options["table"], schema.fieldNames()
+        self.kinds = [_ARROW[f.dataType.typeName()] for f in schema.fields]
         self.rows = int(options.get("rows", ROWS))
 
     def partitions(self) -> list[Rows]:
-        made = []
+        found = []
         for path, _ in listed(self.folder, ".sqlite"):
             with connected(self.folder, path) as source:
                 first, last = source.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
             if first is not None:
-                made += [Rows(path, at, min(at + self.rows - 1, last)) for at in range(first, last + 1, self.rows)]
-        return made or [Rows("", 0, -1)]
-
-    def read(self, partition: Rows) -> Iterator[tuple]:
-        if partition.path:
-            names = ", ".join(f'"{c}"' for c in self.columns)
-            with connected(self.folder, partition.path) as source:
-                yield from source.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid BETWEEN ? AND ?', (partition.first, partition.last))
+                found.append((path, [(at, min(at + self.rows - 1, last)) for at in range(first, last + 1, self.rows)]))
+        n = max(min(sum(len(ranges) for _, ranges in found) // TASKS, ROWS // self.rows), 1)
+        return [Rows(path, ranges[at : at + n]) for path, ranges in found for at in range(0, len(ranges), n)] or [Rows("", [])]
+
+    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
+        names = ", ".join(f'"{c}"' for c in self.columns)
+        with connected(self.folder, partition.path) as source:
+            for bounds in partition.ranges:
+                found = source.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid BETWEEN ? AND ?', bounds)
+                while rows := found.fetchmany(AT_ONCE):
+                    made = [pa.array(map(_text, c) if k == pa.string() else c, k) for c, k in zip(zip(*rows), self.kinds)]
+                    yield pa.RecordBatch.from_arrays(made, self.columns)
 
 
 class SqliteFiles(DataSource):
@@ -277,7 +290,7 @@ class SqliteFiles(DataSource):
         return ", ".join(f"`{name}` {kind}" for name, kind in self._fields())
 
     def reader(self, schema) -> SqliteReader:
-        return SqliteReader(self.options, schema.fieldNames())
+        return SqliteReader(self.options, schema)
 
 
 def register(spark: SparkSession) -> None:
@@ -306,7 +319,7 @@ def write_sqlite(rows: DataFrame, folder: str, table: str) -> DataFrame:
         made, n = sqlite3.connect(":memory:"), 0
         made.execute(f'CREATE TABLE "{table}" ({columns})')
         for batch in batches:
-            made.executemany(f'INSERT INTO "{table}" VALUES ({marks})', zip(*(c.to_pylist() for c in batch.columns)))
+            made.executemany(f'INSERT INTO "{table}" VALUES ({marks})', zip(*(c.to_pylist() if c.null_count or not pa.types.is_floating(c.type) else c.to_numpy().tolist() for c in batch.columns)))
             n += len(batch)
         made.commit()
         path = f"{at}/{uuid.uuid4().hex}.sqlite"
