@@ -29,7 +29,9 @@ def placed(rows: DataFrame, wanted: dict[str, tuple[str, str]], least: int = 1)
     def shares(table: pa.Table) -> pa.Table:
         if len(table) < least:
             table = table.slice(0, 0)
-        by_code, made = pc.sort_indices(table["code"]).to_numpy(), {}
+        made = {}
+        if any(how == "moved" for _, how in wanted.values()):
+            by_code = pc.sort_indices(table["code"]).to_numpy()
         for name, (column, how) in wanted.items():
             known = pc.is_valid(table[column]).to_numpy()
             value = pc.fill_null(table[column].cast("float64"), 0.0).to_numpy()
@@ -39,9 +41,12 @@ def placed(rows: DataFrame, wanted: dict[str, tuple[str, str]], least: int = 1)
                 at = by_code[known[by_code]]
                 share[at[np.argsort(value[at], kind="stable")]] = np.arange(1, len(at) + 1) / len(at)
             else:
-                held = np.sort(value[known])
-                last = np.searchsorted(held, value[known], "right")
-                share[known] = (np.searchsorted(held, value[known], "left") + 1 + last) / 2 / (len(table) if how == "of_rows" else len(held))
+                at = np.flatnonzero(known)
+                at = at[np.argsort(value[at], kind="stable")]
+                held = value[at]
+                first = np.flatnonzero(np.append(True, (held[1:] != held[:-1]) & ~(np.isnan(held[1:]) & np.isnan(held[:-1])))[: len(held)])  # NaNs are ties
+                ties = np.diff(np.append(first, len(held)))
+                share[at] = np.repeat(first + (ties + 1) / 2, ties) / (len(table) if how == "of_rows" else max(len(held), 1))
             made[name] = pa.array(share, mask=~known)
         return pa.Table.from_arrays([*table.columns, *made.values()], [*table.column_names, *made])
 
