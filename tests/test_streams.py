@@ -82,6 +82,23 @@ def test_upserts_go_on_after_a_lost_batch(spark, tmp_path, monkeypatch):
     assert sorted(map(str, found.collect())) == sorted(map(str, ingest.newest(bars(spark, every)).collect()))
 
 
+def test_many_batches_write_a_few_times_their_rows(spark, tmp_path):
+    """Not each of them the whole table: twelve batches of bars of one year, each with corrections of the first."""
+    path, n = str(tmp_path), 12
+    for k in range(n):
+        at = F.lit(f"2024-01-{1 + k:02d} 10:00:00").cast("timestamp").alias("update_time")
+        bar = lambda day, final: (F.lit("stock").alias("data_type"), F.col("id").cast("string").alias("code"), F.lit(day).alias("trade_date"), F.rand(k).alias("close"), F.lit(final).alias("is_final"), at)
+        new, corrected = spark.range(5000).select(*bar(f"202401{1 + k:02d}", False)), spark.range(k * 100, k * 100 + 300).select(*bar("20240101", True))
+        new.unionByName(corrected).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    rows = spark.read.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    streams.upsert_stream(stream, f"{path}/table", f"{path}/state", keep=1000).awaitTermination()
+    found = streams.merged(spark, f"{path}/table", rows.schema)
+    want = ingest.newest(rows)
+    assert found.count() == n * 5000 and found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+    assert spark.read.parquet(f"{path}/table/data/*/*/*").count() <= 4 * rows.count()
+
+
 def test_derived_fields_follow_a_stream(spark, tmp_path):
     """Batches with corrections, stale rows, a new instrument, a day of rest and an empty batch, one of them run twice."""
     columns = "data_type string, code string, trade_date string, open double, high double, low double, close double, volume double, amount double, is_final boolean, at string"
