@@ -72,3 +72,22 @@ def test_exits(spark, monkeypatch, stop, trail, at_once):
     locked = {days[40]} if at_once == 10 else set()
     found = positions.exits(spark.createDataFrame(purchases, "position_id long, code string, trade_date string, price double"), spark.createDataFrame(bars, "code string, trade_date string, close double"), stop, trail, spark.createDataFrame([(d,) for d in locked], "trade_date string"))
     assert sorted(map(tuple, found.collect()), key=str) == plain_exits(purchases, bars, stop, trail, locked)
+
+
+def test_exits_of_many_batches(spark):
+    """Bars and purchases of an instrument that come in several batches; one without a date is never left; rows are dealt out once."""
+    r, days = random.Random(3), [f"2024{m:02d}{d:02d}" for m in range(1, 5) for d in range(1, 21)]
+    bars = [(c, d, round(r.uniform(5, 15), 2)) for c in "abcd" for d in days if r.random() < 0.9]
+    purchases = [(n, r.choice("abcde"), r.choice(days), round(r.uniform(5, 15), 2)) for n in range(200)] + [(900, "a", days[0], float("nan"))]
+    undated = [(901, "a", None, 20.0, None, None, None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where there are many instruments
+    try:
+        found = positions.exits(spark.createDataFrame(purchases + [u[:4] for u in undated], "position_id long, code string, trade_date string, price double"), spark.createDataFrame(bars, "code string, trade_date string, close double"), 0.3, 0.4)
+        rows = sorted(str(tuple(r)) for r in found.collect())
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == sorted(map(str, [*plain_exits(purchases[:-1], bars, 0.3, 0.4, set()), (*purchases[-1], None, None, None), *undated]))
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan

@@ -1,15 +1,15 @@
 """Positions of given trades: what they cost on average, what selling them gained, and when a bought one would have been left.
 
-Trades and bars of a position are folded in date order, one row after the other as a task reads its sorted partition, so a task holds
-what is open and no more, however long a position's history is. No cash is kept and no trade depends on another position's."""
+Trades of a position are folded in date order, one row after the other as a task reads its sorted partition, so a task holds what is
+open and no more, however long a position's history is. Exits are looked up in an instrument's bars. No cash is kept and no trade depends on another position's."""
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,87 +88,90 @@ def trade_counts(costed: DataFrame) -> DataFrame:
     return made.select("run_id", "n_buys", "n_sells", F.greatest("n_buys", "n_sells").alias("total_trades"), F.bround(rate, 6).alias("win_rate"), "gain")
 
 
-class Open:
-    """Purchases of one instrument that haven't been left. Those with an equal highest close since they were bought are one group, and
-    the groups are in the order of it: a close joins all lower groups into one, and only the highest can be the ones to leave."""
-
-    def __init__(self, stop: float, trail: float):
-        self.stop, self.trail = stop, trail
-        self.bought: dict[int, dict] = {}
-        self.dearest: list[tuple[float, int]] = []
-        self.highs: list[float] = []
-        self.groups: list[list[int]] = []
-        self.n = 0
-
-    def add(self, row: dict) -> None:
-        self.bought[self.n] = row
-        heapq.heappush(self.dearest, (-row["price"], self.n))
-        at = bisect_left(self.highs, row["price"])
-        if at < len(self.highs) and self.highs[at] == row["price"]:
-            self.groups[at].append(self.n)
-        else:
-            self.highs.insert(at, row["price"])
-            self.groups.insert(at, [self.n])
-        self.n += 1
-
-    def close(self, close: float, locked: bool) -> list[tuple[dict, str]]:
-        """The purchases that are left at a close, and why."""
-        found = []
-        if locked:
-            found = [(row, "market") for row in self.bought.values()]
-            self.__init__(self.stop, self.trail)
-            return found
-        below = bisect_left(self.highs, close)
-        if below:
-            joined = max(self.groups[:below], key=len)
-            for group in self.groups[:below]:
-                if group is not joined:
-                    joined.extend(group)
-            self.highs[:below], self.groups[:below] = [close], [joined]
-            if len(self.highs) > 1 and self.highs[1] == close:
-                self.groups[0].extend(self.groups.pop(1))
-                self.highs.pop(1)
-        while self.dearest and (self.dearest[0][1] not in self.bought or (close + self.dearest[0][0]) / -self.dearest[0][0] <= -self.stop):
-            row = self.bought.pop(heapq.heappop(self.dearest)[1], None)
-            if row is not None:
-                found.append((row, "stop"))
-        while self.highs and (self.highs[-1] - close) / self.highs[-1] >= self.trail:
-            self.highs.pop()
-            found += [(row, "trail") for n in self.groups.pop() if (row := self.bought.pop(n, None)) is not None]
-        return found
+class Closes:
+    """An instrument's closes in date order, and where the first of them is that lies a share below a price."""
+
+    def __init__(self, days: np.ndarray, closes: np.ndarray, locked: np.ndarray, trail: float):
+        self.days, self.closes, self.locked, n = days, closes, locked, len(closes)
+        self.lows = [closes]  # the k-th: the lowest of 2**k closes from a place on
+        while 2 ** len(self.lows) <= n:
+            low, half = self.lows[-1], 2 ** (len(self.lows) - 1)
+            self.lows.append(np.fmin(low[:-half], low[half:]))
+        fallen = np.append(self.below(np.arange(n), closes, trail), n)
+        self.trailed = np.minimum.accumulate(fallen[::-1])[::-1]  # where a high since a place is first undercut by that much
+        shut = np.append(np.where(locked, np.arange(n), n), n)
+        self.shut = np.minimum.accumulate(shut[::-1])[::-1]
+
+    def below(self, at: np.ndarray, price: np.ndarray, share: float) -> np.ndarray:
+        """Of each price the first place from at on whose close is so much below it; the number of closes if there is none."""
+        at = at.copy()
+        for k in range(len(self.lows) - 1, -1, -1):
+            low = self.lows[k]
+            inside = at < len(low)
+            least = low[np.where(inside, at, 0)] if len(low) else price
+            at += np.where(inside & ~((price - least) / price >= share), 1 << k, 0)
+        return at
 
 
 def exits(purchases: DataFrame, bars: DataFrame, stop: float = 0.08, trail: float = 0.08, locked: DataFrame | None = None) -> DataFrame:
     """Of each purchase the first later date on which it is left: all on a date on which the market is locked (reason market), else if
     the close is `stop` or more below its price (stop), or `trail` or more below the highest of its price and the closes since (trail);
     sold at the close less a slip. Open ones have null there. purchases: position_id, code, trade_date, price (above 0; others are
-    never left). bars: code, trade_date, close. locked: trade_date."""
+    never left). bars: code, trade_date, close. locked: trade_date.
+
+    A task reads an instrument's bars, then its purchases as they come, a batch at a time; it holds the bars."""
     schema = "position_id long, code string, trade_date string, price double, exit_date string, exit_price double, reason string"
-    n = purchases.groupBy("code").agg(F.count("*").alias("n"))
-    shares = n.select("code", F.ceil(F.col("n") / AT_ONCE).cast("int").alias("shares"))
-    bought = purchases.select(F.col("position_id").cast("long").alias("position_id"), "code", "trade_date", F.col("price").cast("double").alias("price")).join(shares, "code")
+    shares = purchases.groupBy("code").agg(F.ceil(F.count("*") / AT_ONCE).cast("int").alias("shares")).where("shares > 1")  # one code in AT_ONCE purchases at most
+    dealt = lambda df: df.join(F.broadcast(shares), "code", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    bought = dealt(purchases.select(F.col("position_id").cast("long").alias("position_id"), "code", "trade_date", F.col("price").cast("double").alias("price")))
     bought = bought.withColumn("share", F.pmod(F.xxhash64("position_id"), F.col("shares")).cast("int")).drop("shares")
-    priced = bars.where("close > 0").select("code", "trade_date", F.col("close").cast("double").alias("close"))
+    priced = bars.where("close > 0 AND code IS NOT NULL AND trade_date IS NOT NULL").select("code", "trade_date", F.col("close").cast("double").alias("price"))
     flagged = priced.withColumn("locked", F.lit(False)) if locked is None else priced.join(F.broadcast(locked.select("trade_date").distinct().withColumn("locked", F.lit(True))), "trade_date", "left")
-    moved = flagged.join(shares, "code").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-    rows = moved.withColumn("bar", F.lit(0)).unionByName(bought.withColumn("bar", F.lit(1)), allowMissingColumns=True)  # a date's bar comes before its purchases
+    moved = dealt(flagged).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    rows = moved.withColumn("bought", F.lit(False)).unionByName(bought.withColumn("bought", F.lit(True)), allowMissingColumns=True)
+    reasons = pa.array(["market", "stop", "trail"])
+
+    def left(own: Closes, days: np.ndarray, price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the bar at which each purchase is left, and the reason's."""
+        n, held = len(own.closes), (price > 0) & (days != "")
+        at = np.where(held, np.searchsorted(own.days, days, "right"), n)
+        paid = np.where(held, price, 1.0)
+        at = np.minimum(np.minimum(own.below(at, paid, min(stop, trail)), own.trailed[at]), own.shut[at])
+        met = np.minimum(at, n - 1)
+        return at, np.where(own.locked[met], 0, np.where((own.closes[met] - paid) / paid <= -stop, 1, 2))
 
-    def begin():
-        held, code = Open(stop, trail), None
-
-        def step(row):
-            nonlocal code
-            if row is None:
-                return [(r["position_id"], code, r["trade_date"], r["price"], None, None, None) for r in held.bought.values()]
-            code = row["code"]
-            if row["bar"]:
-                if row["price"] is None or not row["price"] > 0:
-                    return [(row["position_id"], code, row["trade_date"], row["price"], None, None, None)]
-                held.add({"position_id": row["position_id"], "trade_date": row["trade_date"], "price": row["price"]})
-                return []
-            left = held.close(row["close"], bool(row["locked"]))
-            return [(r["position_id"], code, r["trade_date"], r["price"], row["trade_date"], row["close"] - SLIP, reason) for r, reason in left]
-
-        return step
-
-    return folded(rows, ("code", "share"), ("trade_date", "bar", "position_id"), begin, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pieces, own = None, [], None  # the instrument's bars, and these in one once purchases come
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code, share, kind = (batch.column(c) for c in ("code", "share", "bought"))
+            price = batch.column("price").to_numpy(zero_copy_only=False).astype(float)
+            days = batch.column("trade_date").fill_null("").to_numpy(zero_copy_only=False).astype(str)
+            shut = batch.column("locked").fill_null(False).to_numpy(zero_copy_only=False)
+            differs = lambda c: pc.fill_null(pc.not_equal(c[1:], c[:-1]), True).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, differs(code) | differs(share) | differs(kind)))
+            dates, closes, why = [], [], []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+                if (code[a].as_py(), share[a].as_py()) != key:
+                    key, pieces, own = (code[a].as_py(), share[a].as_py()), [], None
+                if not kind[a].as_py():
+                    pieces.append((days[a:b], price[a:b], shut[a:b]))
+                    continue
+                if own is None and pieces:
+                    own = Closes(*map(np.concatenate, zip(*pieces)), trail)
+                if own is None:
+                    dates.append(np.full(b - a, None)), closes.append(np.zeros(b - a)), why.append(np.zeros(b - a, np.int64))
+                    continue
+                at, reason = left(own, days[a:b], price[a:b])
+                met = np.minimum(at, len(own.closes) - 1)
+                dates.append(np.where(at < len(own.closes), own.days[met], None))
+                closes.append(own.closes[met] - SLIP), why.append(reason)
+            if not dates:
+                continue
+            when = pa.array(np.concatenate(dates), pa.string())
+            open_ = pc.is_null(when).to_numpy(zero_copy_only=False)
+            given = batch.filter(kind)
+            yield pa.RecordBatch.from_arrays([*(given.column(c) for c in ("position_id", "code", "trade_date", "price")), when, pa.array(np.concatenate(closes), mask=open_), reasons.take(pa.array(np.concatenate(why), mask=open_))], [f.split()[0] for f in schema.split(", ")])
+
+    return rows.repartition("code", "share").sortWithinPartitions("code", "share", "bought", "trade_date").mapInArrow(run, schema)
