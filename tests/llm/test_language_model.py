@@ -120,3 +120,44 @@ def test_long_texts_and_blocks():
     assert [int((owner == i).sum()) for i in range(4)] == [0, 6, 400_001, 4]
     assert (before[1:][owner[1:] == owner[:-1]] == word[:-1][owner[1:] == owner[:-1]]).all()
     assert len(np.unique(word)) <= 51
+
+
+@pytest.mark.parametrize("heavy", [0, 12, 500_000])
+def test_rounds_and_rare_words_equal_a_plain_model(spark, monkeypatch, heavy):
+    """Whether a word's values are held or joined, and in however many rounds pairs are met; what only a trusted text has is unseen for it."""
+    monkeypatch.setattr(lm, "HEAVY", heavy)
+    monkeypatch.setattr(lm, "ROUNDS", 3)
+    trusted = [*TRUSTED, TRUSTED[0]]
+    rows = [(i, t, "x") for i, t in enumerate(trusted)] + [(100 + i, t, None) for i, t in enumerate(OTHERS)] + [(100, OTHERS[0], None), (None, OTHERS[1], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = defaultdict(set)
+    for x in lm.classify(docs, docs.where("doc_id < 100").select("doc_id")).collect():
+        got[x.doc_id].add(x.log_perplexity)
+    plain = Words(trusted)
+    for i, t in [*enumerate(OTHERS, 100), (None, OTHERS[1]), (0, TRUSTED[0]), (6, TRUSTED[0])]:
+        assert list(got[i]) == pytest.approx([plain.log_perplexity(t)] * len(got[i]), abs=1e-4), (i, t)
+    assert got[1].pop() > plain.log_perplexity(TRUSTED[1]) + 0.1
+
+
+def test_rounds_leave_no_exchanges_or_tables(spark, tmp_path, monkeypatch):
+    """Pairs aren't stored, and a round's shuffle files are gone before the next round."""
+    from pathlib import Path
+
+    from ticktide.llm import common
+
+    folder, most, plain = Path(common.shared_folder(spark).removeprefix("file:")), [], common.stored
+    local = Path(spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf()))
+    shuffles = lambda: {p for p in local.parent.rglob("shuffle_*.data")}
+
+    def stored(df, name, last=False):
+        there = shuffles()
+        found = plain(df, name, last)
+        most.append(len(shuffles() - there))
+        return found
+
+    monkeypatch.setattr(common, "stored", stored)
+    before = set(folder.iterdir())
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TRUSTED + OTHERS)], "doc_id long, text string, lang string")
+    assert lm.classify(docs, docs.where("doc_id < 6").select("doc_id")).count() == 12
+    assert len(most) > 2 * lm.ROUNDS and not any(most)
+    assert [p.name.rpartition("-")[0][:12] for p in set(folder.iterdir()) - before] == ["perplexities"]

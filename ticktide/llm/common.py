@@ -23,7 +23,7 @@ EXCEPTIONS = 1_000_000
 #: Keys that looked_up() sends along, at most.
 SENT_KEYS = 100_000
 
-_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+_scratch: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,9 +70,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession, name: str) -> Iterator[None]:
-    """Tables that stored() writes inside are removed at the end, but for those stored with last=True."""
+    """Tables that stored() writes inside are removed at the end, but for those stored with last=True, which go with the scratch around
+    this one, if there is one."""
     folder = fresh_path(spark, name)
-    token = _scratch.set(folder)
+    token = _scratch.set((*_scratch.get(), folder))
     try:
         yield
     finally:
@@ -80,10 +81,23 @@ def scratch(spark: SparkSession, name: str) -> Iterator[None]:
         remove(spark, folder)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Queries that run inside have these settings; afterwards they are as before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, name: str, last: bool = False) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    folder = None if last else _scratch.get()
-    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else fresh_path(df.sparkSession, name)
+    folders = _scratch.get()[:-1] if last else _scratch.get()
+    path = f"{folders[-1]}/{name}-{uuid.uuid4().hex}" if folders else fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -101,7 +115,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _place(bits: int) -> tuple[F.Column, F.Column]:
+def places(bits: int) -> tuple[F.Column, F.Column]:
     """Word and bit of node in a bitmap; null for null."""
     bit = F.when(F.col("node").isNotNull(), F.pmod(F.xxhash64("node"), F.lit(bits)))
     return (bit / 64).cast("int").alias("word"), (bit % 64).cast("long").alias("place")
@@ -119,7 +133,7 @@ def membership(docs: DataFrame, ids: DataFrame) -> tuple[int, Callable[[pa.Array
     isn't exact, and what it lets through must be joined. What is sent is bounded by MOST_BITS and EXCEPTIONS."""
     spark = docs.sparkSession
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(ids.count() * 16 - 1, 1).bit_length()))
-    word, place = _place(bits)
+    word, place = places(bits)
     rows = ids.select(word, place).select("word", F.expr("shiftleft(1L, cast(place as int))").alias("mask"))
     found = rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     bitmap = np.zeros(bits // 64, np.int64)
@@ -130,7 +144,7 @@ def membership(docs: DataFrame, ids: DataFrame) -> tuple[int, Callable[[pa.Array
         for batch in batches:
             yield batch.filter(pa.array(_held(sent.value, batch.column("word"), batch.column("place")))).select(["node"])
 
-    passed = docs.select(F.col("doc_id").cast("long").alias("node")).select("node", *_place(bits)).mapInArrow(likely, "node long")
+    passed = docs.select(F.col("doc_id").cast("long").alias("node")).select("node", *places(bits)).mapInArrow(likely, "node long")
     doubtful = passed.join(ids, "node", "left_anti").distinct().limit(EXCEPTIONS + 1).toArrow().column("node").to_numpy()
     exact = len(doubtful) <= EXCEPTIONS
     others = spark.sparkContext.broadcast(np.sort(doubtful) if exact else doubtful[:0])
@@ -155,7 +169,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(test(batch.column("node"), batch.column("word"), batch.column("place")))).select(["node", "text"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    found = named.select("node", "text", *_place(bits)).mapInArrow(likely, "node long, text string")
+    found = named.select("node", "text", *places(bits)).mapInArrow(likely, "node long, text string")
     return found if exact else found.join(nodes, "node", "left_semi")
 
 
@@ -173,7 +187,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 held = test(batch.column("node"), batch.column("word"), batch.column("place"))
                 yield batch.filter(pa.array(held == wanted)).select(["node", *inner])
 
-        return renamed.select("node", *inner, *_place(bits)).mapInArrow(run, schema)
+        return renamed.select("node", *inner, *places(bits)).mapInArrow(run, schema)
 
     kept = having(False)
     if not exact:

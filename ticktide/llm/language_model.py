@@ -3,9 +3,12 @@
 Words are runs of letters, digits and marks in lower case, single characters of scripts that don't part words, and single other
 characters but blanks; they stand as 64-bit hashes. The model is over pairs of words, then words by how many different ones they
 follow, then how a word is spelled, so that an unknown word has a probability too. Its tables grow with the trusted texts and
-are never collected: counts are summed in each task, then by pair; discounts, weights of contexts and probabilities come from
-joins. A text's log probability is a sum of one number for each pair and word that the model has (how much likelier it is
-than by the next order alone), so scoring is one join on the n-grams and a sum by document. What only the scored, trusted document itself has
+are never collected, and the table of pairs is nowhere stored: it is met in rounds, each over the keys of one remainder, whose
+exchanges are dropped before the next round's. The first rounds count pairs and sum up what words and contexts need of them; from
+that come discounts, weights of contexts and probabilities of words. The other rounds deal out the pairs of all documents, count
+them among the trusted again, and sum a document's log probability: one number for each pair and word that the model has (how
+much likelier it is than by the next order alone). Every task holds the values of the commoner words, so many at most; those of
+others are joined. What only the scored, trusted document itself has
 counts as unseen for it; otherwise trusted documents would look better than equally good other ones.
 
 Spelling is a Kneser-Ney model over characters mapped to 64 symbols, four at a time (64**4 entries at most, one table lookup a character);
@@ -22,7 +25,7 @@ texts are cut into words in blocks. An empty table gives no rows. Other columns
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +89,10 @@ def counted(texts: DataFrame) -> DataFrame:
 def discounts(counts: DataFrame) -> list[float]:
     """The discounts of counts 1, 2 and 3 or more from how many n-grams have counts 1 to 4."""
     have = {r.n: r["count"] for r in counts.where("n <= 4").groupBy("n").count().collect()}
-    n1, n2, n3, n4 = (have.get(i, 0) for i in (1, 2, 3, 4))
+    return _discounts(*(have.get(i, 0) for i in (1, 2, 3, 4)))
+
+
+def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     if not (n1 and n2 and n3):
         return [0.5, 1.0, 1.5]
     y = n1 / (n1 + 2 * n2)
@@ -124,10 +130,18 @@ class Model:
                 p = (left.reshape(-1, len(lower), 1) * lower[None]).reshape(-1) if k > 1 else left[0] * p
                 p[o["code"]] += o["share"]
             self.dense = np.log(np.maximum(p, 1e-12, out=p), out=p)
+            _dense.append(self)
         return self.dense
 
 
-_models: dict[str, Model] = {}
+#: Models that hold dense log probabilities.
+_dense: list[Model] = []
+
+
+def release() -> None:
+    """Lets the process's dense log probabilities go: workers outlive stages, and those that don't spell shouldn't hold them."""
+    while _dense:
+        _dense.pop().dense = None
 
 
 def train(trusted: DataFrame, name: str = "lm") -> Model:
@@ -169,6 +183,13 @@ def character_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _characters
 
 
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys lie together, ascending, and where each key begins in it, with the end."""
+    order = np.argsort(key)
+    own = key[order]
+    return order, np.flatnonzero(np.concatenate([[len(key) > 0], own[1:] != own[:-1], [True]]))
+
+
 def word_stream(texts: list[str], logs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, the log probability of each one's spelling (0 without logs), and the index of its text."""
     kind, lower, share = character_tables()
@@ -187,8 +208,17 @@ def word_stream(texts: list[str], logs: np.ndarray | None) -> tuple[np.ndarray,
     place = np.arange(len(at), dtype=np.int64) - np.repeat(starts, length)
     small = lower[held]
     hashes = common.mix(np.add.reduceat(common.mix((place.astype(np.uint64) << np.uint64(21)) + small + np.uint64(1)), starts) + np.uint64(3))
+    owner = owner[starts].astype(np.int64)
     if logs is None:
-        return hashes, np.zeros(len(starts), np.float32), owner[starts].astype(np.int64)
+        return hashes, np.zeros(len(starts), np.float32), owner
+    order, new = grouped(hashes)  # each different word is spelled once
+    once = order[new[:-1]]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.repeat(np.arange(len(once)), np.diff(new))
+    starts, length = starts[once], length[once]
+    place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    small = small[np.repeat(starts, length) + place]
+    starts = np.cumsum(length) - length
     s = symbol_table()[small].astype(np.int32)
     code = s.copy()
     for back in range(1, ORDER):
@@ -198,7 +228,7 @@ def word_stream(texts: list[str], logs: np.ndarray | None) -> tuple[np.ndarray,
     last = starts + length - 1
     end = (code[last] % np.int32(SYMBOLS ** (ORDER - 1))) * np.int32(SYMBOLS) + _SPACE
     spelled = np.add.reduceat((logs[code] + share[small]).astype(np.float64), starts) + logs[end]
-    return hashes, spelled.astype(np.float32), owner[starts].astype(np.int64)
+    return hashes, spelled.astype(np.float32)[which], owner
 
 
 #: Characters that are cut into words at once, but for a longer text.
@@ -245,83 +275,368 @@ def word_counts(texts: DataFrame, model: Model) -> DataFrame:
     return made.groupBy("key").agg(F.min("before").alias("before"), F.min("word").alias("word"), F.min("spelled").alias("spelled"), F.sum("n").alias("n"))
 
 
-def _cut(counts: DataFrame):
-    d, n = discounts(counts), F.col("n")
-    return F.least(F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2]), n.cast("double"))
+def word_model(trusted: DataFrame, model: Model) -> tuple[DataFrame, float]:
+    """The model as a table, for other uses: key, value (what a pair or word adds to a text's log probability), raw (how often the
+    trusted texts have it); and the log of what the words leave to spelling."""
+    words, d, left = vocabulary(trusted, model)
+    n, pairs = F.col("n"), word_counts(trusted, model)
+    kept = n - F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+    met = pairs.join(words.select(F.col("word").alias("before"), "after"), "before").join(words.select("word", "logp"), "word")
+    values = met.select("key", F.log1p(kept * F.exp(F.col("after") + F.col("logp"))).alias("value"), n.alias("raw"))
+    return values.unionByName(words.select(F.col("word").alias("key"), "value", "raw")), left
 
 
-def word_model(trusted: DataFrame, model: Model) -> tuple[DataFrame, float]:
-    """key, value (what a pair or word adds to a text's log probability), raw (how often the trusted texts have it); and the log
-    of what the words leave to spelling."""
-    pairs = common.stored(word_counts(trusted, model), "pairs")
-    words = common.stored(pairs.groupBy("word").agg(F.count("*").alias("n"), F.sum("n").alias("raw"), F.min("spelled").alias("spelled")), "words")
-    cut = _cut(words)
-    total, passed = words.agg(F.sum("n"), F.sum(cut)).first()
-    if not total:
-        return pairs.select("key", F.lit(0.0).alias("value"), F.col("n").alias("raw")), 0.0
-    left = float(np.log(passed / total))
-    spelling = F.col("spelled") + F.lit(left)
-    words = words.select("word", "raw", (F.log((F.col("n") - cut) / total + F.exp(spelling))).alias("logp"), spelling.alias("base"))
-    cut = _cut(pairs)
-    after = pairs.groupBy(F.col("before").alias("word")).agg(F.sum("n").alias("total"), F.log(F.sum(cut) / F.sum("n")).alias("left"))
-    known = common.stored(words.join(after, "word", "full"), "known-words")
-    shares = pairs.select("key", "n", "before", "word", (F.col("n") - cut).alias("kept"))
-    shares = shares.join(known.select(F.col("word").alias("before"), "total", "left"), "before").join(known.select("word", "logp"), "word")
-    gains = shares.select("key", F.log1p(F.col("kept") / F.col("total") * F.exp(-F.col("left") - F.col("logp"))).alias("value"), F.col("n").alias("raw"))
-    singles = known.select(F.col("word").alias("key"), (F.coalesce(F.col("logp") - F.col("base"), F.lit(0.0)) + F.coalesce("left", F.lit(0.0))).alias("value"), F.coalesce("raw", F.lit(-1)).alias("raw"))
-    return gains.unionByName(singles), left
+#: Pairs are met in so many rounds, each over the keys of one remainder, so that a round's exchange is gone before the next one's.
+ROUNDS = 4
+#: So many rounds count the pairs of trusted texts.
+COUNT_ROUNDS = 2
+#: Words whose values every task holds, at most, whatever the corpus: the commoner ones. Values of the others are joined.
+HEAVY = 500_000
+#: Bytes of text, and texts, whose pairs are summed before they are dealt out.
+SLICE, TEXTS = 3 << 20, 60_000
+#: Texts that a worker gets at once, at most.
+BATCH = 2500
+_BLOCK = "part int, keys binary, befores binary, words binary, ns binary, gains binary, values binary, raws binary, met binary, owners binary, rows binary, sures binary"
+_BLOCKS = {"keys": "<u8", "befores": "<u8", "words": "<u8", "ns": "<u4", "gains": "<f4", "values": "<f8", "raws": "<i8", "met": "<u2", "owners": "<u2", "rows": "<i8", "sures": "?"}
 
 
-def perplexities(docs: DataFrame, model: Model, trusted: DataFrame) -> DataFrame:
-    """doc_id, lang, n_chars, log_perplexity (a character's, null without words), sure (among the trusted): a row per document.
-    trusted: node."""
-    values, left = word_model(common.texts_of(docs, trusted), model)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    named = docs.select(F.xxhash64("doc_id", F.col("text").cast("string")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(batch), TEXTS):
+        yield from tokens.slices(batch.slice(a, TEXTS), "text", size=SLICE)
+
+
+def _texts(part: pa.RecordBatch) -> list[str]:
+    return [t or "" for t in part.column("text").to_pylist()]
+
+
+def _cuts(key: np.ndarray, parts: int) -> np.ndarray:
+    """Where the keys of each part begin, with the end. key: sorted; a part has a range of keys."""
+    return np.searchsorted((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
+
+
+def _blocks(found: list[tuple[int, dict[str, np.ndarray]]]) -> pa.RecordBatch:
+    """A row for each part with the bytes of its arrays."""
+    columns = [pa.array([x[c].astype(t, copy=False).tobytes() if c in x else None for _, x in found], pa.binary()) for c, t in _BLOCKS.items()]
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), *columns], ["part", *_BLOCKS])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> list[dict[str, np.ndarray]]:
+    return [{c: np.frombuffer(x, _BLOCKS[c]) for c, x in row.items() if c != "part" and x is not None} for batch in batches for row in batch.to_pylist()]
 
-    def bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _joined(blocks: list[dict[str, np.ndarray]], column: str) -> np.ndarray:
+    """The arrays of a column, one behind the other; the blocks don't hold them any more."""
+    return np.concatenate([np.zeros(0, _BLOCKS[column]), *(x.pop(column) for x in blocks)]).astype(_BLOCKS[column], copy=False)
+
+
+def _parts(df: DataFrame, rounds: int) -> int:
+    """Partitions of a round: together the rounds have half as many again as one exchange, but a round enough for all cores."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-3 * common.shuffle_partitions(df.sparkSession) // (2 * rounds)))
+
+
+def spellings(texts: DataFrame, model: Model) -> DataFrame:
+    """word, spelled of each slice's words."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shared.value.logs()
+        for batch in common.trimmed(batches):
+            for part in _slices(batch):
+                _, word, logp, _ = pairs_of(_texts(part), logs)
+                order, new = grouped(word)
+                word, first = word[order[new[:-1]]], order[new[:-1]]
+                yield pa.RecordBatch.from_arrays([_signed(word), pa.array(logp[first])], ["word", "spelled"])
+
+    return texts.select("text").mapInArrow(run, "word long, spelled float")
+
+
+_COUNTS = ("n", "raw", "total", "pairs", "c1", "c2", "c3", "c4")
+
+
+def counts_of_words(texts: DataFrame, round_: int) -> DataFrame:
+    """By word, of the pairs of a round: n (different words before it), raw (occurrences), total (occurrences as the word before),
+    pairs (different words after it), c1 to c4 (those met once to four times). A word has a row from each partition that has it."""
+    parts, rounds = _parts(texts, COUNT_ROUNDS), COUNT_ROUNDS
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.trimmed(batches):
+            for part in _slices(batch):
+                before, word, _, _ = pairs_of(_texts(part), None)
+                key = key_of(before, word)
+                at = np.flatnonzero(key % np.uint64(rounds) == np.uint64(round_))
+                order, new = grouped(key[at])
+                n, at = np.diff(new), at[order[new[:-1]]]
+                before, word, cut = before[at], word[at], _cuts(key[at], parts)
+                yield _blocks([(p, {"befores": before[a:b], "words": word[a:b], "ns": n[a:b]}) for p, (a, b) in enumerate(zip(cut, cut[1:])) if a < b])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _read(common.trimmed(batches))
+        before, word, ns = (_joined(held, c) for c in ("befores", "words", "ns"))
+        order, new = grouped(key_of(before, word))
+        first = order[new[:-1]]
+        n = np.add.reduceat(ns[order].astype(np.int64), new[:-1]) if len(ns) else np.zeros(0, np.int64)
+        name, at = np.unique(np.concatenate([word[first], before[first]]), return_inverse=True)
+        own, context = at[: len(first)], at[len(first) :]
+        sums = [np.bincount(own, minlength=len(name)), np.bincount(own, n, len(name)), np.bincount(context, n, len(name)), np.bincount(context, minlength=len(name))]
+        sums += [np.bincount(context[n == k], minlength=len(name)) for k in (1, 2, 3, 4)]
+        yield pa.RecordBatch.from_arrays([_signed(name), *(pa.array(x.astype(np.int64)) for x in sums)], ["word", *_COUNTS])
+
+    dealt = texts.select("text").mapInArrow(deal, _BLOCK).repartitionById(parts, F.col("part"))
+    return dealt.mapInArrow(count, "word long, " + ", ".join(f"{c} long" for c in _COUNTS))
+
+
+def vocabulary(texts: DataFrame, model: Model) -> tuple[DataFrame, list[float], float]:
+    """word, weight (the occurrences), value (what the word adds to a text's log probability), raw (-1 for what is only before
+    others), after and logp (a pair's gain is log1p(its discounted count * exp(after of the first + logp of the second))); the
+    discounts of pairs; the log of what the words leave to spelling."""
+    with common.scratch(texts.sparkSession, "counts"):
+        counts = [common.stored(counts_of_words(texts, k).groupBy("word").agg(*(F.sum(c).alias(c) for c in _COUNTS)), "word-counts") for k in range(COUNT_ROUNDS)]
+        spelled = common.stored(spellings(texts, model).groupBy("word").agg(F.min("spelled").alias("spelled")), "spellings")
+        rows = spelled.select("word", "spelled", *(F.lit(0).cast("long").alias(c) for c in _COUNTS))
+        for x in counts:
+            rows = rows.unionByName(x.withColumn("spelled", F.lit(None).cast("float")))
+        words = common.stored(rows.groupBy("word").agg(F.min("spelled").alias("spelled"), *(F.sum(c).alias(c) for c in _COUNTS)), "words")
+        met = words.where("n > 0")
+        d, of_pairs = discounts(met), words.agg(*(F.sum(f"c{k}") for k in (1, 2, 3, 4))).first()
+        two = _discounts(*(x or 0 for x in of_pairs))
+        n = F.col("n")
+        cut = F.least(F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2]), n.cast("double"))
+        total, passed = met.agg(F.sum("n"), F.sum(cut)).first()
+        left = float(np.log(passed / total)) if total else 0.0
+        base = F.col("spelled") + F.lit(left)
+        logp = F.when(n > 0, F.log((n - cut) / F.lit(float(total or 1)) + F.exp(base)))
+        after = F.when(F.col("total") > 0, F.log((two[0] * F.col("c1") + two[1] * F.col("c2") + two[2] * (F.col("pairs") - F.col("c1") - F.col("c2"))) / F.col("total")))
+        made = words.select("word", F.greatest("raw", "total").alias("weight"), F.when(n > 0, F.col("raw")).otherwise(-1).alias("raw"), logp.alias("logp"), base.alias("base"), after.alias("left"), "total")
+        value = F.coalesce(F.col("logp") - F.col("base"), F.lit(0.0)) + F.coalesce("left", F.lit(0.0))
+        return common.stored(made.select("word", "weight", value.alias("value"), "raw", (-F.log(F.col("total").cast("double")) - F.col("left")).alias("after"), (-F.col("logp")).alias("logp")), "vocabulary", last=True), two, left
+
+
+class Heavy:
+    """Values of the commoner words, in arrays by word."""
+
+    def __init__(self, found: pa.Table):
+        word = found.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(word)
+        self.word = word[order]
+        self.shift = np.uint64(63 - max(len(word), 1).bit_length())
+        self.begins = np.searchsorted(self.word >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1)).astype(np.int32)  # of the words with equal first bits
+        self.raw = found.column("raw").to_numpy()[order]
+        self.value, self.after, self.logp = (found.column(c).to_numpy(zero_copy_only=False).astype(float)[order] for c in ("value", "after", "logp"))  # nan for null
+
+    def at(self, word: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 for others."""
+        found, slot = np.full(len(word), -1), (word >> self.shift).astype(np.int64)
+        place, end = self.begins[slot], self.begins[slot + 1]
+        open_ = np.flatnonzero(place < end)
+        place, end = place[open_], end[open_]
+        while len(open_):
+            same = self.word[place] == word[open_]
+            found[open_[same]] = place[same]
+            more = np.flatnonzero(~same & (place + 1 < end))
+            open_, place, end = open_[more], place[more] + 1, end[more]
+        return found
+
+
+def parted(words: DataFrame) -> tuple[Heavy, DataFrame | None]:
+    """The words that every task holds, and the others, or None. Words are parted by weight, to an eighth of a power of 2."""
+    level = F.floor(F.log2(F.col("weight").cast("double")) * 8)
+    levels = sorted(((x.level, x["count"]) for x in words.groupBy(level.alias("level")).count().collect()), reverse=True)
+    sums = np.cumsum([n for _, n in levels])
+    taken = int(np.searchsorted(sums, HEAVY, side="right"))
+    if taken == len(levels):
+        return Heavy(words.toArrow()), None
+    least = levels[taken - 1][0] if taken else float("inf")
+    return Heavy(words.where(level >= least).toArrow()), words.where(level < least)
+
+
+def rare_keys(texts: DataFrame, heavy, rare: DataFrame) -> DataFrame:
+    """key, gain, value, raw: gain (after and logp, added up) of the pairs of texts with a word of rare, value and raw of those words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        held = heavy.value
+        for batch in common.trimmed(batches):
+            for part in _slices(batch):
+                before, word, _, _ = pairs_of(_texts(part), None)
+                a, b = held.at(before), held.at(word)
+                at = np.flatnonzero((a < 0) | (b < 0))
+                key, first = np.unique(key_of(before[at], word[at]), return_index=True)
+                before, word, a, b = (x[at[first]] for x in (before, word, a, b))
+                for own, other, values, name in ((a, b, held.logp, before), (b, a, held.after, word)):
+                    x = np.flatnonzero(own < 0)
+                    has = other[x] >= 0
+                    plus = np.zeros(len(x))
+                    plus[has] = values[other[x][has]]
+                    yield pa.RecordBatch.from_arrays([_signed(key[x]), _signed(name[x]), pa.array(np.full(len(x), own is a)), pa.array(plus)], ["key", "word", "first", "plus"])
+
+    found = texts.select("text").mapInArrow(run, "key long, word long, first boolean, plus double").groupBy("key", "first").agg(F.min("word").alias("word"), F.min("plus").alias("plus"))
+    gains = found.join(rare, "word").groupBy("key").agg(F.sum(F.col("plus") + F.when(F.col("first"), F.col("after")).otherwise(F.col("logp"))).cast("float").alias("gain"))
+    return gains.select("key", "gain", F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("raw")).unionByName(rare.select(F.col("word").alias("key"), F.lit(None).cast("float").alias("gain"), "value", "raw"))
+
+
+def marked(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch], np.ndarray]]:
+    """row (a hash of doc_id and text), node, lang, text and what says, of a batch of these, which rows are trusted. Texts are joined
+    only where membership() isn't exact."""
+    bits, test, exact = common.membership(docs, trusted)
+    text = F.col("text").cast("string")
+    named = docs.select(F.xxhash64("doc_id", text).alias("row"), F.col("doc_id").cast("long").alias("node"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
+    if exact:
+        return named.select("*", *common.places(bits)), lambda batch: test(batch.column("node"), batch.column("word"), batch.column("place"))
+    sure = trusted.select("node", F.lit(True).alias("sure"))
+    return named.join(sure, "node", "left").withColumn("sure", F.coalesce("sure", F.lit(False))), lambda batch: batch.column("sure").to_numpy(zero_copy_only=False)
+
+
+def gains(docs: DataFrame, sure: Callable[[pa.RecordBatch], np.ndarray], heavy, rare: DataFrame | None, d: list[float], round_: int) -> DataFrame:
+    """row, gain: what the pairs and rare words of a round add to the log probability of each document, a row from each partition that
+    has any. docs: of marked(). Pairs are counted and scored in one exchange: a pair's count is what the trusted among its documents have."""
+    parts, rounds, some = _parts(docs, ROUNDS), ROUNDS, rare is not None
+
+    def of_round(key: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(key % np.uint64(rounds) == np.uint64(round_))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        held = heavy.value
+        for batch in common.trimmed(batches):
+            for part in _slices(batch.append_column("trust", pa.array(sure(batch)))):
+                trust, row = part.column("trust").to_numpy(zero_copy_only=False), part.column("row").to_numpy()
+                before, word, _, text = pairs_of(_texts(part), None)
+                key = key_of(before, word)
+                at = of_round(key)
+                singles = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                if some:  # words whose values aren't held, and the beginnings of texts
+                    for x, owner in ((word, text), (np.full(len(begins := np.unique(text)), BEGIN), begins)):
+                        own = of_round(x)
+                        own = own[held.at(x[own]) < 0]
+                        singles[0].append(x[own])
+                        singles[1].append(owner[own])
+                key, owner, before, word = np.concatenate([key[at], *singles[0]]), np.concatenate([text[at], *singles[1]]), before[at], word[at]
+                if not len(key):
+                    continue
+                order, new = grouped(key)
+                key, source = key[order[new[:-1]]], order[new[:-1]]
+                both = np.sort(np.repeat(np.arange(len(key)) << 16, np.diff(new)) | owner[order])  # key and text, which is below TEXTS
+                first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1], [True]]))
+                n, both = np.diff(first), both[first[:-1]]
+                owner = both & 0xFFFF
+                bounds = np.searchsorted(both, np.arange(len(key) + 1) << 16)
+                gain = np.full(len(key), np.nan, np.float32)
+                asked = np.flatnonzero(np.logical_or.reduceat(trust[owner], bounds[:-1]) & (source < len(before)))
+                a, b = held.at(before[source[asked]]), held.at(word[source[asked]])
+                there = (a >= 0) & (b >= 0)
+                gain[asked[there]] = held.after[a[there]] + held.logp[b[there]]
+                found, cut = [], _cuts(key, parts)
+                for p, (i, j) in enumerate(zip(cut, cut[1:])):
+                    if i < j:
+                        whose = owner[bounds[i] : bounds[j]]
+                        there = np.zeros(len(part), bool)
+                        there[whose] = True
+                        found.append((p, {"keys": key[i:j], "gains": gain[i:j], "met": np.diff(bounds[i : j + 1]), "owners": (np.cumsum(there) - 1)[whose], "ns": n[bounds[i] : bounds[j]], "rows": row[there], "sures": trust[there]}))
+                yield _blocks(found)
+
+    def deal_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tokens.slices(batch, "text"):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                _, _, logp, text = pairs_of(texts, logs)
+            key = batch.column("key").to_numpy().view(np.uint64)
+            at = of_round(key)
+            at = at[np.argsort(key[at])]
+            gain, value = (batch.column(c).to_numpy(zero_copy_only=False).astype(float)[at] for c in ("gain", "value"))
+            key, raw, cut = key[at], batch.column("raw").to_numpy()[at], _cuts(key[at], parts)
+            yield _blocks([(p, {"keys": key[i:j], "gains": gain[i:j], "values": value[i:j], "raws": raw[i:j]}) for p, (i, j) in enumerate(zip(cut, cut[1:])) if i < j])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _read(common.trimmed(batches))
+        held, known = [x for x in read if "rows" in x], [x for x in read if "raws" in x]
+        key = _joined(held, "keys")
+        order, new = grouped(key)
+        at = np.empty(len(key), np.int32)
+        at[order] = np.repeat(np.arange(len(new) - 1, dtype=np.int32), np.diff(new))
+        key = key[order[new[:-1]]]
+        base = np.cumsum([0, *(len(x["rows"]) for x in held)])[:-1]
+        owner = np.concatenate([np.zeros(0, np.int32), *(x.pop("owners") + np.int32(b) for x, b in zip(held, base))])
+        n, trust = _joined(held, "ns"), _joined(held, "sures")
+        which = np.repeat(at, _joined(held, "met"))
+        raw = np.bincount(which, n * trust[owner], len(key)).astype(np.int64)
+        gain, value, found = np.full(len(key), np.nan), np.zeros(len(key)), _joined(held, "gains")
+        gain[at[~np.isnan(found)]] = found[~np.isnan(found)]
+        if len(key) and known:
+            name = _joined(known, "keys")
+            place = np.minimum(np.searchsorted(key, name), len(key) - 1)
+            met = key[place] == name
+            own, plus, words = _joined(known, "gains"), _joined(known, "values"), _joined(known, "raws")
+            is_pair = met & ~np.isnan(own)
+            gain[place[is_pair]] = own[is_pair]
+            is_word = met & ~np.isnan(plus)
+            value[place[is_word]], raw[place[is_word]] = plus[is_word], words[is_word]
+        pair = np.flatnonzero(~np.isnan(gain) & (raw > 0))
+        with np.errstate(divide="ignore"):
+            left = np.log(np.maximum(raw[pair] - np.array(d)[np.minimum(raw[pair], 3) - 1], 0.0))
+        value[pair] = np.logaddexp(0.0, left + gain[pair])
+        adds = np.where(trust[owner] & (n == raw[which]), 0.0, n * value[which])
+        sums, row = np.bincount(owner, adds, len(trust)), _joined(held, "rows")
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(sums[some])], ["row", "gain"])
+
+    dealt = docs.mapInArrow(deal, _BLOCK)
+    if some:
+        dealt = dealt.unionByName(rare.mapInArrow(deal_rare, _BLOCK))
+    return dealt.repartitionById(parts, F.col("part")).mapInArrow(score, "row long, gain double").groupBy("row").agg(F.sum("gain").alias("gain"))
+
+
+def bases(docs: DataFrame, sure: Callable[[pa.RecordBatch], np.ndarray], model, heavy, left: float) -> DataFrame:
+    """row, doc_id, lang, n_chars, sure, base (the log probability by spelling and by the words that every task holds): a row per document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs, held = model.value.logs(), heavy.value
+        begin = held.at(np.array([BEGIN]))[0]
+        for batch in common.trimmed(batches):
+            for part in tokens.slices(batch.append_column("trust", pa.array(sure(batch))), "text"):
+                trust, texts = part.column("trust").to_numpy(zero_copy_only=False), _texts(part)
+                _, word, logp, text = pairs_of(texts, logs)
                 n = np.bincount(text, minlength=len(texts))
-                base = np.bincount(text, logp, len(texts)) + left * n
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("lang"), pa.array([len(t) for t in texts], pa.int64()), pa.array(base, mask=n == 0)], ["row", "doc_id", "lang", "n_chars", "base"])
+                order, new = grouped(word)
+                at = np.empty(len(word), np.int64)
+                at[order] = np.repeat(np.arange(len(new) - 1), np.diff(new))
+                word = word[order[new[:-1]]]
+                place = held.at(word)
+                value, raw = np.zeros(len(word)), np.full(len(word), -1)
+                value[place >= 0], raw[place >= 0] = held.value[place[place >= 0]], held.raw[place[place >= 0]]
+                base = np.bincount(text, logp, len(texts)) + left * n + np.bincount(text, value[at], len(texts))
+                own = np.flatnonzero(trust[text] & (raw[at] > 0) & (raw[at] <= n[text]))  # words that only this document may have
+                both, times = np.unique(text[own] * len(word) + at[own], return_counts=True)
+                both, times = (x[times == raw[both % max(len(word), 1)]] for x in (both, times))
+                base -= np.bincount(both // max(len(word), 1), times * value[both % max(len(word), 1)], len(texts))
+                if begin >= 0:
+                    base += held.value[begin]
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("node"), part.column("lang"), pa.array([len(t) for t in texts], pa.int64()), pa.array(trust), pa.array(base, mask=n == 0)], ["row", "doc_id", "lang", "n_chars", "sure", "base"])
+
+    return docs.mapInArrow(run, "row long, doc_id long, lang string, n_chars long, sure boolean, base double")
 
-    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per pair or word of a slice, with the rows that have it and how often."""
-        for batch in batches:
-            for part in tokens.slices(batch, "text"):
-                before, word, _, text = pairs_of([t or "" for t in part.column("text").to_pylist()], None)
-                begins = np.unique(text)
-                key = np.concatenate([key_of(before, word), word, np.full(len(begins), BEGIN)])
-                owner = np.concatenate([text, text, begins])
-                order = np.lexsort((owner, key))
-                key, owner = key[order], owner[order]
-                first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))) if len(key) else np.zeros(0, np.int64)
-                n = np.diff(np.append(first, len(key)))
-                key, owner = key[first], owner[first]
-                new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-                offsets = pa.array(np.append(new, len(key)), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(part.column("row").to_numpy()[owner]), pa.array(n.astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays([_signed(key[new]), *lists], ["key", "rows", "ns"])
-
-    needed = named.select("row", "text").mapInArrow(needs, "key long, rows array<long>, ns array<int>")
-    met = needed.join(values, "key").select("key", "value", "raw", F.explode(F.arrays_zip("rows", "ns")).alias("x")).select("key", "value", "raw", F.col("x.rows").alias("row"), F.col("x.ns").alias("n"))
-    gain = F.col("n") * F.col("value")
-    sums = met.groupBy("row").agg(F.sum(gain).alias("gain"), F.sum(F.when(F.col("n") == F.col("raw"), gain).otherwise(0.0)).alias("own"), F.sum(F.when(F.col("key") == int(BEGIN), F.col("n"))).alias("copies"))
-    based = named.mapInArrow(bases, "row long, doc_id long, lang string, n_chars long, base double")
-    found = based.join(sums, "row", "left").join(trusted.select(F.col("node").alias("doc_id"), F.lit(True).alias("sure")), "doc_id", "left").withColumn("sure", F.coalesce("sure", F.lit(False)))
-    gained = F.coalesce((F.col("gain") - F.when(F.col("sure"), F.col("own")).otherwise(0.0)) / F.coalesce("copies", F.lit(1)), F.lit(0.0))
-    return found.select("doc_id", "lang", "n_chars", (-(F.col("base") + gained) / F.col("n_chars")).alias("log_perplexity"), "sure")
+
+def perplexities(docs: DataFrame, model: Model, trusted: DataFrame) -> DataFrame:
+    """doc_id, lang, n_chars, log_perplexity (a character's, null without words), sure (among the trusted): a row per document.
+    trusted: node."""
+    context, texts = docs.sparkSession.sparkContext, common.texts_of(docs, trusted)
+    words, d, left = vocabulary(texts, model)
+    held, others = parted(words)
+    heavy = context.broadcast(held)
+    rare = None if others is None else common.stored(rare_keys(texts, heavy, others), "rare-keys")
+    named, sure = marked(docs, trusted)
+    based = common.stored(bases(named, sure, context.broadcast(model), heavy, left), "bases")
+    sums = based.select("row", F.lit(0.0).alias("gain"), F.lit(1).alias("copies"))
+    for k in range(ROUNDS):
+        sums = sums.unionByName(common.stored(gains(named, sure, heavy, rare, d, k), "gains").withColumn("copies", F.lit(0)))
+    sums = sums.groupBy("row").agg((F.sum("gain") / F.sum("copies")).alias("gain"))
+    return based.join(sums, "row").select("doc_id", "lang", "n_chars", (-(F.col("base") + F.col("gain")) / F.col("n_chars")).alias("log_perplexity"), "sure")
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, low: float = 0.002, high: float = 0.99, least: int = 50, margin: float = 0.05, slack: float = 3.0) -> DataFrame:
     """doc_id, lang, n_chars, log_perplexity, perplexity, low, high, kept. trusted_ids: doc_id of the trusted documents."""
-    ids = common.stored(trusted_ids.select(F.col("doc_id").cast("long").alias("node")).where("node IS NOT NULL").distinct(), "trusted")
-    model = train(common.texts_of(docs, ids))
-    scored = common.stored(perplexities(docs, model, ids), "perplexities")
+    spark = docs.sparkSession
+    # the shuffle files of a query go when it ends, not when the driver happens to collect its garbage
+    with common.settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH)}):
+        with common.scratch(spark, "language-model"):
+            ids = common.stored(trusted_ids.select(F.col("doc_id").cast("long").alias("node")).where("node IS NOT NULL").distinct(), "trusted")
+            scored = common.stored(perplexities(docs, train(common.texts_of(docs, ids)), ids), "perplexities", last=True)
     sure = scored.where("sure AND log_perplexity IS NOT NULL")
     scored = scored.drop("sure")
     limits = lambda df: df.agg(F.count("*").alias("n"), F.percentile_approx("log_perplexity", F.array(F.lit(low), F.lit(high)), 10_000).alias("q"))
