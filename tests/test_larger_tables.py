@@ -99,3 +99,23 @@ def test_shared_places_need_no_codes(spark):
 def test_cr_page_reads_indices_stored(spark):
     """The five periods share one table of index bars instead of adding up all trades for each."""
     assert not [f for f in pages.cr_page(spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
+
+
+def test_breadth_pages_read_a_row_a_date(spark):
+    """No page reads the fields of every bar, or adds up trades again."""
+    files = pages.breadth_pages(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not [f for f in files if "lineitem" in f or "/derived-" in f]
+
+
+def test_index_bars_deal_out_sums_alone(spark, tmp_path):
+    """Trades meet suppliers without an exchange also where suppliers times nations would be too many to broadcast."""
+    for name in ("lineitem", "nation"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    first = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").limit(1).drop("s_suppkey")
+    spark.range(2_000).withColumnRenamed("id", "s_suppkey").join(first).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 50_000)  # more than suppliers take, less than line items
+    try:
+        for bars in (bindings.index_bars, bindings.sector_bars):
+            assert exchanges(bars(spark, str(tmp_path)))[0] == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

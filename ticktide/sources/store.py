@@ -138,7 +138,7 @@ def by_family_and_year() -> dict[str, Column]:
     return {"family": F.col("data_type"), "year": year_of()}
 
 
-def filled(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+def filled(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame], sort: tuple[str, ...] = ("code", "trade_date")) -> DataFrame:
     """A table of bars and what is derived from them, stored by family and year: built when first asked for, read after that, as long
     as the inputs are the same files (paths, lengths, times) and the same folder is shared."""
     marks = []
@@ -150,7 +150,7 @@ def filled(spark: SparkSession, name: str, inputs: list[str], build: Callable[[]
     mark = hashlib.sha256(json.dumps([FORMAT, sorted(marks)]).encode()).hexdigest()[:24]
     table = Snapshots(spark, f"{shared_folder(spark)}/filled/{name}-{mark}")
     if table.parts() is None:
-        table.replace(build(), by_family_and_year(), dealt=True)
+        table.replace(build(), by_family_and_year(), sort=sort, dealt=True)
     return table.read(None if table.parts() else build().schema)
 
 
