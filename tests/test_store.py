@@ -67,6 +67,34 @@ def test_corrections_read_what_a_batch_can_change(spark, history):
     assert all(d >= row[2] for d in dates)
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_") and n.endswith(".data")}
+
+
+def test_corrections_leave_no_exchanges_on_disk(spark, tmp_path, history, monkeypatch):
+    """Fields come for a share of the instruments at a time, and ranks for a year: as from one run, with nothing left behind."""
+    monkeypatch.setattr(store, "ROUND", 1, raising=False)
+    table, first = store.Snapshots(spark, str(tmp_path)), ranks.derived(bars(spark, history))
+    table.replace(first, store.by_family_and_year())
+    put = {("000001", "20200710"): 3.5, ("000004", "20210203"): None, ("000003", "20211120"): 9.0, ("000007", "20191230"): 4.0}
+    batch, held = bars(spark, [("stock", *k, close, 7.0) for k, close in put.items()]), shuffle_files(spark)
+    corrections.apply(table, first.schema, batch)
+    assert not shuffle_files(spark) - held
+    known = [r for r in history if r[1:3] not in put] + [("stock", *k, close, 7.0) for k, close in put.items()]
+    assert rows_of(table.read(first.schema)) == rows_of(ranks.derived(bars(spark, known)))
+    assert os.listdir(f"{tmp_path}/staged") == []
+
+
+def test_a_first_fill_leaves_no_exchanges_on_disk(spark, tmp_path, history, monkeypatch):
+    monkeypatch.setattr(store, "ROUND", 1, raising=False)
+    rows, held = bars(spark, history).repartition("data_type", "code"), shuffle_files(spark)
+    table, want = store.Snapshots(spark, str(tmp_path)), ranks.derived(rows)
+    table.fill(ranks.own(rows), ranks.compared)
+    assert not shuffle_files(spark) - held and len(table.parts()) == 2
+    assert rows_of(table.read(want.schema)) == rows_of(want) and os.listdir(f"{tmp_path}/staged") == []
+
+
 def test_empty_tables(spark, tmp_path):
     table, first = store.Snapshots(spark, str(tmp_path)), ranks.derived(bars(spark, []))
     table.replace(first, store.by_family_and_year())
